@@ -1,48 +1,75 @@
 """Fixed values that results depend on: patterns, word lists, factors and limits."""
 
+# Character classes follow Unicode on every JDK: a word character is a letter, number or "_".
+# Patterns put their first own character before the boundary test, which is the costlier one.
+WORD = r"\p{L}\p{N}_"
+EDGE = rf"(?<![{WORD}])"  # no word character before
+STOP = rf"(?![{WORD}])"  # no word character after
+SPACE = r"[\s\p{Z}\x1c-\x1f\x85]"
+DIGIT = r"\p{Nd}"
+
+
+def after(first: str) -> str:
+    """One character of class ``first`` that starts a word."""
+    return rf"{first}(?<![{WORD}]{first})"
+
+
 # --- fixed values: identifier patterns -------------------------------------
-HEX_GROUPS = r"(?:[0-9A-Fa-f]{4}[\s\-]?){9}[0-9A-Fa-f]{4}"
-PGP_LABEL = r"(?:PGP|GPG|fingerprint|fpr|fp)[:\s]*"
+HEX = "[0-9A-Fa-f]"
+HEX_GROUPS = rf"(?:{HEX}{{4}}(?:{SPACE}|-)?){{9}}{HEX}{{4}}"
+PGP_LABEL = rf"(?i:PGP|GPG|fingerprint|fpr|fp)(?::|{SPACE})*"
+HEX40 = rf"(?={HEX}{{40}}){EDGE}{HEX}{{40}}{STOP}"
 PGP_BLOCK = r"-----BEGIN PGP PUBLIC KEY BLOCK-----.*?-----END PGP PUBLIC KEY BLOCK-----"
-BTC_BECH32 = r"\b(bc1[qpzry9x8gf2tvdw0s3jn54khce6mua7l]{38,62})\b"
-BTC_LEGACY = r"\b(1[1-9A-HJ-NP-Za-km-z]{25,34})\b"
-BTC_P2SH = r"\b(3[1-9A-HJ-NP-Za-km-z]{25,34})\b"
-ETH = r"\b(0x[0-9a-fA-F]{40})\b"
-TRON = r"\b(T[1-9A-HJ-NP-Za-km-z]{33})\b"
-XMR = r"\b(4[0-9A-Za-z]{94})\b"
-EMAIL = r"\b([a-zA-Z0-9._%+\-]+@[a-zA-Z0-9.\-]+\.[a-zA-Z]{2,})\b"
-DOMAIN = r"\b([a-zA-Z0-9](?:[a-zA-Z0-9\-]{0,61}[a-zA-Z0-9])?\.(?:[a-zA-Z]{2,}))\b"
-ONION_V3 = r"\b([a-z2-7]{56}\.onion)\b"
-TELEGRAM = r"(?<!\w)(@[a-zA-Z][a-zA-Z0-9_]{4,31})\b"
-XMPP = r"\b([a-zA-Z0-9._%+\-]+@(?:jabber|xmpp|conversations)\.[a-zA-Z0-9.\-]+\.[a-zA-Z]{2,})\b"
-SESSION_ID = r"\b(05[0-9a-fA-F]{64})\b"
-WICKR = r"(?:wickr|wickr\.me)[:\s]+([a-zA-Z0-9_]{3,20})"
-IPV4 = r"\b(?:(?:25[0-5]|2[0-4]\d|[01]?\d\d?)\.){3}(?:25[0-5]|2[0-4]\d|[01]?\d\d?)\b"
+BASE58 = "[1-9A-HJ-NP-Za-km-z]"
+BTC_BECH32 = rf"(?i){after('b')}c1[qpzry9x8gf2tvdw0s3jn54khce6mua7l]{{38,62}}{STOP}"
+BTC_LEGACY = rf"{after('1')}{BASE58}{{25,34}}{STOP}"
+BTC_P2SH = rf"{after('3')}{BASE58}{{25,34}}{STOP}"
+ETH = rf"{after('0')}x{HEX}{{40}}{STOP}"
+TRON = rf"{after('T')}{BASE58}{{33}}{STOP}"
+XMR = rf"{after('4')}[0-9A-Za-z]{{94}}{STOP}"
+# a word may start at a letter, or at punctuation right after a word
+MAIL_START = rf"(?:(?<![{WORD}])[a-zA-Z0-9_]|(?<=[{WORD}])[.%+\-])"
+EMAIL = rf"{MAIL_START}[a-zA-Z0-9._%+\-]*+@[a-zA-Z0-9.\-]+\.[a-zA-Z]{{2,}}{STOP}"
+# no dot in the label, so it never needs to give characters back
+DOMAIN = rf"(?=[a-zA-Z0-9]){EDGE}[a-zA-Z0-9][a-zA-Z0-9\-]{{0,62}}+(?<!-)\.[a-zA-Z]{{2,}}{STOP}"
+ONION_V3 = rf"(?i)(?=[a-z2-7]{{56}}\.){EDGE}[a-z2-7]{{56}}\.onion{STOP}"
+TELEGRAM = rf"{after('@')}[a-zA-Z][a-zA-Z0-9_]{{4,31}}{STOP}"
+XMPP = rf"{MAIL_START}[a-zA-Z0-9._%+\-]*+@(?i:jabber|xmpp|conversations)\.[a-zA-Z0-9.\-]+\.[a-zA-Z]{{2,}}{STOP}"
+SESSION_ID = rf"{after('0')}5{HEX}{{64}}{STOP}"
+WICKR = rf"(?i:wickr|wickr\.me)(?::|{SPACE})+([a-zA-Z0-9_]{{3,20}})"
+OCTET = rf"(?:25[0-5]|2[0-4]{DIGIT}|[01]?{DIGIT}{DIGIT}?)"
+IPV4 = rf"(?={DIGIT}{{1,3}}\.){EDGE}(?:{OCTET}\.){{3}}{OCTET}{STOP}"
 NOISE_TLDS = ["com", "org", "net", "edu", "gov", "io", "co"]
 
 # --- fixed values: page, archive and relay-contact patterns -----------------
-PAGE_BTC = r"\b((?:1|3)[1-9A-HJ-NP-Za-km-z]{25,34}|bc1[a-zA-HJ-NP-Z0-9]{25,62})\b"
-PAGE_XMR = r"\b(4[0-9AB][1-9A-HJ-NP-Za-km-z]{93})\b"
-LOOSE_EMAIL = r"[\w.+-]+@[\w-]+\.[\w.-]+"
-LOOSE_HEX40 = r"[0-9A-Fa-f]{40}"
-LOOSE_HANDLE = r"@[\w]{3,30}"
+PAGE_BTC = rf"(?=[13b]){EDGE}((?:1|3){BASE58}{{25,34}}|bc1[a-zA-HJ-NP-Z0-9]{{25,62}}){STOP}"
+PAGE_XMR = rf"{after('4')}[0-9AB]{BASE58}{{93}}{STOP}"
+# a local part that starts inside a longer one cannot match unless a match ended there
+LOOSE_EMAIL = rf"(?:\G|(?<![{WORD}.+\-]))[{WORD}.+\-]++@[{WORD}\-]+\.[{WORD}.\-]+"
+LOOSE_HEX40 = rf"{HEX}{{40}}"
+LOOSE_HANDLE = rf"@[{WORD}]{{3,30}}"
 ONION_URL = r"https?://[a-z2-7]{56}\.onion[^\s\"'<>]*"
-ARCHIVE_BTC = r"\b((?:1|3)[1-9A-HJ-NP-Za-km-z]{25,34})\b"
-ARCHIVE_VENDOR = r"(?:vendor|seller|shop)\s*:\s*(\S+)"
-CONTACT_SHORT_KEY = r"0x[0-9A-Fa-f]{8,16}"
-CONTACT_URL = r"https?://[\w./?&=%-]+"
+ARCHIVE_BTC = rf"(?=[13]){EDGE}(?:1|3){BASE58}{{25,34}}{STOP}"
+ARCHIVE_VENDOR = rf"(?i:vendor|seller|shop){SPACE}*:{SPACE}*([^\s\p{{Z}}\x1c-\x1f\x85]+)"
+CONTACT_SHORT_KEY = rf"0x{HEX}{{8,16}}"
+CONTACT_URL = rf"https?://[{WORD}./?&=%\-]+"
 HREF = r"href=[\"']([^\"']+)[\"']"
-META_GENERATOR = r"<meta\s+name=[\"']generator[\"']\s+content=[\"']([^\"']+)[\"']"
+META_GENERATOR = rf"<meta{SPACE}+name=[\"']generator[\"']{SPACE}+content=[\"']([^\"']+)[\"']"
 
 # --- fixed values: redaction, in order of application -----------------------
+GAP = rf"(?:{SPACE}|-)?"
 REDACTION_RULES = [
-    ("aadhaar", r"\b(\d{4}[\s\-]?\d{4}[\s\-]?\d{4})\b", "[AADHAAR_REDACTED]"),
-    ("pan", r"\b([A-Z]{5}\d{4}[A-Z])\b", "[PAN_REDACTED]"),
-    ("phone", r"(?:\+?\d{1,3}[\s\-]?)?\(?\d{3,5}\)?[\s\-]?\d{3,4}[\s\-]?\d{3,4}\b", "[PHONE_REDACTED]"),
+    ("aadhaar", rf"(?={DIGIT}{{4}}){EDGE}{DIGIT}{{4}}{GAP}{DIGIT}{{4}}{GAP}{DIGIT}{{4}}{STOP}", "[AADHAAR_REDACTED]"),
+    ("pan", rf"(?=[A-Z]{{5}}){EDGE}[A-Z]{{5}}{DIGIT}{{4}}[A-Z]{STOP}", "[PAN_REDACTED]"),
+    (
+        "phone",
+        rf"(?:\+?{DIGIT}{{1,3}}{GAP})?\(?{DIGIT}{{3,5}}\)?{GAP}{DIGIT}{{3,4}}{GAP}{DIGIT}{{3,4}}{STOP}",
+        "[PHONE_REDACTED]",
+    ),
     (
         "victim_email",
-        r"\b[a-zA-Z0-9._%+\-]+@(?!protonmail\.|tutanota\.|cock\.li|dnmx\.|onionmail\.)"
-        r"[a-zA-Z0-9.\-]+\.[a-zA-Z]{2,}\b",
+        rf"{MAIL_START}[a-zA-Z0-9._%+\-]*+@(?!protonmail\.|tutanota\.|cock\.li|dnmx\.|onionmail\.)"
+        rf"[a-zA-Z0-9.\-]+\.[a-zA-Z]{{2,}}{STOP}",
         "[EMAIL_REDACTED]",
     ),
 ]
@@ -56,8 +83,8 @@ BLOCKED_MIME_PREFIXES = [
     "application/x-executable", "application/x-msdownload",
 ]
 PROHIBITED_PATTERNS = [
-    r"\b(child\s+(?:abuse|exploitation|pornograph))\b",
-    r"\b(recruit(?:ing|ment)\s+for\s+(?:jihad|terror))\b",
+    (rf"{after('c')}hild{SPACE}+(?:abuse|exploitation|pornograph){STOP}", "child"),
+    (rf"{after('r')}ecruit(?:ing|ment){SPACE}+for{SPACE}+(?:jihad|terror){STOP}", "recruit"),
 ]
 MAX_SCAN_CHARS = 500_000
 INTERNAL_HOST_PREFIXES = [
@@ -153,9 +180,9 @@ WHY_TEXTS = {
 # --- fixed values: infrastructure detectors ---------------------------------
 NOISE_BANNERS = ["nginx", "apache", "cloudflare", "microsoft-iis", "nginx/1.18.0", "apache/2.4.41"]
 STATUS_PATTERNS = [
-    r"(?i)ServerName:\s*(\S+)",
-    r"(?i)hostname[\"']?\s*[:=]\s*[\"']?(\S+)",
-    r"server_name\s+(\S+);",
+    rf"(?i)ServerName:{SPACE}*(\S+)",
+    rf"(?i)hostname[\"']?{SPACE}*[:=]{SPACE}*[\"']?(\S+)",
+    rf"server_name{SPACE}+(\S+);",
 ]
 
 # --- fixed values: stylometry ------------------------------------------------

@@ -1,23 +1,29 @@
 """Identifier extraction as column expressions: ``text -> ARRAY<hit>``.
 
 A hit is ``STRUCT<kind, value, normalized, start, end, confidence, metadata>``.
-Each extractor runs its pattern only behind a cheap substring test where one
-exists, so that text without a marker costs a single scan.
+
+Most identifiers contain no blank. For those, patterns run over ``compact(text)``: the words
+that can hold an identifier at all, which is a small part of prose and needs no regular
+expression to find. Offsets refer to the full text, so they are computed on demand only
+(``offsets=True``) and are NULL otherwise.
 """
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import fixed
-from .columns import UNICODE, bind, rank_prefix
+from .columns import bind, rank_prefix
 
 HIT_TYPE = (
     "array<struct<kind:string,value:string,normalized:string,start:int,end:int,"
     "confidence:double,metadata:map<string,string>>>"
 )
+SHORTEST_ADDRESS = 26
+Extractor = Callable[..., Column]
 
 
 def no_hits() -> Column:
@@ -28,6 +34,34 @@ def find_all(text: Column, pattern: str, group: int = 0) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
 
 
+def compact(text: Column) -> Column:
+    """Blank-separated words that are long, hold an ``@`` or have a dot inside, in order."""
+
+    def may_hold(word: Column) -> Column:
+        dot = F.instr(word, ".")
+        return (
+            (F.length(word) >= SHORTEST_ADDRESS)
+            | F.contains(word, F.lit("@"))
+            | ((dot > 0) & (dot < F.length(word)))
+        )
+
+    return F.array_join(F.filter(F.split(text, " "), may_hold), " ")
+
+
+def _on_words(fn: Extractor) -> Extractor:
+    """Give an extractor the full text and the words it has to look at."""
+
+    @wraps(fn)
+    def run(text: Column, offsets: bool = False, words: Column | None = None) -> Column:
+        if offsets:
+            return fn(text, text, True)
+        if words is not None:
+            return fn(text, words, False)
+        return bind(compact(text), lambda w: fn(text, w, False))
+
+    return run
+
+
 def _meta(**entries: str) -> Column:
     pairs: list[Column] = []
     for k, v in entries.items():
@@ -46,34 +80,41 @@ def _hits(
     confidence: float = 1.0,
     meta: Column | None = None,
     guard: Column | None = None,
+    offsets: bool = False,
 ) -> Column:
-    """All matches of ``pattern`` with offsets.
+    """All matches of ``pattern``; ``guard`` is a cheap necessary condition.
 
-    The text between matches comes from ``split``; summing both lengths gives the
-    offset of each match. It is computed for texts that have a match.
+    With offsets, ``split`` gives the text between matches, and summing both kinds of length
+    gives the place of each match.
     """
     metadata = _meta() if meta is None else meta
     found = find_all(text, pattern)
     if guard is not None:
         found = F.when(guard, found).otherwise(F.array().cast("array<string>"))
 
+    def hit(match: Column, start: Column) -> Column:
+        return bind(
+            value(match),
+            lambda v: F.struct(
+                F.lit(kind).alias("kind"),
+                v.alias("value"),
+                normalize(v).alias("normalized"),
+                start.cast("int").alias("start"),
+                (start + F.length(match)).cast("int").alias("end"),
+                F.lit(confidence).alias("confidence"),
+                metadata.alias("metadata"),
+            ),
+        )
+
+    if not offsets:
+        hits = F.transform(found, lambda m: hit(m, F.lit(None).cast("int")))
+        return F.coalesce(hits.cast(HIT_TYPE), no_hits())
+
     def build(s: Column) -> Column:
         def one(match: Column, i: Column) -> Column:
             gaps = F.aggregate(F.slice(s["gaps"], F.lit(1), i + 1), F.lit(0), lambda a, p: a + F.length(p))
             before = F.aggregate(F.slice(s["found"], F.lit(1), i), F.lit(0), lambda a, p: a + F.length(p))
-            start = gaps + before
-            return bind(
-                value(match),
-                lambda v: F.struct(
-                    F.lit(kind).alias("kind"),
-                    v.alias("value"),
-                    normalize(v).alias("normalized"),
-                    start.cast("int").alias("start"),
-                    (start + F.length(match)).cast("int").alias("end"),
-                    F.lit(confidence).alias("confidence"),
-                    metadata.alias("metadata"),
-                ),
-            )
+            return hit(match, gaps + before)
 
         return F.transform(s["found"], one)
 
@@ -87,19 +128,30 @@ def _hits(
     return F.coalesce(located.cast(HIT_TYPE), no_hits())
 
 
-def _has(text: Column, needle: str) -> Column:
-    return F.contains(text, F.lit(needle))
+def _has(text: Column, *needles: str) -> Column:
+    out = F.contains(text, F.lit(needles[0]))
+    for needle in needles[1:]:
+        out = out | F.contains(text, F.lit(needle))
+    return out
 
 
-def pgp(text: Column) -> Column:
-    pattern = f"{UNICODE}(?i)(?:{fixed.PGP_LABEL}{fixed.HEX_GROUPS}|\\b[0-9A-Fa-f]{{40}}\\b)"
+@_on_words
+def pgp(text: Column, words: Column, offsets: bool) -> Column:
+    labelled = f"{fixed.PGP_LABEL}{fixed.HEX_GROUPS}"
 
     def digits(v: Column) -> Column:
         # only the hex group counts: the letters of a label such as "fpr" are no digits of the key
-        unlabelled = F.regexp_replace(v, F.lit(f"{UNICODE}(?i)^{fixed.PGP_LABEL}"), F.lit(""))
+        unlabelled = F.regexp_replace(v, F.lit(f"^{fixed.PGP_LABEL}"), F.lit(""))
         return F.upper(F.regexp_replace(unlabelled, F.lit("[^0-9A-Fa-f]"), F.lit("")))
 
-    keys = _hits(text, pattern, "pgp", value=F.trim, normalize=digits)
+    has_label = bind(F.lower(text), lambda low: _has(low, "pgp", "gpg", "fp", "fingerprint"))
+    keys = bind(
+        has_label,
+        lambda label: F.concat(
+            _hits(text, f"{labelled}|{fixed.HEX40}", "pgp", F.trim, digits, guard=label, offsets=offsets),
+            _hits(words, fixed.HEX40, "pgp", F.trim, digits, guard=~label, offsets=offsets),
+        ),
+    )
     blocks = _hits(
         text,
         f"(?s){fixed.PGP_BLOCK}",
@@ -109,71 +161,83 @@ def pgp(text: Column) -> Column:
         confidence=0.8,
         meta=_meta(type="armored_block"),
         guard=_has(text, "-----BEGIN PGP"),
+        offsets=offsets,
     )
     return F.concat(keys, blocks)
 
 
-def wallet(text: Column) -> Column:
-    lowered = F.lower(text)
+@_on_words
+def wallet(text: Column, words: Column, offsets: bool) -> Column:
+    def of(pattern: str, normalize: Callable[[Column], Column] = lambda v: v, **meta: str) -> Column:
+        return _hits(words, pattern, "wallet", normalize=normalize, meta=_meta(**meta), offsets=offsets)
+
     return F.concat(
-        _hits(text, f"{UNICODE}(?i){fixed.BTC_BECH32}", "wallet", meta=_meta(currency="BTC"), guard=_has(lowered, "bc1")),
-        _hits(text, UNICODE + fixed.BTC_LEGACY, "wallet", meta=_meta(currency="BTC"), guard=_has(text, "1")),
-        _hits(text, UNICODE + fixed.BTC_P2SH, "wallet", meta=_meta(currency="BTC"), guard=_has(text, "3")),
-        _hits(text, UNICODE + fixed.ETH, "wallet", normalize=F.lower, meta=_meta(currency="ETH"), guard=_has(text, "0x")),
-        _hits(text, UNICODE + fixed.TRON, "wallet", meta=_meta(currency="TRON"), guard=_has(text, "T")),
-        _hits(
-            text, UNICODE + fixed.XMR, "wallet",
-            meta=_meta(currency="XMR", traceable="false"), guard=_has(text, "4"),
-        ),
+        of(fixed.BTC_BECH32, currency="BTC"),
+        of(fixed.BTC_LEGACY, currency="BTC"),
+        of(fixed.BTC_P2SH, currency="BTC"),
+        of(fixed.ETH, F.lower, currency="ETH"),
+        of(fixed.TRON, currency="TRON"),
+        of(fixed.XMR, currency="XMR", traceable="false"),
     )
 
 
-def email(text: Column) -> Column:
-    return _hits(text, UNICODE + fixed.EMAIL, "email", normalize=F.lower, guard=_has(text, "@"))
+@_on_words
+def email(text: Column, words: Column, offsets: bool) -> Column:
+    return _hits(words, fixed.EMAIL, "email", normalize=F.lower, guard=_has(text, "@"), offsets=offsets)
 
 
-def domain(text: Column) -> Column:
-    hits = _hits(text, UNICODE + fixed.DOMAIN, "domain", normalize=F.lower, guard=_has(text, "."))
+@_on_words
+def domain(text: Column, words: Column, offsets: bool) -> Column:
+    hits = _hits(words, fixed.DOMAIN, "domain", normalize=F.lower, guard=_has(text, "."), offsets=offsets)
     # the pattern admits one dot, so a hit always has two labels
     return F.filter(
         hits,
         lambda h: ~F.substring_index(h["normalized"], ".", -1).isin(fixed.NOISE_TLDS)
-        & ~F.contains(text, F.concat(F.lit("@"), h["value"])),
+        & ~F.contains(words, F.concat(F.lit("@"), h["value"])),
     )
 
 
-def onion(text: Column) -> Column:
+@_on_words
+def onion(text: Column, words: Column, offsets: bool) -> Column:
     return _hits(
-        text, f"{UNICODE}(?i){fixed.ONION_V3}", "onion", normalize=F.lower, guard=_has(F.lower(text), ".onion")
+        words, fixed.ONION_V3, "onion", normalize=F.lower, guard=_has(F.lower(words), ".onion"), offsets=offsets
     )
 
 
-def contact(text: Column) -> Column:
-    lowered = F.lower(text)
-
+@_on_words
+def contact(text: Column, words: Column, offsets: bool) -> Column:
     def wickr_value(m: Column) -> Column:
-        return F.concat(F.lit("wickr:"), F.regexp_extract(m, f"{UNICODE}(?i){fixed.WICKR}", 1))
+        return F.concat(F.lit("wickr:"), F.regexp_extract(m, fixed.WICKR, 1))
+
+    def of(where: Column, pattern: str, platform: str, guard: Column, value=lambda m: m) -> Column:
+        return _hits(
+            where, pattern, "contact_id", value=value, normalize=F.lower, meta=_meta(platform=platform),
+            guard=guard, offsets=offsets,
+        )
 
     return F.concat(
-        _hits(text, UNICODE + fixed.TELEGRAM, "contact_id", normalize=F.lower, meta=_meta(platform="telegram"), guard=_has(text, "@")),
-        _hits(text, f"{UNICODE}(?i){fixed.XMPP}", "contact_id", normalize=F.lower, meta=_meta(platform="xmpp"), guard=_has(text, "@")),
-        _hits(text, UNICODE + fixed.SESSION_ID, "contact_id", normalize=F.lower, meta=_meta(platform="session"), guard=_has(text, "05")),
-        _hits(
-            text, f"{UNICODE}(?i){fixed.WICKR}", "contact_id",
-            value=wickr_value, normalize=F.lower, meta=_meta(platform="wickr"), guard=_has(lowered, "wickr"),
-        ),
+        of(words, fixed.TELEGRAM, "telegram", _has(words, "@")),
+        of(words, fixed.XMPP, "xmpp", _has(words, "@")),
+        of(words, fixed.SESSION_ID, "session", _has(words, "05")),
+        of(text, fixed.WICKR, "wickr", _has(F.lower(text), "wickr"), wickr_value),
     )
 
 
-def ipv4(text: Column) -> Column:
-    return _hits(text, UNICODE + fixed.IPV4, "ip", guard=_has(text, "."))
+@_on_words
+def ipv4(text: Column, words: Column, offsets: bool) -> Column:
+    return _hits(words, fixed.IPV4, "ip", guard=_has(words, "."), offsets=offsets)
 
 
 # a lone dash must not be the first of two, or "-- name" would be found twice
-SIGNATURES = [r"^--\s*(.+)$", r"^Regards,\s*(.+)$", r"^Cheers,\s*(.+)$", r"^-(?!-)\s*(.+)$"]
+SIGNATURES = [
+    (rf"^--{fixed.SPACE}*(.+)$", "--"),
+    (rf"^Regards,{fixed.SPACE}*(.+)$", "Regards,"),
+    (rf"^Cheers,{fixed.SPACE}*(.+)$", "Cheers,"),
+    (rf"^-(?!-){fixed.SPACE}*(.+)$", "-"),
+]
 
 
-def handle(text: Column, author: Column | None = None) -> Column:
+def handle(text: Column, author: Column | None = None, offsets: bool = False) -> Column:
     parts: list[Column] = []
     if author is not None:
         given = F.struct(
@@ -186,15 +250,16 @@ def handle(text: Column, author: Column | None = None) -> Column:
             _meta(source="metadata").alias("metadata"),
         )
         parts.append(F.when(F.length(author) >= 2, F.array(given).cast(HIT_TYPE)).otherwise(no_hits()))
-    for signature in SIGNATURES:
-        pattern = f"{UNICODE}(?md){signature}"
+    for signature, opening in SIGNATURES:
+        pattern = f"(?md){signature}"
         hits = _hits(
             text, pattern, "handle",
             value=lambda m, p=pattern: F.btrim(F.regexp_extract(m, p, 1), F.lit(" \t\r\n")),
             normalize=F.lower,
             confidence=0.7,
             meta=_meta(source="signature"),
-            guard=_has(text, "-") if "-" in signature else _has(text, signature[1:signature.index(",") + 1]),
+            guard=F.startswith(text, F.lit(opening)) | _has(text, "\n" + opening),
+            offsets=offsets,
         )
         parts.append(
             F.filter(
@@ -225,7 +290,7 @@ def first_hits(hits: Column) -> Column:
     return bind(bind(hits, keyed), keep)
 
 
-EXTRACTORS: list[tuple[str, Callable[[Column], Column]]] = [
+EXTRACTORS: list[tuple[str, Extractor]] = [
     ("pgp", pgp),
     ("wallet", wallet),
     ("email", email),
@@ -236,10 +301,14 @@ EXTRACTORS: list[tuple[str, Callable[[Column], Column]]] = [
 ]
 
 
-def extract_all(text: Column, author: Column | None = None) -> Column:
+def extract_all(text: Column, author: Column | None = None, offsets: bool = False) -> Column:
     """Every extractor in fixed order, handles last, first hit per identity."""
-    parts = [fn(text) for _, fn in EXTRACTORS] + [handle(text, author)]
-    return first_hits(F.concat(*parts))
+
+    def run(words: Column | None) -> Column:
+        parts = [fn(text, offsets=offsets, words=words) for _, fn in EXTRACTORS]
+        return first_hits(F.concat(*parts, handle(text, author, offsets)))
+
+    return run(None) if offsets else bind(compact(text), run)
 
 
 def page_entities(text: Column) -> Column:
@@ -248,14 +317,14 @@ def page_entities(text: Column) -> Column:
         find_all(text, f"(?s){fixed.PGP_BLOCK}"), lambda b: F.substring(F.sha2(b, 256), 1, 16)
     )
     return F.struct(
-        rank_prefix(find_all(text, UNICODE + fixed.PAGE_BTC, 1), 20).alias("btc_addresses"),
-        rank_prefix(find_all(text, UNICODE + fixed.ETH, 1), 20).alias("eth_addresses"),
-        rank_prefix(find_all(text, UNICODE + fixed.PAGE_XMR, 1), 10).alias("xmr_addresses"),
-        rank_prefix(find_all(text, UNICODE + fixed.LOOSE_EMAIL), 20).alias("emails"),
+        rank_prefix(find_all(text, fixed.PAGE_BTC), 20).alias("btc_addresses"),
+        rank_prefix(find_all(text, fixed.ETH), 20).alias("eth_addresses"),
+        rank_prefix(find_all(text, fixed.PAGE_XMR), 10).alias("xmr_addresses"),
+        rank_prefix(find_all(text, fixed.LOOSE_EMAIL), 20).alias("emails"),
         blocks.alias("pgp_keys"),
         rank_prefix(find_all(text, fixed.LOOSE_HEX40), 10).alias("pgp_fingerprints"),
-        rank_prefix(find_all(text, UNICODE + fixed.ONION_URL), 30).alias("onion_urls"),
-        rank_prefix(find_all(text, UNICODE + fixed.LOOSE_HANDLE), 20).alias("handles"),
+        rank_prefix(find_all(text, fixed.ONION_URL), 30).alias("onion_urls"),
+        rank_prefix(find_all(text, fixed.LOOSE_HANDLE), 20).alias("handles"),
     )
 
 
@@ -265,21 +334,21 @@ def archive_entities(text: Column) -> Column:
         find_all(text, f"(?s){fixed.PGP_BLOCK}"), lambda b: F.substring(F.sha2(b, 256), 1, 16)
     )
     return F.struct(
-        rank_prefix(find_all(text, UNICODE + fixed.ARCHIVE_BTC, 1), 20).alias("btc_addresses"),
+        rank_prefix(find_all(text, fixed.ARCHIVE_BTC), 20).alias("btc_addresses"),
         blocks.alias("pgp_key_hashes"),
-        rank_prefix(find_all(text, UNICODE + fixed.LOOSE_EMAIL), 20).alias("emails"),
-        rank_prefix(find_all(text, f"{UNICODE}(?i){fixed.ARCHIVE_VENDOR}", 1), 10).alias("vendor_handles"),
+        rank_prefix(find_all(text, fixed.LOOSE_EMAIL), 20).alias("emails"),
+        rank_prefix(find_all(text, fixed.ARCHIVE_VENDOR, 1), 10).alias("vendor_handles"),
     )
 
 
 def contact_field(contact_text: Column) -> Column:
     """Identifiers in the free-form contact line of a relay operator."""
     return F.struct(
-        find_all(contact_text, UNICODE + fixed.LOOSE_EMAIL).alias("emails"),
+        find_all(contact_text, fixed.LOOSE_EMAIL).alias("emails"),
         find_all(contact_text, fixed.LOOSE_HEX40).alias("pgp_fingerprints"),
         find_all(contact_text, fixed.CONTACT_SHORT_KEY).alias("pgp_short_ids"),
-        find_all(contact_text, UNICODE + fixed.CONTACT_URL).alias("urls"),
-        find_all(contact_text, UNICODE + fixed.LOOSE_HANDLE).alias("handles"),
+        find_all(contact_text, fixed.CONTACT_URL).alias("urls"),
+        find_all(contact_text, fixed.LOOSE_HANDLE).alias("handles"),
     )
 
 

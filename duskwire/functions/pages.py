@@ -5,7 +5,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import fixed
-from .columns import UNICODE, bind
+from .columns import bind
 
 
 def strip_html(html: Column) -> Column:
@@ -15,7 +15,7 @@ def strip_html(html: Column) -> Column:
         (r"(?s)<script[^>]*>.*?</script>", ""),
         (r"(?s)<style[^>]*>.*?</style>", ""),
         (r"<[^>]+>", " "),
-        (UNICODE + r"\s+", " "),
+        (fixed.SPACE + "+", " "),
     ]:
         out = F.regexp_replace(out, F.lit(pattern), F.lit(replacement))
     return F.trim(out)
@@ -27,7 +27,7 @@ def title(html: Column) -> Column:
 
 
 def generator(html: Column) -> Column:
-    pattern = f"{UNICODE}(?i){fixed.META_GENERATOR}"
+    pattern = f"(?i){fixed.META_GENERATOR}"
     return F.nullif(F.regexp_extract(F.substring(html, 1, 10_000), pattern, 1), F.lit(""))
 
 

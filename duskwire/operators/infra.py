@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed
-from ..functions.columns import UNICODE
 
 
 def _finding(df: DataFrame, detector: str, kind: str, confidence: float, match: str | Column, evidence: Column) -> DataFrame:
@@ -76,7 +75,7 @@ def status_leak(onions: DataFrame, hosts: DataFrame) -> DataFrame:
     leaks = F.concat(
         *[
             F.transform(
-                F.regexp_extract_all("status_page_text", F.lit(UNICODE + p), F.lit(1)), lambda h: F.lower(h)
+                F.regexp_extract_all("status_page_text", F.lit(p), F.lit(1)), lambda h: F.lower(h)
             )
             for p in fixed.STATUS_PATTERNS
         ]

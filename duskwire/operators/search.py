@@ -6,9 +6,10 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import UNICODE, bind
+from ..functions import fixed
+from ..functions.columns import bind
 
-TOKEN = UNICODE + r"\w+"
+TOKEN = f"[{fixed.WORD}]+"
 
 
 def query_terms(query: str) -> list[str]:
@@ -35,7 +36,7 @@ def _rank(text: Column, terms: list[str]) -> Column:
 
 def snippet(text: Column, terms: list[str], width: int = 160) -> Column:
     """Text around the first hit with every hit marked."""
-    pattern = f"{UNICODE}(?i)\\b(" + "|".join(re.escape(t) for t in terms) + r")\b"
+    pattern = f"(?iu){fixed.EDGE}(" + "|".join(re.escape(t) for t in terms) + f"){fixed.STOP}"
     first = F.regexp_instr(text, F.lit(pattern))
     start = F.greatest(first - F.lit(width // 2), F.lit(1))
     return F.regexp_replace(F.substring(text, start, F.lit(width)), F.lit(pattern), F.lit("<b>$1</b>"))

@@ -71,3 +71,207 @@ EMAIL = r"\b[a-zA-Z0-9._%+\-]+@[a-zA-Z0-9.\-]+\.[a-zA-Z]{2,}\b"
 @query("ext_email", _simple([(_all(EMAIL), "lower(value)")], "email"))
 def ext_email(spark, sf):
     return _listed(spark, sf, ids.email)
+
+
+SQL_DOMAIN = POSTS + rf"""
+select post_id, 'domain' as kind, value, lower(value) as normalized, 1.0::double as confidence
+from (select post_id, text, unnest(regexp_extract_all(text, '\b([a-zA-Z0-9](?:[a-zA-Z0-9\-]{{0,61}}[a-zA-Z0-9])?\.(?:[a-zA-Z]{{2,}}))\b', 1)) as value from posts) t
+where not contains(text, '@' || value)
+  and regexp_extract(lower(value), '[^.]*$') not in ('com','org','net','edu','gov','io','co')"""
+
+
+@query("ext_domain", SQL_DOMAIN)
+def ext_domain(spark, sf):
+    return _listed(spark, sf, ids.domain)
+
+
+@query("ext_onion", _simple([(_all(r"(?i)\b[a-z2-7]{56}\.onion\b"), "lower(value)")], "onion"))
+def ext_onion(spark, sf):
+    return _listed(spark, sf, ids.onion)
+
+
+CONTACT_ROWS = [
+    # no lookbehind in this dialect: the character before the handle is part of the match
+    (_all(r"(?:^|[^\w@])(@[a-zA-Z][a-zA-Z0-9_]{4,31})\b", 1), "lower(value)"),
+    (_all(r"(?i)\b[a-zA-Z0-9._%+\-]+@(?:jabber|xmpp|conversations)\.[a-zA-Z0-9.\-]+\.[a-zA-Z]{2,}\b"), "lower(value)"),
+    (_all(r"\b05[0-9a-fA-F]{64}\b"), "lower(value)"),
+    ("select post_id, 'wickr:' || value as value from (" + _all(r"(?i)(?:wickr|wickr\.me)[:\s]+([a-zA-Z0-9_]{3,20})", 1) + ") w", "lower(value)"),
+]
+
+
+@query("ext_contact", _simple(CONTACT_ROWS, "contact_id"))
+def ext_contact(spark, sf):
+    return _listed(spark, sf, ids.contact)
+
+
+OCTET = r"(?:25[0-5]|2[0-4]\d|[01]?\d\d?)"
+
+
+@query("ext_ipv4", _simple([(_all(rf"\b(?:{OCTET}\.){{3}}{OCTET}\b"), "value")], "ip"))
+def ext_ipv4(spark, sf):
+    return _listed(spark, sf, ids.ipv4)
+
+
+SIGN_ROWS = "\nunion all\n".join(
+    f"select post_id, {i} as o, trim(value, ' ' || chr(9) || chr(10) || chr(13)) as value from ({_all(p, 1)}) t{i}"
+    for i, p in enumerate([
+        r"(?m)^--\s*(.+)$", r"(?m)^Regards,\s*(.+)$", r"(?m)^Cheers,\s*(.+)$", r"(?m)^-\s*([^-\s].*)$",
+    ])
+)
+SQL_HANDLE = POSTS + f""", signs as ({SIGN_ROWS})
+select post_id, 'handle' as kind, handle as value, trim(lower(handle)) as normalized, 1.0::double as confidence
+from posts where length(handle) >= 2
+union all
+select post_id, 'handle', value, lower(value), 0.7::double from signs
+where length(value) between 2 and 64 and not regexp_matches(value, '^[0-9A-Fa-f]{{16,}}$')"""
+
+
+@query("ext_handle", SQL_HANDLE)
+def ext_handle(spark, sf):
+    posts = derived(spark, sf, "posts").select("post_id", "text", "handle")
+    return posts.select("post_id", F.explode(ids.handle(F.col("text"), F.col("handle"))).alias("h")).select(
+        "post_id", "h.kind", "h.value", "h.normalized", "h.confidence"
+    )
+
+
+def all_hits_sql(base: str = "posts") -> str:
+    """Rows (post_id, kind, value, normalized, confidence) of every extractor over one input."""
+    def body(sql: str) -> str:
+        return sql[len(POSTS):].strip()
+
+    parts = [
+        body(ORACLE_TEXT["ext_pgp"]), body(ORACLE_TEXT["ext_wallet"]), body(ORACLE_TEXT["ext_email"]),
+        body(ORACLE_TEXT["ext_onion"]), body(ORACLE_TEXT["ext_contact"]), body(ORACLE_TEXT["ext_ipv4"]),
+        body(ORACLE_TEXT["ext_domain"]),
+    ]
+    handle = body(SQL_HANDLE)
+    signs_end = handle.index("\nselect post_id, 'handle' as kind")
+    parts.append(handle[signs_end:].strip())
+    signs = handle[:signs_end].strip()
+    text = signs + ", all_hits as (" + "\nunion all\n".join(f"({p})" for p in parts) + ")"
+    return text if base == "posts" else text.replace("from posts", f"from {base}")
+
+
+from .registry import ORACLES as ORACLE_TEXT  # noqa: E402
+
+SQL_ALL = POSTS + all_hits_sql() + """
+select post_id, kind, normalized, max(confidence) as confidence from all_hits group by post_id, kind, normalized"""
+
+
+@query("ext_all", SQL_ALL)
+def ext_all(spark, sf):
+    posts = derived(spark, sf, "posts").select("post_id", "text", "handle")
+    hits = posts.select("post_id", F.explode(ids.extract_all(F.col("text"), F.col("handle"))).alias("h"))
+    return hits.select("post_id", "h.kind", "h.normalized", "h.confidence")
+
+
+SQL_OFFSETS = POSTS + rf""", m as (
+  select post_id, text, regexp_extract_all(text, '{EMAIL}') as found, regexp_split_to_array(text, '{EMAIL}') as gaps from posts),
+n as (select post_id, text, found, gaps, unnest(range(1, len(found) + 1)) as i from m)
+select post_id, found[i] as value,
+  cast(coalesce(list_sum(list_transform(gaps[1:i], lambda x: length(x))), 0)
+     + coalesce(list_sum(list_transform(found[1:i - 1], lambda x: length(x))), 0) as bigint) as start_at
+from n"""
+
+
+@query("ext_offsets", SQL_OFFSETS)
+def ext_offsets(spark, sf):
+    """Character offsets of hits."""
+    posts = derived(spark, sf, "posts").select("post_id", "text")
+    return posts.select("post_id", F.explode(ids.email(F.col("text"), offsets=True)).alias("h")).select(
+        "post_id", "h.value", F.col("h.start").cast("long").alias("start_at")
+    )
+
+
+def _list_rows(spark, sf, table_sql_name: str, fn, fields: list[str]) -> DataFrame:
+    base = derived(spark, sf, table_sql_name).select("post_id", fn(F.col("text")).alias("e"))
+    rows = None
+    for f in fields:
+        part = base.select("post_id", F.lit(f).alias("list"), F.explode(f"e.{f}").alias("value"))
+        rows = part if rows is None else rows.unionByName(part)
+    return rows
+
+
+def _list_sql(lists: list[tuple[str, str, int, int, str]], cap_all: bool = True) -> str:
+    out = []
+    for name, pattern, group, cap, value in lists:
+        found = f"regexp_extract_all(text, '{pattern}', {group})"
+        chosen = f"list_sort(list_distinct({found}))[1:{cap}]" if cap else found
+        out.append(f"select post_id, '{name}' as list, {value} as value from (select post_id, unnest({chosen}) as v from posts) t")
+    return POSTS + "\n" + "\nunion all\n".join(out)
+
+
+BLOCK = "(?s)-----BEGIN PGP PUBLIC KEY BLOCK-----.*?-----END PGP PUBLIC KEY BLOCK-----"
+LOOSE_MAIL = r"[\w.+-]+@[\w-]+\.[\w.-]+"
+# the word class of this dialect is ASCII only
+LOOSE_MAIL_U = r"[\pL\p{Nd}_.+-]+@[\pL\p{Nd}_-]+\.[\pL\p{Nd}_.-]+"
+PAGE_FIELDS = ["btc_addresses", "eth_addresses", "xmr_addresses", "emails", "pgp_keys", "pgp_fingerprints", "onion_urls", "handles"]
+
+
+@query("ext_page", _list_sql([
+    ("btc_addresses", rf"\b((?:1|3){B58}{{25,34}}|bc1[a-zA-HJ-NP-Z0-9]{{25,62}})\b", 1, 20, "v"),
+    ("eth_addresses", r"\b(0x[0-9a-fA-F]{40})\b", 1, 20, "v"),
+    ("xmr_addresses", rf"\b(4[0-9AB]{B58}{{93}})\b", 1, 10, "v"),
+    ("emails", LOOSE_MAIL_U, 0, 20, "v"),
+    ("pgp_keys", BLOCK, 0, 0, "substr(sha256(v), 1, 16)"),
+    ("pgp_fingerprints", "[0-9A-Fa-f]{40}", 0, 10, "v"),
+    ("onion_urls", r"https?://[a-z2-7]{56}\.onion[^\s\"''<>]*", 0, 30, "v"),
+    ("handles", r"@[\pL\p{Nd}_]{3,30}", 0, 20, "v"),
+]))
+def ext_page(spark, sf):
+    return _list_rows(spark, sf, "posts", ids.page_entities, PAGE_FIELDS)
+
+
+@query("ext_archive", _list_sql([
+    ("btc_addresses", rf"\b((?:1|3){B58}{{25,34}})\b", 1, 20, "v"),
+    ("pgp_key_hashes", BLOCK, 0, 0, "substr(sha256(v), 1, 16)"),
+    ("emails", LOOSE_MAIL_U, 0, 20, "v"),
+    ("vendor_handles", r"(?i)(?:vendor|seller|shop)\s*:\s*(\S+)", 1, 10, "v"),
+]))
+def ext_archive(spark, sf):
+    return _list_rows(
+        spark, sf, "posts", ids.archive_entities, ["btc_addresses", "pgp_key_hashes", "emails", "vendor_handles"]
+    )
+
+
+@query("ext_contact_field", _list_sql([
+    ("emails", LOOSE_MAIL_U, 0, 0, "v"),
+    ("pgp_fingerprints", "[0-9A-Fa-f]{40}", 0, 0, "v"),
+    ("pgp_short_ids", "0x[0-9A-Fa-f]{8,16}", 0, 0, "v"),
+    ("urls", r"https?://[\w./?&=%-]+", 0, 0, "v"),
+    ("handles", r"@[\pL\p{Nd}_]{3,30}", 0, 0, "v"),
+]))
+def ext_contact_field(spark, sf):
+    return _list_rows(
+        spark, sf, "posts", ids.contact_field, ["emails", "pgp_fingerprints", "pgp_short_ids", "urls", "handles"]
+    )
+
+
+
+
+@query("ext_attack_tags", """
+with tags as (select doc_id, 'attack.T' || cast(1000 + doc_id % 600 as varchar) || case when doc_id % 3 = 0 then '.001' else '' end as t,
+   'attack.g' || lpad(cast(doc_id % 140 as varchar), 4, '0') as g, 'attack.execution' as x from documents)
+select doc_id, 'technique' as kind, upper(substr(t, 8, 1)) || substr(t, 9) as value from tags
+union all
+select doc_id, 'actor', case substr(g, 8)
+ when 'g0016' then 'apt29' when 'g0022' then 'apt3' when 'g0026' then 'apt18' when 'g0032' then 'lazarus' when 'g0034' then 'sandworm'
+ when 'g0035' then 'dragonfly' when 'g0045' then 'menupass' when 'g0049' then 'oilrig' when 'g0050' then 'apt32' when 'g0059' then 'magic_hound'
+ when 'g0064' then 'apt33' when 'g0074' then 'wizard_spider' when 'g0078' then 'gorgon_group' when 'g0080' then 'cobalt_group' when 'g0092' then 'ta505'
+ when 'g0096' then 'apt41' when 'g0102' then 'fin7' when 'g0108' then 'blue_mockingbird' when 'g0114' then 'chimera' when 'g0119' then 'indrik_spider'
+ when 'g0125' then 'hafnium' when 'g0129' then 'mustang_panda' else substr(g, 8) end from tags""")
+def ext_attack_tags(spark, sf):
+    from .inputs import table
+
+    docs = table(spark, sf, "documents").select(
+        "doc_id",
+        F.array(
+            F.concat(F.lit("attack.T"), (1000 + F.col("doc_id") % 600).cast("string"), F.when(F.col("doc_id") % 3 == 0, ".001").otherwise("")),
+            F.concat(F.lit("attack.g"), F.lpad((F.col("doc_id") % 140).cast("string"), 4, "0")),
+            F.lit("attack.execution"),
+        ).alias("tags"),
+    )
+    parsed = docs.select("doc_id", ids.attack_tags(F.col("tags")).alias("a"))
+    return parsed.select("doc_id", F.lit("technique").alias("kind"), F.explode("a.techniques").alias("value")).unionByName(
+        parsed.select("doc_id", F.lit("actor").alias("kind"), F.explode("a.actors").alias("value"))
+    )
