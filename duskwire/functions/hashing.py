@@ -5,6 +5,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 URL_NAMESPACE = "6ba7b8119dad11d180b400c04fd430c8"
 
@@ -63,7 +64,7 @@ def murmur3_32(values: pd.Series) -> pd.Series:
     return out.mask(values.isna().to_numpy())
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(IntegerType())
 def favicon_hash32(values: pd.Series) -> pd.Series:
     """Favicon fingerprint; icons are a few kilobytes, so padding to the widest row is cheap."""
     return murmur3_32(values)

@@ -2,6 +2,8 @@
 from .registry import ORACLES, QUERIES
 from . import (  # noqa: F401
     q_extract,
+    q_text,
+    q_feeds,
 )
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -6,6 +6,7 @@ from the same rows. Ids are spread so that groups keep their size as the tables
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructField, StructType, TimestampNTZType, TimestampType
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages "
@@ -259,14 +260,33 @@ BUILDERS = {
 }
 
 
+WIDE = ("documents", "pages")
+
+
+def utc_schema(spark: SparkSession, path: str) -> StructType:
+    """Schema of a Parquet table with zone-less times read as UTC instants."""
+    fields = spark.read.parquet(path).schema.fields
+    return StructType([
+        StructField(f.name, TimestampType() if isinstance(f.dataType, TimestampNTZType) else f.dataType, True)
+        for f in fields
+    ])
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A supplied table. Text tables in fewer files than there are cores are spread over the cores."""
+    path = f"{sf_dir}/{name}.parquet"
+    df = spark.read.schema(utc_schema(spark, path)).parquet(path)
+    cores = spark.sparkContext.defaultParallelism
+    if name in WIDE and len(df.inputFiles()) < cores:
+        return df.repartition(cores)
+    return df
 
 
 def spark_sql(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
     """Run SQL text over the supplied tables without registering anything in the session."""
     import re
 
+    text = text.replace("{", "{{").replace("}", "}}")
     used = [t for t in TABLES if re.search(rf"\b(?:from|join)\s+{t}\b", text)]
     for t in used:
         text = re.sub(rf"\b(from|join)\s+{t}\b", rf"\1 {{{t}}}", text)

@@ -71,7 +71,7 @@ def with_payload(events: DataFrame, payloads: DataFrame) -> DataFrame:
 
     ``payloads``: payload_ref, content (binary).
     """
-    stored = payloads.select("payload_ref", F.decode("content", F.lit("UTF-8")).alias("_stored"))
+    stored = payloads.select("payload_ref", F.decode("content", "UTF-8").alias("_stored"))
     inline = F.get_json_object("raw_metadata", "$.text")
     joined = events.join(stored, "payload_ref", "left").withColumn("text", F.coalesce("_stored", inline))
     return joined.filter(F.length("text") > 0).drop("_stored")

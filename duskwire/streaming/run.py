@@ -5,13 +5,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..lineage import scratch_path
 
 
-def table_stream(spark: SparkSession, path: str, files_per_trigger: int | None = None) -> DataFrame:
-    """Stream over a Parquet table, with the schema of the files."""
-    schema = spark.read.parquet(path).schema
+def table_stream(spark: SparkSession, path: str, schema: StructType, files_per_trigger: int | None = None) -> DataFrame:
+    """Stream over the files of a Parquet table."""
     reader = spark.readStream.schema(schema)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
