@@ -4,6 +4,7 @@ from . import (  # noqa: F401
     q_extract,
     q_text,
     q_feeds,
+    q_entities,
 )
 
 __all__ = ["ORACLES", "QUERIES"]
