@@ -5,6 +5,7 @@ from . import (  # noqa: F401
     q_text,
     q_feeds,
     q_entities,
+    q_metrics,
 )
 
 __all__ = ["ORACLES", "QUERIES"]
