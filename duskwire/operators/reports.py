@@ -32,6 +32,13 @@ def iso(ts: Column) -> Column:
 PART_SIZE = 5000
 
 
+def _entries_of(entries: Column, kind: str) -> Column:
+    return F.transform(
+        F.filter(entries, lambda e: e["kind"] == kind),
+        lambda e: F.struct(e["entity_id"].alias("entity_id"), e["value"].alias("value")),
+    )
+
+
 def dossiers(actors: DataFrame, links: DataFrame, entities: DataFrame, part_size: int = PART_SIZE) -> DataFrame:
     """(actor_id, part, report_json, export_hash): nested reports.
 
@@ -45,10 +52,7 @@ def dossiers(actors: DataFrame, links: DataFrame, entities: DataFrame, part_size
     empty = F.array().cast("array<struct<kind:string,value:string,entity_id:string>>")
     entries = F.coalesce(F.col("_e"), empty)
     groups = [
-        F.transform(
-            F.filter(entries, lambda e, k=kind: e["kind"] == k),
-            lambda e: F.struct(e["entity_id"].alias("entity_id"), e["value"].alias("value")),
-        ).alias(name)
+        _entries_of(entries, kind).alias(name)
         for name, kind in IDENTITY_GROUPS.items()
     ]
     report = F.struct(

@@ -20,11 +20,15 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
 
 
+def _hits(toks: Column, word: str) -> Column:
+    return F.size(F.filter(toks, lambda t: t == word))
+
+
 def _rank(text: Column, terms: list[str]) -> Column:
     """Term hits over 1 + ln(length); 0 unless every term occurs. Local to the row."""
 
     def of(toks: Column) -> Column:
-        counts = [F.size(F.filter(toks, lambda t, w=w: t == w)) for w in terms]
+        counts = [_hits(toks, w) for w in terms]
         every = counts[0] > 0
         for c in counts[1:]:
             every = every & (c > 0)
@@ -83,8 +87,7 @@ def nodes(vertices: DataFrame, query: str, labels: list[str], props: list[str],
     joined = F.concat_ws(" ", *[F.col(p) for p in props])
 
     def any_rank(toks: Column) -> Column:
-        total = sum((F.size(F.filter(toks, lambda t, w=w: t == w)) for w in terms[1:]),
-                    F.size(F.filter(toks, lambda t: t == terms[0])))
+        total = sum((_hits(toks, w) for w in terms[1:]), _hits(toks, terms[0]))
         return total / (1.0 + F.ln(F.greatest(F.size(toks), F.lit(1)).cast("double")))
 
     scored = vertices.filter(F.col("label").isin(labels)).withColumn("score", bind(tokens(joined), any_rank))

@@ -6,6 +6,7 @@ from . import (  # noqa: F401
     q_feeds,
     q_entities,
     q_metrics,
+    q_graph,
 )
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -92,8 +92,10 @@ def lookup_requests(ingested: DataFrame) -> DataFrame:
         return F.transform(kept, lambda h: h["normalized"])
 
     queues = {"btc": of("wallet", "BTC"), "eth": of("wallet", "ETH"), "onion": of("onion"), "ip": of("ip")}
-    wanted = F.concat(*[
-        F.transform(F.slice(values, 1, LOOKUP_CAPS[name]), lambda v, n=name: F.struct(F.lit(n).alias("queue"), v.alias("value")))
-        for name, values in queues.items()
-    ])
+
+    def requests(name: str, values: Column) -> Column:
+        first = F.slice(values, 1, LOOKUP_CAPS[name])
+        return F.transform(first, lambda v: F.struct(F.lit(name).alias("queue"), v.alias("value")))
+
+    wanted = F.concat(*[requests(name, values) for name, values in queues.items()])
     return ingested.filter("decision = 'allow'").select("event_id", F.explode(wanted).alias("q")).select("event_id", "q.*")
