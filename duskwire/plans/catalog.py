@@ -7,6 +7,7 @@ from . import (  # noqa: F401
     q_entities,
     q_metrics,
     q_graph,
+    q_persona,
 )
 
 __all__ = ["ORACLES", "QUERIES"]

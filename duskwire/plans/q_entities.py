@@ -6,6 +6,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..lineage import cut_lineage
 from ..operators import clocks, infra, listings, metrics, overlap, resolve, wallets
 from ..operators.ordering import newest_per_key
 from .inputs import ctes, derived, table
@@ -24,6 +25,11 @@ def hits(spark: SparkSession, sf: str) -> DataFrame:
     return resolve.extract_hits(derived(spark, sf, "posts"))
 
 
+def stored_hits(spark: SparkSession, sf: str) -> DataFrame:
+    """The same as a written table, for queries that use the hits more than once."""
+    return cut_lineage(hits(spark, sf), "hits")
+
+
 @query("agg_entity_span", HITS + """
 select kind, normalized, min(observed_at) as first_seen, max(observed_at) as last_seen, count(*) as sightings from hits group by kind, normalized""")
 def agg_entity_span(spark, sf):
@@ -40,7 +46,7 @@ def agg_entity_kind(spark, sf):
 @query("jn_observation", HITS + f"""
 select event_id, {ENTITY_UUID} as entity_id, 'extracted' as role, observed_at from hits""")
 def jn_observation(spark, sf):
-    h = hits(spark, sf)
+    h = stored_hits(spark, sf)
     return resolve.observations(h, resolve.entity_spans(h)).select("event_id", "entity_id", "role", "observed_at")
 
 
@@ -60,7 +66,7 @@ select kind, normalized, min(observed_at) as first_seen, max(observed_at) as las
   min(observed_at) >= timestamp '{CUT}' as is_new from hits group by kind, normalized""")
 def snk_entities(spark, sf):
     """Entities of the posts before a day, merged with those from that day on."""
-    h = hits(spark, sf)
+    h = stored_hits(spark, sf)
     old = resolve.entity_spans(h.filter(F.col("observed_at") < F.lit(CUT).cast("timestamp")))
     new = resolve.entity_spans(h.filter(F.col("observed_at") >= F.lit(CUT).cast("timestamp")))
     return resolve.merge_entities(old, new).select("kind", "normalized", "first_seen", "last_seen", "entity_id", "is_new")
@@ -114,7 +120,7 @@ def gr_actor_from_handle(spark, sf):
 l as (select distinct actor_id, kind, normalized from act join hits using (event_id))
 select actor_id, {ENTITY_UUID} as entity_id, kind, normalized from l""")
 def jn_actor_entities(spark, sf):
-    h = hits(spark, sf)
+    h = stored_hits(spark, sf)
     links = resolve.actor_entities(h)
     return listings.entities_of_actors(links, resolve.entity_spans(h)).select("actor_id", "entity_id", "kind", "normalized")
 
@@ -209,7 +215,7 @@ def watchlist(spark, sf) -> DataFrame:
 
 @query("jn_watchlist", HITS + WATCH_SQL)
 def jn_watchlist(spark, sf):
-    h = hits(spark, sf)
+    h = stored_hits(spark, sf)
     obs = resolve.observations(h, resolve.entity_spans(h))
     return listings.watch_hits(obs, watchlist(spark, sf)).select("event_id", "item_id", "entity_id", "alert_type")
 
@@ -393,7 +399,7 @@ def flt_timeline(spark, sf):
 @query("flt_timeline_entity", HITS + """
 select event_id, observed_at from hits where kind = 'handle' and normalized = 'user7' order by observed_at desc, event_id limit 200""")
 def flt_timeline_entity(spark, sf):
-    h = hits(spark, sf)
+    h = stored_hits(spark, sf)
     obs = resolve.observations(h, resolve.entity_spans(h))
     target = str(uuid.uuid5(uuid.NAMESPACE_URL, "entity|handle|user7"))
     events = derived(spark, sf, "posts").select("event_id", "observed_at")

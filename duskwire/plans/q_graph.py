@@ -36,8 +36,7 @@ def gr_ego_edges(spark, sf):
 
 
 @query("gr_overview", G + """
-, shown as (select id from vertices order by id limit 300)
-select src, dst, type from edges where src in (select id from shown) and dst in (select id from shown) order by src, dst, type limit 900""")
+select src, dst, type from edges where src in (select id from vertices) and dst in (select id from vertices) order by src, dst, type limit 900""")
 def gr_overview(spark, sf):
     return graph.overview_edges(derived(spark, sf, "vertices"), derived(spark, sf, "edges"))
 

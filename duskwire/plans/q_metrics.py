@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import hashing
 from ..operators import metrics, provenance, reports, resolve, search
 from .inputs import ctes, derived, table
-from .q_entities import ENTITY_UUID, HITS, hits
+from .q_entities import ENTITY_UUID, HITS, hits, stored_hits
 from .q_text import uuid5_sql
 from .registry import query
 
@@ -206,7 +206,7 @@ ISO = "strftime({}, '%Y-%m-%dT%H:%M:%S')"
 
 def _actor_tables(spark, sf) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(actors, links, entities) with the normalised form as value, which does not depend on order."""
-    h = hits(spark, sf)
+    h = stored_hits(spark, sf)
     entities = resolve.entity_spans(h).withColumn("value", F.col("normalized"))
     return resolve.actors_from_handles(h), resolve.actor_entities(h), entities
 
