@@ -54,10 +54,9 @@ def description(evidence_type: Column) -> Column:
 
 def adjusted_llr(ratio: Column, reliability: Column, credibility: Column) -> Column:
     """ln(ratio) discounted by source reliability and information credibility."""
-    discount = lookup(reliability, fixed.RELIABILITY, F.lit(0.5)) * lookup(
-        credibility.cast("int"), fixed.CREDIBILITY, F.lit(0.5)
-    )
-    return F.when(ratio <= 0, F.lit(0.0)).otherwise(F.ln(ratio) * discount)
+    grade = lookup(reliability, fixed.RELIABILITY, F.lit(0.5))
+    trust = lookup(credibility.cast("int"), fixed.CREDIBILITY, F.lit(0.5))
+    return F.when(ratio <= 0, F.lit(0.0)).otherwise(F.ln(ratio) * grade * trust)
 
 
 def normalize_group(name: Column) -> Column:

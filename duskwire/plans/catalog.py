@@ -8,6 +8,7 @@ from . import (  # noqa: F401
     q_metrics,
     q_graph,
     q_persona,
+    q_streaming,
 )
 
 __all__ = ["ORACLES", "QUERIES"]

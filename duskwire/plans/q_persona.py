@@ -260,7 +260,8 @@ def agg_tfidf_fit(spark, sf):
 
 @query("sty_char", CHAR_TERMS + SIM)
 def sty_char(spark, sf):
-    vectors = _tfidf(spark, sf, stylometry.char_terms(_docs(spark, sf)))
+    n = table(spark, sf, "documents").count()
+    vectors = stylometry.tfidf(*stylometry.char_model(_docs(spark, sf), n))
     return stylometry.sparse_similarity(vectors, _pairs(spark, sf)).select("a", "b", F.round("similarity", 6).alias("similarity"))
 
 
