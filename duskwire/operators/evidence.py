@@ -70,7 +70,7 @@ def score_links(evidence: DataFrame, keys: list[str], prior: float = fixed.PRIOR
 
 
 def why(adjusted: DataFrame, keys: list[str]) -> DataFrame:
-    """Reasons per pair, strongest first."""
+    """Reasons per pair, strongest first; strengths equal to nine decimals go by text."""
     text = scores.description(F.col("evidence_type"))
-    ranked = F.array_sort(F.collect_list(F.struct((-F.col("adjusted_llr")).alias("o"), text.alias("t"))))
+    ranked = F.array_sort(F.collect_list(F.struct((-F.round("adjusted_llr", 9)).alias("o"), text.alias("t"))))
     return adjusted.groupBy(*keys).agg(F.transform(ranked, lambda e: e["t"]).alias("why"))

@@ -78,35 +78,41 @@ def retained(events: DataFrame, sources: DataFrame, at: Column) -> DataFrame:
     return kept.filter(age <= F.col("retention_days").cast("long") * 86_400).drop("retention_days")
 
 
-def redact(df: DataFrame, text: str = "text") -> DataFrame:
-    """Replace personal data in ``text``; adds ``redactions`` such as ``phone:2``.
+def _apply_rule(state: Column, name: str, pattern: str, replacement: str) -> Column:
+    regex = F.lit(pattern)
+
+    def step(s: Column) -> Column:
+        # a cheap necessary condition first: three digits in a row, or an @
+        text = s["text"]
+        marked = F.contains(text, F.lit("@")) if name == "victim_email" else text.rlike(r"\p{Nd}{3}")
+        count = F.when(marked, F.regexp_count(text, regex)).otherwise(0)
+        return bind(count, lambda c: F.struct(
+            F.when(c > 0, F.regexp_replace(text, regex, F.lit(replacement))).otherwise(text).alias("text"),
+            F.when(c > 0, F.concat(s["found"], F.array(F.concat(F.lit(f"{name}:"), c.cast("string")))))
+            .otherwise(s["found"]).alias("found"),
+        ))
+
+    return bind(state, step)
+
+
+def redacted(text: Column) -> Column:
+    """``STRUCT<text, found>``: redacted text and counts such as ``phone:2``.
 
-    Rules run one after the other on the text that the rule before left behind.
+    Rules run one after the other on the text that the rule before left behind. Each stage is
+    bound once, so the expression stays small however often a plan repeats it.
     """
-    counts: list[str] = []
-    out = df.withColumn("_t0", F.col(text))
-    for i, (name, pattern, replacement) in enumerate(fixed.REDACTION_RULES):
-        current = F.col(f"_t{i}")
-        regex = F.lit(pattern)
-        marker = F.contains(current, F.lit("@")) if name == "victim_email" else current.rlike(r"\p{Nd}{3}")
-        out = out.withColumn(f"_c{i}", F.when(marker, F.regexp_count(current, regex)).otherwise(0))
-        out = out.withColumn(
-            f"_t{i + 1}",
-            F.when(F.col(f"_c{i}") > 0, F.regexp_replace(current, regex, F.lit(replacement))).otherwise(current),
-        )
-        counts.append(name)
-    summary = F.filter(
-        F.array(*[
-            F.when(F.col(f"_c{i}") > 0, F.concat(F.lit(f"{name}:"), F.col(f"_c{i}").cast("string")))
-            for i, name in enumerate(counts)
-        ]),
-        lambda s: s.isNotNull(),
-    )
-    last = len(fixed.REDACTION_RULES)
+    state = F.struct(text.alias("text"), F.array().cast("array<string>").alias("found"))
+    for rule in fixed.REDACTION_RULES:
+        state = _apply_rule(state, *rule)
+    return state
+
+
+def redact(df: DataFrame, text: str = "text") -> DataFrame:
+    """Replace personal data in ``text``; adds ``redactions``."""
     return (
-        out.withColumn(text, F.col(f"_t{last}"))
-        .withColumn("redactions", summary)
-        .drop(*[f"_t{i}" for i in range(last + 1)], *[f"_c{i}" for i in range(last)])
+        df.withColumn("_r", redacted(F.col(text)))
+        .withColumns({text: F.col("_r.text"), "redactions": F.col("_r.found")})
+        .drop("_r")
     )
 
 

@@ -13,9 +13,9 @@ def extract_hits(events: DataFrame, text: str = "text", author: str | None = "ha
     """One row per (event, kind, normalized) with the first hit in extractor order."""
     who = F.col(author) if author else None
     keep = [c for c in ("event_id", "source_id", "observed_at") if c in events.columns]
-    return events.select(*keep, F.posexplode(extract_all(F.col(text), who)).alias("hit_pos", "hit")).select(
-        *keep, "hit_pos", "hit.*"
-    )
+    # the outer form keeps Spark from repeating the extraction in a filter on its result
+    rows = events.select(*keep, F.posexplode_outer(extract_all(F.col(text), who)).alias("hit_pos", "hit"))
+    return rows.filter("hit_pos is not null").select(*keep, "hit_pos", "hit.*")
 
 
 def entity_id(kind: Column, normalized: Column) -> Column:

@@ -77,7 +77,7 @@ def agg_link_score(spark, sf):
 
 
 @query("agg_why", EV + """
-select pair_id, array_to_string(list(description order by -llr, description), '; ') as why from adj group by pair_id""")
+select pair_id, array_to_string(list(description order by -round(llr, 9), description), '; ') as why from adj group by pair_id""")
 def agg_why(spark, sf):
     adjusted = evidence.adjust(evidence_rows(spark, sf))
     return evidence.why(adjusted, ["pair_id"]).select("pair_id", F.array_join("why", "; ").alias("why"))

@@ -8,7 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import listings, resolve
+from ..functions.hashing import content_hash
+from ..operators import listings, provenance, resolve
 from ..sources import readers
 from ..streaming import jobs, stateful
 from ..streaming.run import drain, drain_updates, fan_out, table_stream
@@ -215,13 +216,18 @@ def st_skew(spark, sf):
     return stateful.merge_salts(latest)
 
 
-@query("st_merkle", "select cast(count(*) as bigint) as n_leaves from documents")
+@query("st_merkle", """
+with l as (select cast('0x' || substr(md5(cast(doc_id as varchar)), 1, 2) as int) % 4 as shard from documents),
+c as (select shard, count(*) // 20 as n_batches from l group by shard)
+select shard, n_batches, n_batches * 20 as n_leaves, n_batches as n_verified from c where n_batches > 0""")
 def st_merkle(spark, sf):
-    """Leaves in closed and still open batches; tests compare the roots with those of the batch job."""
+    """Batches of 20 leaves per shard, each verified against the batch expression."""
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", stateful.ROCKSDB)
-    from ..functions.hashing import content_hash
-
-    docs = events_stream(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("evidence_id"), content_hash(F.col("text")).alias("content_hash"))
-    # a timeout of one millisecond closes what is left once the input is drained
-    closed = drain(stateful.merkle_stream(docs, size=20, timeout_ms=1, shards=4), "merkle")
-    return closed.agg(F.sum("leaf_count").alias("n_leaves"))
+    docs = events_stream(spark, sf, "documents").select(
+        F.col("doc_id").cast("string").alias("evidence_id"), content_hash(F.col("text")).alias("content_hash")
+    )
+    closed = drain(stateful.merkle_stream(docs, size=20, timeout_ms=None, shards=4), "merkle")
+    again = F.concat(F.lit("sha256:"), provenance.root(F.col("leaves"), 20))
+    return closed.groupBy("shard").agg(
+        F.count(F.lit(1)).alias("n_batches"), F.sum("leaf_count").alias("n_leaves"), F.count_if(again == F.col("root_hash")).alias("n_verified")
+    )

@@ -24,9 +24,11 @@ def ingest(events: DataFrame, text: str = "text", author: str | None = "handle")
 
 
 def hits_of(ingested: DataFrame) -> DataFrame:
-    return ingested.filter("decision = 'allow'").select(
-        "event_id", "source_id", "observed_at", F.posexplode("hits").alias("hit_pos", "hit")
-    ).select("event_id", "source_id", "observed_at", "hit_pos", "hit.*")
+    # the outer form keeps Spark from repeating the extraction in a filter on its result
+    rows = ingested.filter("decision = 'allow'").select(
+        "event_id", "source_id", "observed_at", F.posexplode_outer("hits").alias("hit_pos", "hit")
+    )
+    return rows.filter("hit_pos is not null").select("event_id", "source_id", "observed_at", "hit_pos", "hit.*")
 
 
 def dedup(events: DataFrame, key: str = "content_hash", at: str = "observed_at", delay: str = "10 minutes") -> DataFrame:
@@ -98,4 +100,6 @@ def lookup_requests(ingested: DataFrame) -> DataFrame:
         return F.transform(first, lambda v: F.struct(F.lit(name).alias("queue"), v.alias("value")))
 
     wanted = F.concat(*[requests(name, values) for name, values in queues.items()])
-    return ingested.filter("decision = 'allow'").select("event_id", F.explode(wanted).alias("q")).select("event_id", "q.*")
+    return ingested.filter("decision = 'allow'").select(
+        "event_id", F.explode_outer(wanted).alias("q")
+    ).filter("q is not null").select("event_id", "q.*")

@@ -11,10 +11,14 @@ from ..lineage import scratch_path
 
 
 def table_stream(spark: SparkSession, path: str, schema: StructType, files_per_trigger: int | None = None) -> DataFrame:
-    """Stream over the files of a Parquet table."""
+    """Stream over the files of a Parquet table, which is a folder or a single file."""
     reader = spark.readStream.schema(schema)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
+    folder, _, name = path.rpartition("/")
+    files = spark.read.schema(schema).parquet(path).inputFiles()
+    if len(files) == 1 and files[0].endswith(f"/{name}"):
+        return reader.option("pathGlobFilter", name).parquet(folder)
     return reader.parquet(path)
 
 

@@ -5,7 +5,7 @@ import hashlib
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -21,7 +21,7 @@ class LastSamples(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.samples = handle.getListState("samples", "probed_at timestamp, clock_skew double")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         known = pd.DataFrame(list(self.samples.get()), columns=["probed_at", "clock_skew"])
         for chunk in rows:
             both = pd.concat([known, chunk[["probed_at", "clock_skew"]]], ignore_index=True) if len(known) else chunk[["probed_at", "clock_skew"]]
@@ -69,9 +69,9 @@ def merkle_root(leaves: list[str]) -> str:
 
 
 class MerkleBatcher(StatefulProcessor):
-    """Closes a batch at ``size`` leaves or ``timeout_ms`` after its first leaf."""
+    """Closes a batch at ``size`` leaves, or ``timeout_ms`` after its first leaf if one is set."""
 
-    def __init__(self, size: int = 100, timeout_ms: int = 300_000):
+    def __init__(self, size: int = 100, timeout_ms: int | None = 300_000):
         self.size = size
         self.timeout_ms = timeout_ms
 
@@ -91,9 +91,14 @@ class MerkleBatcher(StatefulProcessor):
     def _frame(self, done: list[dict]) -> pd.DataFrame:
         return pd.DataFrame(done, columns=["shard", "batch_no", "leaf_count", "root_hash", "leaves"])
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
+    def _drop_timers(self) -> None:
+        if self.timeout_ms is not None:
+            for old in list(self.handle.listTimers()):
+                self.handle.deleteTimer(old)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         leaves = [r[0] for r in self.open_leaves.get()]
-        had_timer = bool(leaves)
+        waiting = bool(leaves)
         done = []
         for chunk in rows:
             for leaf in chunk["content_hash"]:
@@ -103,17 +108,15 @@ class MerkleBatcher(StatefulProcessor):
                     leaves = []
         if leaves:
             self.open_leaves.put([(leaf,) for leaf in leaves])
-            if done or not had_timer:
-                for old in list(self.handle.listTimers()):
-                    self.handle.deleteTimer(old)
-                self.handle.registerTimer(timer_values.getCurrentProcessingTimeInMs() + self.timeout_ms)
+            if self.timeout_ms is not None and (done or not waiting):
+                self._drop_timers()
+                self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.timeout_ms)
         else:
             self.open_leaves.clear()
-            for old in list(self.handle.listTimers()):
-                self.handle.deleteTimer(old)
+            self._drop_timers()
         yield self._frame(done)
 
-    def handleExpiredTimer(self, key, timer_values, expired_timer_info) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         leaves = [r[0] for r in self.open_leaves.get()]
         done = [self._close(key, leaves)] if leaves else []
         self.open_leaves.clear()
@@ -123,14 +126,22 @@ class MerkleBatcher(StatefulProcessor):
         pass
 
 
-def merkle_stream(leaves: DataFrame, size: int = 100, timeout_ms: int = 300_000, shards: int = 8) -> DataFrame:
+def leaf_shard(evidence_id: Column, shards: int) -> Column:
+    """Shard of a leaf from the first two hash digits of its id; up to 256 shards."""
+    return (F.conv(F.substring(F.md5(evidence_id), 1, 2), 16, 10).cast("int") % shards).cast("int")
+
+
+def merkle_stream(
+    leaves: DataFrame, size: int = 100, timeout_ms: int | None = 300_000, shards: int = 8
+) -> DataFrame:
     """Closed Merkle batches. Leaves spread over ``shards`` open batches, so no key takes the whole stream.
 
-    ``leaves``: evidence_id, content_hash. More shards allow more tasks.
+    ``leaves``: evidence_id, content_hash. With a timeout the query never runs out of batches, so
+    it suits a continuous trigger; without one, batches close by size alone.
     """
-    keyed = leaves.withColumn("shard", F.pmod(F.xxhash64("evidence_id"), F.lit(shards)).cast("int"))
+    keyed = leaves.withColumn("shard", leaf_shard(F.col("evidence_id"), shards))
     return keyed.select("shard", "content_hash").groupBy("shard").transformWithStateInPandas(
         MerkleBatcher(size, timeout_ms),
         "shard int, batch_no long, leaf_count long, root_hash string, leaves array<string>",
-        "Append", "ProcessingTime",
+        "Append", "None" if timeout_ms is None else "ProcessingTime",
     )
