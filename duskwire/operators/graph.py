@@ -180,7 +180,8 @@ def _large_star(e: DataFrame) -> DataFrame:
 
 def _small_star(e: DataFrame) -> DataFrame:
     """Link every smaller neighbour and the node itself to the smallest neighbour."""
-    down = _undirected(e)
+    # edges of the step before run from larger to smaller ids already
+    down = e
     smallest = down.groupBy("u").agg(F.min("v").alias("m"))
     linked = down.join(smallest, "u")
     return _undirected(

@@ -206,13 +206,13 @@ def st_cert(spark, sf):
 @query("st_skew", ctes("probes") + """
 select url, probed_at, clock_skew from (select *, row_number() over (partition by url order by probed_at desc, clock_skew desc) as rn from probes) t where rn <= 20""")
 def st_skew(spark, sf):
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", stateful.ROCKSDB)
     ev = events_stream(spark, sf)
     probes = ev.select(
         F.concat(F.lit("http://site"), F.col("user_id").cast("string"), F.lit(".example.com/")).alias("url"), F.col("ts").alias("probed_at"),
         F.round(F.col("user_id") * F.lit(0.4).cast("decimal(2,1)") + F.col("value") * F.lit(0.001), 3).cast("double").alias("clock_skew"),
     )
-    latest = drain_updates(stateful.last_samples(probes), "skew", ["url", "salt", "rn"])
+    with stateful.rocksdb(spark):
+        latest = drain_updates(stateful.last_samples(probes), "skew", ["url", "salt", "rn"])
     return stateful.merge_salts(latest)
 
 
@@ -222,11 +222,11 @@ c as (select shard, count(*) // 20 as n_batches from l group by shard)
 select shard, n_batches, n_batches * 20 as n_leaves, n_batches as n_verified from c where n_batches > 0""")
 def st_merkle(spark, sf):
     """Batches of 20 leaves per shard, each verified against the batch expression."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", stateful.ROCKSDB)
     docs = events_stream(spark, sf, "documents").select(
         F.col("doc_id").cast("string").alias("evidence_id"), content_hash(F.col("text")).alias("content_hash")
     )
-    closed = drain(stateful.merkle_stream(docs, size=20, timeout_ms=None, shards=4), "merkle")
+    with stateful.rocksdb(spark):
+        closed = drain(stateful.merkle_stream(docs, size=20, timeout_ms=None, shards=4), "merkle")
     again = F.concat(F.lit("sha256:"), provenance.root(F.col("leaves"), 20))
     return closed.groupBy("shard").agg(
         F.count(F.lit(1)).alias("n_batches"), F.sum("leaf_count").alias("n_leaves"), F.count_if(again == F.col("root_hash")).alias("n_verified")

@@ -104,7 +104,10 @@ def archive(files: DataFrame, root: str = "", min_chars: int = 50) -> DataFrame:
 
     ``files``: path, html. Short pages and pages without any identifier are dropped.
     """
-    relative = F.regexp_replace("path", F.lit("^" + root), F.lit("")) if root else F.col("path")
+    # paths come with a scheme in front of the root
+    relative = F.col("path") if not root else F.ltrim(
+        F.substring("path", F.instr("path", root) + F.lit(len(root)), F.length("path")), F.lit("/")
+    )
     out = files.select(relative.alias("path"), pages.strip_html(F.col("html")).alias("text"))
     out = out.filter(F.length("text") >= min_chars).withColumn("entities", archive_entities(F.col("text")))
     names = ["btc_addresses", "pgp_key_hashes", "emails", "vendor_handles"]
