@@ -6,7 +6,6 @@ from collections.abc import Callable, Mapping
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-UNICODE = "(?U)"  # word, digit and space classes follow Unicode
 
 
 def bind(value: Column, body: Callable[[Column], Column]) -> Column:

@@ -1,11 +1,13 @@
 """Property-graph queries over ``vertices(id, label, ...)`` and ``edges(src, dst, type, ...)``."""
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed
+from ..functions.pages import host
 from ..lineage import cut_lineage
+from .ordering import newest_per_key
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
@@ -96,47 +98,33 @@ def stats(vertices: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def frontier(links: DataFrame, seeds: DataFrame, max_depth: int = 2, per_domain: int = 20) -> DataFrame:
-    """Breadth-first visit of stored links: (url, domain, depth, visit) up to a cap per domain.
+    """Breadth-first visit of stored links: (url, domain, depth) up to a cap per domain.
 
     ``links``: src, dst. ``seeds``: url. Visits run by depth, then URL; a page beyond the cap of
     its domain is not visited, so its links are not followed.
     """
-    from ..functions.pages import host
-    from .ordering import newest_per_key
-
-    seen = seeds.select("url").distinct().withColumn("depth", F.lit(0))
+    seen = seeds.select("url").distinct()
     layer = seen
-    visited: DataFrame | None = None
+    visited = None
+    by_url = Window.partitionBy("domain").orderBy("url")
     for depth in range(max_depth + 1):
-        ranked = layer.withColumn("domain", host(F.col("url")))
-        if visited is None:
-            allowed = newest_per_key(ranked, ["domain"], [F.col("url")], per_domain)
-        else:
+        found = layer.select("url", host(F.col("url")).alias("domain"))
+        # no domain has more free visits than the cap, so each keeps that many rows at most
+        found = newest_per_key(found, ["domain"], [F.col("url")], per_domain)
+        if visited is not None:
             used = visited.groupBy("domain").agg(F.count(F.lit(1)).alias("used"))
-            ranked = newest_per_key(ranked, ["domain"], [F.col("url")], per_domain)
-            from pyspark.sql import Window
-
-            order = Window.partitionBy("domain").orderBy("url")
-            allowed = (
-                ranked.join(used, "domain", "left")
-                .withColumn("_rn", F.row_number().over(order))
+            found = (
+                found.join(used, "domain", "left")
+                .withColumn("_rn", F.row_number().over(by_url))
                 .filter(F.col("_rn") + F.coalesce("used", F.lit(0)) <= per_domain)
-                .drop("used", "_rn")
             )
-        allowed = cut_lineage(allowed.select("url", "domain", "depth"), "frontier")
+        allowed = cut_lineage(found.select("url", "domain", F.lit(depth).alias("depth")), "frontier")
         visited = allowed if visited is None else visited.unionByName(allowed)
-        if depth == max_depth:
-            break
-        nxt = (
-            allowed.select(F.col("url").alias("src"))
-            .join(links, "src")
-            .select(F.col("dst").alias("url"))
-            .distinct()
-            .join(seen, "url", "left_anti")
-            .withColumn("depth", F.lit(depth + 1))
-        )
-        layer = cut_lineage(nxt, "frontier")
-        seen = seen.unionByName(layer)
+        if depth < max_depth:
+            linked = allowed.select(F.col("url").alias("src")).join(links, "src")
+            fresh = linked.select(F.col("dst").alias("url")).distinct().join(seen, "url", "left_anti")
+            layer = cut_lineage(fresh, "frontier")
+            seen = seen.union(layer)
     return visited
 
 
