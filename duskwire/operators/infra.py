@@ -122,6 +122,11 @@ def ranked_findings(findings: DataFrame) -> DataFrame:
     return findings.orderBy(F.desc("confidence"), "detector_id", "onion_address", "clearnet_match")
 
 
+def without_exits(seen: DataFrame, exits: DataFrame) -> DataFrame:
+    """Rows whose ``ip`` is no known exit address."""
+    return seen.join(exits.select("ip").distinct(), "ip", "left_anti")
+
+
 def shared_favicons(nodes: DataFrame, known_edges: DataFrame) -> DataFrame:
     """New SHARES_FINGERPRINT edges between nodes with the same favicon.
 

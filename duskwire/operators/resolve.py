@@ -53,9 +53,16 @@ def merge_entities(existing: DataFrame, spans: DataFrame) -> DataFrame:
     )
 
 
-def observations(hits: DataFrame, entities: DataFrame, role: str = "extracted") -> DataFrame:
-    """Event-entity links, one per (event, entity, role)."""
-    linked = hits.join(entities.select("kind", "normalized", "entity_id"), ["kind", "normalized"], "left")
+def observations(hits: DataFrame, entities: DataFrame | None = None, role: str = "extracted") -> DataFrame:
+    """Event-entity links, one per (event, entity, role).
+
+    Ids follow from the identity, so no join is needed. Pass ``entities`` only for a table whose
+    older ids were given otherwise.
+    """
+    if entities is None:
+        linked = hits.withColumn("entity_id", entity_id(F.col("kind"), F.col("normalized")))
+    else:
+        linked = hits.join(entities.select("kind", "normalized", "entity_id"), ["kind", "normalized"], "left")
     return (
         linked.groupBy("event_id", "entity_id")
         .agg(F.min("observed_at").alias("observed_at"))

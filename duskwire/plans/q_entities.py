@@ -46,6 +46,13 @@ def agg_entity_kind(spark, sf):
 @query("jn_observation", HITS + f"""
 select event_id, {ENTITY_UUID} as entity_id, 'extracted' as role, observed_at from hits""")
 def jn_observation(spark, sf):
+    return resolve.observations(hits(spark, sf)).select("event_id", "entity_id", "role", "observed_at")
+
+
+@query("jn_observation_table", HITS + f"""
+select event_id, {ENTITY_UUID} as entity_id, 'extracted' as role, observed_at from hits""")
+def jn_observation_table(spark, sf):
+    """The same against an entity table, as an equi join on the identity."""
     h = stored_hits(spark, sf)
     return resolve.observations(h, resolve.entity_spans(h)).select("event_id", "entity_id", "role", "observed_at")
 
@@ -184,20 +191,13 @@ def jn_sanctions_summary(spark, sf):
 
 
 @query("jn_exit_noise", """
-select event_id, '10.1.' || user_id % 250 || '.0' as ip from events where '10.1.' || user_id % 250 || '.0' not in
- (select '10.1.' || c_custkey % 250 || '.0' from customer where c_custkey % 250 < 100)""")
+select event_id, '10.1.' || user_id || '.0' as ip from events where user_id not in (select s_suppkey from supplier)""")
 def jn_exit_noise(spark, sf):
-    ip = F.concat(F.lit("10.1."), (F.col("user_id") % 250).cast("string"), F.lit(".0"))
-    seen = table(spark, sf, "events").select("event_id", ip.alias("ip"))
-    exits = table(spark, sf, "customer").select((F.col("c_custkey") % 250).alias("n")).filter("n < 100").select(
-        F.concat(F.lit("10.1."), F.col("n").cast("string"), F.lit(".0")).alias("ip")
-    )
-    return infra_noise(seen, exits)
+    def ip(key: str):
+        return F.concat(F.lit("10.1."), F.col(key).cast("string"), F.lit(".0")).alias("ip")
 
-
-def infra_noise(seen: DataFrame, exits: DataFrame) -> DataFrame:
-    """Rows whose address is no known exit."""
-    return seen.join(exits.distinct(), "ip", "left_anti")
+    seen = table(spark, sf, "events").select("event_id", ip("user_id"))
+    return infra.without_exits(seen, table(spark, sf, "supplier").select(ip("s_suppkey")))
 
 
 WATCH_SQL = f"""
@@ -215,8 +215,7 @@ def watchlist(spark, sf) -> DataFrame:
 
 @query("jn_watchlist", HITS + WATCH_SQL)
 def jn_watchlist(spark, sf):
-    h = stored_hits(spark, sf)
-    obs = resolve.observations(h, resolve.entity_spans(h))
+    obs = resolve.observations(hits(spark, sf))
     return listings.watch_hits(obs, watchlist(spark, sf)).select("event_id", "item_id", "entity_id", "alert_type")
 
 
@@ -399,8 +398,7 @@ def flt_timeline(spark, sf):
 @query("flt_timeline_entity", HITS + """
 select event_id, observed_at from hits where kind = 'handle' and normalized = 'user7' order by observed_at desc, event_id limit 200""")
 def flt_timeline_entity(spark, sf):
-    h = stored_hits(spark, sf)
-    obs = resolve.observations(h, resolve.entity_spans(h))
+    obs = resolve.observations(hits(spark, sf))
     target = str(uuid.uuid5(uuid.NAMESPACE_URL, "entity|handle|user7"))
     events = derived(spark, sf, "posts").select("event_id", "observed_at")
     return listings.timeline(events, observations=obs, entity_id=target)

@@ -39,10 +39,10 @@ def agg_runs(spark, sf):
 
 @query("agg_events_daily", """
 with d as (select unnest(generate_series(date '2024-01-27', date '2024-02-02', interval 1 day))::date as day),
-c as (select ts::date as day, count(*) as n from events group by 1) select d.day, coalesce(n, 0) as n from d left join c on d.day = c.day""")
+c as (select ts::date as day, count(*) as n from events group by 1) select cast(d.day as varchar) as day, coalesce(n, 0) as n from d left join c on d.day = c.day""")
 def agg_events_daily(spark, sf):
     events = table(spark, sf, "events").select(F.col("ts").alias("observed_at"))
-    return metrics.daily_events(events, F.lit("2024-02-02").cast("date"))
+    return metrics.daily_events(events, F.lit("2024-02-02").cast("date")).withColumn("day", F.col("day").cast("string"))
 
 
 @query("agg_health", ctes("requests") + """
@@ -111,7 +111,7 @@ TRUTH_SQL = """
 @query("agg_eval_extract", HITS + TRUTH_SQL + """
 , c as (select t.kind, count(*) filter (h.event_id is not null) as tp, count(*) filter (h.event_id is null and in_text) as fn from truth t
   left join hits h on t.event_id = h.event_id and t.kind = h.kind and t.normalized = h.normalized group by t.kind)
-select kind, tp, cast(0 as bigint) as fp, fn, round(case when tp > 0 then 1.0 else 0.0 end, 6) as "precision", round(case when tp + fn > 0 then tp / (tp + fn)::double else 0 end, 6) as recall,
+select kind, tp, cast(0 as bigint) as fp, fn, case when tp > 0 then 1.0 else 0.0 end::double as "precision", round(case when tp + fn > 0 then tp / (tp + fn)::double else 0 end, 6) as recall,
   round(case when tp > 0 then 2.0 * tp / (2 * tp + fn) else 0 end, 6) as f1 from c""")
 def agg_eval_extract(spark, sf):
     d = table(spark, sf, "documents").select("doc_id")
