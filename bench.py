@@ -18,7 +18,7 @@ from duskwire.plans.inputs import table
 from duskwire.session import build_session
 
 HEADLINE = [
-    "red_pii", "ext_all", "pipe_ingest", "agg_entity_span", "jn_observation", "agg_cooccur", "agg_merge",
+    "red_pii", "ext_all", "ingest_batch", "agg_entity_span", "jn_observation", "agg_cooccur", "agg_merge",
     "html_strip", "html_links", "gate_policy", "feed_ransom_victim", "feed_btc",
     "infra_all", "jn_skew", "win_cumulative", "agg_health", "win_gap",
     "gr_ego", "agg_graph_stats", "gr_components", "gr_transfers",

@@ -8,7 +8,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.identifiers import contact_field  # noqa: F401
 from ..sources import feeds, readers
 from . import inputs
 from .inputs import Duck, Spark, derived, spark_sql, table

@@ -85,8 +85,8 @@ def al_route(spark, sf):
     return requests.filter(F.col("queue").isin("ip", "onion")).groupBy(F.col("queue").alias("kind")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("pipe_ingest", PIPE + " select event_id, kind, normalized from hits")
-def pipe_ingest(spark, sf):
+@query("ingest_batch", PIPE + " select event_id, kind, normalized from hits")
+def ingest_batch(spark, sf):
     """The main path as a batch: gate, redact, extract."""
     from .inputs import derived
 
