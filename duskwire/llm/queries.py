@@ -29,3 +29,12 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .ngram_join import ngram_components
 
     return ngram_components(rows(spark, sf_dir, "documents"))
+
+
+@query("op2_packing")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .packing import packed
+
+    return packed(rows(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
