@@ -38,3 +38,26 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import packed
 
     return packed(rows(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query("op3_toxicity")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import fit, held_out, scored
+
+    docs = rows(spark, sf_dir, "documents")
+    weights = fit(docs, rows(spark, sf_dir, "labels"))
+    return scored(docs, weights).select("doc_id", held_out().alias("held_out"), "score", "predicted")
+
+
+@query("op4_license_scan")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .licenses import license_marks
+
+    return license_marks(rows(spark, sf_dir, "documents"))
+
+
+@query("op5_pii")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import personal_data
+
+    return personal_data(rows(spark, sf_dir, "documents"))

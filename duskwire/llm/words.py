@@ -71,8 +71,13 @@ def spans(texts: Sequence[bytes], limit: int = CHUNK) -> Iterator[tuple[int, int
         yield lo, len(texts)
 
 
-def word_hashes(texts: Sequence[bytes], apart: np.ndarray = BLANKS) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words of the texts in order, A-Z folded, and the bounds of each text among them."""
+def word_hashes(
+    texts: Sequence[bytes], apart: np.ndarray = BLANKS, heads: Sequence[int] = ()
+) -> tuple[np.ndarray, ...]:
+    """Hashes of all words of the texts in order, A-Z folded, and the bounds of each text among them.
+
+    ``heads``: also the hashes of each word's first so many bytes, one array for each number.
+    """
     joined = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
     gap = apart[joined]
     edge = np.flatnonzero(np.diff(gap, prepend=True))
@@ -82,9 +87,11 @@ def word_hashes(texts: Sequence[bytes], apart: np.ndarray = BLANKS) -> tuple[np.
     np.cumsum(total, out=total)
     # the byte before a word is a gap, so its own term lies in neither bound's difference
     before = np.where(start > 0, total[start - 1], np.uint64(0))
-    words = mix((total[end - 1] - before) * powers(_INVERSE, len(joined))[start])
+    back = powers(_INVERSE, len(joined))[start]
+    words = mix((total[end - 1] - before) * back)
+    begun = [mix((total[np.minimum(start + k, end) - 1] - before) * back + np.uint64(k)) for k in heads]
     stops = np.cumsum([len(t) + 1 for t in texts]) if texts else np.zeros(0, np.int64)
-    return words, np.concatenate([[0], np.searchsorted(start, stops)])
+    return words, np.concatenate([[0], np.searchsorted(start, stops)]), *begun
 
 
 def shingle_hashes(words: np.ndarray, width: int) -> np.ndarray:
