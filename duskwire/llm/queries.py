@@ -61,3 +61,27 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .pii import personal_data
 
     return personal_data(rows(spark, sf_dir, "documents"))
+
+
+@query("op6_decontamination")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .containment import contained_items
+
+    return contained_items(rows(spark, sf_dir, "documents"), rows(spark, sf_dir, "benchmark"))
+
+
+@query("op8_exact_topk")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mtree import top_k
+
+    vectors = rows(spark, sf_dir, "embeddings")
+    return top_k(vectors, vectors.filter("vec_id % 50 = 0"))
+
+
+@query("op10_token_counts")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .tokencounts import token_counts
+
+    return token_counts(rows(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
