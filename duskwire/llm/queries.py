@@ -85,3 +85,10 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .tokencounts import token_counts
 
     return token_counts(rows(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query("op9_sharding")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sharding import sharded
+
+    return sharded(rows(spark, sf_dir, "documents"))
