@@ -76,6 +76,15 @@ class Items:
                     yield lo + d, k, shared
 
 
+def item_blocks(items: DataFrame, block_items: int) -> Iterator[tuple[list[int], list[bytes]]]:
+    """Ids and texts of the items that have text, in blocks of about ``block_items``."""
+    items = items.select("item_id", "text").filter(F.length("text") > 0)
+    n_blocks = max(1, -(-items.count() // block_items))  # one number
+    for k in range(n_blocks):
+        block = items.filter(F.pmod(F.xxhash64("item_id"), F.lit(n_blocks)) == k).orderBy("item_id", "text").toArrow()
+        yield block.column("item_id").to_pylist(), [t.encode() for t in block.column("text").to_pylist()]
+
+
 def contained_items(docs: DataFrame, items: DataFrame, width: int = 5, percent: int = 75, block_items: int = 20_000) -> DataFrame:
     """(doc_id, item_id, n_item, n_shared, containment): documents that hold ``percent`` of an item's shingles.
 
@@ -84,12 +93,8 @@ def contained_items(docs: DataFrame, items: DataFrame, width: int = 5, percent:
     nothing. Null texts are empty. Repeated documents or items give repeated rows. Items go to the tasks in
     blocks of about ``block_items``, every block against all documents. Other columns are ignored.
     """
-    items = items.select("item_id", "text").filter(F.length("text") > 0)
-    n_blocks = max(1, -(-items.count() // block_items))  # one number
     out = None
-    for k in range(n_blocks):
-        block = items.filter(F.pmod(F.xxhash64("item_id"), F.lit(n_blocks)) == k).orderBy("item_id", "text").toArrow()
-        ids, texts = block.column("item_id").to_pylist(), [t.encode() for t in block.column("text").to_pylist()]
+    for ids, texts in item_blocks(items, block_items):
 
         def search(batches: Iterator[pa.RecordBatch], ids=ids, texts=texts) -> Iterator[pa.RecordBatch]:
             index = Items(ids, texts, width, percent)
@@ -105,3 +110,18 @@ def contained_items(docs: DataFrame, items: DataFrame, width: int = 5, percent:
         found = docs.select("doc_id", "text").mapInArrow(search, FOUND)
         out = found if out is None else out.unionByName(found)
     return out
+
+
+def without_items(docs: DataFrame, items: DataFrame, width: int = 5, percent: int = 75, block_items: int = 20_000) -> DataFrame:
+    """The rows of ``docs`` that contain no item in the sense of ``contained_items``, with all their columns."""
+    for ids, texts in item_blocks(items, block_items):
+
+        def keep(batches: Iterator[pa.RecordBatch], ids=ids, texts=texts) -> Iterator[pa.RecordBatch]:
+            index = Items(ids, texts, width, percent)
+            for b in batches:
+                clean = np.ones(b.num_rows, bool)
+                clean[[d for d, _, _ in index.search(bytes_of(column(b, "text")))]] = False
+                yield b.filter(pa.array(clean))
+
+        docs = docs.mapInArrow(keep, docs.schema)
+    return docs

@@ -36,7 +36,7 @@ _WORD_AFTER = re.compile(r"[^\w]*([^\W\d_]+)")
 _NEAR = 40
 
 FOUND = (
-    "doc_id long, base array<struct<start:long,kind:int,end:long>>, "
+    "doc_id long, key long, base array<struct<start:long,kind:int,end:long>>, "
     "seen array<struct<start:long,end:long,kind:int,instance:long,before:long,after:long>>"
 )
 
@@ -127,6 +127,11 @@ def occurrences(text: str, base: list[tuple[int, int, int]]) -> list[tuple]:
     return out
 
 
+def key_of() -> Column:
+    """Tells rows apart by id and text; a null id is like no other."""
+    return F.xxhash64(F.coalesce("doc_id", F.lit(-1)), F.col("doc_id").isNull(), "text")
+
+
 def find(docs: DataFrame) -> DataFrame:
     """Fixed forms and all occurrences per row of ``docs``, with a row number of its own."""
 
@@ -142,10 +147,11 @@ def find(docs: DataFrame) -> DataFrame:
                 seen.append([dict(zip(("start", "end", "kind", "instance", "before", "after"), o, strict=True))
                              for o in (occurrences(t, base) if t else [])])
             yield pa.RecordBatch.from_arrays(
-                [column(b, "doc_id").cast(pa.int64()), pa.array(bases, base_kind), pa.array(seen, seen_kind)], ["doc_id", "base", "seen"]
+                [column(b, "doc_id").cast(pa.int64()), column(b, "key"), pa.array(bases, base_kind), pa.array(seen, seen_kind)],
+                ["doc_id", "key", "base", "seen"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(scan, FOUND).withColumn("row", F.monotonically_increasing_id())
+    return docs.select("doc_id", key_of().alias("key"), "text").mapInArrow(scan, FOUND).withColumn("row", F.monotonically_increasing_id())
 
 
 def pattern_scores(graph: DataFrame, seeds: DataFrame, rounds: int, support: int) -> tuple[DataFrame, DataFrame]:
@@ -184,7 +190,7 @@ def joined(spans: Column) -> Column:
 
 
 def extracted(docs: DataFrame, rounds: int = 3, support: int = 3, worth: float = 0.8) -> DataFrame:
-    """Spans per row of ``docs`` (doc_id, text): doc_id, row, base, spans as arrays of (start, kind, end).
+    """Spans per row of ``docs`` (doc_id, text): doc_id, key, row, base, spans as arrays of (start, kind, end).
 
     Null and empty texts have none. Repeated rows and null ids each give a row; other columns are ignored.
     Spans beyond the fixed forms have the kind whose patterns named them and overlap no form.
@@ -203,7 +209,7 @@ def extracted(docs: DataFrame, rounds: int = 3, support: int = 3, worth: float =
         .groupBy("row").agg(F.collect_list(F.struct("start", "kind", "end")).alias("more"))
     )
     return found.join(best, "row", "left").select(
-        "doc_id", "row", "base", F.concat("base", F.coalesce("more", F.expr("cast(array() as array<struct<start:long,kind:int,end:long>>)"))).alias("spans"),
+        "doc_id", "key", "row", "base", F.concat("base", F.coalesce("more", F.expr("cast(array() as array<struct<start:long,kind:int,end:long>>)"))).alias("spans"),
     )
 
 
@@ -220,10 +226,10 @@ def personal_data(docs: DataFrame) -> DataFrame:
 def masked(docs: DataFrame, spans: DataFrame) -> DataFrame:
     """``docs`` with every span replaced by its kind in brackets; overlapping spans become one.
 
-    ``spans``: doc_id, spans. Rows of one doc_id must hold one text.
+    ``spans``: key, spans of ``extracted``.
     """
-    some = spans.filter(F.size("spans") > 0).groupBy("doc_id").agg(F.first("spans").alias("_spans"))
-    parts = docs.join(some, "doc_id", "left")
+    some = spans.filter(F.size("spans") > 0).groupBy("key").agg(F.first("spans").alias("_spans")).withColumnRenamed("key", "_key")
+    parts = docs.withColumn("_key", key_of()).join(some, "_key", "left")
     # fold over the spans by start: (end of the last one, text so far)
     folded = F.aggregate(
         F.array_sort("_spans"), F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out")),

@@ -3,8 +3,23 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from .containment import contained_items
+from .licenses import license_marks
+from .mtree import top_k
+from .ngram_join import ngram_components
+from .packing import packed
+from .pii import personal_data
+from .sharding import sharded
+from .suffixes import repeats_removed
+from .tokencounts import token_counts
+from .toxicity import fit, held_out, scored
+
+#: The tokenizer file of the registered queries.
+VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -26,69 +41,92 @@ def rows(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 @query("op1_ngram_join")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .ngram_join import ngram_components
-
     return ngram_components(rows(spark, sf_dir, "documents"))
 
 
 @query("op2_packing")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import public_tokenizers
-
-    from .packing import packed
-
-    return packed(rows(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return packed(rows(spark, sf_dir, "documents"), VOCABULARY)
 
 
 @query("op3_toxicity")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .toxicity import fit, held_out, scored
-
     docs = rows(spark, sf_dir, "documents")
     weights = fit(docs, rows(spark, sf_dir, "labels"))
-    return scored(docs, weights).select("doc_id", held_out().alias("held_out"), "score", "predicted")
+    return scored(docs.select("doc_id", "text"), weights, ["doc_id"]).select("doc_id", held_out().alias("held_out"), "score", "predicted")
 
 
 @query("op4_license_scan")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .licenses import license_marks
-
     return license_marks(rows(spark, sf_dir, "documents"))
 
 
 @query("op5_pii")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .pii import personal_data
-
     return personal_data(rows(spark, sf_dir, "documents"))
 
 
-@query("op6_decontamination")
+@query("op6_decontamination", r"""
+with words as (
+  select 'd' as kind, doc_id as id,
+    regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w
+  from documents
+  union all
+  select 'b', item_id,
+    regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')
+  from benchmark
+), item as (
+  select id, least(5, len(w)) as width, w from words where kind = 'b' and len(w) > 0
+), item_set as (
+  select distinct id, width, unnest(list_transform(range(1, len(w) - width + 2), lambda i: array_to_string(w[i:i + width - 1], ' '))) as g
+  from item
+), width as (
+  select distinct width from item
+), doc_set as (
+  select distinct id, width, unnest(list_transform(range(1, len(w) - width + 2), lambda i: array_to_string(w[i:i + width - 1], ' '))) as g
+  from words cross join width where kind = 'd' and len(w) >= width
+), size as (
+  select id, count(*) as n from item_set group by id
+)
+select d.id as doc_id, i.id as item_id, any_value(s.n) as n_item, count(*) as n_shared, count(*) / any_value(s.n) as containment
+from doc_set d join item_set i on d.width = i.width and d.g = i.g join size s on s.id = i.id
+group by d.id, i.id
+having 100 * count(*) >= 75 * any_value(s.n)
+""")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .containment import contained_items
-
     return contained_items(rows(spark, sf_dir, "documents"), rows(spark, sf_dir, "benchmark"))
 
 
-@query("op8_exact_topk")
+@query("op8_exact_topk", """
+with v as (
+  select vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as e
+  from embeddings
+  where vec_id is not null and embedding is not null
+    and list_count(embedding) = len(embedding) and len(list_filter(embedding, lambda x: not isfinite(x))) = 0
+), s as (
+  select q.vec_id as query_id, c.vec_id, cast(list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2])) as bigint) as score
+  from v q join v c on q.vec_id <> c.vec_id
+  where q.vec_id % 50 = 0
+), r as (
+  select *, row_number() over (partition by query_id order by score desc, vec_id) as n from s
+)
+select query_id, cast(n as integer) as rank, vec_id, score from r where n <= 5
+""")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .mtree import top_k
-
     vectors = rows(spark, sf_dir, "embeddings")
     return top_k(vectors, vectors.filter("vec_id % 50 = 0"))
 
 
 @query("op10_token_counts")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import public_tokenizers
-
-    from .tokencounts import token_counts
-
-    return token_counts(rows(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return token_counts(rows(spark, sf_dir, "documents"), VOCABULARY)
 
 
 @query("op9_sharding")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .sharding import sharded
-
     return sharded(rows(spark, sf_dir, "documents"))
+
+
+@query("op7_suffix_dedup")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats_removed(rows(spark, sf_dir, "documents"))

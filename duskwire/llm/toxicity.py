@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .postings import bytes_of, column
 from .words import MARKS, mix, shingle_hashes, spans, word_hashes
@@ -112,11 +113,14 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 10_000, train_row
     return rows.groupBy("all").applyInArrow(learn, "place long, weight double")
 
 
-def scored(docs: DataFrame, weights: DataFrame, threshold: float = 0.7) -> DataFrame:
-    """(doc_id, score, predicted) per row of ``docs``. Null and empty texts get the score of the bias.
+def scored(docs: DataFrame, weights: DataFrame, carry: list[str] | None = None, threshold: float = 0.7) -> DataFrame:
+    """The columns ``carry`` of ``docs`` (all by default) with score and predicted, one row per row.
 
-    ``weights`` are at most 2 ** BITS + 1 rows, a few hundred after the L1 term; every task gets them.
+    Null and empty texts get the score of the bias. Columns of ``docs`` that are named score or predicted
+    are replaced. ``weights`` are at most 2 ** BITS + 1 rows, a few hundred after the L1 term; every task
+    gets them.
     """
+    carry = [c for c in (carry or docs.columns) if c not in ("score", "predicted")]
     model = weights.toArrow()
     place, weight = model.column("place").to_numpy(), model.column("weight").to_numpy()
 
@@ -139,7 +143,8 @@ def scored(docs: DataFrame, weights: DataFrame, threshold: float = 0.7) -> DataF
                 once = np.unique(np.concatenate(texts_hit) * (1 << 32) + np.concatenate(places_hit))
                 np.add.at(sums, a + (once >> 32), w[once & 0xFFFFFFFF])
             p = 1.0 / (1.0 + np.exp(-np.clip(sums, -35.0, 35.0)))
-            yield pa.RecordBatch.from_arrays([column(b, "doc_id").cast(pa.int64()), pa.array(p)], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([*[column(b, c) for c in carry], pa.array(p)], [*carry, "score"])
 
-    out = docs.select("doc_id", "text").mapInArrow(score, "doc_id long, score double")
+    schema = StructType([*[docs.schema[c] for c in carry], StructField("score", DoubleType())])
+    out = docs.select(*dict.fromkeys([*carry, "text"])).mapInArrow(score, schema)
     return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
