@@ -24,14 +24,14 @@ from pyspark.sql import functions as F
 
 from ..lineage import cut_lineage
 from ..operators.graph import components
-from .postings import BLOBS, KEPT_BITS, NO_ID, bytes_of, column, ids_of, index_blobs, opened
-from .postings import shared_counts
+from .postings import KEPT_BITS, NO_ID, bytes_of, column, ids_of, shared_counts
 from .words import shingle_sets
 
 #: Weight of the longest list in the choice of long lists, as in the paper.
 MU = 0.0085
 SETS = "doc_id long, n long, print binary, hashes binary"
-RANKED = np.dtype([("df", "<u4"), ("h", "<u8"), ("pivot", "<i8")])
+#: Postings of representatives that one task ranks.
+PART_POSTINGS = 1_000_000
 
 
 def needed(n: int, percent: int) -> int:
@@ -160,59 +160,73 @@ def _sets(docs: DataFrame, width: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(make, SETS)
 
 
-def _meeting(reps: DataFrame, percent: int, buckets: int) -> DataFrame:
-    """Edges (src, dst) between each representative and the smallest one on each list of its rarest shingles."""
+def _meeting(reps: DataFrame, percent: int) -> DataFrame:
+    """Edges (src, dst) between each representative and the smallest one on each list of its rarest shingles.
+
+    Postings go from parts of the documents to parts of the hashes and back, a blob for each pair of parts.
+    """
+    # one number
+    total = reps.agg(F.sum("n").alias("n")).first()["n"] or 0
+    parts = 1 + total // PART_POSTINGS
+
+    def blob(h, doc, n, *more) -> tuple:
+        ids, first, at = np.unique(doc, return_index=True, return_inverse=True)
+        return ids.tobytes(), n[first].astype(np.int64).tobytes(), at.astype(np.uint32).tobytes(), h.tobytes(), *(x.tobytes() for x in more)
+
+    def opened_blobs(table: pa.Table, n_more: int) -> list[np.ndarray]:
+        cols = [table.column(c).to_pylist() for c in ("ids", "sizes", "at", "h", "df", "pivot")[: 4 + n_more]]
+        doc, n = [], []
+        for ids, sizes, at in zip(*cols[:3], strict=True):
+            at = np.frombuffer(at, np.uint32)
+            doc.append(np.frombuffer(ids, np.int64)[at])
+            n.append(np.frombuffer(sizes, np.int64)[at])
+        more = [np.frombuffer(b"".join(c), t) for c, t in zip(cols[3:], (np.uint64, np.uint32, np.int64), strict=False)]
+        return [np.concatenate(doc), np.concatenate(n), *more]
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i, raw in zip(column(b, "doc_id").to_pylist(), column(b, "hashes").to_pylist(), strict=True):
-                h = np.frombuffer(raw, np.uint64) >> np.uint64(64 - KEPT_BITS)
-                bucket = (h * np.uint64(buckets)) >> np.uint64(KEPT_BITS)
-                cut = np.flatnonzero(np.diff(bucket, append=np.uint64(buckets)))
-                lo = 0
-                rows = []
-                for hi in (cut + 1).tolist():
-                    rows.append((int(bucket[lo]), i, h[lo:hi].tobytes()))
-                    lo = hi
-                if rows:
-                    cols = list(zip(*rows, strict=True))
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.binary())],
-                        ["bucket", "doc_id", "hashes"],
-                    )
+            sets = [np.frombuffer(x, np.uint64) for x in column(b, "hashes").to_pylist()]
+            if not sets:
+                continue
+            size = np.array([len(x) for x in sets])
+            h = np.concatenate(sets) >> np.uint64(64 - KEPT_BITS)
+            doc, n = np.repeat(column(b, "doc_id").to_numpy(), size), np.repeat(size, size)
+            part = ((h * np.uint64(parts)) >> np.uint64(KEPT_BITS)).astype(np.int64)
+            rows = [(k, *blob(h[part == k], doc[part == k], n[part == k])) for k in np.unique(part).tolist()]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], ["part", "ids", "sizes", "at", "h"])
 
     def rank(table: pa.Table) -> pa.Table:
-        parts = [np.frombuffer(x, np.uint64) for x in table.column("hashes").to_pylist()]
-        doc = np.repeat(table.column("doc_id").to_numpy(), [len(p) for p in parts])
-        h = np.concatenate(parts)
+        doc, n, h = opened_blobs(table, 0)
         order = np.lexsort((doc, h))
-        h, doc = h[order], doc[order]
+        doc, n, h = doc[order], n[order], h[order]
         start = np.flatnonzero(np.diff(h, prepend=h[:1] + np.uint64(1)))
-        df = np.diff(start, append=len(h))
-        rows = np.empty(len(h), RANKED)
-        rows["df"], rows["h"], rows["pivot"] = np.repeat(df, df), h, np.repeat(doc[start], df)
-        order = np.argsort(doc[rows["df"] > 1], kind="stable")
-        rows, doc = rows[rows["df"] > 1][order], doc[rows["df"] > 1][order]
-        named, first = np.unique(doc, return_index=True)
-        blobs = [rows[a:b].tobytes() for a, b in zip(first, [*first[1:], len(rows)], strict=True)]
-        return pa.table({"doc_id": pa.array(named, pa.int64()), "ranked": pa.array(blobs, pa.binary())})
-
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            src, dst = [], []
-            for i, n, blobs in zip(*(column(b, c).to_pylist() for c in ("doc_id", "n", "ranked")), strict=True):
-                rows = np.sort(np.frombuffer(b"".join(blobs), RANKED), order=["df", "h"])
-                unique = n - len(rows)
-                for p in np.unique(rows["pivot"][: max(0, n - needed(n, percent) + 1 - unique)]).tolist():
-                    if p != i:
-                        src.append(i)
-                        dst.append(p)
-            yield pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], ["src", "dst"])
-
-    postings = reps.select("doc_id", "hashes").mapInArrow(send, "bucket long, doc_id long, hashes binary")
-    ranked = postings.groupBy("bucket").applyInArrow(rank, "doc_id long, ranked binary")
-    per_doc = ranked.groupBy("doc_id").agg(F.collect_list("ranked").alias("ranked")).join(reps.select("doc_id", "n"), "doc_id")
-    return per_doc.select("doc_id", "n", "ranked").mapInArrow(meet, "src long, dst long")
+        count = np.diff(start, append=len(h))
+        df, pivot = np.repeat(count, count).astype(np.uint32), np.repeat(doc[start], count)
+        home = (doc.view(np.uint64) % np.uint64(parts)).astype(np.int64)
+        rows = []
+        for k in range(parts):
+            mine = (home == k) & (df > 1)
+            if mine.any():
+                rows.append((k, *blob(h[mine], doc[mine], n[mine], df[mine], pivot[mine])))
+        kinds = [pa.int64()] + [pa.binary()] * 6
+        cols = list(zip(*rows, strict=True)) or [[]] * 7
+        return pa.table([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["part", "ids", "sizes", "at", "h", "df", "pivot"])
+
+    def meet(table: pa.Table) -> pa.Table:
+        doc, n, h, df, pivot = opened_blobs(table, 2)
+        order = np.lexsort((h, df, doc))
+        doc, n, pivot = doc[order], n[order], pivot[order]
+        start = np.flatnonzero(np.diff(doc, prepend=doc[:1] - 1))
+        count = np.diff(start, append=len(doc))
+        # the document's other shingles are on no other list and come before
+        nth = np.arange(len(doc)) - np.repeat(start, count) + n - np.repeat(count, count)
+        rare = (nth < n + percent * n // -100 + 1) & (pivot != doc)
+        edges = np.unique(np.stack([doc[rare], pivot[rare]]), axis=1)
+        return pa.table({"src": edges[0], "dst": edges[1]})
+
+    blobs = "part long, ids binary, sizes binary, at binary, h binary"
+    ranked = reps.select("doc_id", "hashes").mapInArrow(send, blobs).groupBy("part").applyInArrow(rank, blobs + ", df binary, pivot binary")
+    return ranked.groupBy("part").applyInArrow(meet, "src long, dst long")
 
 
 def _joined(blocks: DataFrame, percent: int, block_rows: int) -> DataFrame:
@@ -220,7 +234,7 @@ def _joined(blocks: DataFrame, percent: int, block_rows: int) -> DataFrame:
     sizes = blocks.groupBy("block").agg(F.count(F.lit(1)).alias("rows"))
     # one row; small blocks share a task
     total = sizes.agg(F.sum("rows").alias("n")).first()["n"] or 0
-    bundles = max(1, total // block_rows * 4)
+    bundles = 1 + total * 8 // block_rows
     cut = blocks.join(sizes, "block").withColumn("parts", F.ceil(F.col("rows") / block_rows).cast("int"))
     mine = F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int")
     other = F.explode(F.when(F.col("parts") == 1, F.array(F.lit(0))).otherwise(
@@ -256,12 +270,12 @@ def ngram_components(docs: DataFrame, width: int = 5, percent: int = 75, block_r
     linked with nothing. Null text is empty. Rows of one doc_id, null included, are one document whose
     links are those of all its texts and whose size is the largest. Other columns of ``docs`` are ignored.
     """
-    spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
     sized = cut_lineage(shared_counts(docs, width), "ngram-sizes")
     core = sized.filter((F.col("n") > 0) & (100 * F.col("shared") >= percent * F.col("n"))).select("doc_id")
     core = core.select(F.when(F.col("doc_id") != NO_ID, F.col("doc_id")).alias("doc_id"))
-    some = docs.alias("d").join(core.alias("c"), F.expr("d.doc_id <=> c.doc_id"), "left_semi")
+    # the same plan at every size: the list of ids grows with the documents
+    some = docs.alias("d").join(core.hint("merge").alias("c"), F.expr("d.doc_id <=> c.doc_id"), "left_semi")
     sets = cut_lineage(_sets(some, width).filter("n > 0"), "ngram-sets")
     reps = cut_lineage(
         sets.groupBy("print").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("hashes").alias("hashes"))
@@ -269,9 +283,8 @@ def ngram_components(docs: DataFrame, width: int = 5, percent: int = 75, block_r
         "ngram-reps",
     )
     # a doc_id with several texts may stand for several prints: number the prints, not the documents
-    buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     keyed = reps.select(F.xxhash64("print").alias("doc_id"), "n", "hashes")
-    meeting = cut_lineage(_meeting(keyed, percent, buckets), "ngram-meeting")
+    meeting = cut_lineage(_meeting(keyed, percent), "ngram-meeting")
     blocks = components(meeting).withColumnsRenamed({"id": "doc_id", "component": "block"})
     edges = _joined(keyed.join(blocks, "doc_id").select("doc_id", "block", "hashes"), percent, block_rows)
     edges = cut_lineage(edges, "ngram-edges")
