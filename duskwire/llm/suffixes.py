@@ -25,14 +25,17 @@ from pyspark.sql import functions as F
 
 from ..lineage import cut_lineage
 from .postings import bytes_of, column
-from .words import _BASE, _BYTE, _INVERSE, _PLACE, CHUNK, mix, powers
+from .words import _BASE, _BYTE, _INVERSE, _PLACE, mix, powers
 
 #: Fewest bytes of a string that counts, and of the names of the first round: a quarter of it.
 LENGTH = 200
 FIRST = LENGTH // 4
 WINDOW = LENGTH - FIRST + 1
-#: Runs that a map task gathers before it sends them.
-GATHER = 120_000
+#: Bytes that are named together.
+CHUNK = 1 << 19
+#: Runs, and positions of undecided runs, that a map task gathers before it sends them.
+GATHER_RUNS = 80_000
+GATHER_PLACES = 200_000
 
 RUNS = "bucket long, names binary, wholes binary, several binary, owners binary, places binary, keys binary"
 MARKS = "key long, mark long"
@@ -78,11 +81,13 @@ def text_parts(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.
     def out():
         lengths = np.array([len(x) for x in held])
         joined = np.frombuffer(b"".join(held), np.uint8)
-        text = np.repeat(np.array(who), lengths)
+        text = np.repeat(np.array(who, np.int32), lengths)
         begin = np.cumsum(lengths) - lengths
         place = np.arange(len(joined)) - np.repeat(begin - np.array(at), lengths)
-        rest = np.repeat(begin + lengths, lengths) - np.arange(len(joined))
-        return joined, text, place, rest >= LENGTH
+        ok = np.ones(len(joined), bool)
+        for z in (begin + lengths).tolist():
+            ok[z - LENGTH + 1 : z] = False
+        return joined, text, place, ok
 
     for i, t in enumerate(texts):
         for lo in range(0, max(len(t) - LENGTH + 1, 0), CHUNK):
@@ -164,7 +169,7 @@ def _first_rounds(docs: DataFrame, buckets: int) -> DataFrame:
             for text, *rest in runs_of(bytes_of(column(b, "text"))):
                 held.append((keys[text], *rest))
                 size += len(text)
-                if size >= GATHER:
+                if size >= GATHER_RUNS:
                     yield out()
                     held, size, turn = [], 0, turn + 1
         if held:
@@ -254,7 +259,7 @@ def _last_rounds(held: DataFrame, buckets: int) -> DataFrame:
                         np.full(len(at), key, np.int64), np.repeat(names[place[here] + off[here] - lo], count), at,
                         np.repeat(off[here], count) - inside + LENGTH, strings[at - lo], np.repeat(kind[here], count),
                     ))
-                    if size >= GATHER * 8:
+                    if size >= GATHER_PLACES:
                         yield out()
                         parts, size = [], 0
         if parts:
@@ -295,7 +300,7 @@ def repeats_removed(docs: DataFrame) -> DataFrame:
     long = docs.filter(F.octet_length("text") >= LENGTH)
     marks = _first_rounds(long, buckets).groupBy("key").agg(F.collect_set("mark").alias("marks"))
     held = cut_lineage(long.select("key", "text").join(marks, "key").dropDuplicates(["key"]), "repeat-texts")
-    more = _last_rounds(held, buckets).groupBy("key").agg(F.collect_list(F.struct("place", "n")).alias("ranges"))
+    more = _last_rounds(held, 2 * buckets).groupBy("key").agg(F.collect_list(F.struct("place", "n")).alias("ranges"))
 
     def cover(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
