@@ -135,7 +135,7 @@ def _first_rounds(docs: DataFrame, buckets: int) -> DataFrame:
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
-        size = turn = 0
+        size = 0
 
         def out():
             key, name, whole, place, off, n = (np.concatenate(x) for x in zip(*held, strict=True))
@@ -150,7 +150,7 @@ def _first_rounds(docs: DataFrame, buckets: int) -> DataFrame:
             again = ~new
             if again.any():
                 # further copies within the batch: known to repeat, they pass through
-                rows.append((-1 - turn % buckets, b"", b"", b"", b"", marked(place[again], off[again], n[again], 0).tobytes(), key[again].tobytes()))
+                rows.append((-1 - int(key[0]) % buckets, b"", b"", b"", b"", marked(place[again], off[again], n[again], 0).tobytes(), key[again].tobytes()))
             place = marked(place, off, n, 1)
             for b in range(buckets):
                 s = start[cut[b] : cut[b + 1]]
@@ -171,7 +171,7 @@ def _first_rounds(docs: DataFrame, buckets: int) -> DataFrame:
                 size += len(text)
                 if size >= GATHER_RUNS:
                     yield out()
-                    held, size, turn = [], 0, turn + 1
+                    held, size = [], 0
         if held:
             yield out()
 
