@@ -121,6 +121,11 @@ def runs_of(texts: list[bytes]) -> Iterator[tuple[np.ndarray, ...]]:
         yield text[first], names[least[first]], whole, place[first], off, n
 
 
+def dealt(names: np.ndarray, buckets: int) -> np.ndarray:
+    """Buckets of names. Smallest names lie near nought, so their own high bits tell nothing."""
+    return (mix(names) % _U(buckets)).astype(np.int64)
+
+
 def marked(place, off, n, kind) -> np.ndarray:
     """A run in one number: place, starts, offset of the smallest name, kind (0 repeats, 1 unknown, 2 repeats and stands for others)."""
     return (np.asarray(place, np.int64) << 18) | ((np.asarray(n, np.int64) - 1) << 10) | (np.asarray(off, np.int64) << 2) | kind
@@ -144,8 +149,7 @@ def _first_rounds(docs: DataFrame, buckets: int) -> DataFrame:
             new = np.concatenate([[True], (name[1:] != name[:-1]) | (whole[1:] != whole[:-1])])
             start = np.flatnonzero(new)
             several = np.diff(start, append=len(new)) > 1
-            bucket = (name[start] >> _U(32)) * _U(buckets) >> _U(32)
-            cut = np.searchsorted(bucket, np.arange(buckets + 1, dtype=np.uint64))
+            bucket = dealt(name[start], buckets)
             rows = []
             again = ~new
             if again.any():
@@ -153,11 +157,12 @@ def _first_rounds(docs: DataFrame, buckets: int) -> DataFrame:
                 rows.append((-1 - int(key[0]) % buckets, b"", b"", b"", b"", marked(place[again], off[again], n[again], 0).tobytes(), key[again].tobytes()))
             place = marked(place, off, n, 1)
             for b in range(buckets):
-                s = start[cut[b] : cut[b + 1]]
+                here = np.flatnonzero(bucket == b)
+                s = start[here]
                 if len(s):
                     ids, owner = np.unique(key[s], return_inverse=True)
                     kind = np.uint16 if len(ids) < 1 << 16 else np.uint32
-                    rows.append((b, name[s].tobytes(), whole[s].tobytes(), several[cut[b] : cut[b + 1]].tobytes(),
+                    rows.append((b, name[s].tobytes(), whole[s].tobytes(), several[here].tobytes(),
                                  owner.astype(kind).tobytes(), place[s].tobytes(), ids.tobytes()))
             cols = list(zip(*rows, strict=True))
             return pa.RecordBatch.from_arrays(
@@ -230,7 +235,7 @@ def _last_rounds(held: DataFrame, buckets: int) -> DataFrame:
             head = at[cut[:-1]]
             k, p, n = ranges(key[known], place[known])
             cols = [
-                np.concatenate([(name[head] >> _U(32)) * _U(buckets) >> _U(32), np.full(len(k), 1 << 40, np.uint64)]).astype(np.int64),
+                np.concatenate([dealt(name[head], buckets).astype(np.uint64), np.full(len(k), 1 << 40, np.uint64)]).astype(np.int64),
                 np.concatenate([name[head].view(np.int64), n]), np.concatenate([key[head], k]), np.concatenate([place[head], p]),
                 np.concatenate([off[head], np.zeros(len(k), np.int64)]),
                 np.concatenate([weight[head], np.zeros(len(k), np.int64)]).astype(np.int32),
