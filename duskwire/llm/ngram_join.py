@@ -221,8 +221,11 @@ def _meeting(reps: DataFrame, percent: int) -> DataFrame:
         # the document's other shingles are on no other list and come before
         nth = np.arange(len(doc)) - np.repeat(start, count) + n - np.repeat(count, count)
         rare = (nth < n + percent * n // -100 + 1) & (pivot != doc)
-        edges = np.unique(np.stack([doc[rare], pivot[rare]]), axis=1)
-        return pa.table({"src": edges[0], "dst": edges[1]})
+        src, dst = doc[rare], pivot[rare]
+        order = np.lexsort((dst, src))
+        src, dst = src[order], dst[order]
+        new = np.concatenate([[True], (src[1:] != src[:-1]) | (dst[1:] != dst[:-1])]) if len(src) else np.zeros(0, bool)
+        return pa.table({"src": src[new], "dst": dst[new]})
 
     blobs = "part long, ids binary, sizes binary, at binary, h binary"
     ranked = reps.select("doc_id", "hashes").mapInArrow(send, blobs).groupBy("part").applyInArrow(rank, blobs + ", df binary, pivot binary")

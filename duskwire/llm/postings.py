@@ -12,9 +12,8 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from .words import shingle_sets
+from .words import mix, shingle_sets
 
 #: Postings that a map task gathers before it sends them.
 GATHER = 1_500_000
@@ -151,11 +150,21 @@ def shared_counts(docs: DataFrame, width: int = 5, buckets: int | None = None) -
             doc, shared = np.unique(doc[again], return_counts=True)
             real = doc != NO_ID + 1
             parts = [doc[real], np.zeros(real.sum(), np.int64), shared[real]]
-        return pa.table(dict(zip(("doc_id", "n", "shared"), parts, strict=True)))
+        # a blob for each part of the documents, not a row for each document
+        home = (mix(parts[0].view(np.uint64)) % np.uint64(n)).astype(np.int64)
+        order = np.argsort(home, kind="stable")
+        part, first = np.unique(home[order], return_index=True)
+        cols = [[x.tobytes() for x in np.split(p[order], first[1:])] if len(part) else [] for p in parts]
+        return pa.table([pa.array(part, pa.int64()), *[pa.array(c, pa.binary()) for c in cols]], ["part", "ids", "sizes", "shared"])
+
+    def total(table: pa.Table) -> pa.Table:
+        ids, sizes, shared = (np.frombuffer(b"".join(table.column(c).to_pylist()), np.int64) for c in ("ids", "sizes", "shared"))
+        doc, at = np.unique(ids, return_inverse=True)
+        size, sums = np.zeros(len(doc), np.int64), np.zeros(len(doc), np.int64)
+        np.maximum.at(size, at, sizes)
+        np.add.at(sums, at, shared)
+        return pa.table({"doc_id": doc, "n": size, "shared": sums})
 
     blobs = docs.select("doc_id", "text").mapInArrow(send, BLOBS)
-    counted = blobs.groupBy("bucket").applyInArrow(count, "doc_id long, n long, shared long")
-    return (
-        counted.groupBy("doc_id")
-        .agg(F.max("n").alias("n"), F.sum("shared").alias("shared"))
-    )
+    counted = blobs.groupBy("bucket").applyInArrow(count, "part long, ids binary, sizes binary, shared binary")
+    return counted.groupBy("part").applyInArrow(total, "doc_id long, n long, shared long")
