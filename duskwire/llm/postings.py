@@ -31,6 +31,8 @@ def column(batch: pa.RecordBatch, name: str) -> pa.Array:
 
 def bytes_of(array: pa.Array) -> list[bytes]:
     """UTF-8 bytes of a text column; null is empty."""
+    # workers live on: what earlier batches needed goes back first
+    pa.default_memory_pool().release_unused()
     return [x or b"" for x in array.cast(pa.binary()).to_pylist()]
 
 

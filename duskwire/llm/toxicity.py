@@ -83,7 +83,7 @@ def train(sets: list[np.ndarray], labels: list[int], epochs: int = 5, alpha: flo
     return kept, w[kept]
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 10_000, train_rows: Column | None = None) -> DataFrame:
+def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 8_000, train_rows: Column | None = None) -> DataFrame:
     """Weights (place, weight) learned from about ``sample_rows`` labelled rows, in one task.
 
     ``labels``: doc_id, toxic; null labels are left out. ``train_rows``: condition on doc_id, by default those
@@ -104,9 +104,13 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 10_000, train_row
             )
 
     def learn(table: pa.Table) -> pa.Table:
-        table = table.sort_by("doc_id")
-        sets = [np.frombuffer(x, np.uint32) for x in table.column("features").to_pylist()]
-        place, weight = train(sets, table.column("toxic").to_pylist())
+        blobs = table.column("features").combine_chunks()
+        _, offsets, data = blobs.buffers()
+        at = np.frombuffer(offsets, np.int32)[blobs.offset : blobs.offset + len(blobs) + 1] // 4
+        flat = np.frombuffer(data, np.uint32, at[-1])
+        order = np.argsort(table.column("doc_id").to_numpy(), kind="stable")
+        labels = table.column("toxic").to_numpy()[order].tolist()
+        place, weight = train([flat[at[i] : at[i + 1]] for i in order.tolist()], labels)
         return pa.table({"place": pa.array(place, pa.int64()), "weight": pa.array(weight, pa.float64())})
 
     rows = some.mapInArrow(make, FEATURES).withColumn("all", F.lit(0))
