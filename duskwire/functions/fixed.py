@@ -86,7 +86,6 @@ PROHIBITED_PATTERNS = [
     (rf"{after('c')}hild{SPACE}+(?:abuse|exploitation|pornograph){STOP}", "child"),
     (rf"{after('r')}ecruit(?:ing|ment){SPACE}+for{SPACE}+(?:jihad|terror){STOP}", "recruit"),
 ]
-MAX_SCAN_CHARS = 500_000
 INTERNAL_HOST_PREFIXES = [
     "localhost", "127.0.0.1", "0.0.0.0", "169.254.", "10.", "172.16.", "172.17.", "172.18.",
     "172.19.", "172.20.", "172.21.", "172.22.", "172.23.", "172.24.", "172.25.", "172.26.",

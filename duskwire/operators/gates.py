@@ -19,9 +19,11 @@ def policy(refs: DataFrame, sources: DataFrame, denylist: DataFrame | None = Non
     """One decision row per candidate; the first failing rule blocks it.
 
     ``refs``: source_id, url, content_type, size_bytes. ``sources``: the registry.
-    ``denylist``: optional column ``host``. A blocked row keeps its decision and has no event id.
+    ``denylist``: optional column ``host``. A blocked row keeps its decision and has no
+    event id; a candidate of a source that is not registered is blocked as ``unknown_source``.
     """
-    joined = refs.join(sources, "source_id")
+    known = sources.withColumn("_known", F.lit(True))
+    joined = refs.join(known, "source_id", "left")
     joined = joined.withColumn("_type", base_type(F.col("content_type"))).withColumn("_host", pages.host(F.col("url")))
     if denylist is not None:
         denied = denylist.select(F.lower("host").alias("_host"), F.lit(True).alias("_denied")).distinct()
@@ -30,7 +32,8 @@ def policy(refs: DataFrame, sources: DataFrame, denylist: DataFrame | None = Non
         joined = joined.withColumn("_denied", F.lit(None).cast("boolean"))
     status = F.col("authorization_status")
     rule = (
-        F.when(~F.coalesce(F.col("enabled"), F.lit(False)), "source_disabled")
+        F.when(F.col("_known").isNull(), "unknown_source")
+        .when(~F.coalesce(F.col("enabled"), F.lit(False)), "source_disabled")
         .when(~F.coalesce(status.isin("approved", "authorized"), F.lit(False)), "unauthorized")
         .when((status == "authorized") & (F.coalesce(F.col("authorization_ref"), F.lit("")) == ""), "missing_auth_ref")
         .when(~F.coalesce(F.col("_type").isin(fixed.ALLOWED_CONTENT_TYPES), F.lit(False)), "content_type_blocked")
@@ -46,7 +49,7 @@ def policy(refs: DataFrame, sources: DataFrame, denylist: DataFrame | None = Non
     ).withColumn(
         "event_id",
         F.when(F.col("rule_hit").isNull(), name_uuid(F.concat_ws("|", F.lit("event"), "source_id", "url"))),
-    ).drop("_type", "_host", "_denied")
+    ).drop("_type", "_host", "_denied", "_known")
 
 
 def mime_allowed(content_type: Column) -> Column:
@@ -55,10 +58,8 @@ def mime_allowed(content_type: Column) -> Column:
     return ~base_type(content_type).rlike(pattern)
 
 
-def content_allowed(text: Column, max_chars: int = fixed.MAX_SCAN_CHARS) -> Column:
-    """False if one of the prohibited patterns occurs in the scanned part of the text."""
-    scanned = F.when(F.length(text) > max_chars, F.substring(text, 1, max_chars)).otherwise(text)
-
+def content_allowed(text: Column) -> Column:
+    """False if one of the prohibited patterns occurs anywhere in the text."""
 
     def clean(low: Column) -> Column:
         hit = F.lit(False)
@@ -67,7 +68,7 @@ def content_allowed(text: Column, max_chars: int = fixed.MAX_SCAN_CHARS) -> Colu
             hit = hit | (F.contains(low, F.lit(word)) & low.rlike(pattern))
         return ~hit
 
-    return bind(F.lower(scanned), clean)
+    return bind(F.lower(text), clean)
 
 
 def retained(events: DataFrame, sources: DataFrame, at: Column) -> DataFrame:

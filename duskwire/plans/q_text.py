@@ -78,8 +78,8 @@ def gate_mime(spark, sf):
 
 SQL_CONTENT = """
 with t as (select doc_id, text || case doc_id % 11 when 3 then ' Recruiting  for terror.' when 5 then ' CHILD abuse' when 7 then ' grandchild abuse' else '' end as text from documents)
-select doc_id, not (regexp_matches(substr(text, 1, 500000), '(?i)\\b(child\\s+(?:abuse|exploitation|pornograph))\\b')
-  or regexp_matches(substr(text, 1, 500000), '(?i)\\b(recruit(?:ing|ment)\\s+for\\s+(?:jihad|terror))\\b')) as allowed
+select doc_id, not (regexp_matches(text, '(?i)\\b(child\\s+(?:abuse|exploitation|pornograph))\\b')
+  or regexp_matches(text, '(?i)\\b(recruit(?:ing|ment)\\s+for\\s+(?:jihad|terror))\\b')) as allowed
 from t""".replace("\\\\", "\\")
 
 

@@ -153,3 +153,23 @@ def test_robots(spark):
     rules = gates.robots_rules(spark.createDataFrame([("a.onion", text)], "domain string, text string"), "ours")
     urls = spark.createDataFrame([("http://a.onion/x",), ("http://a.onion/private/1",), ("http://b.onion/private",)], "url string")
     assert {r["url"] for r in gates.robots_allowed(urls, rules).collect()} == {"http://a.onion/x", "http://b.onion/private"}
+
+
+def test_prohibited_text_far_into_a_page_is_found(spark):
+    from pyspark.sql import functions as F
+
+    from duskwire.operators import gates
+
+    df = spark.createDataFrame([("x " * 300_000 + "recruiting for terror",), ("x " * 300_000,)], "text string")
+    assert [r.ok for r in df.select(gates.content_allowed(F.col("text")).alias("ok")).collect()] == [False, True]
+
+
+def test_unregistered_source_keeps_its_decision(spark):
+    from duskwire.operators import gates
+
+    refs = spark.createDataFrame([("s9", "http://a.example/", "text/html", 10)], "source_id string, url string, content_type string, size_bytes long")
+    sources = spark.createDataFrame(
+        [], "source_id string, authorization_status string, authorization_ref string, enabled boolean, retention_days int, pii_policy string"
+    )
+    row = gates.policy(refs, sources).first()
+    assert (row.decision, row.rule_hit, row.event_id) == ("block", "unknown_source", None)
