@@ -22,9 +22,10 @@ def lookup(key: Column, table: Mapping, default: Column | None = None) -> Column
     return found if default is None else F.coalesce(found, default)
 
 
-def rank_prefix(values: Column, n: int) -> Column:
-    """Distinct values in sorted order, first ``n``."""
-    return F.slice(F.array_sort(F.array_distinct(values)), 1, n)
+def ranked(values: Column, limit: int | None = None) -> Column:
+    """Distinct values in sorted order; the first ``limit`` of them if one is given."""
+    out = F.array_sort(F.array_distinct(values))
+    return out if limit is None else F.slice(out, 1, limit)
 
 
 def first_non_empty(*cols: Column) -> Column:

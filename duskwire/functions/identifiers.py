@@ -16,7 +16,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import fixed
-from .columns import bind, rank_prefix
+from .columns import bind, ranked
 
 HIT_TYPE = (
     "array<struct<kind:string,value:string,normalized:string,start:int,end:int,"
@@ -228,9 +228,10 @@ def ipv4(text: Column, words: Column, offsets: bool) -> Column:
     return _hits(words, fixed.IPV4, "ip", guard=_has(words, "."), offsets=offsets)
 
 
-# a lone dash must not be the first of two, or "-- name" would be found twice
+# a lone dash must not be the first of two, or "-- name" would be found twice; nor two dashes the
+# start of more, or the armor lines of a key would be names
 SIGNATURES = [
-    (rf"^--{fixed.SPACE}*(.+)$", "--"),
+    (rf"^--(?!-){fixed.SPACE}*(.+)$", "--"),
     (rf"^Regards,{fixed.SPACE}*(.+)$", "Regards,"),
     (rf"^Cheers,{fixed.SPACE}*(.+)$", "Cheers,"),
     (rf"^-(?!-){fixed.SPACE}*(.+)$", "-"),
@@ -311,33 +312,33 @@ def extract_all(text: Column, author: Column | None = None, offsets: bool = Fals
     return run(None) if offsets else bind(compact(text), run)
 
 
-def page_entities(text: Column) -> Column:
-    """Identifier lists of a stored page, sorted before the per-list limit."""
+def page_entities(text: Column, limit: int | None = None) -> Column:
+    """Identifier lists of a stored page, distinct and sorted; ``limit`` bounds each list."""
     blocks = F.transform(
         find_all(text, f"(?s){fixed.PGP_BLOCK}"), lambda b: F.substring(F.sha2(b, 256), 1, 16)
     )
     return F.struct(
-        rank_prefix(find_all(text, fixed.PAGE_BTC), 20).alias("btc_addresses"),
-        rank_prefix(find_all(text, fixed.ETH), 20).alias("eth_addresses"),
-        rank_prefix(find_all(text, fixed.PAGE_XMR), 10).alias("xmr_addresses"),
-        rank_prefix(find_all(text, fixed.LOOSE_EMAIL), 20).alias("emails"),
+        ranked(find_all(text, fixed.PAGE_BTC), limit).alias("btc_addresses"),
+        ranked(find_all(text, fixed.ETH), limit).alias("eth_addresses"),
+        ranked(find_all(text, fixed.PAGE_XMR), limit).alias("xmr_addresses"),
+        ranked(find_all(text, fixed.LOOSE_EMAIL), limit).alias("emails"),
         blocks.alias("pgp_keys"),
-        rank_prefix(find_all(text, fixed.LOOSE_HEX40), 10).alias("pgp_fingerprints"),
-        rank_prefix(find_all(text, fixed.ONION_URL), 30).alias("onion_urls"),
-        rank_prefix(find_all(text, fixed.LOOSE_HANDLE), 20).alias("handles"),
+        ranked(find_all(text, fixed.LOOSE_HEX40), limit).alias("pgp_fingerprints"),
+        ranked(find_all(text, fixed.ONION_URL), limit).alias("onion_urls"),
+        ranked(find_all(text, fixed.LOOSE_HANDLE), limit).alias("handles"),
     )
 
 
-def archive_entities(text: Column) -> Column:
-    """Identifier lists of an archived forum page."""
+def archive_entities(text: Column, limit: int | None = None) -> Column:
+    """Identifier lists of an archived forum page; ``limit`` bounds each list."""
     blocks = F.transform(
         find_all(text, f"(?s){fixed.PGP_BLOCK}"), lambda b: F.substring(F.sha2(b, 256), 1, 16)
     )
     return F.struct(
-        rank_prefix(find_all(text, fixed.ARCHIVE_BTC), 20).alias("btc_addresses"),
+        ranked(find_all(text, fixed.ARCHIVE_BTC), limit).alias("btc_addresses"),
         blocks.alias("pgp_key_hashes"),
-        rank_prefix(find_all(text, fixed.LOOSE_EMAIL), 20).alias("emails"),
-        rank_prefix(find_all(text, fixed.ARCHIVE_VENDOR, 1), 10).alias("vendor_handles"),
+        ranked(find_all(text, fixed.LOOSE_EMAIL), limit).alias("emails"),
+        ranked(find_all(text, fixed.ARCHIVE_VENDOR, 1), limit).alias("vendor_handles"),
     )
 
 

@@ -5,7 +5,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import fixed
-from .columns import bind
+from .columns import bind, ranked
 
 
 def strip_html(html: Column) -> Column:
@@ -23,12 +23,12 @@ def strip_html(html: Column) -> Column:
 
 def title(html: Column) -> Column:
     found = F.regexp_extract(html, r"(?i)<title[^>]*>([^<]+)</title>", 1)
-    return F.nullif(F.substring(F.btrim(found, F.lit(" \t\r\n")), 1, 200), F.lit(""))
+    return F.nullif(F.btrim(found, F.lit(" \t\r\n")), F.lit(""))
 
 
 def generator(html: Column) -> Column:
     pattern = f"(?i){fixed.META_GENERATOR}"
-    return F.nullif(F.regexp_extract(F.substring(html, 1, 10_000), pattern, 1), F.lit(""))
+    return F.nullif(F.regexp_extract(html, pattern, 1), F.lit(""))
 
 
 def framework(html: Column) -> Column:
@@ -109,14 +109,14 @@ def join_url(base: Column, href: Column) -> Column:
     )
 
 
-def links(html: Column, base: Column, host_suffix: str = ".onion", limit: int = 50) -> Column:
-    """Distinct resolved links whose host ends with ``host_suffix``, sorted, limited."""
+def links(html: Column, base: Column, host_suffix: str = ".onion", limit: int | None = None) -> Column:
+    """Distinct resolved links whose host ends with ``host_suffix``, sorted; the first ``limit`` if given."""
     hrefs = F.regexp_extract_all(html, F.lit(f"(?i){fixed.HREF}"), F.lit(1))
     full = F.transform(hrefs, lambda h: join_url(base, h))
     kept = F.filter(full, lambda u: F.endswith(host(u), F.lit(host_suffix)))
     # one trailing slash is dropped
     clean = F.transform(kept, lambda u: F.regexp_replace(u, F.lit("/$"), F.lit("")))
-    return F.slice(F.array_sort(F.array_distinct(clean)), 1, limit)
+    return ranked(clean, limit)
 
 
 def allowed_target(url: Column) -> Column:

@@ -96,8 +96,8 @@ def actor_counts(actors: DataFrame, links: DataFrame, status: str | None = None)
     )
 
 
-def intel_package(actors: DataFrame, entities: DataFrame, entity_limit: int | None = 5000) -> DataFrame:
-    """Actors and entities in one eight-column layout; the entity limit is part of the export."""
+def intel_package(actors: DataFrame, entities: DataFrame, entity_limit: int | None = None) -> DataFrame:
+    """Actors and entities in one eight-column layout; ``entity_limit`` bounds the entities by id."""
     chosen = entities.orderBy("entity_id").limit(entity_limit) if entity_limit else entities
     blank = F.lit("")
     left = actors.select(
@@ -163,6 +163,6 @@ def stix_bundles(objects: DataFrame, part_size: int = PART_SIZE) -> DataFrame:
     body = F.array_join(F.transform(ordered, lambda o: o["object_json"]), ",")
     return split_parts(objects, ["actor_id"], "object_id", part_size).groupBy("actor_id", "part").agg(
         F.concat(
-            F.lit('{"type":"bundle","id":"bundle--'), F.substring("actor_id", 1, 8), F.lit('","objects":['), body, F.lit("]}")
+            F.lit('{"type":"bundle","id":"bundle--'), F.col("actor_id"), F.lit('","objects":['), body, F.lit("]}")
         ).alias("bundle_json")
     )

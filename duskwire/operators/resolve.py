@@ -24,7 +24,11 @@ def entity_id(kind: Column, normalized: Column) -> Column:
 
 
 def entity_spans(hits: DataFrame) -> DataFrame:
-    """First and last sighting per (kind, normalized); the value is that of the earliest event."""
+    """First and last sighting per (kind, normalized); the value is that of the earliest event.
+
+    Hits with ``metadata`` give their ``currency`` too, which the address form decides.
+    """
+    currency = [F.max(F.col("metadata")["currency"]).alias("currency")] if "metadata" in hits.columns else []
     return (
         hits.groupBy("kind", "normalized")
         .agg(
@@ -32,6 +36,7 @@ def entity_spans(hits: DataFrame) -> DataFrame:
             F.max("observed_at").alias("last_seen"),
             F.min_by("value", F.struct("observed_at", "event_id", "hit_pos")).alias("value"),
             F.count(F.lit(1)).alias("sightings"),
+            *currency,
         )
         .withColumn("entity_id", entity_id(F.col("kind"), F.col("normalized")))
     )

@@ -14,8 +14,8 @@ def co_spent_clusters(inputs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     per_tx = inputs.groupBy("txid").agg(
         F.count(F.lit(1)).alias("size"), F.min_by("address", "pos").alias("first_address")
-    ).filter("size >= 2").withColumn("cluster_id", F.concat(F.lit("cluster_"), F.substring("first_address", 1, 16)))
-    # a later transaction with the same key overwrites the size
+    ).filter("size >= 2").withColumn("cluster_id", F.concat(F.lit("cluster_"), "first_address"))
+    # a later transaction with the same first address overwrites the size
     clusters = per_tx.groupBy("cluster_id").agg(F.max_by("size", "txid").alias("size"))
     members = inputs.join(per_tx.select("txid", "cluster_id"), "txid").select("cluster_id", "address").distinct()
     return clusters, members

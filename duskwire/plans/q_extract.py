@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import identifiers as ids
+from ..functions.columns import bind
 from .inputs import ctes, derived
 from .registry import query
 
@@ -115,7 +116,7 @@ def ext_ipv4(spark, sf):
 SIGN_ROWS = "\nunion all\n".join(
     f"select post_id, {i} as o, trim(value, ' ' || chr(9) || chr(10) || chr(13)) as value from ({_all(p, 1)}) t{i}"
     for i, p in enumerate([
-        r"(?m)^--\s*(.+)$", r"(?m)^Regards,\s*(.+)$", r"(?m)^Cheers,\s*(.+)$", r"(?m)^-\s*([^-\s].*)$",
+        r"(?m)^--(\s+.+|[^-\s].*)$", r"(?m)^Regards,\s*(.+)$", r"(?m)^Cheers,\s*(.+)$", r"(?m)^-\s*([^-\s].*)$",
     ])
 )
 SQL_HANDLE = POSTS + f""", signs as ({SIGN_ROWS})
@@ -184,19 +185,26 @@ def ext_offsets(spark, sf):
 
 
 def _list_rows(spark, sf, table_sql_name: str, fn, fields: list[str]) -> DataFrame:
-    base = derived(spark, sf, table_sql_name).select("post_id", fn(F.col("text")).alias("e"))
-    rows = None
-    for f in fields:
-        part = base.select("post_id", F.lit(f).alias("list"), F.explode(f"e.{f}").alias("value"))
-        rows = part if rows is None else rows.unionByName(part)
-    return rows
+    """(post_id, list, value) of all lists in one scan."""
 
+    def named(name: str, values: Column) -> Column:
+        return F.transform(values, lambda v: F.struct(F.lit(name).alias("list"), v.alias("value")))
 
-def _list_sql(lists: list[tuple[str, str, int, int, str]], cap_all: bool = True) -> str:
+    def entries(e: Column) -> Column:
+        return F.concat(*[named(f, e[f]) for f in fields])
+
+    posts = derived(spark, sf, table_sql_name)
+    # the outer form keeps Spark from repeating the extraction in a filter on its result
+    rows = posts.select("post_id", F.explode_outer(bind(fn(F.col("text")), entries)).alias("l"))
+    return rows.filter("l is not null").select("post_id", "l.list", "l.value")
+
+
+def _list_sql(lists: list[tuple[str, str, int, bool, str]]) -> str:
+    """``lists``: name, pattern, group, distinct or not, value."""
     out = []
-    for name, pattern, group, cap, value in lists:
+    for name, pattern, group, distinct, value in lists:
         found = f"regexp_extract_all(text, '{pattern}', {group})"
-        chosen = f"list_sort(list_distinct({found}))[1:{cap}]" if cap else found
+        chosen = f"list_distinct({found})" if distinct else found
         out.append(f"select post_id, '{name}' as list, {value} as value from (select post_id, unnest({chosen}) as v from posts) t")
     return POSTS + "\n" + "\nunion all\n".join(out)
 
@@ -209,24 +217,24 @@ PAGE_FIELDS = ["btc_addresses", "eth_addresses", "xmr_addresses", "emails", "pgp
 
 
 @query("ext_page", _list_sql([
-    ("btc_addresses", rf"\b((?:1|3){B58}{{25,34}}|bc1[a-zA-HJ-NP-Z0-9]{{25,62}})\b", 1, 20, "v"),
-    ("eth_addresses", r"\b(0x[0-9a-fA-F]{40})\b", 1, 20, "v"),
-    ("xmr_addresses", rf"\b(4[0-9AB]{B58}{{93}})\b", 1, 10, "v"),
-    ("emails", LOOSE_MAIL_U, 0, 20, "v"),
-    ("pgp_keys", BLOCK, 0, 0, "substr(sha256(v), 1, 16)"),
-    ("pgp_fingerprints", "[0-9A-Fa-f]{40}", 0, 10, "v"),
-    ("onion_urls", r"https?://[a-z2-7]{56}\.onion[^\s\"''<>]*", 0, 30, "v"),
-    ("handles", r"@[\pL\p{Nd}_]{3,30}", 0, 20, "v"),
+    ("btc_addresses", rf"\b((?:1|3){B58}{{25,34}}|bc1[a-zA-HJ-NP-Z0-9]{{25,62}})\b", 1, True, "v"),
+    ("eth_addresses", r"\b(0x[0-9a-fA-F]{40})\b", 1, True, "v"),
+    ("xmr_addresses", rf"\b(4[0-9AB]{B58}{{93}})\b", 1, True, "v"),
+    ("emails", LOOSE_MAIL_U, 0, True, "v"),
+    ("pgp_keys", BLOCK, 0, False, "substr(sha256(v), 1, 16)"),
+    ("pgp_fingerprints", "[0-9A-Fa-f]{40}", 0, True, "v"),
+    ("onion_urls", r"https?://[a-z2-7]{56}\.onion[^\s\"''<>]*", 0, True, "v"),
+    ("handles", r"@[\pL\p{Nd}_]{3,30}", 0, True, "v"),
 ]))
 def ext_page(spark, sf):
     return _list_rows(spark, sf, "posts", ids.page_entities, PAGE_FIELDS)
 
 
 @query("ext_archive", _list_sql([
-    ("btc_addresses", rf"\b((?:1|3){B58}{{25,34}})\b", 1, 20, "v"),
-    ("pgp_key_hashes", BLOCK, 0, 0, "substr(sha256(v), 1, 16)"),
-    ("emails", LOOSE_MAIL_U, 0, 20, "v"),
-    ("vendor_handles", r"(?i)(?:vendor|seller|shop)\s*:\s*(\S+)", 1, 10, "v"),
+    ("btc_addresses", rf"\b((?:1|3){B58}{{25,34}})\b", 1, True, "v"),
+    ("pgp_key_hashes", BLOCK, 0, False, "substr(sha256(v), 1, 16)"),
+    ("emails", LOOSE_MAIL_U, 0, True, "v"),
+    ("vendor_handles", r"(?i)(?:vendor|seller|shop)\s*:\s*(\S+)", 1, True, "v"),
 ]))
 def ext_archive(spark, sf):
     return _list_rows(
@@ -235,11 +243,11 @@ def ext_archive(spark, sf):
 
 
 @query("ext_contact_field", _list_sql([
-    ("emails", LOOSE_MAIL_U, 0, 0, "v"),
-    ("pgp_fingerprints", "[0-9A-Fa-f]{40}", 0, 0, "v"),
-    ("pgp_short_ids", "0x[0-9A-Fa-f]{8,16}", 0, 0, "v"),
-    ("urls", r"https?://[\w./?&=%-]+", 0, 0, "v"),
-    ("handles", r"@[\pL\p{Nd}_]{3,30}", 0, 0, "v"),
+    ("emails", LOOSE_MAIL_U, 0, False, "v"),
+    ("pgp_fingerprints", "[0-9A-Fa-f]{40}", 0, False, "v"),
+    ("pgp_short_ids", "0x[0-9A-Fa-f]{8,16}", 0, False, "v"),
+    ("urls", r"https?://[\w./?&=%-]+", 0, False, "v"),
+    ("handles", r"@[\pL\p{Nd}_]{3,30}", 0, False, "v"),
 ]))
 def ext_contact_field(spark, sf):
     return _list_rows(

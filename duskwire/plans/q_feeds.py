@@ -12,7 +12,7 @@ from ..sources import feeds, readers
 from . import inputs
 from .inputs import Duck, Spark, derived, spark_sql, table
 from .q_text import redaction_ctes
-from .registry import query
+from .registry import ORACLES, query
 
 NOW = "2024-06-01 00:00:00"
 
@@ -67,7 +67,7 @@ def _landed(d, name: str) -> str:
                       "name_value": f"'s' || {c} || '.example.com' || chr(92) || 'n*.s' || {c} || '.example.com' || chr(92) || 'n' || case when c_custkey % 3 = 0 then 'abc' || {c} || '.onion' else ' x.example.org ' end",
                       "issuer_name": "'CA'", "entry_timestamp": stamp},
         "feed_sslbl": {"sha1": f"substr({d.sha(c)}, 1, 40)", "subject": f"'CN=' || c_name", "issuer": "'self'", "reason": "case when c_custkey % 2 = 0 then 'C&C' else 'spam' end"},
-        "feed_rule": {"title": "c_name", "id": f"'rule-' || {c}", "level": "case when c_custkey % 2 = 0 then 'high' else 'low' end",
+        "feed_rule": {"title": "c_name", "id": f"'rule-' || {c}", "description": f"repeat('rule ' || {c} || ' ', 90)", "level": "case when c_custkey % 2 = 0 then 'high' else 'low' end",
                       "tags": f"=case when c_custkey % 5 = 0 then '[]' else '[\"attack.t1' || lpad({s('c_custkey % 600')}, 3, '0') || '\", \"attack.g0032\", \"attack.g9' || lpad({s('c_custkey % 600')}, 3, '0') || '\"]' end"},
         "feed_key": {"fingerprint": f"upper(substr({d.sha(c)}, 1, 40))", "email": f"'k' || {c} || '@example.com'",
                      "found": "=case when c_custkey % 3 = 0 then 'false' else 'true' end"},
@@ -317,12 +317,12 @@ def feed_sslbl(spark, sf):
 
 @query("feed_rule", _sql(
     "feed_rule",
-    r"""json_extract_string(j, '$.title') as rule_title, json_extract_string(j, '$.level') as level,
+    r"""json_extract_string(j, '$.title') as rule_title, json_extract_string(j, '$.level') as level, json_extract_string(j, '$.description') as description,
     'T' || regexp_extract(json_extract_string(j, '$.tags[0]'), 't(\d{4})', 1) as techniques,
     'lazarus,g' || regexp_extract(json_extract_string(j, '$.tags[2]'), 'g(\d{4})', 1) as actors""",
     where="where json_array_length(j, '$.tags') > 0"))
 def feed_rule(spark, sf):
-    return _feed(spark, sf, "feed_rule").select("k", "rule_title", "level", *_join("techniques", "actors"), "observed_at", "content_hash")
+    return _feed(spark, sf, "feed_rule").select("k", "rule_title", "level", "description", *_join("techniques", "actors"), "observed_at", "content_hash")
 
 
 @query("feed_key", _sql("feed_key", f"{_js('fingerprint')} as fingerprint, {_js('email')} as email", where="where cast(json_extract_string(j, '$.found') as boolean)"))
@@ -398,8 +398,8 @@ def src_replay(spark, sf):
 
 @query("src_archive", inputs.ctes("posts") + r"""
 , t as (select 'cat' || post_id % 4 || '/p' || post_id || '.html' as path, trim(regexp_replace(regexp_replace(text, '<[^>]+>', ' ', 'g'), '[\s\pZ]+', ' ', 'g')) as text from posts),
-e as (select *, list_distinct(regexp_extract_all(text, '\b((?:1|3)[1-9A-HJ-NP-Za-km-z]{25,34})\b', 1))[1:20] as b, regexp_extract_all(text, '(?s)-----BEGIN PGP PUBLIC KEY BLOCK-----.*?-----END PGP PUBLIC KEY BLOCK-----') as p,
-  list_distinct(regexp_extract_all(text, '[\pL\p{Nd}_.+-]+@[\pL\p{Nd}_-]+\.[\pL\p{Nd}_.-]+'))[1:20] as m, list_distinct(regexp_extract_all(text, '(?i)(?:vendor|seller|shop)\s*:\s*(\S+)', 1))[1:10] as v from t where length(text) >= 50)
+e as (select *, list_distinct(regexp_extract_all(text, '\b((?:1|3)[1-9A-HJ-NP-Za-km-z]{25,34})\b', 1)) as b,regexp_extract_all(text, '(?s)-----BEGIN PGP PUBLIC KEY BLOCK-----.*?-----END PGP PUBLIC KEY BLOCK-----') as p,
+  list_distinct(regexp_extract_all(text, '[\pL\p{Nd}_.+-]+@[\pL\p{Nd}_-]+\.[\pL\p{Nd}_.-]+')) as m, list_distinct(regexp_extract_all(text, '(?i)(?:vendor|seller|shop)\s*:\s*(\S+)', 1)) as v from t where length(text) >= 50)
 select path, split_part(path, '/', 1) as category, cast(length(text) as bigint) as text_length, len(b) + len(p) + len(m) + len(v) as n from e where len(b) + len(p) + len(m) + len(v) > 0""")
 def src_archive(spark, sf):
     files = derived(spark, sf, "posts").select(F.expr("'cat' || post_id % 4 || '/p' || post_id || '.html'").alias("path"), F.col("text").alias("html"))
@@ -427,17 +427,21 @@ def _set_part(spark, sf, name: str) -> DataFrame:
     return _feed(spark, sf, name).select("k", F.lit(name).alias("feed"), "record_type", "observed_at", "content_hash")
 
 
-def _set_sql(name: str, record: str, time: str) -> str:
-    return f"select k, '{name}' as feed, '{record}' as record_type, observed_at, content_hash from ({_sql(name, '1 as one', time)}) t"
+def _set_sql(name: str) -> str:
+    """Rows of one feed from its own reference SQL; that of the recent posts is cut to a week there."""
+    rows = ORACLES[name]
+    if name == "feed_ransom_recent":
+        when = TIME.format(_js("date"))
+        rows = _sql(name, "1 as one", when, f"where try_cast({when} as timestamp) is not null")
+    record = feeds.FEEDS[name].record_type
+    return f"select k, '{name}' as feed, '{record}' as record_type, observed_at, content_hash from ({rows}) t"
 
 
-@query("set_feeds", "\nunion all\n".join([
-    _set_sql("feed_sample", "malware_sample_metadata", TIME.format(_js("first_seen"))),
-    _set_sql("feed_relay", "tor_relay", TIME.format(_js("first_seen"))),
-    _set_sql("feed_cert", "certificate", TIME.format(_js("entry_timestamp"))),
-]))
+@query("set_feeds", "\nunion all\n".join(_set_sql(name) for name in feeds.FEEDS))
 def set_feeds(spark, sf):
-    out = _set_part(spark, sf, "feed_sample")
-    for name in ("feed_relay", "feed_cert"):
-        out = out.unionByName(_set_part(spark, sf, name))
+    """All feeds in one layout."""
+    out = None
+    for name in feeds.FEEDS:
+        part = _set_part(spark, sf, name)
+        out = part if out is None else out.unionByName(part)
     return out

@@ -72,7 +72,7 @@ TX = ctes("tx_inputs")
 
 @query("gr_wallet_cluster", TX + """
 , t as (select txid, count(*) as size, arg_min(address, pos) as f from tx_inputs group by txid having count(*) >= 2)
-select 'cluster_' || substr(f, 1, 16) as cluster_id, arg_max(size, txid) as size from t group by 1""")
+select 'cluster_' || f as cluster_id, arg_max(size, txid) as size from t group by 1""")
 def gr_wallet_cluster(spark, sf):
     clusters, _ = wallets.co_spent_clusters(derived(spark, sf, "tx_inputs"))
     return clusters.select("cluster_id", "size")
@@ -80,7 +80,7 @@ def gr_wallet_cluster(spark, sf):
 
 @query("gr_wallet_members", TX + """
 , t as (select txid, arg_min(address, pos) as f from tx_inputs group by txid having count(*) >= 2)
-select distinct 'cluster_' || substr(f, 1, 16) as cluster_id, address from tx_inputs join t using (txid)""")
+select distinct 'cluster_' || f as cluster_id, address from tx_inputs join t using (txid)""")
 def gr_wallet_members(spark, sf):
     return wallets.co_spent_clusters(derived(spark, sf, "tx_inputs"))[1]
 

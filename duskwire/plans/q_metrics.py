@@ -57,9 +57,9 @@ def agg_health(spark, sf):
 
 
 @query("agg_entity_totals", ctes("posts") + r"""
-select 'emails' as entity_type, cast(sum(len(list_distinct(regexp_extract_all(text, '[\pL\p{Nd}_.+-]+@[\pL\p{Nd}_-]+\.[\pL\p{Nd}_.-]+'))[1:20])) as bigint) as n from posts
+select 'emails' as entity_type, cast(sum(len(list_distinct(regexp_extract_all(text, '[\pL\p{Nd}_.+-]+@[\pL\p{Nd}_-]+\.[\pL\p{Nd}_.-]+')))) as bigint) as n from posts
 union all select 'pgp_key_hashes', cast(sum(len(regexp_extract_all(text, '(?s)-----BEGIN PGP PUBLIC KEY BLOCK-----.*?-----END PGP PUBLIC KEY BLOCK-----'))) as bigint) from posts
-union all select 'btc_addresses', cast(sum(len(list_distinct(regexp_extract_all(text, '\b((?:1|3)[1-9A-HJ-NP-Za-km-z]{25,34})\b', 1))[1:20])) as bigint) from posts""")
+union all select 'btc_addresses', cast(sum(len(list_distinct(regexp_extract_all(text, '\b((?:1|3)[1-9A-HJ-NP-Za-km-z]{25,34})\b', 1)))) as bigint) from posts""")
 def agg_entity_totals(spark, sf):
     from ..functions.identifiers import archive_entities
 
@@ -221,7 +221,7 @@ def snk_batch_export(spark, sf):
 
 @query("snk_intel_export", ACT + f"""
 select 'actor' as type, actor_id as id, label as handle_or_value, 'unknown' as category_or_kind, 'active' as status, '' as confidence, {ISO.format('first_seen')} as first_seen, {ISO.format('last_seen')} as last_seen from actors
-union all select 'entity', entity_id, normalized, kind, '', '', '', '' from (select * from entities order by entity_id limit 5000) e""")
+union all select 'entity', entity_id, normalized, kind, '', '', '', '' from entities""")
 def snk_intel_export(spark, sf):
     actors, _, entities = _actor_tables(spark, sf)
     return reports.intel_package(actors, entities)
@@ -253,12 +253,14 @@ def snk_dossier_json(spark, sf):
 
 
 @query("snk_stix", ACT + """
-select actor_id, 'threat-actor--' || actor_id as object_id, 'threat-actor' as type, label as name from actors
-union all select actor_id, t || '--' || entity_id, t, normalized from (select *, case kind when 'email' then 'email-addr' when 'wallet' then 'x-cryptocurrency-wallet' when 'onion' then 'domain-name' when 'ip' then 'ipv4-addr' end as t from lk) x where t is not null""")
+select actor_id, 'threat-actor--' || actor_id as object_id, 'threat-actor' as type, label as name, cast(null as varchar) as currency from actors
+union all select actor_id, t || '--' || entity_id, t, normalized, case when kind <> 'wallet' then null when regexp_matches(normalized, '^([13]|(?i)bc1)') then 'BTC'
+  when starts_with(normalized, '0x') then 'ETH' when starts_with(normalized, 'T') then 'TRON' else 'XMR' end from (select *, case kind when 'email' then 'email-addr' when 'wallet' then 'x-cryptocurrency-wallet' when 'onion' then 'domain-name' when 'ip' then 'ipv4-addr' end as t from lk) x where t is not null""")
 def snk_stix(spark, sf):
     objects = reports.stix_objects(*_actor_tables(spark, sf))
     field = lambda n: F.get_json_object("object_json", f"$.{n}")
-    return objects.select("actor_id", "object_id", field("type").alias("type"), F.coalesce(field("name"), field("value"), field("address")).alias("name"))
+    name = F.coalesce(field("name"), field("value"), field("address"))
+    return objects.select("actor_id", "object_id", field("type").alias("type"), name.alias("name"), field("currency").alias("currency"))
 
 
 @query("snk_stix_bundle", ACT + """

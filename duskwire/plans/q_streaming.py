@@ -53,36 +53,32 @@ def st_span(spark, sf):
     return drain_updates(jobs.spans(hits), "span", ["kind", "normalized"])
 
 
-@query("st_route", PIPE + """
-, q as (select event_id, case when kind = 'ip' then 'ip' when kind = 'onion' then 'onion' when kind = 'wallet' and regexp_matches(normalized, '^(1|3|bc1)') then 'btc' when kind = 'wallet' and starts_with(normalized, '0x') then 'eth' end as queue, normalized as value from hits),
-n as (select *, count(*) over (partition by event_id, queue) as c from q where queue is not null)
-select queue, count(*) as n, count(distinct value) as n_values from n where c <= case queue when 'btc' then 5 when 'eth' then 5 when 'onion' then 10 else 20 end group by queue""")
+ROUTED = PIPE + """
+, q as (select event_id, case when kind = 'ip' then 'ip' when kind = 'onion' then 'onion' when kind = 'wallet' and regexp_matches(normalized, '^(1|3|bc1)') then 'btc' when kind = 'wallet' and starts_with(normalized, '0x') then 'eth' end as queue, normalized as value from hits)
+"""
+
+
+@query("st_route", ROUTED + "select queue, count(*) as n, count(distinct value) as n_values from q where queue is not null group by queue")
 def st_route(spark, sf):
-    """Each batch goes to one table per queue. Posts with more hits than the cap of a queue are left to the tests."""
+    """Each batch goes to one table per queue."""
     ingested = jobs.ingest(posts_stream(spark, sf)).select("event_id", "decision", "hits")
 
     def of(queue: str):
         return lambda batch: jobs.lookup_requests(batch).filter(F.col("queue") == queue)
 
-    tables = fan_out(ingested, "route", {q: of(q) for q in jobs.LOOKUP_CAPS})
+    tables = fan_out(ingested, "route", {q: of(q) for q in jobs.QUEUES})
     out = None
     for t in tables.values():
         out = t if out is None else out.unionByName(t)
-    crowded = out.groupBy("event_id", "queue").agg(F.count(F.lit(1)).alias("c"))
-    caps = F.create_map(*[x for k, v in jobs.LOOKUP_CAPS.items() for x in (F.lit(k), F.lit(v))])
-    whole = crowded.filter(F.col("c") <= caps[F.col("queue")]).select("event_id", "queue")
-    return out.join(whole, ["event_id", "queue"], "left_semi").groupBy("queue").agg(
-        F.count(F.lit(1)).alias("n"), F.count_distinct("value").alias("n_values")
-    )
+    return out.groupBy("queue").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("value").alias("n_values"))
 
 
-@query("al_route", PIPE + " select kind, count(*) as n from hits where kind in ('ip', 'onion') group by kind")
+@query("al_route", ROUTED + "select event_id, queue, value from q where queue is not null")
 def al_route(spark, sf):
-    """Lookup requests of all posts as a batch; no post has more than the cap of these two queues."""
+    """Lookup requests of all posts as a batch."""
     from .inputs import derived
 
-    requests = jobs.lookup_requests(jobs.ingest(derived(spark, sf, "posts")))
-    return requests.filter(F.col("queue").isin("ip", "onion")).groupBy(F.col("queue").alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+    return jobs.lookup_requests(jobs.ingest(derived(spark, sf, "posts")))
 
 
 @query("ingest_batch", PIPE + " select event_id, kind, normalized from hits")

@@ -49,6 +49,7 @@ SQL_POLICY = ctes("refs", "sources") + """
 select source_id, doc_id, rule_hit, case when rule_hit is not null then 'block' when contains(pii_policy, 'redact') then 'redact_allow' else 'allow' end as decision,
   rule_hit is not null as blocked
 from (select *, case
+  when authorization_status is null then 'unknown_source'
   when not enabled then 'source_disabled'
   when authorization_status not in ('approved', 'authorized') then 'unauthorized'
   when authorization_status = 'authorized' and authorization_ref is null then 'missing_auth_ref'
@@ -56,13 +57,14 @@ from (select *, case
   when size_bytes > 10485760 then 'size_exceeded'
   when regexp_extract(url, '://([^/]+)', 1) in ('n7.example.com', 'n11.example.com') then 'domain_denied'
   when retention_days <= 0 then 'no_retention' end as rule_hit
-  from refs join sources using (source_id)) t"""
+  from (select * replace (case when doc_id % 17 = 0 then 'ghost' else source_id end as source_id) from refs) r left join sources using (source_id)) t"""
 
 
 @query("gate_policy", SQL_POLICY)
 def gate_policy(spark, sf):
+    # some candidates name a source that is not registered
+    refs = derived(spark, sf, "refs").withColumn("source_id", F.when(F.col("doc_id") % 17 == 0, "ghost").otherwise(F.col("source_id")))
     # denied hosts come from the reference list itself
-    refs = derived(spark, sf, "refs")
     deny = refs.select(pages.host(F.col("url")).alias("host")).filter(F.col("host").isin("n7.example.com", "n11.example.com"))
     out = gates.policy(refs, derived(spark, sf, "sources"), deny)
     return out.select("source_id", "doc_id", "rule_hit", "decision", F.col("event_id").isNull().alias("blocked"))
@@ -163,7 +165,7 @@ def html_strip(spark, sf):
 
 
 @query("html_title", r"""
-select page_id, nullif(substr(trim(regexp_extract(html, '(?i)<title[^>]*>([^<]+)</title>', 1), ' ' || chr(9) || chr(10) || chr(13)), 1, 200), '') as title from pages""")
+select page_id, nullif(trim(regexp_extract(html, '(?i)<title[^>]*>([^<]+)</title>', 1), ' ' || chr(9) || chr(10) || chr(13)), '') as title from pages""")
 def html_title(spark, sf):
     return table(spark, sf, "pages").select("page_id", pages.title(F.col("html")).alias("title"))
 
@@ -174,7 +176,7 @@ MARK = """case page_id % 8 when 0 then '<meta name="generator" content="WordPres
 
 @query("html_fingerprint", f"""
 with p as (select page_id, {MARK} as html from pages)
-select page_id, nullif(regexp_extract(substr(html, 1, 10000), '(?i)<meta\\s+name=["'']generator["'']\\s+content=["'']([^"'']+)["'']', 1), '') as generator,
+select page_id, nullif(regexp_extract(html, '(?i)<meta\\s+name=["'']generator["'']\\s+content=["'']([^"'']+)["'']', 1), '') as generator,
  case when contains(html, 'wp-content') or contains(lower(html), 'wordpress') then 'wordpress' when contains(lower(html), 'drupal') then 'drupal'
   when contains(lower(html), 'joomla') then 'joomla' when contains(html, '__next') then 'nextjs'
   when contains(lower(html), 'flask') or contains(lower(html), 'werkzeug') then 'flask' end as framework
@@ -190,7 +192,7 @@ with h as (select page_id, url, lower(regexp_extract(url, '^([a-z]+)://', 1)) ||
 f as (select page_id, root, case when starts_with(href, 'http') then regexp_extract(href, '^[^?#]*') when starts_with(href, '/') then root || regexp_extract(href, '^[^?#]*')
     when href like '#%' then regexp_extract(url, '^[^?#]*')
     else root || regexp_extract(regexp_extract(url, '://[^/?#]+([^?#]*)', 1), '^(.*/)', 1) || regexp_extract(href, '^[^?#]*') end as full_url from h)
-select page_id, unnest(list_sort(list_distinct(list(regexp_replace(full_url, '/$', ''))))[1:50]) as link
+select page_id, unnest(list_sort(list_distinct(list(regexp_replace(full_url, '/$', ''))))) as link
 from f where lower(regexp_extract(full_url, '://([^/:?#]+)', 1)) like '%.example.com' group by page_id"""
 
 

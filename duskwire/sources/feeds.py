@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed
+from ..functions.columns import ranked
 from ..functions.hashing import content_hash
 from ..functions.identifiers import attack_tags, contact_field
 from ..functions.scores import normalize_group
@@ -120,7 +121,7 @@ def _co_spent() -> Column:
     address = F.col("r.address")
     many = F.filter(_array_of("transactions"), lambda t: F.size(t["vin"]) > 1)
     inputs = F.flatten(F.transform(many, lambda t: F.transform(t["vin"], lambda v: v["prevout"]["scriptpubkey_address"])))
-    return F.slice(F.filter(inputs, lambda a: (a != "") & (a != address)), 1, 20)
+    return F.filter(inputs, lambda a: (a != "") & (a != address))
 
 
 def _array_of(name: str) -> Column:
@@ -129,10 +130,8 @@ def _array_of(name: str) -> Column:
 
 def _counterparties() -> Column:
     address = F.lower("r.address")
-    txs = F.slice(_array_of("transactions"), 1, 25)
-    ends = F.flatten(F.transform(txs, lambda t: F.array(t["from"], t["to"])))
-    others = F.filter(ends, lambda a: (a != "") & (F.lower(a) != address))
-    return F.slice(F.array_sort(F.array_distinct(others)), 1, 20)
+    ends = F.flatten(F.transform(_array_of("transactions"), lambda t: F.array(t["from"], t["to"])))
+    return ranked(F.filter(ends, lambda a: (a != "") & (F.lower(a) != address)))
 
 
 FEEDS: dict[str, Feed] = {
@@ -270,7 +269,7 @@ FEEDS: dict[str, Feed] = {
             "malware_families array<string>, attack_ids array<string>, adversary string, created string, "
             "indicators array<struct<type:string,indicator:string>>",
             lambda: {
-                "pulse_id": _text("id"), "name": _text("name"), "description": F.substring(_text("description"), 1, 500),
+                "pulse_id": _text("id"), "name": _text("name"), "description": _text("description"),
                 "tags": _array("tags"), "adversary": _text("adversary"),
                 "indicators": _array_of("indicators"), "ioc_count": F.coalesce(F.size("r.indicators"), F.lit(0)),
             },
@@ -301,7 +300,7 @@ FEEDS: dict[str, Feed] = {
                 "rule_title": _text("title"), "rule_id": _text("id"), "status": _text("status"), "level": _text("level"),
                 "tags": F.col("r.tags"), "actors": attack_tags(F.col("r.tags"))["actors"],
                 "techniques": attack_tags(F.col("r.tags"))["techniques"], "author": _text("author"),
-                "description": F.substring(_text("description"), 1, 500),
+                "description": _text("description"),
             },
             keep=lambda: F.coalesce(F.size("r.tags") > 0, F.lit(False)),
         ),

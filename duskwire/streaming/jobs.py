@@ -1,6 +1,8 @@
 """Streaming forms of the pipeline: stateless expressions, windows and joins."""
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -79,12 +81,14 @@ def certificates(certs: DataFrame, domains: str = "all_domains") -> DataFrame:
     )
 
 
-# lookups per event, fixed: 5 BTC, 5 ETH, 10 onion, 20 IP
-LOOKUP_CAPS = {"btc": 5, "eth": 5, "onion": 10, "ip": 20}
+QUEUES = ("btc", "eth", "onion", "ip")
+
 
+def lookup_requests(ingested: DataFrame, caps: Mapping[str, int] | None = None) -> DataFrame:
+    """(event_id, queue, value): lookups that the hits of an event ask for, in hit order.
 
-def lookup_requests(ingested: DataFrame) -> DataFrame:
-    """(event_id, queue, value): lookups that the hits of an event ask for, in hit order."""
+    ``caps``: for a queue named there, so many lookups of an event at most.
+    """
 
     def of(kind: str, currency: str | None = None) -> Column:
         kept = F.filter(
@@ -93,13 +97,13 @@ def lookup_requests(ingested: DataFrame) -> DataFrame:
         )
         return F.transform(kept, lambda h: h["normalized"])
 
-    queues = {"btc": of("wallet", "BTC"), "eth": of("wallet", "ETH"), "onion": of("onion"), "ip": of("ip")}
+    values = (of("wallet", "BTC"), of("wallet", "ETH"), of("onion"), of("ip"))
 
-    def requests(name: str, values: Column) -> Column:
-        first = F.slice(values, 1, LOOKUP_CAPS[name])
-        return F.transform(first, lambda v: F.struct(F.lit(name).alias("queue"), v.alias("value")))
+    def requests(name: str, found: Column) -> Column:
+        chosen = F.slice(found, 1, caps[name]) if caps and name in caps else found
+        return F.transform(chosen, lambda v: F.struct(F.lit(name).alias("queue"), v.alias("value")))
 
-    wanted = F.concat(*[requests(name, values) for name, values in queues.items()])
+    wanted = F.concat(*[requests(name, found) for name, found in zip(QUEUES, values)])
     return ingested.filter("decision = 'allow'").select(
         "event_id", F.explode_outer(wanted).alias("q")
     ).filter("q is not null").select("event_id", "q.*")
