@@ -5,7 +5,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import hashing
+from ..lineage import scratch_path
 from ..operators import metrics, provenance, reports, resolve, search
+from ..sources import sinks
 from .inputs import ctes, derived, table
 from .q_entities import ENTITY_UUID, HITS, hits, stored_hits
 from .q_text import uuid5_sql
@@ -272,6 +274,13 @@ def snk_stix_bundle(spark, sf):
     )
 
 
+def _as_csv(df: DataFrame, label: str) -> DataFrame:
+    """``df`` written as CSV and read back."""
+    path = scratch_path(df.sparkSession, f"csv-{label}")
+    sinks.csv(df, path)
+    return sinks.read_csv(df.sparkSession, df.schema, path)
+
+
 @query("snk_csv_evidence", EVID + """
 select evidence_id, 'document' as type, cast(null as varchar) as value, cast(null as varchar) as source_id, 'C' as reliability, cast(3 as bigint) as credibility, content_hash,
   collected_at, cast(n // 100 as varchar) as merkle_batch_id from num""")
@@ -279,13 +288,14 @@ def snk_csv_evidence(spark, sf):
     a = provenance.assign_batches(evidence(spark, sf)).withColumns({
         "type": F.lit("document"), "reliability": F.lit("C"), "credibility": F.lit(3).cast("long"), "merkle_batch_id": F.col("batch_no").cast("string"),
     })
-    return reports.with_columns(a, reports.EVIDENCE_COLUMNS)
+    return _as_csv(reports.with_columns(a, reports.EVIDENCE_COLUMNS), "evidence")
 
 
 @query("snk_csv_entities", HITS + f"""
 select {ENTITY_UUID} as entity_id, kind, normalized, min(observed_at) as first_seen, max(observed_at) as last_seen from hits group by kind, normalized""")
 def snk_csv_entities(spark, sf):
-    return reports.with_columns(resolve.entity_spans(hits(spark, sf)), reports.ENTITY_COLUMNS).drop("value")
+    # which spelling of an entity is kept as its value depends on the order of rows
+    return _as_csv(reports.with_columns(resolve.entity_spans(hits(spark, sf)), reports.ENTITY_COLUMNS), "entities").drop("value")
 
 
 @query("snk_csv_timeline", """
@@ -296,7 +306,7 @@ def snk_csv_timeline(spark, sf):
         F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("handle"),
         F.concat_ws(" ", "event_type", F.col("event_id").cast("string")).alias("summary"), "value",
     )
-    return reports.with_columns(ev, reports.TIMELINE_COLUMNS)
+    return _as_csv(reports.with_columns(ev, reports.TIMELINE_COLUMNS), "timeline")
 
 
 # --- search ---------------------------------------------------------------------------

@@ -1,18 +1,19 @@
 """Streaming queries: file streams over the supplied tables, drained with an available-now trigger.
 
-Reference SQL gives the batch result. For windows it leaves out those that the final watermark
-has not passed, as an append sink does.
+Reference SQL gives the batch result. Windows, sessions and batches that are open after the last
+input are closed by an end mark.
 """
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions.hashing import content_hash
 from ..operators import listings, provenance, resolve
 from ..sources import readers
 from ..streaming import jobs, stateful
-from ..streaming.run import drain, drain_updates, fan_out, table_stream
+from ..streaming.run import drain, drain_closed, drain_updates, ending, fan_out, table_stream
 from .inputs import BUILDERS, Spark, ctes, utc_schema
 from .q_entities import ENTITY_UUID, HITS, watchlist
 from .q_extract import all_hits_sql
@@ -141,12 +142,12 @@ def snk_dlq(spark, sf):
 
 
 def _rate_sql(width: str, slide: str) -> str:
-    """Windows of ``width`` seconds every ``slide`` seconds that end before the final watermark."""
+    """Windows of ``width`` seconds every ``slide`` seconds."""
     return f"""
 with e as (select event_type as source_id, epoch_us(ts) as us from events), k as (select unnest(range(0, {width} // {slide})) as k),
 w as (select source_id, (us // ({slide} * 1000000) - k) * {slide} as s from e, k)
 select make_timestamp(s * 1000000) as window_start, make_timestamp((s + {width}) * 1000000) as window_end, source_id, count(*) as n from w
-where (s + {width}) * 1000000 <= (select max(epoch_us(ts)) // 1000 * 1000 from events) - 600 * 1000000 group by s, source_id"""
+group by s, source_id"""
 
 
 def _typed(spark, sf) -> DataFrame:
@@ -155,23 +156,22 @@ def _typed(spark, sf) -> DataFrame:
 
 @query("st_rate", _rate_sql("300", "300"))
 def st_rate(spark, sf):
-    return drain(jobs.rate(_typed(spark, sf)), "rate")
+    return drain_closed(_typed(spark, sf), "observed_at", jobs.rate, "rate")
 
 
 @query("st_rate_sliding", _rate_sql("3600", "300"))
 def st_rate_sliding(spark, sf):
-    return drain(jobs.rate(_typed(spark, sf), width="1 hour", slide="5 minutes"), "sliding")
+    return drain_closed(_typed(spark, sf), "observed_at", lambda e: jobs.rate(e, width="1 hour", slide="5 minutes"), "sliding")
 
 
 @query("st_session", """
 with e as (select user_id as actor_id, epoch_us(ts) as us from events),
 g as (select *, case when us - lag(us) over (partition by actor_id order by us) < 1800 * 1000000 then 0 else 1 end as fresh from e),
 s as (select *, sum(fresh) over (partition by actor_id order by us rows unbounded preceding) as n from g)
-select make_timestamp(min(us)) as session_start, make_timestamp(max(us) + 1800 * 1000000) as session_end, actor_id, count(*) as n from s group by actor_id, s.n
-having max(us) + 1800 * 1000000 <= (select max(us) // 1000 * 1000 from e) - 600 * 1000000""")
+select make_timestamp(min(us)) as session_start, make_timestamp(max(us) + 1800 * 1000000) as session_end, actor_id, count(*) as n from s group by actor_id, s.n""")
 def st_session(spark, sf):
     ev = events_stream(spark, sf).select(F.col("user_id").alias("actor_id"), F.col("ts").alias("observed_at"))
-    return drain(jobs.sessions(ev), "session")
+    return drain_closed(ev, "observed_at", jobs.sessions, "session")
 
 
 @query("st_watchlist", HITS + f"""
@@ -214,15 +214,17 @@ def st_skew(spark, sf):
 
 @query("st_merkle", """
 with l as (select cast('0x' || substr(md5(cast(doc_id as varchar)), 1, 2) as int) % 4 as shard from documents),
-c as (select shard, count(*) // 20 as n_batches from l group by shard)
-select shard, n_batches, n_batches * 20 as n_leaves, n_batches as n_verified from c where n_batches > 0""")
+c as (select shard, count(*) as n_leaves, (count(*) + 19) // 20 as n_batches from l group by shard)
+select shard, n_batches, n_leaves, n_batches as n_verified from c""")
 def st_merkle(spark, sf):
-    """Batches of 20 leaves per shard, each verified against the batch expression."""
+    """Batches of 20 leaves per shard and the rest, each verified against the batch expression."""
     docs = events_stream(spark, sf, "documents").select(
         F.col("doc_id").cast("string").alias("evidence_id"), content_hash(F.col("text")).alias("content_hash")
     )
     with stateful.rocksdb(spark):
-        closed = drain(stateful.merkle_stream(docs, size=20, timeout_ms=None, shards=4), "merkle")
+        ends, land = ending(spark, StructType.fromDDL("shard int"), "merkle")
+        stream = stateful.merkle_stream(docs, size=20, timeout_ms=None, shards=4, ends=ends)
+        closed = drain(stream, "merkle", lambda: land(spark.range(4).select(F.col("id").cast("int").alias("shard"))))
     again = F.concat(F.lit("sha256:"), provenance.root(F.col("leaves"), 20))
     return closed.groupBy("shard").agg(
         F.count(F.lit(1)).alias("n_batches"), F.sum("leaf_count").alias("n_leaves"), F.count_if(again == F.col("root_hash")).alias("n_verified")

@@ -1,8 +1,9 @@
 """Writers for events, dead letters, entities and exports."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..operators.resolve import merge_entities
 
@@ -36,8 +37,17 @@ def upsert_entities(existing: DataFrame, spans: DataFrame, path: str) -> DataFra
     return existing.sparkSession.read.parquet(path)
 
 
+CSV = {"header": "true", "escape": '"', "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
+
+
 def csv(df: DataFrame, path: str) -> None:
-    df.write.option("header", "true").csv(path)
+    """CSV with a header; quotes are doubled, times keep their microseconds, null and empty are blank."""
+    df.write.options(**CSV).csv(path)
+
+
+def read_csv(spark: SparkSession, schema: StructType, path: str) -> DataFrame:
+    """What ``csv`` has written, values with line breaks included; blanks are null."""
+    return spark.read.schema(schema).options(**CSV, multiLine="true", enforceSchema="false").csv(path)
 
 
 def json_lines(df: DataFrame, path: str) -> None:

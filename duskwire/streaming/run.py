@@ -5,6 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from ..lineage import scratch_path
@@ -22,19 +23,60 @@ def table_stream(spark: SparkSession, path: str, schema: StructType, files_per_t
     return reader.parquet(path)
 
 
-def drain(stream: DataFrame, label: str) -> DataFrame:
-    """Process all available input and return what an append sink has received."""
+def late_rows(query: StreamingQuery) -> int:
+    """Rows that came after the watermark had passed them, over the progress reports that Spark keeps."""
+    return sum(op.numRowsDroppedByWatermark for p in query.recentProgress for op in p.stateOperators)
+
+
+def drain(
+    stream: DataFrame, label: str, then: Callable[[], None] | None = None, late: list[int] | None = None
+) -> DataFrame:
+    """Process all available input and return what an append sink has received.
+
+    With ``then``: it is called after that, and the same query goes on with what has landed meanwhile.
+    ``late`` receives the number of late rows of each run.
+    """
     spark = stream.sparkSession
-    out = scratch_path(spark, f"{label}-out")
-    query = (
-        stream.writeStream.format("parquet").outputMode("append")
-        .option("path", out).option("checkpointLocation", scratch_path(spark, f"{label}-state"))
-        .trigger(availableNow=True).start()
-    )
-    query.awaitTermination()
+    out, state = scratch_path(spark, f"{label}-out"), scratch_path(spark, f"{label}-state")
+
+    def run() -> None:
+        query = (
+            stream.writeStream.format("parquet").outputMode("append")
+            .option("path", out).option("checkpointLocation", state)
+            .trigger(availableNow=True).start()
+        )
+        query.awaitTermination()
+        if late is not None:
+            late.append(late_rows(query))
+
+    run()
+    if then:
+        then()
+        run()
     return spark.read.schema(stream.schema).parquet(out)
 
 
+def ending(spark: SparkSession, schema: StructType, label: str) -> tuple[DataFrame, Callable[[DataFrame], None]]:
+    """(stream, land): a stream without rows until ``land(rows)`` gives it some, as ``then`` of ``drain`` may do."""
+    path = scratch_path(spark, f"{label}-ends")
+    spark.range(0).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in schema]).write.parquet(path)
+    return spark.readStream.schema(schema).parquet(path), lambda rows: rows.write.mode("append").parquet(path)
+
+
+def drain_closed(
+    events: DataFrame, at: str, windows: Callable[[DataFrame], DataFrame], label: str, late: list[int] | None = None
+) -> DataFrame:
+    """All windows of a stream that ends: those still open after the input are closed by an end mark.
+
+    The mark is a row far in the future with nulls elsewhere. It moves the watermark past every
+    window but its own, which therefore stays open and is never seen.
+    """
+    spark = events.sparkSession
+    marks, land = ending(spark, events.schema, label)
+    mark = [F.lit("9999-01-01" if f.name == at else None).cast(f.dataType).alias(f.name) for f in events.schema]
+    return drain(windows(events.unionByName(marks)), label, lambda: land(spark.range(1).select(*mark)), late)
+
+
 def drain_updates(stream: DataFrame, label: str, keys: list[str], mode: str = "update") -> DataFrame:
     """Process all available input of an updating query and return the last row per key.
 

@@ -82,7 +82,7 @@ def merkle_root(leaves: list[str]) -> str:
 
 
 class MerkleBatcher(StatefulProcessor):
-    """Closes a batch at ``size`` leaves, or ``timeout_ms`` after its first leaf if one is set."""
+    """Closes a batch at ``size`` leaves, at a null leaf, or ``timeout_ms`` after its first leaf if one is set."""
 
     def __init__(self, size: int = 100, timeout_ms: int | None = 300_000):
         self.size = size
@@ -115,8 +115,10 @@ class MerkleBatcher(StatefulProcessor):
         done = []
         for chunk in rows:
             for leaf in chunk["content_hash"]:
-                leaves.append(leaf)
-                if len(leaves) >= self.size:
+                ends = pd.isna(leaf)
+                if not ends:
+                    leaves.append(leaf)
+                if leaves and (ends or len(leaves) >= self.size):
                     done.append(self._close(key, leaves))
                     leaves = []
         if leaves:
@@ -145,15 +147,20 @@ def leaf_shard(evidence_id: Column, shards: int) -> Column:
 
 
 def merkle_stream(
-    leaves: DataFrame, size: int = 100, timeout_ms: int | None = 300_000, shards: int = 8
+    leaves: DataFrame, size: int = 100, timeout_ms: int | None = 300_000, shards: int = 8, ends: DataFrame | None = None
 ) -> DataFrame:
     """Closed Merkle batches. Leaves spread over ``shards`` open batches, so no key takes the whole stream.
 
-    ``leaves``: evidence_id, content_hash. With a timeout the query never runs out of batches, so
+    ``leaves``: evidence_id, content_hash; rows without a hash are no leaves. ``ends``: a stream of
+    (shard), whose rows close the open batch of a shard, as at the end of the input. With a timeout the query never runs out of batches, so
     it suits a continuous trigger; without one, batches close by size alone.
     """
-    keyed = leaves.withColumn("shard", leaf_shard(F.col("evidence_id"), shards))
-    return keyed.select("shard", "content_hash").groupBy("shard").transformWithStateInPandas(
+    keyed = leaves.filter("content_hash is not null").select(
+        leaf_shard(F.col("evidence_id"), shards).alias("shard"), "content_hash"
+    )
+    if ends is not None:
+        keyed = keyed.unionByName(ends.select("shard", F.lit(None).cast("string").alias("content_hash")))
+    return keyed.groupBy("shard").transformWithStateInPandas(
         MerkleBatcher(size, timeout_ms),
         "shard int, batch_no long, leaf_count long, root_hash string, leaves array<string>",
         "Append", "None" if timeout_ms is None else "ProcessingTime",
