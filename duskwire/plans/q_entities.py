@@ -132,6 +132,14 @@ def jn_actor_entities(spark, sf):
     return listings.entities_of_actors(links, resolve.entity_spans(h)).select("actor_id", "entity_id", "kind", "normalized")
 
 
+@query("gr_uses", HITS + f"""
+, act as (select event_id, {uuid5_sql("'actor|' || normalized")} as src from hits where kind = 'handle')
+select distinct src, {ENTITY_UUID} as dst, 'USES' as type from act join hits using (event_id)""")
+def gr_uses(spark, sf):
+    """The edges from actors to the entities of their events."""
+    return resolve.edges_uses(resolve.actor_entities(stored_hits(spark, sf)))
+
+
 # --- persona links, evidence, provenance ----------------------------------------
 LINKS_SQL = "select o_orderkey as link_id, o_custkey as actor_a, o_custkey + 1 + o_orderkey % 5 as actor_b, round(o_totalprice / 5000.0, 1) as score from orders"
 

@@ -175,13 +175,16 @@ def rb_alerts(spark, sf):
     )
 
 
-@query("rb_scores", NO_HANDLES + f"""
+SCORES = NO_HANDLES + f"""
 , ty as (select * from {TYPES_SQL} t(k, ratio, family, description)), re as (select * from {values_sql(list(fixed.RELIABILITY.items()))} t(g, rf)),
 cr as (select * from {values_sql(list(fixed.CREDIBILITY.items()))} t(c, cf)),
 adj as (select old_id, new_id, family, ln(coalesce(lr, ratio)::double) * rf::double * cf::double as llr from evid join ty on k = evidence_type join re on g = reliability join cr on c = credibility),
 fam as (select old_id, new_id, case when family = 'temporal' then least(0.5 * sum(llr) + 0.5 * max(llr), 0.5) else 0.5 * sum(llr) + 0.5 * max(llr) end as f from adj group by old_id, new_id, family),
-s as (select old_id, new_id, sum(f) as t from fam group by 1, 2)
-select old_id, new_id, round(100.0::double * 0.001::double * exp(t) / (1 + 0.001::double * exp(t)), 1) as score from s""")
+s as (select old_id, new_id, sum(f) as t from fam group by 1, 2),
+sc as (select old_id, new_id, round(100.0::double * 0.001::double * exp(t) / (1 + 0.001::double * exp(t)), 1) as score from s)"""
+
+
+@query("rb_scores", SCORES + " select old_id, new_id, score from sc")
 def rb_scores(spark, sf):
     """Scores of linked candidates from all evidence but handles."""
     p = derived(spark, sf, "personas")
@@ -194,20 +197,19 @@ TRUTH = """
   where cast(split_part(old_id, '-', 1) as bigint) // 6 = cast(split_part(new_id, '-', 1) as bigint) // 6)"""
 
 
-@query("agg_eval_rebrand", CAND + TRUTH + """
-, sc as (select old_id, new_id, (cast(split_part(old_id, '-', 1) as bigint) * 37 + gap_days * 11) % 101 + 0.0::double as score from cand where gap_days % 5 <> 0),
-c as (select difficulty, count(*) filter (difficulty <> 'decoy' and coalesce(score >= 50, false)) as tp, count(*) filter (difficulty = 'decoy' and coalesce(score >= 50, false)) as fp,
+@query("agg_eval_rebrand", SCORES + TRUTH + """
+, c as (select difficulty, count(*) filter (difficulty <> 'decoy' and coalesce(score >= 50, false)) as tp, count(*) filter (difficulty = 'decoy' and coalesce(score >= 50, false)) as fp,
   count(*) filter (difficulty <> 'decoy' and not coalesce(score >= 50, false)) as fn, round(coalesce(avg(score), 0), 6) as avg_score from truth left join sc using (old_id, new_id) group by difficulty)
 select *, case when tp + fp > 0 then round(tp / (tp + fp)::double, 6) else 0.0 end as "precision", case when tp + fn > 0 then round(tp / (tp + fn)::double, 6) else 0.0 end as recall from c""")
 def agg_eval_rebrand(spark, sf):
+    """The detector's scores against personas of one customer; pairs that share nothing have none."""
     cand = rebrand.candidates(derived(spark, sf, "personas"), at())
     who = lambda c: F.get(F.split(c, "-"), F.lit(0)).cast("long")
     truth = cand.filter(F.floor(who("old_id") / 6) == F.floor(who("new_id") / 6)).select(
         "old_id", "new_id",
         F.when(who("old_id") != who("new_id"), "decoy").when(F.col("gap_days") < 20, "easy").otherwise("hard").alias("difficulty"),
     )
-    scored = cand.filter(F.col("gap_days") % 5 != 0).withColumn("score", ((who("old_id") * 37 + F.col("gap_days") * 11) % 101).cast("double"))
-    out = metrics.evaluate_pairs(truth, scored)
+    out = metrics.evaluate_pairs(truth, rb_scores(spark, sf))
     return out.select("difficulty", "tp", "fp", "fn", *[F.round(c, 6).alias(c) for c in ("avg_score", "precision", "recall")])
 
 
