@@ -11,7 +11,7 @@ import pytest
 from duskwire.llm import licenses, mtree, ngram_join, packing, pii, suffixes, tokencounts, toxicity
 from duskwire.llm.containment import contained_items, without_items
 from duskwire.llm.queries import VOCABULARY
-from duskwire.llm.sharding import sharded
+from duskwire.llm.sharding import propagated, quotas, sharded
 
 WORDS = "alpha beta gamma delta omega zeta theta kappa lambda sigma".split()
 
@@ -269,6 +269,35 @@ def test_sharding(spark, docs, texts, none):
     assert sharded(none).count() == 0
 
 
+def test_sharding_keeps_groups_whole_where_they_fit(spark):
+    sizes = {"a": 400, **{f"b{k}": 60 for k in range(8)}, **{f"c{k}": 10 for k in range(30)}, **{f"d{k}": 2 for k in range(60)}}
+    rows = [(k, t) for t, n in sizes.items() for k in range(n)]
+    rows = [(i, t) for i, (_, t) in enumerate(rows + [(0, f"own {k}") for k in range(200)])]
+    out = sharded(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), shards=8).collect()
+    at = defaultdict(set)
+    for r in out:
+        at[dict(rows)[r.doc_id]].add(r.shard)
+    # 1,500 rows, 187 or 188 a shard
+    assert len(at["a"]) == 3 and all(len(at[t]) == 1 for t in sizes if t != "a")
+
+
+def test_label_propagation_ends_where_no_move_helps(spark):
+    r = np.random.default_rng(8)
+    links = {(int(a), int(b)) for a, b in r.integers(0, 60, (120, 2)) if a != b} | {(k, k + 1) for k in range(60, 80)}
+    df = spark.createDataFrame(sorted(links), "src long, dst long")
+    out = {x.id: x for x in propagated(spark.range(100), df, 5).collect()}
+    load = [sum(x.linked and x.shard == j for x in out.values()) for j in range(5)]
+    quota = quotas(100, 5)
+    assert len(out) == 100 and all(a <= b for a, b in zip(load, quota, strict=True))
+    near = defaultdict(set)
+    for a, b in links:
+        near[a].add(b)
+        near[b].add(a)
+    for i, some in near.items():
+        n = [sum(out[x].shard == j for x in some) for j in range(5)]
+        assert all(n[j] <= n[out[i].shard] for j in range(5) if load[j] < quota[j])
+
+
 def test_token_counts(docs, texts, none):
     import json
 
