@@ -1,7 +1,7 @@
 """Personal data by fixed forms and by bootstrapped contextual extraction.
 
-The fixed forms (e-mail, IP, card, phone) are the seeds. Each stands in a lexical pattern: the word before
-it, the word after it, and the shape of the identifier. Spark scores the graph between patterns and
+The fixed forms (e-mail, IP, card, phone) are the seeds. Each stands in lexical patterns: the word before
+it, the word after it, and both; its shape is a pattern of little weight. Spark scores the graph between patterns and
 instances in rounds: a pattern is worth the share of its instances that are known, an instance is worth
 what its patterns say together. Patterns of high worth name identifiers that no form covers.
 """
@@ -29,15 +29,24 @@ _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"(?<![0-9])[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile("[0-9]")
-#: What may be an identifier beyond the forms: a run that holds a digit or an @.
-_TOKEN = re.compile(r"[A-Za-z0-9@._%+()-]++")
+#: What may be an identifier beyond the forms: a run that holds a digit, an @ or a bracketed "at", digits parted
+#: by blanks, or words around a bracketed one.
+_NUMBER = r"[+(\[]{0,3}+[0-9][0-9()\[\]./-]*+(?![A-Za-z@_%+])"
+_WORD = r"[A-Za-z0-9@._%+-]++"
+_CANDIDATE = re.compile(
+    rf"{_NUMBER}(?:\x20{{1,2}}{_NUMBER})*+|{_WORD}(?:\x20?[(\[{{]\x20?[A-Za-z]++\x20?[)\]}}]\x20?{_WORD})++|[A-Za-z0-9@._%+()-]++"
+)
+_AT = re.compile(r"[(\[{]\x20?at\x20?[)\]}]", re.I)
+_PIECE = re.compile(r"[^\x20]++")
+#: The most that a shape alone is worth, which is too little to promote or to extract.
+_SHAPE_WORTH = 0.3
 _WORD_BEFORE = re.compile(r"([^\W\d_]+)[^\w]*\Z")
 _WORD_AFTER = re.compile(r"[^\w]*([^\W\d_]+)")
 _NEAR = 40
 
 FOUND = (
     "doc_id long, key long, base array<struct<start:long,kind:int,end:long>>, "
-    "seen array<struct<start:long,end:long,kind:int,instance:long,before:long,after:long>>"
+    "seen array<struct<start:long,end:long,kind:int,chain:long,instance:long,before:long,after:long,both:long,form:long>>"
 )
 
 
@@ -95,34 +104,47 @@ def shape(value: str) -> str:
     return "".join(out) if len(out) < 12 else "".join(dict.fromkeys(x[0] for x in out)) + str(len(value).bit_length())
 
 
-def occurrences(text: str, base: list[tuple[int, int, int]]) -> list[tuple]:
-    """(start, end, kind or -1, instance, before, after) of seeds and of other tokens with a digit or an @.
+def candidates(text: str, covered: list[tuple[int, int]]) -> Iterator[tuple[int, int, int]]:
+    """(start, end, chain) of what may be an identifier and overlaps nothing ``covered``.
 
-    A pattern is the hash of the nearest word on one side together with the shape of the identifier.
+    Pieces parted by blanks are listed together and each alone, with the place of the first as their chain.
     """
-    spans = [(a, z, k) for a, k, z in base]
-    if "@" in text or _DIGIT.search(text):
-        covered = sorted((a, z) for a, z, _ in spans)
-        k = 0
-        for m in _TOKEN.finditer(text):
-            if len(m[0]) < 6 or not ("@" in m[0] or _DIGIT.search(m[0])):
-                continue
-            a, z = m.start(), m.end()
-            while z > a and text[z - 1] in "._-(%+":
-                z -= 1
+    k = 0
+    for m in _CANDIDATE.finditer(text):
+        runs: list[list[tuple[int, int]]] = [[]]
+        for piece in _PIECE.finditer(text, *m.span()):
+            a, z = piece.span()
             while k < len(covered) and covered[k][1] <= a:
                 k += 1
-            if z - a >= 6 and not (k < len(covered) and covered[k][0] < z):
-                spans.append((a, z, -1))
+            if k < len(covered) and covered[k][0] < z:
+                runs.append([])
+            else:
+                runs[-1].append((a, z))
+        for run in runs:
+            for a, z in {(run[0][0], run[-1][1]), *run} if run else ():
+                while z > a and text[z - 1] in "._-(%+":
+                    z -= 1
+                if z - a >= 6 and ("@" in text[a:z] or _DIGIT.search(text, a, z) or _AT.search(text, a, z)):
+                    yield a, z, run[0][0]
+
+
+def occurrences(text: str, base: list[tuple[int, int, int]]) -> list[tuple]:
+    """(start, end, kind or -1, chain, instance, before, after, both, form) of seeds and of other candidates.
+
+    The patterns are hashes of the nearest word on one side, of those on both, and of the shape.
+    """
+    spans = [(a, z, k, a) for a, k, z in base]
+    if "@" in text or _DIGIT.search(text) or _AT.search(text):
+        spans += [(a, z, -1, chain) for a, z, chain in candidates(text, sorted((a, z) for a, z, *_ in spans))]
     out = []
-    for a, z, kind in spans:
+    for a, z, kind, chain in spans:
         value = text[a:z]
-        form = shape(value)
         before = _WORD_BEFORE.search(text, max(0, a - _NEAR), a)
         after = _WORD_AFTER.match(text, z, z + _NEAR)
         out.append((
-            a, z, kind, _hash(value.lower()),
-            _hash("b", before[1].lower(), form) if before else None, _hash("a", after[1].lower(), form) if after else None,
+            a, z, kind, chain, _hash(value.lower()),
+            _hash("b", before[1].lower()) if before else None, _hash("a", after[1].lower()) if after else None,
+            _hash("ba", before[1].lower(), after[1].lower()) if before and after else None, _hash("s", shape(value)),
         ))
     return out
 
@@ -137,15 +159,14 @@ def find(docs: DataFrame) -> DataFrame:
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base_kind = pa.list_(pa.struct([("start", pa.int64()), ("kind", pa.int32()), ("end", pa.int64())]))
-        seen_kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.int32()),
-                                        ("instance", pa.int64()), ("before", pa.int64()), ("after", pa.int64())]))
+        names = ("start", "end", "kind", "chain", "instance", "before", "after", "both", "form")
+        seen_kind = pa.list_(pa.struct([(n, pa.int32() if n == "kind" else pa.int64()) for n in names]))
         for b in batches:
             bases, seen = [], []
             for t in column(b, "text").to_pylist():
                 base = base_spans(t) if t else []
                 bases.append([{"start": a, "kind": k, "end": z} for a, k, z in base])
-                seen.append([dict(zip(("start", "end", "kind", "instance", "before", "after"), o, strict=True))
-                             for o in (occurrences(t, base) if t else [])])
+                seen.append([dict(zip(names, o, strict=True)) for o in (occurrences(t, base) if t else [])])
             yield pa.RecordBatch.from_arrays(
                 [column(b, "doc_id").cast(pa.int64()), column(b, "key"), pa.array(bases, base_kind), pa.array(seen, seen_kind)],
                 ["doc_id", "key", "base", "seen"],
@@ -157,11 +178,11 @@ def find(docs: DataFrame) -> DataFrame:
 def pattern_scores(graph: DataFrame, seeds: DataFrame, rounds: int, support: int) -> tuple[DataFrame, DataFrame]:
     """Worth of patterns (pattern, kind, worth) and of instances (instance, kind, worth).
 
-    ``graph``: distinct (pattern, instance). ``seeds``: distinct (instance, kind). In each round a pattern's
+    ``graph``: distinct (pattern, instance, weak). A weak pattern is worth ``_SHAPE_WORTH`` at most. ``seeds``: distinct (instance, kind). In each round a pattern's
     worth for a kind is the mean worth of its instances; it counts with ``support`` seeds or more. An
     instance is worth 1 - product of (1 - worth) over its patterns, a seed 1.
     """
-    sizes = graph.groupBy("pattern").agg(F.count(F.lit(1)).alias("n"))
+    sizes = graph.groupBy("pattern").agg(F.count(F.lit(1)).alias("n"), F.max("weak").alias("weak"))
     known = seeds.withColumn("worth", F.lit(1.0))
     patterns = None
     for k in range(rounds):
@@ -171,7 +192,8 @@ def pattern_scores(graph: DataFrame, seeds: DataFrame, rounds: int, support: int
             .filter(F.col("sure") >= support)
         )
         patterns = cut_lineage(
-            counted.join(sizes, "pattern").select("pattern", "kind", (F.col("total") / F.col("n")).alias("worth")), "pii-patterns"
+            counted.join(sizes, "pattern").select(
+                "pattern", "kind", F.least(F.col("total") / F.col("n"), F.when(F.col("weak"), F.lit(_SHAPE_WORTH))).alias("worth")), "pii-patterns"
         )
         if k + 1 < rounds:
             told = graph.join(patterns, "pattern").groupBy("instance", "kind").agg(
@@ -197,16 +219,23 @@ def extracted(docs: DataFrame, rounds: int = 3, support: int = 3, worth: float =
     """
     found = cut_lineage(find(docs), "pii-found")
     each = found.select("row", F.explode("seen").alias("o")).select("row", "o.*")
-    sides = each.select("row", "start", "end", "kind", "instance", F.explode(F.array_compact(F.array("before", "after"))).alias("pattern"))
-    graph = cut_lineage(sides.select("pattern", "instance").distinct(), "pii-graph")
+    sides = each.select("row", "start", "end", "kind", "chain", "instance", F.explode(F.array_compact(F.array(
+        *[F.when(F.col(c).isNotNull(), F.struct(F.col(c).alias("pattern"), F.lit(c == "form").alias("weak"))) for c in ("before", "after", "both", "form")]
+    ))).alias("p")).select("*", "p.*").drop("p")
+    graph = cut_lineage(sides.select("pattern", "instance", "weak").distinct(), "pii-graph")
     seeds = each.filter("kind >= 0").select("instance", "kind").distinct()
     patterns, _ = pattern_scores(graph, seeds, rounds, support)
     best = (
         sides.filter("kind < 0").join(patterns.withColumnRenamed("kind", "told"), "pattern")
-        .groupBy("row", "start", "end", "told").agg((1 - F.exp(F.sum(F.log(1 - F.least("worth", F.lit(0.999)))))).alias("w"))
+        .groupBy("row", "chain", "start", "end", "told").agg((1 - F.exp(F.sum(F.log(1 - F.least("worth", F.lit(0.999)))))).alias("w"))
         .filter(F.col("w") >= worth)
-        .groupBy("row", "start", "end").agg(F.min_by("told", F.struct(-F.col("w"), F.col("told"))).alias("kind"))
-        .groupBy("row").agg(F.collect_list(F.struct("start", "kind", "end")).alias("more"))
+        .groupBy("row", "chain", "start", "end").agg(F.min_by("told", F.struct(-F.col("w"), F.col("told"))).alias("kind"))
+        # pieces inside a longer span of theirs give way to it; the longest starts first
+        .groupBy("row", "chain").agg(F.collect_list(F.struct("start", "kind", "end")).alias("some"))
+        .withColumn("most", F.array_max(F.transform("some", lambda x: x["end"] - x["start"])))
+        .withColumn("long", F.filter("some", lambda x: x["end"] - x["start"] == F.col("most"))[0])
+        .withColumn("some", F.filter("some", lambda x: (x == F.col("long")) | (x["end"] <= F.col("long.start")) | (x["start"] >= F.col("long.end"))))
+        .groupBy("row").agg(F.flatten(F.collect_list("some")).alias("more"))
     )
     return found.join(best, "row", "left").select(
         "doc_id", "key", "row", "base", F.concat("base", F.coalesce("more", F.expr("cast(array() as array<struct<start:long,kind:int,end:long>>)"))).alias("spans"),

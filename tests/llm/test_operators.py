@@ -193,6 +193,19 @@ def test_bootstrapping_discovers(spark):
     assert out[20].n_card == 0 and out[20].spans == "card:16:32" and out[21].spans == ""
 
 
+def test_contexts_name_identifiers_of_other_shapes(spark):
+    rows = [(i, f"please call +1 (663) 555-68{10 + i} today") for i in range(8)]
+    rows += [(10 + i, f"you may write to ann{i}@mail{i}.example.com soon") for i in range(8)]
+    new = {20: ("call", "(743) 555-3824", "today", "phone"), 21: ("call", "743-555-3824", "today", "phone"),
+           22: ("call", "(743)555-3824", "today", "phone"), 23: ("to", "hein.19(at)mail5.example.com", "soon", "email"),
+           24: ("to", "hein (at) mail.example.com", "soon", "email")}
+    rows += [(i, f"{a} {x} {z}") for i, (a, x, z, _) in new.items()] + [(30, "seats (743) 555-3824 people"), (31, "call 10.0.0.1 (743) 555-3825 today")]
+    out = {r.doc_id: r.spans for r in pii.personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, (a, x, _, kind) in new.items():
+        assert out[i] == f"{kind}:{len(a) + 1}:{len(a) + 1 + len(x)}", i
+    assert out[30] == "" and out[31].startswith("ip:5:13")
+
+
 def test_masked(spark):
     rows = [(i, t, "x") for i, t in enumerate(PII)] + [(None, "id a@b.cd", "x")]
     df = spark.createDataFrame(rows, "doc_id long, text string, spans string")
