@@ -175,31 +175,42 @@ def find(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", key_of().alias("key"), "text").mapInArrow(scan, FOUND).withColumn("row", F.monotonically_increasing_id())
 
 
-def pattern_scores(graph: DataFrame, seeds: DataFrame, rounds: int, support: int) -> tuple[DataFrame, DataFrame]:
+def pattern_scores(graph: DataFrame, seeds: DataFrame, rounds: int | None, support: int, bar: float = 0.8) -> tuple[DataFrame, DataFrame]:
     """Worth of patterns (pattern, kind, worth) and of instances (instance, kind, worth).
 
-    ``graph``: distinct (pattern, instance, weak). A weak pattern is worth ``_SHAPE_WORTH`` at most. ``seeds``: distinct (instance, kind). In each round a pattern's
-    worth for a kind is the mean worth of its instances; it counts with ``support`` seeds or more. An
-    instance is worth 1 - product of (1 - worth) over its patterns, a seed 1.
+    ``graph``: distinct (pattern, instance, weak). A weak pattern is worth ``_SHAPE_WORTH`` at most. ``seeds``:
+    distinct (instance, kind). In each round a pattern's worth for a kind is the mean worth of its instances; it
+    counts with ``support`` instances or more that are seeds or were worth ``bar`` in the round before. An
+    instance is worth 1 - product of (1 - worth) over its patterns, a seed 1. Worth never falls, so rounds go on
+    until no pattern and no instance is new; ``rounds`` ends them earlier.
     """
     sizes = graph.groupBy("pattern").agg(F.count(F.lit(1)).alias("n"), F.max("weak").alias("weak"))
     known = seeds.withColumn("worth", F.lit(1.0))
-    patterns = None
-    for k in range(rounds):
+    k, before = 0, None
+    while True:
         counted = (
             graph.join(known, "instance").groupBy("pattern", "kind")
-            .agg(F.sum("worth").alias("total"), F.sum((F.col("worth") == 1.0).cast("int")).alias("sure"))
+            .agg(F.sum("worth").alias("total"), F.sum((F.col("worth") >= bar).cast("int")).alias("sure"))
             .filter(F.col("sure") >= support)
         )
         patterns = cut_lineage(
             counted.join(sizes, "pattern").select(
                 "pattern", "kind", F.least(F.col("total") / F.col("n"), F.when(F.col("weak"), F.lit(_SHAPE_WORTH))).alias("worth")), "pii-patterns"
         )
-        if k + 1 < rounds:
-            told = graph.join(patterns, "pattern").groupBy("instance", "kind").agg(
-                (1 - F.exp(F.sum(F.log(1 - F.least("worth", F.lit(0.999)))))).alias("worth"))
-            told = told.join(seeds, "instance", "left_anti").filter("worth >= 0.5")
-            known = seeds.withColumn("worth", F.lit(1.0)).unionByName(told.withColumn("worth", F.least("worth", F.lit(0.999))))
+        k += 1
+        if k == rounds:
+            break
+        told = graph.join(patterns, "pattern").groupBy("instance", "kind").agg(
+            (1 - F.exp(F.sum(F.log(1 - F.least("worth", F.lit(0.999)))))).alias("worth"))
+        told = told.join(seeds, "instance", "left_anti").filter("worth >= 0.5")
+        told = cut_lineage(told.withColumn("worth", F.least("worth", F.lit(0.999))), "pii-told")
+        known = seeds.withColumn("worth", F.lit(1.0)).unionByName(told)
+        # one row: patterns, instances and their worth in hundredths
+        now = patterns.agg(F.count(F.lit(1)), F.sum(F.floor(F.col("worth") * 100))).first() + told.agg(
+            F.count(F.lit(1)), F.sum(F.floor(F.col("worth") * 100))).first()
+        if now == before:
+            break
+        before = now
     return patterns, known
 
 
@@ -211,7 +222,7 @@ def joined(spans: Column) -> Column:
     )
 
 
-def extracted(docs: DataFrame, rounds: int = 3, support: int = 3, worth: float = 0.8) -> DataFrame:
+def extracted(docs: DataFrame, rounds: int | None = None, support: int = 3, worth: float = 0.8) -> DataFrame:
     """Spans per row of ``docs`` (doc_id, text): doc_id, key, row, base, spans as arrays of (start, kind, end).
 
     Null and empty texts have none. Repeated rows and null ids each give a row; other columns are ignored.

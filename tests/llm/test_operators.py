@@ -206,6 +206,21 @@ def test_contexts_name_identifiers_of_other_shapes(spark):
     assert out[30] == "" and out[31].startswith("ip:5:13")
 
 
+def test_bootstrapping_reaches_contexts_through_what_it_found(spark):
+    # each step's context is known by the three identifiers that the step before has found, and by no seed
+    rows, cards = [], ["4111111111111111", "5500005555555559", "4012888888881881"]
+    steps = ("alpha", "beta", "gamma", "delta", "omega")
+    for k, word in enumerate(steps):
+        rows += [(100 * k + i, f"{word} {c} {word}") for i, c in enumerate(cards)]
+        cards = [f"77{k}{i}-88{k}{i}" for i in range(3)]
+        rows += [(100 * k + 10 + i, f"{word} {c} {word}") for i, c in enumerate(cards)]
+    rows += [(900, "zeta 991-9911 zeta")]
+    out = {r.doc_id: r.spans for r in pii.personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for k, word in enumerate(steps):
+        assert all(out[100 * k + 10 + i].startswith(f"card:{len(word) + 1}:") for i in range(3)), word
+    assert out[900] == ""
+
+
 def test_masked(spark):
     rows = [(i, t, "x") for i, t in enumerate(PII)] + [(None, "id a@b.cd", "x")]
     df = spark.createDataFrame(rows, "doc_id long, text string, spans string")
