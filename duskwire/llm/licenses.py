@@ -41,6 +41,43 @@ TEMPLATES = {
     "<<beginOptional>>terms of the<<endOptional>> mit license",
 }
 
+#: Licence texts and headers in template markup: the wording that tells each apart, with its variable parts.
+TEXTS = {
+    "mit-text": "permission is hereby granted free of charge to any person obtaining a copy of this "
+    "<<var;name=what;words=1-4>> <<beginOptional>>and associated documentation files<<endOptional>> "
+    "<<beginOptional>>the software<<endOptional>> to deal in the <<var;name=what;words=1-4>> without restriction "
+    "including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies",
+    "isc-text": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted "
+    "provided that the above copyright notice and this permission notice appear in all copies",
+    "bsd-text": "redistribution and use <<beginOptional>>of this software<<endOptional>> in source and binary forms with or without "
+    "modification are permitted provided that the following conditions are met <<var;name=number;words=0-1>> redistributions of "
+    "source code must retain the <<beginOptional>>above<<endOptional>> copyright notice",
+    "bsd-3-clause-text": "neither the name of <<var;name=owner;words=1-12>> <<beginOptional>>nor the names of its contributors<<endOptional>> "
+    "may be used to endorse or promote products derived from this software without specific prior written permission",
+    "apache-header": "licensed under the apache license version <<var;name=version;words=1-2>> the license you may not use this file "
+    "except in compliance with the license",
+    "apache-text": "subject to the terms and conditions of this license each contributor hereby grants to you a perpetual worldwide "
+    "non exclusive no charge royalty free irrevocable copyright license to reproduce prepare derivative works of",
+    "gpl-header": "is free software you can redistribute it and or modify it under the terms of the gnu general public license "
+    "as published by the free software foundation",
+    "lgpl-header": "is free software you can redistribute it and or modify it under the terms of the gnu lesser general public "
+    "license as published by the free software foundation",
+    "lgpl-2-header": "is free software you can redistribute it and or modify it under the terms of the gnu library general public "
+    "license as published by the free software foundation",
+    "agpl-header": "is free software you can redistribute it and or modify it under the terms of the gnu affero general public "
+    "license as published by the free software foundation",
+    "gpl-text": "the licenses for most software <<beginOptional>>and other practical works<<endOptional>> are designed to take away your "
+    "freedom to share and change",
+    "mpl-header": "this source code form is subject to the terms of the mozilla public license v <<var;name=version;words=1-2>> if a copy "
+    "of the mpl was not distributed with this file you can obtain one at",
+    "mpl-1-header": "the contents of this file are subject to the mozilla public license version <<var;name=version;words=1-2>> the license "
+    "you may not use this file except in compliance with the license",
+    "cc-deed": "<<beginOptional>>this work is<<endOptional>> licensed under <<beginOptional>>a<<endOptional>> "
+    "<<beginOptional>>the<<endOptional>> creative commons attribution <<var;name=terms;words=0-4>> "
+    "<<var;name=version;words=1-2>> <<beginOptional>>international<<endOptional>> license",
+    "cc-by-text": "you are free to share copy and redistribute the material in any medium or format",
+}
+
 RESULT = (
     "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double"
 )
@@ -157,7 +194,7 @@ def compiled(template: str) -> Automaton:
     return a
 
 
-def license_marks(docs: DataFrame, phrases: Mapping[str, str] = PHRASES, templates: Mapping[str, str] = TEMPLATES) -> DataFrame:
+def license_marks(docs: DataFrame, phrases: Mapping[str, str] = PHRASES, templates: Mapping[str, str] = TEMPLATES | TEXTS) -> DataFrame:
     """Phrase places and labels per row of ``docs`` (doc_id, text).
 
     Null and empty texts have no words: counts of 0, null first_word and last_word, empty labels, score 0.

@@ -147,6 +147,36 @@ def test_licenses(spark):
     assert got[1].labels == "gpl,mit,mit-notice" and got[7].labels == "mit,mit-notice" and got[3].score == 0.5
 
 
+def test_licence_texts_without_the_phrases(spark):
+    texts = {
+        "mit-text": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation "
+        'files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, '
+        "merge, publish, distribute, sublicense, and/or sell copies of the Software",
+        "isc-text": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, "
+        "provided that the above copyright notice and this permission notice appear in all copies.",
+        "bsd-text": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following "
+        "conditions are met: 1. Redistributions of source code must retain the above copyright notice",
+        "bsd-3-clause-text": "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote "
+        "products derived from this software without specific prior written permission.",
+        "apache-text": "Subject to the terms and conditions of this License, each Contributor hereby grants to You a perpetual, worldwide, "
+        "non-exclusive, no-charge, royalty-free, irrevocable copyright license to reproduce, prepare Derivative Works of",
+        "lgpl-header": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General "
+        "Public License as published by the Free Software Foundation; either version 2.1",
+        "agpl-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General "
+        "Public License as published by the Free Software Foundation",
+        "gpl-text": "The licenses for most software and other practical works are designed to take away your freedom to share and change the works.",
+        "mpl-header": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not "
+        "distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+        "cc-deed": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+        "cc-by-text": "You are free to: Share - copy and redistribute the material in any medium or format",
+    }
+    rows = [*texts.values(), "permission is granted to redistribute the works in source and binary forms"]
+    df = spark.createDataFrame([(i, f"zeta é {t} end") for i, t in enumerate(rows)], "doc_id long, text string")
+    got = {r.doc_id: r for r in licenses.license_marks(df).collect()}
+    for i, label in enumerate([*texts, ""]):
+        assert (got[i].base_labels, got[i].labels, got[i].score) == ("", label, 1.0 if label else 0.0), label
+
+
 def test_template_markup():
     a = licenses.compiled("use <<beginOptional>>of this <<beginOptional>>fine<<endOptional>><<endOptional>> <<var;name=x;words=0-2>> is free")
     for text, ok in (("use is free", 1), ("use of this is free", 1), ("use of this fine big code is free", 1), ("use of is free", 1),
