@@ -12,18 +12,21 @@ all rows share sends a few rows per task to its state.
 """
 from __future__ import annotations
 
+import hashlib
 import itertools
 import json
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..lineage import scratch_path
 from ..streaming.stateful import rocksdb
+from .postings import bytes_of, column
 
 FILTERS = "ABCDE"
 BIT = {name: 1 << i for i, name in enumerate(FILTERS)}
@@ -34,18 +37,34 @@ _FACTS = ["part", "mask", "quality", "toxic"]
 GATHER = 50_000
 
 
-def own_mask(text: Column) -> Column:
+_UPPER = bytes(range(65, 91))
+_INNER = bytes(range(128, 192))  # bytes that begin no code point
+_SIGNS = b"#$%&*|"
+
+
+def own_mask(text: bytes) -> int:
     """Bits of the filters A to D that a text fails by itself."""
-    words = F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    # ``words`` is bound once as the argument of a one-element transform, so the text is split once
-    sizes = F.transform(F.array(words), lambda w: F.struct(F.size(w).alias("n"), F.size(F.array_distinct(w)).alias("d")))[0]
-    upper = F.length(text) - F.length(F.regexp_replace(text, "[A-Z]+", ""))
-    return F.transform(F.array(sizes), lambda s: (
-        F.when(s["n"] < 200, BIT["A"]).otherwise(0)
-        + F.when(100 * s["d"] < 50 * s["n"], BIT["B"]).otherwise(0)
-        + F.when(100 * upper > 2 * F.length(text), BIT["C"]).otherwise(0)
-        + F.when(text.rlike(r"[#$%&*|]"), BIT["D"]).otherwise(0)
-    ))[0]
+    words = text.split()  # of bytes, this parts at exactly 0x20 and 0x09 to 0x0D
+    upper = len(text) - len(text.translate(None, _UPPER))
+    points = len(text.translate(None, _INNER)) if not text.isascii() else len(text)
+    return (
+        BIT["A"] * (len(words) < 200)
+        | BIT["B"] * (100 * len(set(words)) < 50 * len(words))
+        | BIT["C"] * (100 * upper > 2 * points)
+        | BIT["D"] * (len(text.translate(None, _SIGNS)) < len(text))
+    )
+
+
+def _seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, part, key, mask): a text's SHA-256 stands for it from here on."""
+    for b in batches:
+        keys, masks = [], []
+        for text in bytes_of(column(b, "text")):
+            keys.append(hashlib.sha256(text).digest())
+            masks.append(own_mask(text))
+        yield pa.RecordBatch.from_arrays(
+            [column(b, "doc_id"), column(b, "part"), pa.array(keys, pa.binary()), pa.array(masks, pa.int32())], ["doc_id", "part", "key", "mask"]
+        )
 
 
 def _combined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,38 +129,54 @@ def merged(known: tuple[int, Counter] | None, rows: list[tuple]) -> tuple[tuple[
     return (least, held), changes
 
 
-def _text_state(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-    rows = [r for f in frames for r in f[["doc_id", *_FACTS, "n", "settled"]].itertuples(index=False, name=None)]
-    if rows[0][-1]:
-        changes: Counter = Counter()
-        for _, part, mask, quality, toxic, n, _ in rows:
-            changes[part, mask, quality, toxic] += n
-    else:
-        known = None
-        if state.exists:
-            least, held = state.get
-            known = (int(least), Counter({tuple(f): n for *f, n in json.loads(held)}))
-        (least, held), changes = merged(known, [r[:-1] for r in rows])
-        state.update((int(least), json.dumps([[*f, int(n)] for f, n in held.items()])))
-    yield pd.DataFrame([(*f, n) for f, n in changes.items() if n], columns=[*_FACTS, "n"])
+class TextState(StatefulProcessor):
+    """Keeps each text's smallest id and what that id's rows were counted as; returns counter changes.
+
+    The grouping key is a bucket of texts, so rows come in large batches; a text has an entry of its own in the
+    bucket's map state, which is read and written alone.
+    """
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.texts = handle.getMapState("texts", "key binary", "least long, held string")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        for frame in rows:
+            changes: Counter = Counter()
+            by_text: dict[bytes, list[tuple]] = defaultdict(list)
+            columns = [frame[c].tolist() for c in ("settled", "key", "doc_id", *_FACTS, "n")]
+            for settled, text, i, *facts, n in zip(*columns, strict=True):
+                if settled:
+                    changes[tuple(facts)] += n
+                else:
+                    by_text[bytes(text)].append((i, *facts, n))
+            for text, mine in by_text.items():
+                stored = self.texts.getValue((text,))
+                known = (int(stored[0]), Counter({tuple(f): n for *f, n in json.loads(stored[1])})) if stored else None
+                state, changed = merged(known, mine)
+                if state != known:
+                    self.texts.updateValue((text,), (state[0], json.dumps([[*f, n] for f, n in state[1].items()])))
+                for facts, n in changed.items():
+                    changes[facts] += n
+            yield pd.DataFrame([(*f, n) for f, n in changes.items() if n], columns=[*_FACTS, "n"])
+
+    def close(self) -> None:
+        pass
 
 
 def counter_changes(stream: DataFrame, labels: DataFrame) -> DataFrame:
     """Stream of counter changes (part, mask, quality, toxic, n) of a stream of documents (doc_id, text, source)."""
-    text = F.coalesce(F.col("text"), F.lit(""))
     marks = labels.filter("doc_id is not null").groupBy("doc_id").agg(
         F.max((F.coalesce(F.col("quality"), F.lit(0)) == 1).cast("int")).alias("quality"),
         F.max((F.coalesce(F.col("toxic"), F.lit(0)) == 1).cast("int")).alias("toxic"),
     )
-    seen = stream.select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("source"), F.lit("")).alias("part"),
-        F.unhex(F.sha2(text.cast("binary"), 256)).alias("key"), own_mask(text).alias("mask"),
-    )
-    rows = seen.join(marks, "doc_id", "left").select(
+    docs = stream.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("source"), F.lit("")).alias("part"), "text")
+    rows = docs.mapInArrow(_seen, "doc_id long, part string, key binary, mask int").join(marks, "doc_id", "left").select(
         "key", "doc_id", "part", "mask", F.coalesce("quality", F.lit(0)).alias("quality"), F.coalesce("toxic", F.lit(0)).alias("toxic")
     )
     combined = rows.mapInArrow(_combined, f"key binary, doc_id long, settled boolean, {COUNTERS}")
-    return combined.groupBy("key").applyInPandasWithState(_text_state, COUNTERS, "least long, held string", "append", "NoTimeout")
+    buckets = 4 * int(stream.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keyed = combined.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets)).cast("int"))
+    return keyed.groupBy("bucket").transformWithStateInPandas(TextState(), COUNTERS, "Append", "None")
 
 
 def report(counters: DataFrame) -> DataFrame:

@@ -6,6 +6,9 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from .bytegru import fit as fit_languages
+from .bytegru import held_out as language_held_out
+from .bytegru import languages
 from .centroids import clustered
 from .containment import contained_items
 from .filteraudit import BIT, ORDERS, filter_audit
@@ -212,3 +215,10 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op12_centroid_clustering", _rounds_sql())
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clustered(rows(spark, sf_dir, "embeddings")).drop("scans")
+
+
+@query("op13_language_id")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = rows(spark, sf_dir, "documents")
+    found = languages(docs.select("doc_id", "text"), fit_languages(docs), ["doc_id"])
+    return found.select("doc_id", language_held_out().alias("held_out"), "lang_pred", "score")
