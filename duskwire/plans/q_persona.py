@@ -5,7 +5,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed, scores
-from ..operators import evidence, metrics, rebrand, stylometry
+from ..operators import cosine_join, evidence, metrics, nearest, rebrand, stylometry
 from .inputs import ctes, derived, table
 from .q_text import type_case, values_sql
 from .registry import query
@@ -227,22 +227,38 @@ g as (select doc_id, unnest(list_concat(t, list_transform(range(1, len(t)), lamb
 tf as (select doc_id, term, count(*) as tf from g group by 1, 2)"""
 VOCAB = """
 , vocab as (select term, cast(sum(tf) as bigint) as cf, count(*) as df, ln((1 + (select count(*) from documents))::double / (1 + count(*))) + 1 as idf from tf group by term order by cf desc, term limit 5000)"""
-SIM = VOCAB + """
+#: Texts whose cosine is at least this are reported as similar.
+ALIKE = 0.6
+SIM = VOCAB + f"""
 , wt as (select doc_id, term, tf * idf as w from tf join vocab using (term)),
 vec as (select doc_id, term, w / sqrt(sum(w * w) over (partition by doc_id)) as weight from wt),
-pairs as (select doc_id as a, doc_id + 1 as b from documents where doc_id + 1 in (select doc_id from documents)),
-dots as (select a, b, sum(x.weight * y.weight) as s from pairs join vec x on x.doc_id = a join vec y on y.doc_id = b and y.term = x.term group by a, b)
-select a, b, round(coalesce(s, 0), 6) as similarity from pairs left join dots using (a, b)"""
+rep as (select min(doc_id) as doc_id, count(*) as copies from documents group by text),
+rv as (select doc_id, term, weight from vec join rep using (doc_id)),
+dots as (select x.doc_id as a, y.doc_id as b, sum(x.weight * y.weight) as s from rv x join rv y on y.term = x.term and x.doc_id < y.doc_id group by 1, 2)
+select a, b, round(s, 6) as similarity, p.copies as a_copies, q.copies as b_copies
+from dots join rep p on p.doc_id = a join rep q on q.doc_id = b where s >= {ALIKE}"""
+NEIGHBOURS = 5
 
 
 def _docs(spark, sf) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", "text")
 
 
-def _pairs(spark, sf) -> DataFrame:
-    ids = table(spark, sf, "documents").select("doc_id")
-    nxt = ids.select(F.col("doc_id").alias("b"), (F.col("doc_id") - 1).alias("a"))
-    return ids.select(F.col("doc_id").alias("a")).join(nxt, "a").select("a", "b")
+def _representatives(spark, sf) -> DataFrame:
+    """(doc_id, copies): of equal texts the smallest id."""
+    docs = table(spark, sf, "documents")
+    texts = docs.groupBy(F.sha2("text", 256).alias("t")).agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"))
+    return texts.select("doc_id", "copies")
+
+
+def _alike(spark, sf, vectors: DataFrame) -> DataFrame:
+    """All pairs of different texts of at least ``ALIKE``, with how many documents have each text."""
+    reps = _representatives(spark, sf)
+    kept = vectors.join(reps, "doc_id", "left_semi").select(F.col("doc_id").alias("id"), F.col("tid").alias("term"), "weight")
+    out = cosine_join.similar_pairs(kept, ALIKE)
+    for side in "ab":
+        out = out.join(reps.select(F.col("doc_id").alias(side), F.col("copies").alias(f"{side}_copies")), side)
+    return out.select("a", "b", F.round("similarity", 6).alias("similarity"), "a_copies", "b_copies")
 
 
 def _tfidf(spark, sf, terms: DataFrame) -> DataFrame:
@@ -250,7 +266,7 @@ def _tfidf(spark, sf, terms: DataFrame) -> DataFrame:
 
     stored = cut_lineage(terms, "terms")
     n = table(spark, sf, "documents").count()
-    return stylometry.tfidf(stored, cut_lineage(stylometry.fit_vocabulary(stored, n), "vocabulary"))
+    return stylometry.tfidf(stored, cut_lineage(stylometry.numbered(stylometry.fit_vocabulary(stored, n)), "vocabulary"))
 
 
 @query("agg_tfidf_fit", WORD_TERMS + VOCAB + " select term, cf, df, round(idf, 6) as idf from vocab")
@@ -263,14 +279,13 @@ def agg_tfidf_fit(spark, sf):
 @query("sty_char", CHAR_TERMS + SIM)
 def sty_char(spark, sf):
     n = table(spark, sf, "documents").count()
-    vectors = stylometry.tfidf(*stylometry.char_model(_docs(spark, sf), n))
-    return stylometry.sparse_similarity(vectors, _pairs(spark, sf)).select("a", "b", F.round("similarity", 6).alias("similarity"))
+    terms, vocabulary = stylometry.char_model(_docs(spark, sf), n)
+    return _alike(spark, sf, stylometry.tfidf(terms, vocabulary))
 
 
 @query("sty_word", WORD_TERMS + SIM)
 def sty_word(spark, sf):
-    vectors = _tfidf(spark, sf, stylometry.word_terms(_docs(spark, sf), STOP))
-    return stylometry.sparse_similarity(vectors, _pairs(spark, sf)).select("a", "b", F.round("similarity", 6).alias("similarity"))
+    return _alike(spark, sf, _tfidf(spark, sf, stylometry.word_terms(_docs(spark, sf), STOP)))
 
 
 def _features(spark, sf) -> DataFrame:
@@ -301,25 +316,26 @@ def agg_scaler(spark, sf):
     return out.select("slot", F.round("mean", 6).alias("mean"), F.round("scale", 6).alias("scale"))
 
 
-@query("sty_func", feature_sql() + """
-, z as (select doc_id, slot, (x - mean) / scale as z from x join sc using (slot)), nn as (select doc_id, sqrt(sum(z * z)) as n from z group by 1),
-d as (select p.doc_id as a, q.doc_id as b, sum(p.z * q.z) as d from z p join z q on q.doc_id = p.doc_id + 1 and q.slot = p.slot group by 1, 2)
-select a, b, round(greatest(0.0, d / (m.n * k.n)), 6) as similarity from d join nn m on m.doc_id = a join nn k on k.doc_id = b""")
+def neighbours_sql(vectors: str, clip: bool = False) -> str:
+    """The nearest of every row of ``given`` (id, v; made by ``vectors``) by cosine over all pairs."""
+    value = "greatest(0.0, s)" if clip else "s"
+    return f"""{vectors},
+n as (select id, v, sqrt(list_dot_product(v, v)) as len from given), w as (select id, list_transform(v, lambda x: x / len) as v from n where len > 0),
+p as (select a.id, b.id as neighbour, round(list_dot_product(a.v, b.v), 9) as s from w a join w b on a.id <> b.id),
+r as (select *, row_number() over (partition by id order by s desc, neighbour) as rank from p)
+select id, cast(rank as integer) as rank, neighbour, round({value}, 6) as similarity from r where rank <= {NEIGHBOURS}"""
+
+
+@query("sty_func", neighbours_sql(feature_sql() + """
+, given as (select doc_id as id, list((x - mean) / scale order by slot) as v from x join sc using (slot) group by doc_id)""", clip=True))
 def sty_func(spark, sf):
     rows = _features(spark, sf)
     z = stylometry.standardise(rows, stylometry.fit_scaler(rows))
-    out = stylometry.dense_similarity(z, _pairs(spark, sf), "doc_id", "features", clip=True)
-    return out.select("a", "b", F.round("similarity", 6).alias("similarity"))
+    out = nearest.nearest(z.select(F.col("doc_id").alias("id"), F.col("features").alias("v")), NEIGHBOURS)
+    return out.withColumn("similarity", F.round(F.greatest("similarity", F.lit(0.0)), 6))
 
 
-@query("sty_embed", """
-with p as (select a.vec_id as a, b.vec_id as b, list_transform(a.embedding, lambda x: x::double) as u, list_transform(b.embedding, lambda x: x::double) as v
-  from embeddings a join embeddings b on b.vec_id = a.vec_id + 2)
-select a, b, round(list_dot_product(u, v) / (sqrt(list_dot_product(u, u)) * sqrt(list_dot_product(v, v))), 6) as similarity from p""")
+@query("sty_embed", neighbours_sql("with given as (select vec_id as id, list_transform(embedding, lambda x: x::double) as v from embeddings)"))
 def sty_embed(spark, sf):
-    e = table(spark, sf, "embeddings")
-    pairs = e.select(F.col("vec_id").alias("a"), (F.col("vec_id") + 2).alias("b"))
-    out = stylometry.dense_similarity(e, pairs, "vec_id", "embedding")
-    return out.select("a", "b", F.round("similarity", 6).alias("similarity"))
-
-
+    e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("v"))
+    return nearest.nearest(e, NEIGHBOURS).withColumn("similarity", F.round("similarity", 6))
