@@ -17,6 +17,7 @@ import itertools
 import json
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 import pyarrow as pa
@@ -202,6 +203,21 @@ def report(counters: DataFrame) -> DataFrame:
     return out.join(filters, ["part", "b"]).drop("b")
 
 
+@contextmanager
+def _small_logs(spark: SparkSession):
+    """Changes alone go to the checkpoint after each batch, and stores don't reserve disk ahead; settings are put back."""
+    wanted = {"changelogCheckpointing.enabled": "true", "allowFAllocate": "false"}
+    names = {f"spark.sql.streaming.stateStore.rocksdb.{k}": v for k, v in wanted.items()}
+    before = {k: spark.conf.get(k, None) for k in names}
+    for k, v in names.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def document_stream(spark: SparkSession, path: str, bytes_per_core: int) -> DataFrame:
     """Stream over all files of a Parquet table, which is a folder or a single file, in batches of so many bytes a core."""
     batch = bytes_per_core * spark.sparkContext.defaultParallelism
@@ -230,7 +246,7 @@ def filter_audit(spark: SparkSession, path: str, labels: DataFrame, bytes_per_co
     def save(batch: DataFrame, batch_id: int) -> None:
         batch.groupBy(*_FACTS).agg(F.sum("n").alias("n")).write.mode("overwrite").parquet(f"{out}/b={batch_id}")
 
-    with rocksdb(spark):
+    with rocksdb(spark), _small_logs(spark):
         query = (
             changes.writeStream.foreachBatch(save).outputMode("append")
             .option("checkpointLocation", scratch_path(spark, "audit-state")).trigger(availableNow=True).start()
