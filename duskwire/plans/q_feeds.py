@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources import feeds, readers
+from ..streaming.replay import replayed
 from . import inputs
 from .inputs import Duck, Spark, derived, spark_sql, table
 from .q_text import redaction_ctes
@@ -388,11 +389,13 @@ def feed_sanctions(spark, sf):
 # --- replay, archive, bus, payload ------------------------------------------------
 @query("src_replay", inputs.ctes("posts") + "," + redaction_ctes() + """
 select cast(post_id as varchar) as post_id, posted_at as observed_at, language, 'replay' as mode, 'payload/replay/' || post_id || '.txt' as payload_ref,
-  'sha256:' || sha256(text) as content_hash from redacted""")
+  'sha256:' || sha256(text) as content_hash,
+  cast((epoch(posted_at) - (select min(epoch(posted_at)) from posts)) // 864000 as bigint) as slice from redacted""")
 def src_replay(spark, sf):
-    out = readers.replay(derived(spark, sf, "posts"))
+    """Posts enter a stream in slices of ten days, one after the other."""
+    out = replayed(derived(spark, sf, "posts"), "posted_at", 864_000, "replay", lambda s: readers.replay(s, keep=["slice"]))
     return out.select(
-        F.get_json_object("raw_metadata", "$.post_id").alias("post_id"), "observed_at", "language", "mode", "payload_ref", "content_hash"
+        F.get_json_object("raw_metadata", "$.post_id").alias("post_id"), "observed_at", "language", "mode", "payload_ref", "content_hash", "slice"
     )
 
 

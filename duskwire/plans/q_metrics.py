@@ -141,10 +141,12 @@ EVID = f"""with ev as (select doc_id, 'sha256:' || sha256(text) as content_hash,
  num as (select *, row_number() over (order by collected_at, evidence_id) - 1 as n from ev)"""
 
 
-def evidence(spark, sf) -> DataFrame:
+def evidence(spark, sf, seconds=None) -> DataFrame:
+    """Documents as evidence, collected ``seconds`` after a fixed time: three a second by default."""
+    seconds = F.floor(F.col("doc_id") / 3) if seconds is None else seconds
     d = table(spark, sf, "documents").select(
         "doc_id", hashing.content_hash(F.col("text")).alias("content_hash"),
-        F.timestamp_seconds(F.lit(1_704_067_200) + F.floor(F.col("doc_id") / 3)).alias("collected_at"),
+        F.timestamp_seconds(F.lit(1_704_067_200) + seconds).alias("collected_at"),
     )
     return d.withColumn("evidence_id", hashing.evidence_id(F.col("content_hash"), F.col("doc_id").cast("string")))
 
@@ -171,12 +173,21 @@ def prov_merkle(spark, sf):
     return provenance.merkle_batches(provenance.assign_batches(evidence(spark, sf)))
 
 
-@query("prov_batches", EVID + " select n // 100 as batch_no, count(*) as leaf_count, count(*) = 100 as closed, min(evidence_id) as first_id from num group by 1")
+#: Evidence that comes at one item a second, with pauses of 400 seconds: batches close by size and by time.
+PAUSES = EVID.replace("1704067200 + doc_id // 3", "1704067200 + doc_id + 400 * (doc_id // 350)").replace("with ev as", "with recursive ev as")
+
+
+@query("prov_batches", PAUSES + """
+, s as (select n, evidence_id, collected_at, coalesce(lag(collected_at) over (order by n), collected_at) as began from num),
+e as (select i.n, min(j.n) as last from s i join s j on j.n between i.n and i.n + 99 and (j.n = i.n + 99 or epoch(j.collected_at) - epoch(i.began) >= 300) group by i.n),
+b as (select 0 as batch_no, cast(0 as bigint) as first union all select batch_no + 1, last + 1 from b join e on e.n = b.first where last + 1 <= (select max(n) from s)),
+c as (select batch_no, first, coalesce(e.last, (select max(n) from s)) as last, e.last is not null as closed from b left join e on e.n = b.first)
+select cast(batch_no as bigint) as batch_no, count(*) as leaf_count, closed, min(evidence_id) as first_id from c join s on s.n between c.first and c.last group by batch_no, closed""")
 def prov_batches(spark, sf):
-    a = provenance.assign_batches(evidence(spark, sf))
-    return a.groupBy("batch_no").agg(
-        F.count(F.lit(1)).alias("leaf_count"), (F.count(F.lit(1)) == 100).alias("closed"), F.min("evidence_id").alias("first_id")
-    )
+    """Batches by size and time; with ranges of a few hundred rows, so that chains cross many of them."""
+    ev = evidence(spark, sf, F.col("doc_id") + 400 * F.floor(F.col("doc_id") / 350))
+    a = provenance.assign_timed_batches(ev, range_rows=256)
+    return a.groupBy("batch_no", "closed").agg(F.count(F.lit(1)).alias("leaf_count"), F.min("evidence_id").alias("first_id"))
 
 
 @query("prov_verify", EVID + " select distinct n // 100 as batch_no, (n // 100) % 2 = 0 as ok from num")

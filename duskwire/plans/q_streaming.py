@@ -7,14 +7,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from ..functions.hashing import content_hash
-from ..operators import listings, provenance, resolve
+from ..operators import listings, resolve
 from ..sources import readers
 from ..streaming import jobs, stateful
-from ..streaming.run import drain, drain_closed, drain_updates, ending, fan_out, table_stream
-from .inputs import BUILDERS, Spark, ctes, utc_schema
+from ..streaming.replay import replayed
+from ..streaming.run import drain, drain_closed, drain_updates, fan_out, table_stream
+from .inputs import BUILDERS, Spark, ctes, table, utc_schema
 from .q_entities import ENTITY_UUID, HITS, watchlist
 from .q_extract import all_hits_sql
 from .q_text import SQL_SUMMARY, redaction_ctes, uuid5_sql
@@ -212,20 +212,32 @@ def st_skew(spark, sf):
     return stateful.merge_salts(latest)
 
 
-@query("st_merkle", """
-with l as (select cast('0x' || substr(md5(cast(doc_id as varchar)), 1, 2) as int) % 4 as shard from documents),
-c as (select shard, count(*) as n_leaves, (count(*) + 19) // 20 as n_batches from l group by shard)
-select shard, n_batches, n_leaves, n_batches as n_verified from c""")
+def _merkle_sql(size: int, seconds: int, shards: int) -> str:
+    """Greedy batches of each shard by recursion, and their roots level by level."""
+    levels = ""
+    for i in range(size.bit_length()):
+        levels += (
+            f", l{i + 1} as (select shard, batch_no, p // 2 as p, case when (select count(*) from l{i} y where y.shard = x.shard and y.batch_no = x.batch_no) = 1 then any_value(h) "
+            f"else sha256(string_agg(h, '' order by p) || case when count(*) = 1 then any_value(h) else '' end) end as h from l{i} x group by shard, batch_no, p // 2)"
+        )
+    return f"""with recursive ev as (select cast('0x' || substr(md5(cast(doc_id as varchar)), 1, 2) as int) % {shards} as shard, cast(doc_id as varchar) as evidence_id,
+  sha256(text) as h, 1704067200 + doc_id + 400 * (doc_id // 350) as sec from documents),
+num as (select *, row_number() over (partition by shard order by sec, evidence_id) as n from ev),
+e as (select i.shard, i.n, min(j.n) as nxt from num i join num j on j.shard = i.shard and j.n > i.n and j.n <= i.n + {size} and (j.n = i.n + {size} or j.sec >= i.sec + {seconds}) group by i.shard, i.n),
+b as (select shard, cast(0 as bigint) as batch_no, cast(1 as bigint) as first from ev group by shard union all select b.shard, batch_no + 1, nxt from b join e on e.shard = b.shard and e.n = b.first),
+c as (select b.shard, batch_no, first, coalesce(nxt, (select max(n) + 1 from num where num.shard = b.shard)) as nxt from b left join e on e.shard = b.shard and e.n = b.first),
+l0 as (select c.shard, batch_no, n - first as p, h from c join num on num.shard = c.shard and n >= first and n < nxt){levels},
+k as (select c.shard, batch_no, count(*) as leaf_count, min(sec) as began from c join num on num.shard = c.shard and n >= first and n < nxt group by 1, 2)
+select k.shard, k.batch_no, leaf_count, make_timestamp(began * 1000000) as began, case when leaf_count = {size} then 'size' else 'time' end as closed_by, 'sha256:' || l.h as root_hash
+from k join l{size.bit_length()} l on l.shard = k.shard and l.batch_no = k.batch_no"""
+
+
+@query("st_merkle", _merkle_sql(20, 150, 4))
 def st_merkle(spark, sf):
-    """Batches of 20 leaves per shard and the rest, each verified against the batch expression."""
-    docs = events_stream(spark, sf, "documents").select(
-        F.col("doc_id").cast("string").alias("evidence_id"), content_hash(F.col("text")).alias("content_hash")
+    """Leaves replayed in slices of 500 seconds; batches of 20 leaves or 150 seconds in each of 4 shards."""
+    leaves = table(spark, sf, "documents").select(
+        F.col("doc_id").cast("string").alias("evidence_id"), content_hash(F.col("text")).alias("content_hash"),
+        F.timestamp_seconds(F.lit(1_704_067_200) + F.col("doc_id") + 400 * F.floor(F.col("doc_id") / 350)).alias("at"),
     )
     with stateful.rocksdb(spark):
-        ends, land = ending(spark, StructType.fromDDL("shard int"), "merkle")
-        stream = stateful.merkle_stream(docs, size=20, timeout_ms=None, shards=4, ends=ends)
-        closed = drain(stream, "merkle", lambda: land(spark.range(4).select(F.col("id").cast("int").alias("shard"))))
-    again = F.concat(F.lit("sha256:"), provenance.root(F.col("leaves"), 20))
-    return closed.groupBy("shard").agg(
-        F.count(F.lit(1)).alias("n_batches"), F.sum("leaf_count").alias("n_leaves"), F.count_if(again == F.col("root_hash")).alias("n_verified")
-    )
+        return replayed(leaves, "at", 500, "merkle", lambda s: stateful.merkle_stream(s, 20, 150, 4), end=True)

@@ -1,6 +1,8 @@
 """Readers for landed files, payloads and the event bus."""
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -84,8 +86,8 @@ def payload_files(spark: SparkSession, path: str, marker: str = "payload/") -> D
     return files.select(ref.alias("payload_ref"), "content")
 
 
-def replay(posts: DataFrame, source_id: str = "src_replay") -> DataFrame:
-    """Posts as replay events: redact, hash, wrap."""
+def replay(posts: DataFrame, source_id: str = "src_replay", keep: Sequence[str] = ()) -> DataFrame:
+    """Posts as replay events: redact, hash, wrap. ``keep``: columns that stay beside the event's."""
     out = redact(posts, "text")
     out = out.withColumn("content_hash", content_hash(F.col("text")))
     meta = F.to_json(F.struct("handle", "market", F.col("actor_id").cast("string").alias("actor_id"), F.col("post_id").cast("string").alias("post_id")))
@@ -95,7 +97,7 @@ def replay(posts: DataFrame, source_id: str = "src_replay") -> DataFrame:
         F.col("posted_at").alias("observed_at"), F.lit("text").alias("content_type"),
         F.concat(F.lit("payload/replay/"), F.col("post_id").cast("string"), F.lit(".txt")).alias("payload_ref"),
         "content_hash", F.lit("replay-auto-allow").alias("policy_decision_id"),
-        F.coalesce("language", F.lit("en")).alias("language"), meta.alias("raw_metadata"), "redactions", "text",
+        F.coalesce("language", F.lit("en")).alias("language"), meta.alias("raw_metadata"), "redactions", "text", *keep,
     )
 
 

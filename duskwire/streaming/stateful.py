@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from ..operators.provenance import root_of_peaks
+
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -82,59 +84,74 @@ def merkle_root(leaves: list[str]) -> str:
 
 
 class MerkleBatcher(StatefulProcessor):
-    """Closes a batch at ``size`` leaves, at a null leaf, or ``timeout_ms`` after its first leaf if one is set."""
+    """Closes a batch with its ``size``-th leaf, or once ``seconds`` of event time have passed since its first one.
+
+    The state is the batch's peaks, the roots of its complete subtrees, one for each bit of the number of leaves, in
+    place of the leaves. A batch ends by time with the first leaf behind its span, which belongs to the next batch, or
+    by a timer when the watermark passes it. Both give the same batches, as leaves come in the order of their time.
+    """
 
-    def __init__(self, size: int = 100, timeout_ms: int | None = 300_000):
+    def __init__(self, size: int = 100, seconds: int = 300):
         self.size = size
-        self.timeout_ms = timeout_ms
+        self.span = seconds * 1000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.open_leaves = handle.getListState("leaves", "content_hash string")
+        self.open = handle.getValueState("open", "n long, began long, peaks string")
         self.closed = handle.getValueState("closed", "n long")
 
-    def _close(self, key, leaves: list[str]) -> dict:
-        n = self.closed.get()[0] if self.closed.exists() else 0
-        self.closed.update((n + 1,))
-        return {
-            "shard": int(key[0]), "batch_no": n, "leaf_count": len(leaves),
-            "root_hash": "sha256:" + merkle_root(leaves), "leaves": list(leaves),
-        }
+    def _close(self, done: list[tuple], key, n: int, began: int, peaks: list[str], by: str) -> None:
+        number = self.closed.get()[0] if self.closed.exists() else 0
+        self.closed.update((number + 1,))
+        done.append((int(key[0]), number, n, pd.Timestamp(began, unit="ms"), by, list(peaks)))
 
-    def _frame(self, done: list[dict]) -> pd.DataFrame:
-        return pd.DataFrame(done, columns=["shard", "batch_no", "leaf_count", "root_hash", "leaves"])
-
-    def _drop_timers(self) -> None:
-        if self.timeout_ms is not None:
-            for old in list(self.handle.listTimers()):
-                self.handle.deleteTimer(old)
+    @staticmethod
+    def _frame(done: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(done, columns=["shard", "batch_no", "leaf_count", "began", "closed_by", "peaks"])
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        leaves = [r[0] for r in self.open_leaves.get()]
-        waiting = bool(leaves)
-        done = []
-        for chunk in rows:
-            for leaf in chunk["content_hash"]:
-                ends = pd.isna(leaf)
-                if not ends:
-                    leaves.append(leaf)
-                if leaves and (ends or len(leaves) >= self.size):
-                    done.append(self._close(key, leaves))
-                    leaves = []
-        if leaves:
-            self.open_leaves.put([(leaf,) for leaf in leaves])
-            if self.timeout_ms is not None and (done or not waiting):
-                self._drop_timers()
-                self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.timeout_ms)
+        n, began, peaks = 0, 0, []
+        if self.open.exists():
+            n, began, held = self.open.get()
+            peaks = held.split(",")
+        # what a micro-batch holds of one shard
+        leaves = pd.concat(list(rows), ignore_index=True).sort_values(["at", "evidence_id"], kind="stable")
+        done: list[tuple] = []
+        first_began = began if n else None
+        for at, leaf in zip(leaves["at"].astype("datetime64[ms]").astype("int64").tolist(), leaves["content_hash"].tolist(), strict=True):
+            if n and at >= began + self.span:
+                self._close(done, key, n, began, peaks, "time")
+                n, peaks = 0, []
+            if not n:
+                began = at
+            n += 1
+            peaks.append(leaf.removeprefix("sha256:"))
+            carried = n
+            while carried % 2 == 0:
+                right, left = peaks.pop(), peaks.pop()
+                peaks.append(hashlib.sha256((left + right).encode()).hexdigest())
+                carried //= 2
+            if n >= self.size:
+                self._close(done, key, n, began, peaks, "size")
+                n, peaks = 0, []
+        if n:
+            self.open.update((n, began, ",".join(peaks)))
         else:
-            self.open_leaves.clear()
-            self._drop_timers()
+            self.open.clear()
+        now = began if n else None
+        if now != first_began:
+            if first_began is not None:
+                self.handle.deleteTimer(first_began + self.span)
+            if now is not None:
+                self.handle.registerTimer(now + self.span)
         yield self._frame(done)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        leaves = [r[0] for r in self.open_leaves.get()]
-        done = [self._close(key, leaves)] if leaves else []
-        self.open_leaves.clear()
+        done: list[tuple] = []
+        if self.open.exists():
+            n, began, held = self.open.get()
+            self._close(done, key, n, began, held.split(","), "time")
+            self.open.clear()
         yield self._frame(done)
 
     def close(self) -> None:
@@ -146,22 +163,21 @@ def leaf_shard(evidence_id: Column, shards: int) -> Column:
     return (F.conv(F.substring(F.md5(evidence_id), 1, 2), 16, 10).cast("int") % shards).cast("int")
 
 
-def merkle_stream(
-    leaves: DataFrame, size: int = 100, timeout_ms: int | None = 300_000, shards: int = 8, ends: DataFrame | None = None
-) -> DataFrame:
-    """Closed Merkle batches. Leaves spread over ``shards`` open batches, so no key takes the whole stream.
+def merkle_stream(leaves: DataFrame, size: int = 100, seconds: int = 300, shards: int = 8, delay: str = "1 second") -> DataFrame:
+    """Closed Merkle batches: shard, batch_no, leaf_count, began, closed_by (size or time) and root_hash.
 
-    ``leaves``: evidence_id, content_hash; rows without a hash are no leaves. ``ends``: a stream of
-    (shard), whose rows close the open batch of a shard, as at the end of the input. With a timeout the query never runs out of batches, so
-    it suits a continuous trigger; without one, batches close by size alone.
+    ``leaves``: evidence_id, content_hash, at; rows without a hash are no leaves, but their time counts as seen. Leaves
+    spread over ``shards`` open batches, so no key takes the whole stream. They should come in the order of their
+    times but for ``delay``; later ones are left to the late-row table.
     """
-    keyed = leaves.filter("content_hash is not null").select(
-        leaf_shard(F.col("evidence_id"), shards).alias("shard"), "content_hash"
+    # a condition on the time stays behind the watermark, which so sees rows without a hash
+    is_leaf = F.when(F.col("at").isNull(), F.lit(False)).otherwise(F.col("content_hash").isNotNull())
+    keyed = leaves.withWatermark("at", delay).filter(is_leaf).select(
+        leaf_shard(F.col("evidence_id"), shards).alias("shard"), "evidence_id", "content_hash", "at"
     )
-    if ends is not None:
-        keyed = keyed.unionByName(ends.select("shard", F.lit(None).cast("string").alias("content_hash")))
-    return keyed.groupBy("shard").transformWithStateInPandas(
-        MerkleBatcher(size, timeout_ms),
-        "shard int, batch_no long, leaf_count long, root_hash string, leaves array<string>",
-        "Append", "None" if timeout_ms is None else "ProcessingTime",
+    closed = keyed.groupBy("shard").transformWithStateInPandas(
+        MerkleBatcher(size, seconds),
+        "shard int, batch_no long, leaf_count long, began timestamp, closed_by string, peaks array<string>", "Append", "EventTime",
     )
+    root = root_of_peaks(F.col("leaf_count"), F.col("peaks"), size)
+    return closed.withColumn("root_hash", F.concat(F.lit("sha256:"), root)).drop("peaks")

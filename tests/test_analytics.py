@@ -194,13 +194,3 @@ def test_similar_texts_score_higher(spark):
     z = stylometry.standardise(rows, stylometry.fit_scaler(rows))
     s = {r["b"]: r["similarity"] for r in stylometry.dense_similarity(z, pairs, "doc_id", "features", clip=True).collect()}
     assert s[2] > s[3] and s[3] == 0.0
-
-
-def test_merkle_stream_equals_batch_roots(spark, tmp_path):
-    src = str(tmp_path / "in")
-    spark.range(57).selectExpr("cast(id as string) as evidence_id", "concat('sha256:', sha2(cast(id as string), 256)) as content_hash").coalesce(1).write.parquet(src)
-    stream = spark.readStream.schema("evidence_id string, content_hash string").parquet(src)
-    with stateful.rocksdb(spark):
-        rows = drain(stateful.merkle_stream(stream, size=10, timeout_ms=None, shards=2), "t").collect()
-    assert rows and all(r["leaf_count"] == 10 and r["root_hash"] == "sha256:" + stateful.merkle_root(r["leaves"]) for r in rows)
-    assert len({leaf for r in rows for leaf in r["leaves"]}) == 10 * len(rows) >= 40

@@ -120,6 +120,52 @@ def test_merkle(spark, n):
     assert not any(r["ok"] for r in provenance.verify(tampered, batches).collect())
 
 
+def plain_batches(times, size, timeout):
+    """(first, after, closed): the clock of a batch starts when the one before it closed."""
+    out, i, began = [], 0, times[0]
+    while i < len(times):
+        j = i
+        while j < len(times) and j - i + 1 < size and times[j] < began + timeout:
+            j += 1
+        out.append((i, min(j + 1, len(times)), j < len(times)))
+        began = times[min(j, len(times) - 1)]
+        i = j + 1
+    return out
+
+
+@pytest.mark.parametrize("range_rows", [5, 16, 1000])
+@pytest.mark.parametrize("seed", [0, 1, 2])
+def test_batches_by_size_and_time(spark, range_rows, seed):
+    """Chains cross ranges of any size; equal times, long pauses and a rest that stays open."""
+    import random
+
+    r = random.Random(seed)
+    times = sorted(r.choice([r.randrange(300), 400 + r.randrange(40), 900 + 2 * r.randrange(500)]) for _ in range(150))
+    ev = spark.createDataFrame([(t, f"{i:04d}") for i, t in enumerate(times)], "t long, evidence_id string").withColumn("collected_at", F.timestamp_seconds("t"))
+    rows = provenance.assign_timed_batches(ev, 5, 20, range_rows=range_rows).orderBy("evidence_id").collect()
+    want = []
+    for n, (a, b, closed) in enumerate(plain_batches(times, 5, 20)):
+        want += [(n, i - a, closed) for i in range(a, b)]
+    assert [(x["batch_no"], x["pos"], x["closed"]) for x in rows] == want
+
+
+def test_timed_batches_of_nothing(spark):
+    ev = spark.createDataFrame([], "evidence_id string, collected_at timestamp")
+    assert provenance.assign_timed_batches(ev).collect() == []
+
+
+def test_root_of_peaks(spark):
+    for n in range(1, 22):
+        leaves = [hashlib.sha256(str(i).encode()).hexdigest() for i in range(n)]
+        peaks, lo = [], 0
+        for bit in range(n.bit_length() - 1, -1, -1):
+            if n >> bit & 1:
+                peaks.append(merkle_root(leaves[lo : lo + (1 << bit)]))
+                lo += 1 << bit
+        df = spark.createDataFrame([(n, peaks)], "n long, p array<string>")
+        assert df.select(provenance.root_of_peaks(F.col("n"), F.col("p"), 21)).first()[0] == merkle_root(leaves)
+
+
 def test_single_leaf_is_root():
     assert merkle_root(["sha256:ab"]) == "ab"
 

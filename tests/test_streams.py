@@ -1,5 +1,6 @@
 """Streams over several batches that end, late rows, long icons and CSV files."""
 import datetime as dt
+import hashlib
 
 import pandas as pd
 from pyspark.sql import functions as F
@@ -8,7 +9,8 @@ from pyspark.sql.types import StringType, StructField, StructType, TimestampType
 from duskwire.functions.hashing import murmur3_32
 from duskwire.sources import sinks
 from duskwire.streaming import jobs, stateful
-from duskwire.streaming.run import drain, drain_closed, drain_updates, ending, table_stream
+from duskwire.streaming.replay import replayed
+from duskwire.streaming.run import drain, drain_closed, drain_updates, table_stream
 
 T0 = dt.datetime(2024, 1, 1)
 EVENTS = StructType([StructField("source_id", StringType()), StructField("content_hash", StringType()), StructField("observed_at", TimestampType())])
@@ -57,20 +59,47 @@ def test_empty_stream_has_no_windows(spark, tmp_path):
     assert drain_closed(stream, "observed_at", jobs.rate, "t").count() == 0
 
 
-def test_merkle_keeps_every_leaf_over_batches(spark, tmp_path):
-    src = str(tmp_path / "in")
-    for part in range(3):
-        rows = spark.range(part * 19, part * 19 + 19).selectExpr("cast(id as string) as evidence_id", "concat('sha256:', sha2(cast(id as string), 256)) as content_hash")
-        rows.unionByName(spark.sql("select 'none' as evidence_id, cast(null as string) as content_hash")).coalesce(1).write.mode("append").parquet(src)
-    stream = table_stream(spark, src, StructType.fromDDL("evidence_id string, content_hash string"), files_per_trigger=1)
-    ends, land = ending(spark, StructType.fromDDL("shard int"), "t")
+def greedy(times, size, seconds):
+    """(first, after, closed_by) of stream batches over ascending times."""
+    out, i = [], 0
+    while i < len(times):
+        j = i + 1
+        while j < len(times) and j - i < size and times[j] < times[i] + seconds:
+            j += 1
+        out.append((i, j, "size" if j - i == size else "time"))
+        i = j
+    return out
+
+
+def test_merkle_batches_by_size_and_time_over_many_batches(spark):
+    """The peaks are carried from batch to batch; every leaf ends in one batch, whichever rule closes it."""
+    ids = range(140)
+    at = {i: i * 2 + 90 * (i // 45) for i in ids}
+    rows = [(str(i), f"sha256:{hashlib.sha256(b'%d' % i).hexdigest()}", T0 + dt.timedelta(seconds=at[i])) for i in ids]
+    rows += [("none", None, T0), ("x", None, None)]
+    leaves = spark.createDataFrame(rows, "evidence_id string, content_hash string, at timestamp")
+    shard_of = {r["evidence_id"]: r["s"] for r in leaves.select("evidence_id", stateful.leaf_shard(F.col("evidence_id"), 2).alias("s")).collect()}
     with stateful.rocksdb(spark):
-        closed = stateful.merkle_stream(stream, size=10, timeout_ms=None, shards=2, ends=ends)
-        rows = drain(closed, "t", lambda: land(spark.range(2).select(F.col("id").cast("int").alias("shard")))).collect()
-    leaves = [leaf for r in rows for leaf in r["leaves"]]
-    assert len(leaves) == len(set(leaves)) == 57
-    assert all(r["leaf_count"] == len(r["leaves"]) <= 10 and r["root_hash"] == "sha256:" + stateful.merkle_root(r["leaves"]) for r in rows)
-    assert sum(r["leaf_count"] < 10 for r in rows) <= 2
+        got = replayed(leaves, "at", 100, "t", lambda s: stateful.merkle_stream(s, 9, 40, 2), end=True).collect()
+    want = set()
+    for shard in (0, 1):
+        mine = [r for r in rows if r[1] and shard_of[r[0]] == shard]
+        for n, (a, b, by) in enumerate(greedy([at[int(r[0])] for r in mine], 9, 40)):
+            want.add((shard, n, b - a, by, "sha256:" + stateful.merkle_root([r[1] for r in mine[a:b]])))
+    assert {(r["shard"], r["batch_no"], r["leaf_count"], r["closed_by"], r["root_hash"]) for r in got} == want and len(got) == len(want)
+    assert {w[3] for w in want} == {"size", "time"}
+
+
+def test_replay_admits_slices_in_order(spark):
+    rows = [(i, T0 + dt.timedelta(minutes=(i * 37) % 100)) for i in range(100)] + [(200, None)]
+    df = spark.createDataFrame(rows, "id long, at timestamp").repartition(5)
+    out = replayed(df, "at", 1200, "t", lambda s: s.withColumn("batch", F.current_timestamp())).collect()
+    assert sorted(r["id"] for r in out) == [*range(100), 200]
+    spans = sorted((min(r["at"] for r in g), max(r["at"] for r in g)) for g in
+                   ([r for r in out if r["batch"] == b and r["at"]] for b in {r["batch"] for r in out}))
+    assert len(spans) == 5 and all(a[1] < b[0] for a, b in zip(spans, spans[1:]))
+    assert {r["slice"] for r in out} == {0, 1, 2, 3, 4} and [r["slice"] for r in out if r["id"] == 200] == [0]
+    assert replayed(df.limit(0), "at", 60, "t").collect() == []
 
 
 def reference_murmur(data):
