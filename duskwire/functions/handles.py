@@ -1,23 +1,120 @@
-"""Handle similarity for candidate pairs."""
-from __future__ import annotations
+"""Handle similarity as expressions: the Ratcliff-Obershelp ratio by matching blocks.
 
-from difflib import SequenceMatcher
+The ratio of two strings is 2 * (characters in matching blocks) / (sum of lengths). The first block is the longest
+common substring, the leftmost in the first string and then in the second; the parts to its left and to its right
+are searched in the same way. A block is found by dynamic programming over one row of run lengths; the recursion is
+a work list of rectangles. Where the second string has 200 characters or more, characters that make up over one in a
+hundred of it begin no block, but blocks grow over them.
+"""
+from __future__ import annotations
 
-import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
+from .columns import bind
 
-@F.pandas_udf(DoubleType())
-def handle_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Ratcliff-Obershelp ratio of two lower-cased handles.
+#: From this length of the second string on, frequent characters begin no block.
+LONG = 200
 
-    Spark has no built-in for it. Feed it candidate pairs only.
-    """
-    return pd.Series(
-        [
-            None if x is None or y is None else SequenceMatcher(None, x.lower(), y.lower()).ratio()
-            for x, y in zip(a, b)
-        ],
-        dtype="float64",
+
+def characters(s: Column) -> Column:
+    """The characters of a string as an array."""
+    return F.when(F.length(s) == 0, F.array().cast("array<string>")).otherwise(
+        F.transform(F.sequence(F.lit(1), F.length(s)), lambda i: s.substr(i, F.lit(1)))
     )
+
+
+def common_characters(a: Column, b: Column) -> Column:
+    """How many characters two strings have in common, whatever their order."""
+    count = lambda s, c: F.length(s) - F.length(F.replace(s, c, F.lit("")))
+    return F.aggregate(F.array_distinct(characters(a)), F.lit(0), lambda n, c: n + F.least(count(a, c), count(b, c)))
+
+
+def ratio_bound(a: Column, b: Column) -> Column:
+    """A cheap upper bound of ``handle_ratio``: order does not count."""
+    la, lb = F.lower(a), F.lower(b)
+    total = F.length(la) + F.length(lb)
+    by_length = 2.0 * F.least(F.length(la), F.length(lb)) / total
+    return F.when(total == 0, 1.0).otherwise(F.least(by_length, 2.0 * common_characters(la, lb) / total))
+
+
+def _block(a: Column, b: Column, starts: Column, alo: Column, ahi: Column, blo: Column, bhi: Column) -> Column:
+    """struct(i, j, size) of the longest common block within the rectangle. ``starts``: which characters of b may begin one."""
+    runs0 = F.transform(b, lambda _: F.lit(0))
+    none = F.struct(runs0.alias("runs"), F.lit(0).alias("size"), alo.alias("i"), blo.alias("j"))
+
+    def row(s: Column, i: Column) -> Column:
+        def cell(x: Column, j: Column) -> Column:
+            met = (j >= blo) & (j < bhi) & F.get(starts, j) & (x == F.get(a, i))
+            return F.when(met, F.when(j > blo, F.get(s["runs"], j - 1)).otherwise(0) + 1).otherwise(0)
+
+        def better(p: Column) -> Column:
+            top = p["top"]
+            at = (F.array_position(p["runs"], top) - 1).cast("int")
+            longer = top > s["size"]
+            return F.struct(
+                p["runs"].alias("runs"), F.when(longer, top).otherwise(s["size"]).alias("size"),
+                F.when(longer, i - top + 1).otherwise(s["i"]).alias("i"), F.when(longer, at - top + 1).otherwise(s["j"]).alias("j"),
+            )
+
+        return bind(bind(F.transform(b, cell), lambda r: F.struct(r.alias("runs"), F.array_max(r).alias("top"))), better)
+
+    inside = F.when(ahi > alo, F.sequence(alo, ahi - 1)).otherwise(F.array().cast("array<int>"))
+    found = F.aggregate(inside, none, row)
+
+    def grown(f: Column) -> Column:
+        """The block with the equal characters on both of its sides."""
+        def run(n: Column, equal) -> Column:
+            steps = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+            return F.aggregate(steps, F.lit(0), lambda k, d: F.when((k == d) & equal(d), k + 1).otherwise(k))
+
+        before = run(F.least(f["i"] - alo, f["j"] - blo), lambda d: F.get(a, f["i"] - 1 - d) == F.get(b, f["j"] - 1 - d))
+        after = run(
+            F.least(ahi - f["i"] - f["size"], bhi - f["j"] - f["size"]),
+            lambda d: F.get(a, f["i"] + f["size"] + d) == F.get(b, f["j"] + f["size"] + d),
+        )
+        return F.struct((f["i"] - before).alias("i"), (f["j"] - before).alias("j"), (f["size"] + before + after).alias("size"))
+
+    return F.when(F.size(b) < LONG, F.struct(found["i"].alias("i"), found["j"].alias("j"), found["size"].alias("size"))).otherwise(bind(found, grown))
+
+
+def matched(a: Column, b: Column, starts: Column) -> Column:
+    """Characters of the arrays ``a`` and ``b`` in matching blocks."""
+    whole = F.struct(F.lit(0).alias("alo"), F.size(a).alias("ahi"), F.lit(0).alias("blo"), F.size(b).alias("bhi"))
+    begin = F.struct(F.array(whole).alias("todo"), F.lit(0).alias("n"))
+
+    def turn(s: Column, _: Column) -> Column:
+        def split(r: Column) -> Column:
+            def parts(m: Column) -> Column:
+                left = F.struct(r["alo"].alias("alo"), m["i"].alias("ahi"), r["blo"].alias("blo"), m["j"].alias("bhi"))
+                right = F.struct((m["i"] + m["size"]).alias("alo"), r["ahi"].alias("ahi"), (m["j"] + m["size"]).alias("blo"), r["bhi"].alias("bhi"))
+                new = F.filter(F.array(left, right), lambda x: (m["size"] > 0) & (x["alo"] < x["ahi"]) & (x["blo"] < x["bhi"]))
+                return F.struct(F.concat(F.slice(s["todo"], 2, F.size(s["todo"])), new).alias("todo"), (s["n"] + m["size"]).alias("n"))
+
+            return bind(_block(a, b, starts, r["alo"], r["ahi"], r["blo"], r["bhi"]), parts)
+
+        return F.when(F.size(s["todo"]) == 0, s).otherwise(bind(F.get(s["todo"], F.lit(0)), split))
+
+    # a block makes two parts at most, and there are no more blocks than characters
+    turns = F.sequence(F.lit(1), 2 * F.least(F.size(a), F.size(b)) + 1)
+    return F.aggregate(turns, begin, turn)["n"]
+
+
+def handle_ratio(a: Column, b: Column) -> Column:
+    """Ratcliff-Obershelp ratio of two lower-cased handles; null if one is null, 1 for two empty ones. For candidate pairs."""
+    la, lb = F.lower(a), F.lower(b)
+    total = F.length(la) + F.length(lb)
+    often = F.floor(F.length(lb) / 100) + 1
+
+    def of(p: Column) -> Column:
+        def started(y: Column) -> Column:
+            frequent = F.transform(F.array_distinct(y), lambda c: F.struct(c.alias("c"), (F.length(lb) - F.length(F.replace(lb, c, F.lit("")))).alias("n")))
+            popular = F.transform(F.filter(frequent, lambda f: f["n"] > often), lambda f: f["c"])
+            return F.when(F.size(y) < LONG, F.transform(y, lambda c: F.lit(True))).otherwise(
+                bind(popular, lambda out: F.transform(y, lambda c: ~F.array_contains(out, c)))
+            )
+
+        return bind(started(p["y"]), lambda s: matched(p["x"], p["y"], s))
+
+    blocks = bind(F.struct(characters(la).alias("x"), characters(lb).alias("y")), of)
+    return F.when(a.isNull() | b.isNull(), None).when(total == 0, 1.0).otherwise(2.0 * blocks / total)

@@ -123,3 +123,21 @@ def actor_entities(hits: DataFrame) -> DataFrame:
 
 def edges_uses(links: DataFrame) -> DataFrame:
     return links.select(F.col("actor_id").alias("src"), F.col("entity_id").alias("dst"), F.lit("USES").alias("type"))
+
+
+def sharing_pairs(actors: DataFrame) -> DataFrame:
+    """(a, b, pgp, contacts, wallets) with a < b: how many identifiers of each kind two actors share, where they share any.
+
+    An equi join on exploded identifiers; counts are summed in the map tasks first.
+    """
+    kinds = {"pgp": "pgp_fingerprints", "contacts": "contact_ids", "wallets": "wallet_addresses"}
+
+    def of(kind: str, column: str) -> Column:
+        values = F.filter(F.coalesce(column, F.array().cast("array<string>")), lambda v: v != "")
+        return F.transform(values, lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("value")))
+
+    listed = F.concat(*[of(k, c) for k, c in kinds.items()])
+    rows = actors.select("actor_id", F.explode(F.array_distinct(listed)).alias("i")).select("actor_id", "i.kind", "i.value")
+    left, right = rows.withColumnRenamed("actor_id", "a"), rows.withColumnRenamed("actor_id", "b")
+    pairs = left.join(right, ["kind", "value"]).filter("a < b")
+    return pairs.groupBy("a", "b").agg(*[F.count_if(F.col("kind") == k).alias(k) for k in kinds])

@@ -439,26 +439,6 @@ def win_domain_cap(spark, sf):
 
 
 # --- sets ------------------------------------------------------------------------------
-@query("set_shared", ctes("personas") + """
-select a.actor_id as a, b.actor_id as b, len(list_intersect(a.pgp_fingerprints, b.pgp_fingerprints)) as pgp, len(list_intersect(a.contact_ids, b.contact_ids)) as contacts,
-  len(list_intersect(a.wallet_addresses, b.wallet_addresses)) as wallets
-from personas a join personas b on split_part(a.actor_id, '-', 2) = split_part(b.actor_id, '-', 2) and cast(split_part(a.actor_id, '-', 1) as bigint) + 1 = cast(split_part(b.actor_id, '-', 1) as bigint)""")
-def set_shared(spark, sf):
-    p = derived(spark, sf, "personas")
-    key = F.split("actor_id", "-")
-    side = p.select("actor_id", "pgp_fingerprints", "contact_ids", "wallet_addresses", F.get(key, F.lit(0)).cast("long").alias("c"), F.get(key, F.lit(1)).alias("q"))
-    b = side.select(*[F.col(c).alias(f"b_{c}") for c in side.columns])
-    j = side.join(b, (F.col("q") == F.col("b_q")) & (F.col("c") + 1 == F.col("b_c")))
-
-    def n(c: str):
-        return F.size(F.array_intersect(c, f"b_{c}")).cast("long")
-
-    return j.select(
-        F.col("actor_id").alias("a"), F.col("b_actor_id").alias("b"), n("pgp_fingerprints").alias("pgp"),
-        n("contact_ids").alias("contacts"), n("wallet_addresses").alias("wallets"),
-    )
-
-
 @query("set_urls", """select 'http://' || regexp_extract(url, '://(.*)', 1) as url from pages union select 'http://m.' || regexp_extract(url, '://(.*)', 1) from pages""")
 def set_urls(spark, sf):
     rest = F.regexp_extract("url", "://(.*)", 1)

@@ -390,7 +390,7 @@ def feed_sanctions(spark, sf):
 @query("src_replay", inputs.ctes("posts") + "," + redaction_ctes() + """
 select cast(post_id as varchar) as post_id, posted_at as observed_at, language, 'replay' as mode, 'payload/replay/' || post_id || '.txt' as payload_ref,
   'sha256:' || sha256(text) as content_hash,
-  cast((epoch(posted_at) - (select min(epoch(posted_at)) from posts)) // 864000 as bigint) as slice from redacted""")
+  cast(floor((epoch(posted_at) - (select min(epoch(posted_at)) from posts)) / 864000) as bigint) as slice from redacted""")
 def src_replay(spark, sf):
     """Posts enter a stream in slices of ten days, one after the other."""
     out = replayed(derived(spark, sf, "posts"), "posted_at", 864_000, "replay", lambda s: readers.replay(s, keep=["slice"]))

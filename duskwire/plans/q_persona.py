@@ -5,9 +5,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed, scores
-from ..operators import cosine_join, evidence, metrics, nearest, rebrand, stylometry
+from ..lineage import cut_lineage
+from ..operators import cosine_join, evidence, metrics, nearest, rebrand, resolve, stylometry
 from .inputs import ctes, derived, table
-from .q_text import type_case, values_sql
+from .q_text import RATIO_SQL, type_case, values_sql
 from .registry import query
 
 # --- evidence ------------------------------------------------------------------
@@ -119,82 +120,101 @@ def rb_linked(spark, sf):
     return rebrand.linked_candidates(derived(spark, sf, "personas"), at())
 
 
-@query("rb_coactive", P + """
-, x as (select *, cast(split_part(actor_id, '-', 1) as bigint) as c, split_part(actor_id, '-', 2) as q from personas)
-select a.actor_id as a, b.actor_id as b, floor((epoch(least(a.last_seen, b.last_seen)) - epoch(greatest(a.first_seen, b.first_seen))) / 86400) > 3 as co_active
-from x a join x b on a.q = b.q and a.c + 1 = b.c""")
+SHARING = """
+, pi as (select distinct actor_id, unnest(list_concat(list_concat(list_transform(pgp_fingerprints, lambda x: 'p' || x), list_transform(contact_ids, lambda x: 'c' || x)), list_transform(wallet_addresses, lambda x: 'w' || x))) as k from personas),
+sharing as (select a.actor_id as a, b.actor_id as b, count(*) filter (k[1] = 'p') as pgp, count(*) filter (k[1] = 'c') as contacts, count(*) filter (k[1] = 'w') as wallets
+  from pi a join pi b using (k) where a.actor_id < b.actor_id group by 1, 2)"""
+
+
+@query("rb_coactive", P + SHARING + """
+select a, b, floor((epoch(least(x.last_seen, y.last_seen)) - epoch(greatest(x.first_seen, y.first_seen))) / 86400) > 3 as co_active
+from sharing join personas x on x.actor_id = a join personas y on y.actor_id = b""")
 def rb_coactive(spark, sf):
-    key = F.split("actor_id", "-")
-    p = derived(spark, sf, "personas").select(
-        "actor_id", "first_seen", "last_seen", F.get(key, F.lit(0)).cast("long").alias("c"), F.get(key, F.lit(1)).alias("q")
-    )
-    b = p.select(*[F.col(c).alias(f"b_{c}") for c in p.columns])
-    j = p.join(b, (F.col("q") == F.col("b_q")) & (F.col("c") + 1 == F.col("b_c")))
-    return j.select(
-        F.col("actor_id").alias("a"), F.col("b_actor_id").alias("b"),
-        rebrand.co_active(F.col("first_seen"), F.col("last_seen"), F.col("b_first_seen"), F.col("b_last_seen")).alias("co_active"),
-    )
+    """All pairs of personas that share an identifier: were they active together?"""
+    p = cut_lineage(derived(spark, sf, "personas"), "personas")
+    pairs = resolve.sharing_pairs(p)
+    for side in "ab":
+        pairs = pairs.join(p.select(F.col("actor_id").alias(side), F.col("first_seen").alias(f"{side}_first"), F.col("last_seen").alias(f"{side}_last")), side)
+    return pairs.select("a", "b", rebrand.co_active(*[F.col(c) for c in ("a_first", "a_last", "b_first", "b_last")]).alias("co_active"))
+
 
+@query("set_shared", P + SHARING + " select * from sharing")
+def set_shared(spark, sf):
+    """How many identifiers of each kind two personas share, for all pairs that share any."""
+    return resolve.sharing_pairs(derived(spark, sf, "personas"))
 
-NO_HANDLES = CAND + LINKED + """
+
+EVIDENCE = CAND.replace("with ", "with recursive ", 1) + LINKED + """
 , pr as (select l.*, o.pgp_fingerprints as op, n.pgp_fingerprints as np, o.contact_ids as oc, n.contact_ids as nc, o.wallet_addresses as ow, n.wallet_addresses as nw,
   list_dot_product(o.style_vector, n.style_vector) / (sqrt(list_dot_product(o.style_vector, o.style_vector)) * sqrt(list_dot_product(n.style_vector, n.style_vector))) as sim
   from linked l join personas o on o.actor_id = l.old_id join personas n on n.actor_id = l.new_id),
-evid as (select old_id, new_id, 'pgp_fingerprint' as evidence_type, cast(null as double) as lr, 'A' as reliability, 1 as credibility from (select *, unnest(list_intersect(op, np)) as v from pr) t
- union all select old_id, new_id, 'contact_id', null, 'B', 2 from (select *, unnest(list_intersect(oc, nc)) as v from pr) t
- union all select old_id, new_id, 'wallet_cluster', null, 'B', 2 from pr where len(list_intersect(ow, nw)) > 0
- union all select old_id, new_id, 'stylometry', 2 + sim * 20, 'C', 3 from pr where sim > 0.6
- union all select old_id, new_id, 'temporal_overlap', greatest(1.5, 5 - gap_days * 0.1), 'B', 3 from pr where gap_days <= 45)"""
+hq as (select old_id, new_id, h1, unnest(h2) as h2 from (select l.old_id, l.new_id, unnest(o.handles) as h1, n.handles as h2 from linked l join personas o on o.actor_id = l.old_id join personas n on n.actor_id = l.new_id) t),
+hp as (select distinct lower(h1) || ' ~ ' || lower(h2) as id, lower(h1) as x, lower(h2) as y from hq), """ + RATIO_SQL + """,
+evid as (select old_id, new_id, 'pgp_fingerprint' as evidence_type, cast(null as double) as lr, 'A' as reliability, 1 as credibility, v as detail from (select *, unnest(list_intersect(op, np)) as v from pr) t
+ union all select old_id, new_id, 'contact_id', null, 'B', 2, v from (select *, unnest(list_intersect(oc, nc)) as v from pr) t
+ union all select old_id, new_id, 'wallet_cluster', null, 'B', 2, array_to_string(list_sort(list_intersect(ow, nw)), ',') from pr where len(list_intersect(ow, nw)) > 0
+ union all select old_id, new_id, 'stylometry', 2 + sim * 20, 'C', 3, null from pr where sim > 0.6
+ union all select old_id, new_id, 'temporal_overlap', greatest(1.5, 5 - gap_days * 0.1), 'B', 3, cast(gap_days as varchar) from pr where gap_days <= 45
+ union all select old_id, new_id, 'handle_exact', null, 'C', 3, h1 || ' ~ ' || h2 from hq where lower(h1) = lower(h2)
+ union all select old_id, new_id, 'handle_similar', 5 * ratio, 'C', 3, h1 || ' ~ ' || h2 from hq join ha on ha.id = lower(h1) || ' ~ ' || lower(h2) where lower(h1) <> lower(h2) and ratio >= 0.7)"""
+
+
+def _linked_evidence(spark, sf) -> DataFrame:
+    p = cut_lineage(derived(spark, sf, "personas"), "personas")
+    return rebrand.pair_evidence(rebrand.linked_candidates(p, at()), p)
 
 
-@query("ev_pairwise", NO_HANDLES + " select old_id, new_id, evidence_type, round(lr, 6) as lr, reliability, credibility from evid")
+@query("ev_pairwise", EVIDENCE + " select old_id, new_id, evidence_type, round(lr, 6) as lr, reliability, credibility, case when evidence_type <> 'stylometry' then detail end as detail from evid")
 def ev_pairwise(spark, sf):
-    """All evidence but the handle ratio, which the dialect lacks; tests cover that one."""
-    p = derived(spark, sf, "personas")
-    out = rebrand.pair_evidence(rebrand.linked_candidates(p, at()), p)
-    return out.filter(~F.col("evidence_type").startswith("handle_")).select(
-        "old_id", "new_id", "evidence_type", F.round("lr", 6).alias("lr"), "reliability", "credibility"
+    """All evidence of all linked candidates."""
+    return _linked_evidence(spark, sf).select(
+        "old_id", "new_id", "evidence_type", F.round("lr", 6).alias("lr"), "reliability", "credibility",
+        F.when(F.col("evidence_type") != "stylometry", F.col("detail")).alias("detail"),
     )
 
 
-@query("ev_handles")
+@query("ev_handles", EVIDENCE + " select old_id, new_id, evidence_type, round(lr, 6) as lr, detail from evid where starts_with(evidence_type, 'handle_')")
 def ev_handles(spark, sf):
-    """Handle evidence of linked candidates. No SQL: the ratio has no counterpart there."""
-    p = derived(spark, sf, "personas")
-    out = rebrand.pair_evidence(rebrand.linked_candidates(p, at()), p)
-    return out.filter(F.col("evidence_type").startswith("handle_")).select("old_id", "new_id", "evidence_type", F.round("lr", 6).alias("lr"), "detail")
+    """Handle evidence of linked candidates."""
+    out = _linked_evidence(spark, sf).filter(F.col("evidence_type").startswith("handle_"))
+    return out.select("old_id", "new_id", "evidence_type", F.round("lr", 6).alias("lr"), "detail")
 
 
-@query("rb_alerts")
+SCORES = EVIDENCE + f"""
+, ty as (select * from {TYPES_SQL} t(k, ratio, family, description)), re as (select * from {values_sql(list(fixed.RELIABILITY.items()))} t(g, rf)),
+cr as (select * from {values_sql(list(fixed.CREDIBILITY.items()))} t(c, cf)),
+adj as (select old_id, new_id, evidence_type, family, description, coalesce(lr, ratio)::double as lr, reliability, credibility, ln(coalesce(lr, ratio)::double) * rf::double * cf::double as llr
+  from evid join ty on k = evidence_type join re on g = reliability join cr on c = credibility),
+fam as (select old_id, new_id, least(0.5 * sum(llr) + 0.5 * max(llr), case family when 'temporal' then 0.5 when 'handle' then 3.0 else 1e9 end) as f from adj group by old_id, new_id, family),
+s as (select old_id, new_id, sum(f) as t from fam group by 1, 2),
+sc as (select old_id, new_id, round(100.0::double * 0.001::double * exp(t) / (1 + 0.001::double * exp(t)), 1) as score from s)"""
+
+
+@query("rb_alerts", SCORES + """
+, w as (select old_id, new_id, array_to_string(list(description order by -round(llr, 9), description), '; ') as why,
+  array_to_string(list(evidence_type || ':' || cast(round(lr * 1000) as bigint) || ':' || reliability || ':' || credibility order by evidence_type, lr, reliability, credibility), ';') as evidence_summary
+  from adj group by old_id, new_id)
+select 'persona_migration' as alert_type, sc.old_id, sc.new_id, o.handle as old_handle, n.handle as new_handle, score,
+  case when score >= 90 then 'VERY_HIGH' when score >= 75 then 'HIGH' else 'MODERATE' end as band, 'pending' as analyst_status, why, evidence_summary
+from sc join w on w.old_id = sc.old_id and w.new_id = sc.new_id join personas o on o.actor_id = sc.old_id join personas n on n.actor_id = sc.new_id where score >= 75""")
 def rb_alerts(spark, sf):
-    """Migration alerts. No SQL: the score includes the handle ratio; tests compare with all pairs."""
+    """Migration alerts with their reasons and evidence (type, a thousand times the ratio, grades)."""
     out = rebrand.detect(derived(spark, sf, "personas"), at())
+    item = lambda e: F.concat_ws(":", e["type"], F.round(e["lr"] * 1000).cast("long").cast("string"), e["reliability"], e["credibility"].cast("string"))
     return out.select(
         "alert_type", "old_id", "new_id", "old_handle", "new_handle", "score", "band", "analyst_status",
-        F.array_join("why", "; ").alias("why"), F.to_json("evidence_summary").alias("evidence_summary"),
+        F.array_join("why", "; ").alias("why"), F.array_join(F.transform("evidence_summary", item), ";").alias("evidence_summary"),
     )
 
 
-SCORES = NO_HANDLES + f"""
-, ty as (select * from {TYPES_SQL} t(k, ratio, family, description)), re as (select * from {values_sql(list(fixed.RELIABILITY.items()))} t(g, rf)),
-cr as (select * from {values_sql(list(fixed.CREDIBILITY.items()))} t(c, cf)),
-adj as (select old_id, new_id, family, ln(coalesce(lr, ratio)::double) * rf::double * cf::double as llr from evid join ty on k = evidence_type join re on g = reliability join cr on c = credibility),
-fam as (select old_id, new_id, case when family = 'temporal' then least(0.5 * sum(llr) + 0.5 * max(llr), 0.5) else 0.5 * sum(llr) + 0.5 * max(llr) end as f from adj group by old_id, new_id, family),
-s as (select old_id, new_id, sum(f) as t from fam group by 1, 2),
-sc as (select old_id, new_id, round(100.0::double * 0.001::double * exp(t) / (1 + 0.001::double * exp(t)), 1) as score from s)"""
-
-
 @query("rb_scores", SCORES + " select old_id, new_id, score from sc")
 def rb_scores(spark, sf):
-    """Scores of linked candidates from all evidence but handles."""
-    p = derived(spark, sf, "personas")
-    rows = rebrand.pair_evidence(rebrand.linked_candidates(p, at()), p).filter(~F.col("evidence_type").startswith("handle_"))
-    return evidence.score_links(rows, rebrand.PAIR).select("old_id", "new_id", "score")
+    """Scores of linked candidates from all evidence."""
+    return evidence.score_links(_linked_evidence(spark, sf), rebrand.PAIR).select("old_id", "new_id", "score")
 
 
 TRUTH = """
-, truth as (select old_id, new_id, case when split_part(old_id, '-', 1) = split_part(new_id, '-', 1) then case when gap_days < 20 then 'easy' else 'hard' end else 'decoy' end as difficulty from cand
-  where cast(split_part(old_id, '-', 1) as bigint) // 6 = cast(split_part(new_id, '-', 1) as bigint) // 6)"""
+, truth as (select old_id, new_id, case when split_part(old_id, '-', 1) = split_part(new_id, '-', 1) then case when gap_days < 20 then 'easy' else 'hard' end else 'decoy' end as difficulty from cand)"""
 
 
 @query("agg_eval_rebrand", SCORES + TRUTH + """
@@ -202,10 +222,10 @@ TRUTH = """
   count(*) filter (difficulty <> 'decoy' and not coalesce(score >= 50, false)) as fn, round(coalesce(avg(score), 0), 6) as avg_score from truth left join sc using (old_id, new_id) group by difficulty)
 select *, case when tp + fp > 0 then round(tp / (tp + fp)::double, 6) else 0.0 end as "precision", case when tp + fn > 0 then round(tp / (tp + fn)::double, 6) else 0.0 end as recall from c""")
 def agg_eval_rebrand(spark, sf):
-    """The detector's scores against personas of one customer; pairs that share nothing have none."""
+    """The detector's scores against personas of one customer, over all candidates; pairs that share nothing have none."""
     cand = rebrand.candidates(derived(spark, sf, "personas"), at())
     who = lambda c: F.get(F.split(c, "-"), F.lit(0)).cast("long")
-    truth = cand.filter(F.floor(who("old_id") / 6) == F.floor(who("new_id") / 6)).select(
+    truth = cand.select(
         "old_id", "new_id",
         F.when(who("old_id") != who("new_id"), "decoy").when(F.col("gap_days") < 20, "easy").otherwise("hard").alias("difficulty"),
     )
@@ -262,8 +282,6 @@ def _alike(spark, sf, vectors: DataFrame) -> DataFrame:
 
 
 def _tfidf(spark, sf, terms: DataFrame) -> DataFrame:
-    from ..lineage import cut_lineage
-
     stored = cut_lineage(terms, "terms")
     n = table(spark, sf, "documents").count()
     return stylometry.tfidf(stored, cut_lineage(stylometry.numbered(stylometry.fit_vocabulary(stored, n)), "vocabulary"))
@@ -289,8 +307,6 @@ def sty_word(spark, sf):
 
 
 def _features(spark, sf) -> DataFrame:
-    from ..lineage import cut_lineage
-
     return cut_lineage(stylometry.feature_rows(_docs(spark, sf)), "features")
 
 

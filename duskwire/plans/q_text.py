@@ -372,12 +372,34 @@ def cosine(spark, sf):
     )
 
 
-@query("handle_ratio")
+#: Ratios (id, ratio) of lower-case pairs ``hp`` (id, x, y) by recursion over rectangles: runs of equal characters on
+#: a diagonal are cut to the rectangle, the longest and then leftmost one is the block. Needs "with recursive".
+RATIO_SQL = """
+hc as (select id, i, j from (select id, x, y, unnest(range(1, length(x) + 1)) as i from hp) a, lateral (select unnest(range(1, length(y) + 1)) as j) b where substr(x, i, 1) = substr(y, j, 1)),
+hr as (select id, min(i) as i, min(j) as j, count(*) as n from (select *, i - row_number() over (partition by id, i - j order by i) as g from hc) t group by id, i - j, g),
+hw as (select id, 1 as alo, cast(length(x) + 1 as bigint) as ahi, 1 as blo, cast(length(y) + 1 as bigint) as bhi from hp
+ union all
+ select id, case k when 0 then alo else -m.i + m.s end, case k when 0 then -m.i else ahi end, case k when 0 then blo else -m.j + m.s end, case k when 0 then -m.j else bhi end
+ from (select w.id, alo, ahi, blo, bhi, max({'s': least(r.i + n, ahi, r.i - r.j + bhi) - greatest(r.i, alo, r.i - r.j + blo), 'i': -greatest(r.i, alo, r.i - r.j + blo),
+    'j': r.i - r.j - greatest(r.i, alo, r.i - r.j + blo)}) as m
+   from hw w join hr r on r.id = w.id and least(r.i + n, ahi, r.i - r.j + bhi) > greatest(r.i, alo, r.i - r.j + blo) group by w.id, alo, ahi, blo, bhi) b, (values (0), (1)) v(k)),
+hm as (select w.id, alo, ahi, blo, bhi, max(least(r.i + n, ahi, r.i - r.j + bhi) - greatest(r.i, alo, r.i - r.j + blo)) as s
+  from hw w join hr r on r.id = w.id and least(r.i + n, ahi, r.i - r.j + bhi) > greatest(r.i, alo, r.i - r.j + blo) group by w.id, alo, ahi, blo, bhi),
+hs as (select id, sum(s) as s from hm group by id),
+ha as (select hp.id, case when length(x) + length(y) = 0 then 1.0 else 2.0 * coalesce(s, 0)::double / (length(x) + length(y)) end as ratio from hp left join hs on hs.id = hp.id)"""
+
+
+@query("handle_ratio", """
+with recursive hp as (select c_custkey || '-' || s_suppkey as id, lower(c_name || '_' || c_mktsegment) as x, lower(s_name || '_' || c_mktsegment) as y
+  from customer join supplier on c_nationkey = s_nationkey and c_custkey % 10 = s_suppkey % 10), """ + RATIO_SQL + """
+select cast(split_part(id, '-', 1) as bigint) as c_custkey, cast(split_part(id, '-', 2) as bigint) as s_suppkey, round(ratio, 6) as ratio from ha""")
 def handle_ratio_pairs(spark, sf):
-    """Names of customers with neighbouring keys. No SQL: the dialect has no such ratio."""
-    c = table(spark, sf, "customer").select("c_custkey", F.concat("c_name", F.lit("_"), "c_mktsegment").alias("h"))
-    nxt = c.select((F.col("c_custkey") - 1).alias("c_custkey"), F.col("h").alias("h2"))
-    return c.join(nxt, "c_custkey").select("c_custkey", F.round(handle_ratio(F.col("h"), F.col("h2")), 6).alias("ratio"))
+    """Every customer's handle with those of the suppliers of its nation whose numbers end alike."""
+    c = table(spark, sf, "customer").withColumn("_e", F.col("c_custkey") % 10)
+    s = table(spark, sf, "supplier").withColumn("_e", F.col("s_suppkey") % 10).withColumnRenamed("s_nationkey", "c_nationkey")
+    pairs = c.join(s, ["c_nationkey", "_e"]).repartition(spark.sparkContext.defaultParallelism)
+    ratio = handle_ratio(F.concat("c_name", F.lit("_"), "c_mktsegment"), F.concat("s_name", F.lit("_"), "c_mktsegment"))
+    return pairs.select("c_custkey", "s_suppkey", F.round(ratio, 6).alias("ratio"))
 
 
 SQL_STYLE = r"""

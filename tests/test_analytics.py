@@ -1,15 +1,14 @@
 import math
+import random
 from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
 from duskwire import schemas
-from duskwire.functions.handles import handle_ratio
-from duskwire.operators import clocks, evidence, infra, metrics, rebrand, stylometry
+from duskwire.functions.handles import handle_ratio, ratio_bound
+from duskwire.operators import clocks, evidence, infra, metrics, rebrand, resolve, stylometry
 from duskwire.sources import feeds, readers
-from duskwire.streaming import stateful
-from duskwire.streaming.run import drain
 
 ITEM = "pair_id string, evidence_type string, lr double, reliability string, credibility int"
 
@@ -106,11 +105,36 @@ def test_co_activity(spark):
 
 
 def test_handle_ratio(spark):
+    """Matching blocks, ties, empty strings, letter case, and strings so long that frequent characters begin no block."""
     from difflib import SequenceMatcher
 
-    pairs = [("ShadowX", "shadow_x"), ("abc", "xyz"), ("a", "a")]
-    df = spark.createDataFrame(pairs, "a string, b string").coalesce(1)
-    assert [r[0] for r in df.select(handle_ratio("a", "b")).collect()] == [SequenceMatcher(None, a.lower(), b.lower()).ratio() for a, b in pairs]
+    r = random.Random(1)
+    pairs = [("ShadowX", "shadow_x"), ("abc", "xyz"), ("a", "a"), ("", ""), ("", "a"), ("aab", "baa"), ("ñandú", "NANDÚ")]
+    for _ in range(250):
+        letters = r.choice(["ab", "abcd", "abcdefghij_0123"])
+        a, b = ("".join(r.choice(letters) for _ in range(r.randrange(26))) for _ in "ab")
+        pairs.append((a.upper(), b[:3] + a[4:]) if r.random() < 0.5 else (a, b))
+    for n in (199, 200, 230):
+        b = "".join(r.choice("abcdefgh" * 9 + "xyzuvw") for _ in range(n))
+        pairs += [("".join(r.choice("abcdefgh") for _ in range(40)) + b[40:70], b), (b, b[5:25])]
+    df = spark.createDataFrame(pairs, "a string, b string").repartition(4)
+    rows = df.select("a", "b", handle_ratio(F.col("a"), F.col("b")).alias("r"), ratio_bound(F.col("a"), F.col("b")).alias("bound")).collect()
+    assert len(rows) == len(pairs)
+    for x in rows:
+        assert x["r"] == SequenceMatcher(None, x["a"].lower(), x["b"].lower()).ratio() <= x["bound"] + 1e-12, x
+    assert spark.sql("select cast(null as string) a, 'x' b").select(handle_ratio(F.col("a"), F.col("b"))).first()[0] is None
+
+
+def test_alerts_read_profiles_four_times_and_need_no_python(spark):
+    df = frame(spark, actor("OldFox", -100, 10, ["K1"], [], ["@fox"]), actor("NewFox", 20, 58, ["K1"], [], ["@fox"]))
+    plan = rebrand.detect(df, at())._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") <= 4 and "Python" not in plan
+
+
+def test_sharing_pairs(spark):
+    df = frame(spark, actor("a", 0, 1, ["K", ""], ["w", "v"], ["@c"]), actor("b", 0, 1, ["K", "K"], ["v"], []), actor("c", 0, 1, [], ["v", "w"], ["@d", ""]))
+    got = {tuple(r) for r in resolve.sharing_pairs(df).collect()}
+    assert got == {("a", "b", 1, 0, 1), ("a", "c", 0, 0, 2), ("b", "c", 0, 0, 1)}
 
 
 ONION = ("x.onion", ["Shop.example.com", "*.corp.net"], "fp", "fav", "Custom/9 ", {}, ["A", "B", "C", "D"], "ssh", "err", "ServerName: leak.example.com\nhostname='gone'")
