@@ -6,16 +6,19 @@ The windows still open at the end of the partitions are merged in bundles, large
 
 Token ids are those of a public tokenizer file. Its splitting never looks across a blank, so ids are kept
 per blank-separated chunk and, below that, per pretoken: a text costs dictionary look-ups, and only
-new words reach the tokenizer.
+new words reach the tokenizer's model.
 """
 from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,28 +28,43 @@ from .postings import column
 PIECES = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, window long, offset long, open boolean"
 )
+#: Characters of texts that are looked up together.
+TOGETHER = 1 << 23
+#: The tokenizer's own pattern for pretokens, for lower-case ASCII.
+_ASCII_PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
 #: Letters whose lower case depends on nothing around them and which stay composed.
 _PLAIN = re.compile("[^\x00-įı-ɏ]")
 
 
+class _Known(dict):
+    """A dictionary that works out what it doesn't hold yet, once."""
+
+    def __init__(self, make):
+        self.make = make
+
+    def __missing__(self, key: str) -> bytes:
+        value = self[key] = self.make(key)
+        return value
+
+
 class Tokens:
     """Ids of texts as little-endian unsigned 32-bit bytes, equal to the tokenizer's own.
 
-    Chunks are remembered up to ``remembered`` entries; then the memory starts anew.
+    Chunks and pretokens are remembered up to ``remembered`` entries each; then the memory starts anew.
     """
 
     _kept: dict[str, "Tokens"] = {}
 
-    def __init__(self, path: str, remembered: int = 400_000):
-        import regex
+    def __init__(self, path: str, remembered: int = 600_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = re.compile("|".join(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()) or r"(?!)")
-        self.parts = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+        self.split = self.tokenizer.pre_tokenizer.pre_tokenize_str
+        self.model = self.tokenizer.model
         self.remembered = remembered
-        self.chunks: dict[str, bytes] = {"": b""}
-        self.words: dict[str, bytes] = {}
+        self.chunks = _Known(self.of_chunk)
+        self.words = _Known(self.of_word)
 
     @classmethod
     def of(cls, path: str) -> "Tokens":
@@ -56,46 +74,65 @@ class Tokens:
         return cls._kept[path]
 
     def whole(self, text: str) -> bytes:
-        from array import array
-
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def learn(self, texts: list[list[str]]) -> None:
-        from array import array
-
-        if len(self.chunks) > self.remembered:
-            self.chunks = {"": b""}
-        if len(self.words) > self.remembered:
-            self.words = {}
-        chunks, words = self.chunks, self.words
-        fresh = set()
-        for t in texts:
-            fresh.update(t)
-        fresh = [c for c in fresh if c not in chunks]
-        split = [self.parts.findall(c) if c.isascii() or not _PLAIN.search(c) else [c] for c in fresh]
-        new = list({w for s in split for w in s if w not in words})
-        for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            words[w] = array("I", e.ids).tobytes()
-        for c, s in zip(fresh, split, strict=True):
-            chunks[c] = words[s[0]] if len(s) == 1 else b"".join([words[w] for w in s])
+    def of_word(self, word: str) -> bytes:
+        """Ids of a pretoken as the splitter returns it."""
+        return array("I", [t.id for t in self.model.tokenize(word)]).tobytes()
+
+    def of_chunk(self, chunk: str) -> bytes:
+        """Ids of what stands between two blanks.
+
+        A printable ASCII character stands for itself in a pretoken, so for such chunks the splitter's pattern alone
+        tells the pretokens; letters only are one pretoken.
+        """
+        words = self.words
+        if chunk.isascii():
+            if chunk.isalpha():
+                return words[chunk.lower()]
+            if chunk.isprintable():
+                return b"".join([words[w] for w in _ASCII_PARTS.findall(chunk.lower())])
+        if not chunk.isascii() and _PLAIN.search(chunk):
+            return self.whole(chunk)
+        return b"".join([words[w] for w, _ in self.split(chunk.lower())])
+
+    def of_plain(self, texts: list[str]) -> Iterator[bytes]:
+        """Ids of texts without special tokens. Each chunk that occurs in them is looked up once."""
+        lists = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+        coded = lists.flatten().dictionary_encode()
+        known = list(map(self.chunks.__getitem__, coded.dictionary.to_pylist()))
+        flat = np.frombuffer(b"".join(known), np.uint32)
+        size = np.fromiter(map(len, known), np.int64, len(known)) // 4
+        begin = np.cumsum(size) - size
+        chunk = coded.indices.to_numpy(zero_copy_only=False)
+        sizes = size[chunk]
+        ends = np.cumsum(sizes)
+        # the ids of all chunks in turn: a run of consecutive places of ``flat`` for each
+        ids = flat[np.repeat(begin[chunk] - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)]
+        bounds = np.concatenate([[0], ends])[lists.offsets.to_numpy()]
+        for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+            yield ids[lo:hi].tobytes()
 
     def many(self, texts: list[str | None]) -> Iterator[bytes]:
         """Ids of each text; null is empty."""
-        for lo in range(0, len(texts), 256):
-            some = texts[lo : lo + 256]
-            split: list[list[str] | None] = []
-            for t in some:
-                if not t:
-                    split.append([])
-                elif "<|" in t and self.special.search(t):
-                    split.append(None)
-                else:
-                    plain = t.isascii() or not _PLAIN.search(t)
-                    split.append((t.lower() if plain else t).replace("\n", " ").split(" "))
-            self.learn([s for s in split if s])
-            get = self.chunks.__getitem__
-            for t, s in zip(some, split, strict=True):
-                yield self.whole(t) if s is None else b"".join(map(get, s))
+        texts = [t or "" for t in texts]
+        lo = 0
+        while lo < len(texts):
+            hi, held = lo, 0
+            while hi < len(texts) and (hi == lo or held + len(texts[hi]) <= TOGETHER):
+                held += len(texts[hi])
+                hi += 1
+            odd = {i for i in range(lo, hi) if "<|" in texts[i] and self.special.search(texts[i])}
+            plain = self.of_plain([
+                (t.lower() if t.isascii() or not _PLAIN.search(t) else t).replace("\n", " ")
+                for t in ("" if i in odd else texts[i] for i in range(lo, hi))
+            ])
+            for i, ids in zip(range(lo, hi), plain, strict=True):
+                yield self.whole(texts[i]) if i in odd else ids
+            for known in (self.chunks, self.words):
+                if len(known) > self.remembered:
+                    known.clear()
+            lo = hi
 
 
 class Windows:
@@ -145,12 +182,13 @@ def packed(docs: DataFrame, tokenizer: str, size: int = 2048, end: int = 1, open
                 ids += last
                 n = len(ids) // 4
                 full = n - n % size
+                seen = memoryview(ids)
                 for start in range(0, full, size):
-                    yield doc, start, size, zlib.crc32(ids[4 * start : 4 * (start + size)]), n, base + whole_from + whole, 0
+                    yield doc, start, size, zlib.crc32(seen[4 * start : 4 * (start + size)]), n, base + whole_from + whole, 0
                     whole += 1
                 if n > full:
                     number, offset = windows.place(n - full)
-                    yield doc, full, n - full, zlib.crc32(ids[4 * full :]), n, base + number, offset
+                    yield doc, full, n - full, zlib.crc32(seen[4 * full :]), n, base + number, offset
 
         kinds = [pa.int64()] * 7
 
