@@ -2,9 +2,10 @@
 
 Inner products become distances: a vector x gets one more component, sqrt(R^2 - |x|^2), where R is the largest
 norm of the tree; then |x' - q'|^2 = R^2 + |q|^2 - 2 <x, q>. Each Arrow batch of vectors is a tree of pages with
-pivots, covering radii and distances to the parent's pivot. A search takes the page with the least possible
-distance first; stored parent distances rule out entries before any distance is computed. Every tree gives its
-k best for each query of a block; Spark keeps the k best of all.
+pivots, covering radii and distances to the parent's pivot. A block of queries searches a tree together, the page
+with the least possible distance first; stored parent distances rule out entries before any distance is computed.
+A task carries each query's k best from tree to tree, so later trees are pruned from the start; Spark keeps the k
+best of all tasks.
 """
 from __future__ import annotations
 
@@ -18,6 +19,7 @@ from pyspark.sql import functions as F
 
 FANOUT = 16
 PAGE = 48
+NO_SCORE = -(1 << 63) + 1
 
 
 def quantised(vectors: list, scale: int) -> tuple[np.ndarray, np.ndarray]:
@@ -76,48 +78,80 @@ class MTree:
         to_parent = np.sqrt(((points - parent) ** 2).sum(axis=1)) if parent is not None else np.zeros(len(kept))
         return Page(None, points, to_parent, radius, below)
 
-    def nearest(self, query: np.ndarray, k: int, ids: np.ndarray, skip: int) -> list[tuple[int, int]]:
-        """The k best (score, -id), all but id ``skip``; ties go to the smaller id."""
-        q = np.append(query, 0).astype(np.float64)
-        whole = self.top + int(query @ query)
-        best: list[tuple[int, int]] = []
-        reach = np.inf
+    def search(self, asked: np.ndarray, names: np.ndarray, ids: np.ndarray, best: "Best") -> int:
+        """Put what this tree has for the queries ``asked`` into ``best``; returns how many distances were computed.
+
+        The queries of a block go through the tree together, the page with the least possible distance to any of them
+        first. A page is read for the queries that it can still serve, and skipped when there are none; a query whose
+        k best of earlier trees are near already asks for few pages. Entries that stored parent distances rule out
+        for all queries are left out before any distance is computed.
+        """
+        q = np.column_stack([asked, np.zeros(len(asked))]).astype(np.float64)
+        own = (asked.astype(np.float64) ** 2).sum(axis=1)
+        whole = self.top + own
         slack = 1e-9 * (1.0 + np.sqrt(whole) * 2)
-        pages = [(0.0, 0, self.root, None)]
-        n = 0
+        reach = best.reach(whole) + slack
+        exact = np.abs(asked).max(initial=0) * float(np.abs(self.vectors).max(initial=0)) * max(1, self.vectors.shape[1]) < 1 << 52
+        mine, theirs = (self.vectors.astype(np.float64), asked.astype(np.float64)) if exact else (self.vectors, asked)
+        none = np.zeros(len(asked))
+        pages: list = [(0.0, 0, self.root, none, None)]
+        n = computed = 0
         while pages:
-            least, _, page, to_query = heapq.heappop(pages)
-            if least > reach + slack:
-                break
-            wide = 0.0 if page.below is None else page.radius
-            maybe = slice(None)
-            if to_query is not None and reach < np.inf:
-                maybe = np.flatnonzero(np.abs(to_query - page.to_parent) - wide <= reach + slack)
+            _, _, page, least, to_query = heapq.heappop(pages)
+            active = np.flatnonzero(least <= reach)
+            if not len(active):
+                continue
+            maybe = np.arange(len(page.points))
+            if to_query is not None:
+                wide = 0.0 if page.below is None else page.radius
+                near = np.abs(to_query[active, None] - page.to_parent) - wide <= reach[active, None]
+                maybe = np.flatnonzero(near.any(axis=0))
                 if not len(maybe):
                     continue
+            computed += len(active) * len(maybe)
             if page.below is None:
                 rows = page.rows[maybe]
-                scores = self.vectors[rows] @ query
-                if len(best) == k:
-                    rows, scores = rows[scores >= best[0][0]], scores[scores >= best[0][0]]
-                for s, i in zip(scores.tolist(), ids[rows].tolist(), strict=True):
-                    if i == skip:
-                        continue
-                    if len(best) < k:
-                        heapq.heappush(best, (s, -i))
-                    elif (s, -i) > best[0]:
-                        heapq.heapreplace(best, (s, -i))
-                if len(best) == k:
-                    reach = np.sqrt(max(0.0, whole - 2.0 * best[0][0]))
+                scores = (theirs[active] @ mine[rows].T).astype(np.int64)
+                changed = best.offer(active, scores, ids[rows], names)
+                reach[changed] = best.reach(whole)[changed] + slack[changed]
                 continue
-            far = np.sqrt(((page.points[maybe] - q) ** 2).sum(axis=1))
-            radius = page.radius[maybe]
-            index = range(len(page.below)) if isinstance(maybe, slice) else maybe.tolist()
-            for j, d, r in zip(index, far.tolist(), radius.tolist(), strict=True):
-                if d - r <= reach + slack:
-                    n += 1
-                    heapq.heappush(pages, (max(0.0, d - r), n, page.below[j], d))
-        return sorted(best, reverse=True)
+            points = page.points[maybe]
+            far = np.sqrt(np.maximum(0.0, (q[active] ** 2).sum(axis=1)[:, None] - 2.0 * (q[active] @ points.T) + (points**2).sum(axis=1)))
+            # the sum of squares rounds more coarsely than a difference would
+            low = np.maximum(0.0, far - page.radius[maybe] - 1e-6 * (1.0 + np.sqrt(whole[active])[:, None]))
+            wanted = low <= reach[active, None]
+            for j in np.flatnonzero(wanted.any(axis=0)).tolist():
+                bound, distance = np.full(len(asked), np.inf), np.zeros(len(asked))
+                bound[active], distance[active] = np.where(wanted[:, j], low[:, j], np.inf), far[:, j]
+                n += 1
+                heapq.heappush(pages, (float(low[wanted[:, j], j].min()), n, page.below[maybe[j]], bound, distance))
+        return computed
+
+
+class Best:
+    """The k best (score, id) of each query of a block, kept from tree to tree: higher scores, then smaller ids."""
+
+    def __init__(self, n: int, k: int):
+        self.scores = np.full((n, k), NO_SCORE)
+        self.ids = np.full((n, k), np.iinfo(np.int64).max)
+
+    def reach(self, whole: np.ndarray) -> np.ndarray:
+        """Distance of the k-th best; without one it is infinite."""
+        last = self.scores[:, -1]
+        return np.where(last == NO_SCORE, np.inf, np.sqrt(np.maximum(0.0, whole - 2.0 * last)))
+
+    def offer(self, active: np.ndarray, scores: np.ndarray, ids: np.ndarray, names: np.ndarray) -> np.ndarray:
+        """Take over what is better; returns the queries that changed."""
+        scores[names[active][:, None] == ids[None, :]] = NO_SCORE
+        better = (scores >= self.scores[active, -1:]) & (scores > NO_SCORE)
+        some = np.flatnonzero(better.any(axis=1))
+        if len(some):
+            at = active[some]
+            both = np.concatenate([self.scores[at], scores[some]], axis=1)
+            who = np.concatenate([self.ids[at], np.broadcast_to(ids, (len(some), len(ids)))], axis=1)
+            order = np.lexsort((who, -both), axis=1)[:, : self.scores.shape[1]]
+            self.scores[at], self.ids[at] = np.take_along_axis(both, order, 1), np.take_along_axis(who, order, 1)
+        return active[some]
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: int = 256, block_queries: int = 4096) -> DataFrame:
@@ -138,9 +172,9 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: int = 256,
         names = some.column("vec_id").to_numpy()[good] if len(good) else np.zeros(0, np.int64)
 
         def search(batches: Iterator[pa.RecordBatch], asked=asked, names=names) -> Iterator[pa.RecordBatch]:
+            best = Best(len(names), k)
             for b in batches:
                 good, mine = quantised(b.column(1).to_pylist(), scale)
-                cols: tuple[list, list, list] = ([], [], [])
                 if len(good) and len(names):
                     ids = b.column(0).to_numpy()[good].astype(np.int64)
                     width = max(mine.shape[1], asked.shape[1])
@@ -153,12 +187,10 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: int = 256,
                     first = np.maximum.accumulate(np.where(same, 0, place))
                     order = order[place - first <= k]
                     ids, tree = ids[order], MTree(mine[order])
-                    for name, q in zip(names.tolist(), ask, strict=True):
-                        for s, i in tree.nearest(q, k, ids, name):
-                            cols[0].append(name)
-                            cols[1].append(-i)
-                            cols[2].append(s)
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["query_id", "vec_id", "score"])
+                    tree.search(ask, names, ids, best)
+            query, rank = np.nonzero(best.scores > NO_SCORE)
+            columns = (names[query], best.ids[query, rank], best.scores[query, rank])
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["query_id", "vec_id", "score"])
 
         found = vectors.mapInArrow(search, "query_id long, vec_id long, score long")
         out = found if out is None else out.unionByName(found)
