@@ -6,9 +6,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..lineage import cut_lineage
+from ..lineage import cut_lineage, scratch_path
 from ..operators import clocks, infra, listings, metrics, overlap, resolve, wallets
 from ..operators.ordering import newest_per_key
+from ..sources.entity_table import EntityTable
 from .inputs import ctes, derived, table
 from .q_extract import all_hits_sql
 from .q_feeds import SDN_CTES, sanction_list
@@ -69,14 +70,22 @@ CUT = "2024-01-22 00:00:00"
 
 
 @query("snk_entities", HITS + f"""
-select kind, normalized, min(observed_at) as first_seen, max(observed_at) as last_seen, {ENTITY_UUID} as entity_id,
-  min(observed_at) >= timestamp '{CUT}' as is_new from hits group by kind, normalized""")
+select kind, normalized, min(observed_at) as first_seen, max(observed_at) as last_seen, {ENTITY_UUID} as entity_id, true as repeated_batch_changed_nothing
+  from hits group by kind, normalized""")
 def snk_entities(spark, sf):
-    """Entities of the posts before a day, merged with those from that day on."""
+    """Three batches of posts by time, merged into a stored table one after the other; the second one comes twice."""
     h = stored_hits(spark, sf)
-    old = resolve.entity_spans(h.filter(F.col("observed_at") < F.lit(CUT).cast("timestamp")))
-    new = resolve.entity_spans(h.filter(F.col("observed_at") >= F.lit(CUT).cast("timestamp")))
-    return resolve.merge_entities(old, new).select("kind", "normalized", "first_seen", "last_seen", "entity_id", "is_new")
+    stored = EntityTable(spark, scratch_path(spark, "entities"), buckets=16)
+    cuts = ["1970-01-01", "2024-01-12", CUT, "9999-01-01"]
+    day = lambda d: F.lit(d).cast("timestamp")
+    parts = [h.filter((F.col("observed_at") >= day(a)) & (F.col("observed_at") < day(b))) for a, b in zip(cuts, cuts[1:])]
+    same = True
+    for number, part in enumerate(parts):
+        spans = cut_lineage(resolve.entity_spans(part), "spans")
+        stored.upsert(spans, number)
+        if number == 1:
+            same = stored.upsert(spans, number) == [] and len(stored.versions()) == 2
+    return stored.read().select("kind", "normalized", "first_seen", "last_seen", "entity_id", F.lit(same).alias("repeated_batch_changed_nothing"))
 
 
 @query("agg_cooccur", HITS + f"""

@@ -9,8 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.hashing import content_hash
+from ..lineage import scratch_path
 from ..operators import listings, resolve
 from ..sources import readers
+from ..sources.bus import FileBus
 from ..streaming import jobs, stateful
 from ..streaming.replay import replayed
 from ..streaming.run import drain, drain_closed, drain_updates, fan_out, table_stream
@@ -120,10 +122,31 @@ def st_dlq(spark, sf):
     return tables["bad"].select("error", "event_data")
 
 
-@query("src_bus", "select cast(event_id as varchar) as event_id, 's' || user_id % 5 as source_id, 'sha256:' || event_id as content_hash from events where event_id % 7 >= 3")
+@query("src_bus", """
+with e as (select event_id, 's' || user_id % 5 as key, event_id % 3 as batch from events where event_id % 7 >= 3),
+g as (select 'archive' as group_id, 0 as least union all select 'alerts', 1)
+select group_id, cast(event_id as varchar) as event_id, key as source_id, 'sha256:' || event_id as content_hash, true as gapless from e join g on batch >= least""")
 def src_bus(spark, sf):
-    good = readers.good_events(readers.decode_events(_bus(spark, sf)))
-    return drain(good.select("event_id", "source_id", "content_hash"), "bus")
+    """Three published batches and two groups: one from the beginning, one from the latest offset after the first batch.
+
+    Each group restarts for every batch; ``gapless``: the offsets of each partition of the topic run from 0 on.
+    """
+    events = table(spark, sf, "events").select("event_id", F.concat(F.lit("s"), (F.col("user_id") % 5).cast("string")).alias("key"), F.expr(BUS).alias("value"))
+    topic = FileBus(spark, scratch_path(spark, "bus"))
+    taken = {}
+    for batch in range(3):
+        topic.publish(events.filter(F.col("event_id") % 3 == batch), "events.raw", batch)
+        taken["archive"] = topic.consume("events.raw", "archive", from_beginning=True)
+        taken["alerts"] = topic.consume("events.raw", "alerts")
+    sizes = topic.log("events.raw").groupBy("partition").agg((F.max("offset") + 1 == F.count_distinct("offset")).alias("ok"), (F.count(F.lit(1)) == F.count_distinct("offset")).alias("once"))
+    gapless = sizes.agg(F.min(F.col("ok") & F.col("once")).alias("gapless")).first()["gapless"]
+    out = None
+    for group, rows in taken.items():
+        good = readers.good_events(readers.decode_events(rows)).select(
+            F.lit(group).alias("group_id"), "event_id", "source_id", "content_hash", F.lit(gapless).alias("gapless")
+        )
+        out = good if out is None else out.unionByName(good)
+    return out
 
 
 @query("snk_events", "select 's' || user_id % 5 as key, count(*) as n, min(event_id) as first_id from events group by 1")

@@ -13,11 +13,6 @@ from ..functions.identifiers import archive_entities
 from ..operators.gates import redact
 
 
-def landed_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Text or JSON lines as column ``value``."""
-    return spark.read.text(path)
-
-
 def bus(spark: SparkSession, servers: str, topic: str, from_beginning: bool = False) -> DataFrame:
     """Event stream from a Kafka topic; needs the Kafka package on the cluster."""
     return (
@@ -30,14 +25,6 @@ def bus(spark: SparkSession, servers: str, topic: str, from_beginning: bool = Fa
     )
 
 
-def bus_files(spark: SparkSession, path: str, files_per_trigger: int | None = None) -> DataFrame:
-    """The same stream from a folder of JSON lines."""
-    reader = spark.readStream.format("text")
-    if files_per_trigger:
-        reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    return reader.load(path)
-
-
 def decode_events(raw: DataFrame) -> DataFrame:
     """Event envelopes from JSON text, with ``error`` set where a message is unusable."""
     parsed = F.from_json(

@@ -5,8 +5,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ..operators.resolve import merge_entities
-
 
 def events_to_bus(events: DataFrame, servers: str, topic: str, checkpoint: str):
     """Publish a stream of events keyed by source; needs the Kafka package."""
@@ -30,13 +28,6 @@ def payloads_to_files(texts: DataFrame, path: str) -> None:
     ).write.mode("append").partitionBy("prefix").parquet(path)
 
 
-def upsert_entities(existing: DataFrame, spans: DataFrame, path: str) -> DataFrame:
-    """Merged entity table written to a new ``path``, partitioned by kind."""
-    merged = merge_entities(existing, spans)
-    merged.drop("is_new").write.mode("errorifexists").partitionBy("kind").parquet(path)
-    return existing.sparkSession.read.parquet(path)
-
-
 CSV = {"header": "true", "escape": '"', "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
 
 
@@ -48,11 +39,3 @@ def csv(df: DataFrame, path: str) -> None:
 def read_csv(spark: SparkSession, schema: StructType, path: str) -> DataFrame:
     """What ``csv`` has written, values with line breaks included; blanks are null."""
     return spark.read.schema(schema).options(**CSV, multiLine="true", enforceSchema="false").csv(path)
-
-
-def json_lines(df: DataFrame, path: str) -> None:
-    df.write.json(path)
-
-
-def text_lines(df: DataFrame, column: str, path: str) -> None:
-    df.select(column).write.text(path)
