@@ -264,3 +264,26 @@ def st_merkle(spark, sf):
     )
     with stateful.rocksdb(spark):
         return replayed(leaves, "at", 500, "merkle", lambda s: stateful.merkle_stream(s, 20, 150, 4), end=True)
+
+
+#: Every 40th event is delivered half a day late.
+DELIVERED = "case when event_id % 40 = 0 then 43200 else 0 end"
+
+
+@query("st_late", f"""
+with e as (select event_type as source_id, epoch_us(ts) // 1000 as ms, epoch(ts) + {DELIVERED} as delivered from events),
+s as (select *, cast(floor((delivered - (select min(delivered) from e)) / 518400) as bigint) as slice, ms // 3600000 * 3600000 as w from e),
+m as (select source_id, slice, max(ms) as latest from s group by 1, 2),
+k as (select source_id, slice, max(latest) over (partition by source_id order by slice rows between unbounded preceding and 1 preceding) as mark from m)
+select s.source_id, make_timestamp(w * 1000) as window_start, count(*) filter (not coalesce(w + 3600000 <= mark - 7200000, false)) as on_time,
+  count(*) filter (coalesce(w + 3600000 <= mark - 7200000, false)) as late
+from s join k on k.source_id = s.source_id and k.slice = s.slice group by 1, 2""")
+def st_late(spark, sf):
+    """Hourly counts per event type in slices of six days, two hours of patience: on time and late together are all rows."""
+    ev = table(spark, sf, "events").select(
+        F.col("event_type").alias("source_id"), F.col("event_id").cast("string").alias("row_id"), F.col("ts").alias("at"),
+        (F.col("ts") + F.expr(f"make_dt_interval(0, 0, 0, {DELIVERED})")).alias("delivered"),
+    )
+    with stateful.rocksdb(spark):
+        counts = replayed(ev, "delivered", 518_400, "late", lambda s: stateful.late_aware_windows(s, 3600, 7200), end=["delivered", "at"])
+    return stateful.settled(counts)

@@ -6,7 +6,7 @@ has and whatever their times of modification.
 """
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,12 +22,13 @@ def sliced(df: DataFrame, at: str, seconds: int) -> DataFrame:
 
 
 def replayed(
-    df: DataFrame, at: str, seconds: int, label: str, transform: Callable[[DataFrame], DataFrame] = lambda s: s, end: bool = False
+    df: DataFrame, at: str, seconds: int, label: str, transform: Callable[[DataFrame], DataFrame] = lambda s: s,
+    end: bool | Sequence[str] = False,
 ) -> DataFrame:
     """All that ``transform`` makes of a stream of ``df``'s rows (with their slice), in an append sink.
 
-    ``end``: after the last slice comes a row far in the future that is null elsewhere, as the input's end: it moves a
-    watermark past everything else. The driver holds the numbers of the slices: the replayed time over ``seconds``.
+    ``end``: after the last slice comes a row far in the future (in ``at``, or in the columns given) that is null
+    elsewhere, as the input's end: it moves a watermark past everything else. The driver holds the numbers of the slices: the replayed time over ``seconds``.
     """
     spark = df.sparkSession
     rows = sliced(df, at, seconds)
@@ -50,7 +51,8 @@ def replayed(
         stored.filter(F.col("_s") == number).drop("_s").write.mode("append").parquet(bus)
         run()
     if end:
-        mark = [F.lit("9999-01-01" if f.name == at else None).cast(f.dataType).alias(f.name) for f in rows.schema]
+        far = [at] if end is True else end
+        mark = [F.lit("9999-01-01" if f.name in far else None).cast(f.dataType).alias(f.name) for f in rows.schema]
         spark.range(1).select(*mark).write.mode("append").parquet(bus)
         run()
     if not numbers and not end:

@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 import hashlib
+import json
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -158,6 +159,90 @@ class MerkleBatcher(StatefulProcessor):
         pass
 
 
+#: No row is ever this far behind, so Spark drops none, and no replayed time reaches the end.
+_NEVER = "100000 days"
+_END_MS = 16_725_225_600_000  # the year 2500
+
+
+class LateAwareWindows(StatefulProcessor):
+    """Counts rows of tumbling windows, and returns rows that come behind their key's mark in place of dropping them.
+
+    A key's mark is its latest time up to the batch before, less ``delay``. Rows whose window ends at or before it are
+    late; windows that the new mark has passed are returned with their counts. The state is the mark and the counts of
+    windows that are open still: those of ``delay`` and of one batch.
+    """
+
+    def __init__(self, width: int, delay: int):
+        self.width, self.delay = width * 1000, delay * 1000
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("windows", "latest long, open string")
+
+    def _known(self) -> tuple[int | None, dict[int, int]]:
+        if not self.state.exists():
+            return None, {}
+        latest, held = self.state.get()
+        return latest, {int(k): n for k, n in json.loads(held).items()}
+
+    def _windows(self, key, counts: dict[int, int]) -> pd.DataFrame:
+        starts = sorted(counts)
+        return pd.DataFrame({
+            "source_id": pd.Series([key[0]] * len(starts), dtype="object"), "row_id": pd.Series([None] * len(starts), dtype="object"), "at": pd.to_datetime(pd.Series([None] * len(starts), dtype="float64")),
+            "window_start": pd.to_datetime(pd.Series(starts, dtype="int64"), unit="ms"), "n": pd.Series([counts[w] for w in starts], dtype="int64"),
+        })
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        latest, counts = self._known()
+        if latest is None:
+            self.handle.registerTimer(_END_MS)
+        newest = latest
+        for frame in rows:
+            at = frame["at"].astype("datetime64[ms]").astype("int64")
+            start = at // self.width * self.width
+            late = (start + self.width <= latest - self.delay) if latest is not None else at != at
+            if late.any():
+                # plain objects: Arrow-backed text may come in several chunks, which can't be returned
+                yield pd.DataFrame({
+                    "source_id": pd.Series(key[0], index=frame.index[late], dtype="object"), "row_id": frame["row_id"][late].astype("object"), "at": frame["at"][late],
+                    "window_start": pd.to_datetime(start[late], unit="ms"), "n": pd.Series(1, index=frame.index[late], dtype="int64"),
+                })
+            for w, n in start[~late].value_counts().items():
+                counts[int(w)] = counts.get(int(w), 0) + int(n)
+            newest = int(at.max()) if newest is None else max(newest, int(at.max()))
+        done = {w: n for w, n in counts.items() if w + self.width <= newest - self.delay}
+        self.state.update((newest, json.dumps({w: n for w, n in counts.items() if w not in done})))
+        yield self._windows(key, done)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        _, counts = self._known()
+        self.state.clear()
+        yield self._windows(key, counts)
+
+    def close(self) -> None:
+        pass
+
+
+def late_aware_windows(events: DataFrame, width: int, delay: int) -> DataFrame:
+    """Window counts and late rows of a stream of (source_id, row_id, at): source_id, row_id, at, window_start, n.
+
+    Closed windows have no row_id; late rows have theirs, and count 1. ``width`` and ``delay`` in seconds. Rows without a
+    time or a source take no part. Where one source has most of all rows, salt it and sum its windows on read. An
+    end mark far in the future closes what is open. Late rows can be added to their windows by a sum, see ``settled``.
+    """
+    keyed = events.withWatermark("at", _NEVER).filter(F.when(F.col("at").isNull(), F.lit(False)).otherwise(F.col("source_id").isNotNull()))
+    return keyed.select("source_id", "row_id", "at").groupBy("source_id").transformWithStateInPandas(
+        LateAwareWindows(width, delay), "source_id string, row_id string, at timestamp, window_start timestamp, n long", "Append", "EventTime"
+    )
+
+
+def settled(counts: DataFrame) -> DataFrame:
+    """(source_id, window_start, on_time, late): what ``late_aware_windows`` returned, in one row per window."""
+    return counts.groupBy("source_id", "window_start").agg(
+        F.sum(F.when(F.col("row_id").isNull(), F.col("n")).otherwise(0)).alias("on_time"), F.count_if(F.col("row_id").isNotNull()).alias("late")
+    )
+
+
 def leaf_shard(evidence_id: Column, shards: int) -> Column:
     """Shard of a leaf from the first two hash digits of its id; up to 256 shards."""
     return (F.conv(F.substring(F.md5(evidence_id), 1, 2), 16, 10).cast("int") % shards).cast("int")

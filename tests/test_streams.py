@@ -102,6 +102,32 @@ def test_replay_admits_slices_in_order(spark):
     assert replayed(df.limit(0), "at", 60, "t").collect() == []
 
 
+def test_late_rows_have_a_table_of_their_own(spark):
+    """Marks are those of each source up to the slice before; on time and late together are all rows."""
+    rows = [("a", str(i), T0 + dt.timedelta(minutes=i), T0 + dt.timedelta(minutes=i + (200 if i % 7 == 0 else 0))) for i in range(300)]
+    rows += [("slow", f"s{i}", T0 + dt.timedelta(minutes=i), T0 + dt.timedelta(minutes=i + 400)) for i in range(30)]
+    rows += [(None, "x", T0, T0), ("a", "y", None, T0)]
+    df = spark.createDataFrame(rows, "source_id string, row_id string, at timestamp, delivered timestamp").repartition(3)
+    with stateful.rocksdb(spark):
+        out = replayed(df, "delivered", 3600, "t", lambda s: stateful.late_aware_windows(s, 600, 900), end=["delivered", "at"]).collect()
+    mark, late, counts = {}, set(), {}
+    for number in sorted({(r[3] - T0) // dt.timedelta(hours=1) for r in rows}):
+        mine = [r for r in rows[:-2] if (r[3] - T0) // dt.timedelta(hours=1) == number]
+        for source, i, at, _ in mine:
+            start = (at - T0) // dt.timedelta(minutes=10)
+            if source in mark and T0 + dt.timedelta(minutes=10 * start + 10) <= mark[source] - dt.timedelta(minutes=15):
+                late.add((source, i))
+            else:
+                counts[source, start] = counts.get((source, start), 0) + 1
+        for source, _, at, _ in mine:
+            mark[source] = max(mark.get(source, at), at)
+    assert {(r["source_id"], r["row_id"]) for r in out if r["row_id"]} == late and late
+    assert not any(s == "slow" for s, _ in late), "a source that lags behind the others is not late"
+    epoch = min(r["window_start"] for r in out)
+    assert {(r["source_id"], int((r["window_start"] - epoch).total_seconds() // 600)): r["n"] for r in out if not r["row_id"]} == counts
+    assert sum(counts.values()) + len(late) == 330
+
+
 def reference_murmur(data):
     h, m = 0, 0xFFFFFFFF
     for i in range(0, len(data), 4):
