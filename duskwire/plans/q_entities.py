@@ -279,16 +279,27 @@ union all """ + COLS.format(d="D1", m="host", k="cert_san", c="0.9") + """ from
 }
 
 
-def _detector(name: str, fn):
+def _detector(name: str):
     @query(name, SIDES + D_SQL[name])
     def run(spark, sf):
-        return fn(derived(spark, sf, "onions"), derived(spark, sf, "hosts")).drop("evidence")
+        return infra.findings(derived(spark, sf, "onions"), derived(spark, sf, "hosts"), [name[:2].upper()]).drop("evidence")
 
     return run
 
 
-for _name, _fn in zip(D_SQL, infra.DETECTORS):
-    _detector(_name, _fn)
+for _name in D_SQL:
+    _detector(_name)
+
+
+@query("infra_groups", SIDES + ", f as (" + "\nunion all\n".join(D_SQL.values()) + """),
+p as (select detector_id, confidence, onion_address, count(distinct clearnet_match) as n from f group by 1, 2, 3)
+select detector_id, confidence, count(*) as onions, cast(sum(n) as bigint) as pairs from p group by 1, 2""")
+def infra_groups(spark, sf):
+    """Findings as values with members, counted back into onions and pairs of each detector and form."""
+    groups = infra.shared_values(derived(spark, sf, "onions"), derived(spark, sf, "hosts"))
+    confidence = F.create_map(*[F.lit(x) for d, w, _, c in infra.FORMS for x in (f"{d} {w}", c)])
+    onions = groups.filter("side = 'onion'").select("detector_id", confidence[F.concat_ws(" ", "detector_id", "what")].alias("confidence"), "member", "n_hosts")
+    return onions.groupBy("detector_id", "confidence").agg(F.count_distinct("member").alias("onions"), F.sum("n_hosts").alias("pairs"))
 
 
 @query("infra_all", SIDES + "\nunion all\n".join(D_SQL.values()))
@@ -319,6 +330,16 @@ def flt_findings(spark, sf):
     return listings.findings(rows).drop("finding_id")
 
 
+@query("favicon_groups", """
+with n as (select 'n' || c_custkey as id, md5('fav' || cast(c_custkey // 5 as varchar)) as favicon_hash from customer)
+select favicon_hash, id, members from (select *, count(*) over (partition by favicon_hash) as members from n) t where members > 1""")
+def favicon_groups(spark, sf):
+    """The linear form of ``jn_favicon_graph``: each favicon with its nodes."""
+    c = table(spark, sf, "customer")
+    group = F.floor(F.col("c_custkey") / 5).cast("string")
+    return infra.favicon_groups(c.select(F.concat(F.lit("n"), F.col("c_custkey").cast("string")).alias("id"), F.md5(F.concat(F.lit("fav"), group)).alias("favicon_hash")))
+
+
 @query("jn_favicon_graph", """
 with n as (select 'n' || c_custkey as id, md5('fav' || cast(c_custkey // 5 as varchar)) as h from customer),
 k as (select 'n' || c_custkey as a, 'n' || (c_custkey + 1) as b from customer where c_custkey % 3 = 0)

@@ -85,3 +85,44 @@ def test_nearest_of_few(spark):
     assert nearest.nearest(make([(1, [1.0, 0.0])])).collect() == []
     got = nearest.nearest(make([(1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [0.0, 1.0])]), 5)
     assert {tuple(x) for x in got.collect()} == {(1, 1, 2, 1.0), (1, 2, 3, 0.0), (2, 1, 1, 1.0), (2, 2, 3, 0.0), (3, 1, 1, 0.0), (3, 2, 2, 0.0)}
+
+
+def infra_sides(spark, n_hosts, banner_of):
+    from duskwire import schemas
+
+    hosts = [(f"h{i}.example.com", [], None, f"fav{i}", banner_of(i), {}, [], None, None) for i in range(n_hosts)]
+    onions = [(f"o{i}.onion", [f"h{i}.example.com", "*.le.com" if i == 0 else "x.org"], None, f"fav{i}", "Stock/1.0", {}, [], None, None, None) for i in range(5)]
+    return spark.createDataFrame(onions, schemas.ONION), spark.createDataFrame(hosts, schemas.HOST)
+
+
+def test_findings_read_each_side_once(spark, tmp_path):
+    from duskwire.operators import infra
+
+    onions, hosts = infra_sides(spark, 30, lambda i: None)
+    onions.write.parquet(str(tmp_path / "o"))
+    hosts.write.parquet(str(tmp_path / "h"))
+    found = infra.all_findings(spark.read.parquet(str(tmp_path / "o")), spark.read.parquet(str(tmp_path / "h")))
+    assert found._jdf.queryExecution().executedPlan().toString().count("FileScan") == 2
+    kinds = {(r["detector_id"], r["onion_address"], r["clearnet_match"], r["confidence"]) for r in found.collect()}
+    want = {("D1", f"o{i}.onion", f"h{i}.example.com", 0.95) for i in range(5)} | {("D2", f"o{i}.onion", f"h{i}.example.com", 0.7) for i in range(5)}
+    want |= {("D1", "o0.onion", f"h{i}.example.com", 0.9) for i in range(30)}
+    assert kinds == want
+
+
+def test_a_stock_value_has_linear_groups(spark):
+    """A banner of a third of all hosts: a row for each member, not for each pair."""
+    from duskwire.operators import infra
+
+    onions, hosts = infra_sides(spark, 300, lambda i: "stock/1.0 " if i % 3 == 0 else f"own{i}")
+    groups = infra.shared_values(onions, hosts, ["D3"]).collect()
+    assert sorted({(g["n_onions"], g["n_hosts"]) for g in groups}) == [(5, 100)] and len(groups) == 105
+    assert {g["member"] for g in groups if g["side"] == "onion"} == {f"o{i}.onion" for i in range(5)}
+    assert infra.findings(onions, hosts, ["D3"]).count() == 500
+
+
+def test_favicon_groups_are_linear(spark):
+    from duskwire.operators import infra
+
+    nodes = spark.createDataFrame([(f"n{i}", "stock" if i % 3 == 0 else f"f{i}") for i in range(90)] + [("z", None)], "id string, favicon_hash string")
+    rows = infra.favicon_groups(nodes).collect()
+    assert len(rows) == 30 and {r["members"] for r in rows} == {30}
