@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions.columns import bind
+from .ordering import number_rows
 
 TOKEN = f"[{fixed.WORD}]+"
 
@@ -81,6 +82,43 @@ def search_index(index: DataFrame, query: str, limit: int = 50, id_: str = "post
     return per_post.filter(F.col("k") == len(terms)).select(id_, rank.alias("rank")).orderBy(F.desc("rank"), id_).limit(limit)
 
 
+def block_index(df: DataFrame, text: str = "text", id_: str = "post_id", block: int = 128) -> DataFrame:
+    """(token, block, top, n, postings): postings of a token by falling impact, in blocks of ``block``.
+
+    An impact is what a token adds to a post's rank: its hits over 1 + ln(length). ``top`` is a block's largest.
+    Postings of a frequent token are numbered over ranges, so no task holds a whole list.
+    """
+    hits = token_index(df, text, id_).select("token", F.col(id_).alias("id"), (F.col("tf") / (1.0 + F.ln(F.col("length").cast("double")))).alias("impact"))
+    ordered = number_rows(hits.withColumn("fall", -F.col("impact")), ["fall", "id"], "_n", ["token"])
+    return ordered.groupBy("token", F.floor((F.col("_n") - 1) / block).cast("long").alias("block")).agg(
+        F.max("impact").alias("top"), F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_list(F.struct("impact", "id")), asc=False).alias("postings")
+    )
+
+
+def best_posts(index: DataFrame, df: DataFrame, query: str, limit: int = 50, text: str = "text", id_: str = "post_id", seeds: int = 2) -> tuple[DataFrame, DataFrame]:
+    """(hits, blocks): the ``limit`` best posts with every query term, as ``posts`` finds them, and which blocks were read.
+
+    The first ``seeds`` blocks of each term give posts whose ranks are worked out; the limit-th of these is a bar. A
+    post at the bar has a term of at least an equal share of it, so it stands in a block whose largest impact reaches
+    bar / terms: all other blocks are skipped, and only posts of the blocks read are looked up.
+    """
+    terms = query_terms(query)
+    blocks = index.filter(F.col("token").isin(terms))
+
+    def ranked(ids: DataFrame) -> DataFrame:
+        some = df.join(ids.distinct(), id_, "left_semi")
+        return some.withColumn("rank", _rank(F.col(text), terms)).filter("rank > 0")
+
+    posted = lambda b: b.select(F.explode("postings").alias("p")).select(F.col("p.id").alias(id_), F.col("p.impact").alias("_impact"))
+    first = ranked(posted(blocks.filter(F.col("block") < seeds)).select(id_)).orderBy(F.desc("rank"), id_).limit(limit)
+    bar = first.agg(F.when(F.count(F.lit(1)) >= limit, F.min("rank")).alias("bar")).first()["bar"]  # one number
+    share = 0.0 if bar is None else bar / len(terms) - 1e-12
+    read = blocks.withColumn("read", F.col("top") >= share)
+    found = ranked(posted(read.filter("read")).filter(F.col("_impact") >= share).select(id_))
+    top = found.orderBy(F.desc("rank"), id_).limit(limit)
+    return top.withColumn("snippet", snippet(F.col(text), terms)), read.select("token", "block", "top", "n", "read")
+
+
 def nodes(vertices: DataFrame, query: str, labels: list[str], props: list[str], limit: int = 20) -> DataFrame:
     """Nodes of the searched labels ranked by hits over their searched properties."""
     terms = query_terms(query)

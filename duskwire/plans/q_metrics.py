@@ -5,7 +5,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import hashing
-from ..lineage import scratch_path
+from ..lineage import cut_lineage, scratch_path
 from ..operators import metrics, provenance, reports, resolve, search
 from ..sources import sinks
 from .inputs import ctes, derived, table
@@ -330,10 +330,37 @@ def _search_sql(terms: list[str]) -> str:
     return f"""with {TOK} select post_id, round(({tf}) / (1.0 + ln(len(t))), 6) as rank from posts0 where {every} order by ({tf}) / (1.0 + ln(len(t))) desc, post_id limit 50"""
 
 
-@query("txt_search", _search_sql(["and", "the"]))
+def _hits_sql(terms: list[str]) -> str:
+    """The best posts with handle, market and snippet; a text is rebuilt from its words and gaps, with the hits marked."""
+    listed = ", ".join(f"'{w}'" for w in terms)
+    tf = f"len(list_filter(t, lambda x: x in ({listed})))"
+    every = " and ".join(f"list_contains(t, '{w}')" for w in terms)
+    word = r"[\pL\pN_]+"
+    return ctes("posts") + rf""", k as (select post_id, handle, market, text, regexp_extract_all(lower(text), '{word}') as t from posts),
+r as (select *, {tf} / (1.0 + ln(len(t))) as rank from k where {every} order by rank desc, post_id limit 50),
+g as (select *, regexp_split_to_array(lower(text), '{word}') as gaps, list_position(list_transform(t, lambda x: x in ({listed})), true) as i from r),
+p as (select *, 1 + list_sum(list_transform(gaps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(t[1:i - 1], lambda x: length(x))), 0) as first from g),
+c as (select *, substring(text, cast(greatest(first - 80, 1) as bigint), 160) as cut from p),
+w as (select *, list_zip(regexp_split_to_array(cut, '{word}'), regexp_extract_all(cut, '{word}')) as parts from c)
+select post_id, handle, market, round(rank, 6) as rank,
+  array_to_string(list_transform(parts, lambda x: x[1] || case when lower(x[2]) in ({listed}) then '<b>' || x[2] || '</b>' else coalesce(x[2], '') end), '') as snippet from w"""
+
+
+def _hit_rows(found: DataFrame) -> DataFrame:
+    return found.select("post_id", "handle", "market", F.round("rank", 6).alias("rank"), "snippet")
+
+
+@query("txt_search", _hits_sql(["thble", "attion"]))
 def txt_search(spark, sf):
-    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("post_id"), "text")
-    return search.posts(docs, "the AND").select("post_id", F.round("rank", 6).alias("rank"))
+    return _hit_rows(search.posts(derived(spark, sf, "posts"), "attion THBLE"))
+
+
+@query("txt_search_blocks", _hits_sql(["ering", "thing"]))
+def txt_search_blocks(spark, sf):
+    """The same from blocks of postings, most of which are never read."""
+    posts = derived(spark, sf, "posts")
+    index = cut_lineage(search.block_index(posts.select("post_id", "text"), block=16), "blocks")
+    return _hit_rows(search.best_posts(index, posts, "thing ering", seeds=3)[0])
 
 
 @query("txt_search_index", _search_sql(["de", "la", "que"]))

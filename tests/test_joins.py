@@ -1,6 +1,7 @@
 """Similarity joins against all pairs, with copies, ties, empty inputs and hot values."""
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from duskwire.operators import cosine_join, nearest
 
@@ -126,3 +127,24 @@ def test_favicon_groups_are_linear(spark):
     nodes = spark.createDataFrame([(f"n{i}", "stock" if i % 3 == 0 else f"f{i}") for i in range(90)] + [("z", None)], "id string, favicon_hash string")
     rows = infra.favicon_groups(nodes).collect()
     assert len(rows) == 30 and {r["members"] for r in rows} == {30}
+
+
+def test_block_search_equals_a_scan_and_skips_blocks(spark):
+    from duskwire.operators import search
+
+    r = np.random.default_rng(8)
+    words = ["alpha", "beta", *[f"w{i}" for i in range(60)]]
+    weights = np.array([0.08, 0.03] + [0.89 / 60] * 60)
+    texts = [" ".join(r.choice(words, size=int(r.integers(5, 200)), p=weights)) for _ in range(600)] + ["", "alpha beta", "alpha beta"]
+    posts = spark.createDataFrame(list(enumerate(texts)), "post_id long, text string")
+    index = search.block_index(posts, block=8)
+    sizes = index.groupBy("token").agg(F.sum("n").alias("n"), F.max("n").alias("most")).collect()
+    assert all(x["most"] <= 8 for x in sizes)
+    for query, limit in (("alpha beta", 5), ("Beta", 3), ("alpha w3 beta", 4), ("alpha missing", 5), ("alpha", 1000)):
+        hits, blocks = search.best_posts(index, posts, query, limit)
+        want = [tuple(x) for x in search.posts(posts, query, limit).select("post_id", "rank", "snippet").collect()]
+        assert [tuple(x) for x in hits.select("post_id", "rank", "snippet").collect()] == want, query
+        read = blocks.agg(F.count_if("read").alias("r"), F.count("*").alias("n")).first()
+        if query in ("alpha beta", "Beta"):
+            assert 0 < read["r"] < 0.5 * read["n"], "blocks must be skipped"
+    assert search.best_posts(search.block_index(posts.limit(0)), posts.limit(0), "alpha")[0].collect() == []
