@@ -5,6 +5,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.pages import host
+from . import intervals
 from .ordering import newest_per_key
 
 
@@ -30,20 +31,17 @@ def skew_profiles(probes: DataFrame, n: int = 20, min_samples: int = 3) -> DataF
 def skew_pairs(profiles: DataFrame, threshold: float = 0.5) -> DataFrame:
     """URL pairs whose mean skew differs by at most ``threshold`` seconds.
 
-    Equi join on skew buckets of that width, with each left row offered to the
-    neighbouring buckets too.
+    A sorted interval join: half of all URLs may have one skew.
     """
-    bucket = F.floor(F.col("avg_skew") / threshold)
-    a = profiles.select(
-        F.col("url").alias("url_a"), F.col("avg_skew").alias("avg_a"), F.col("spread").alias("spread_a"),
-        F.col("samples").alias("samples_a"), F.explode(F.array(bucket - 1, bucket, bucket + 1)).alias("_b"),
-    )
-    b = profiles.select(
-        F.col("url").alias("url_b"), F.col("avg_skew").alias("avg_b"), F.col("spread").alias("spread_b"),
-        F.col("samples").alias("samples_b"), bucket.alias("_b"),
+    side = lambda x: profiles.select(
+        F.col("url").alias(f"url_{x}"), F.col("avg_skew").alias(f"avg_{x}"), F.col("spread").alias(f"spread_{x}"), F.col("samples").alias(f"samples_{x}")
     )
+    a, b = side("a"), side("b")
+    # a little wider than the threshold; the difference itself decides below
+    reach = threshold * (1.0 + 1e-9)
+    met = intervals.within(b, a, F.col("avg_b"), F.col("avg_a") - reach, F.col("avg_a") + reach, "url_b", "url_a").filter("url_a < url_b")
     diff = F.abs(F.col("avg_a") - F.col("avg_b"))
-    pairs = a.join(b, "_b").filter((F.col("url_a") < F.col("url_b")) & (diff <= threshold))
+    pairs = met.join(a, "url_a").join(b, "url_b").filter(diff <= threshold)
 
     def steadiness(spread: str):
         return 1.0 - F.least(F.col(spread), F.lit(5.0)) / 5.0

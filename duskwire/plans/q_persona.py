@@ -109,6 +109,15 @@ def rb_candidates(spark, sf):
     return rebrand.candidates(derived(spark, sf, "personas"), at())
 
 
+@query("rb_partner_counts", P + f"""
+select o.actor_id as old_id, count(n.actor_id) as partners from personas o
+left join (select * from personas where last_seen >= timestamp '{AT}' - interval 14 days) n on n.first_seen >= o.last_seen and n.first_seen <= o.last_seen + interval 45 days
+where o.last_seen < timestamp '{AT}' - interval 14 days group by 1""")
+def rb_partner_counts(spark, sf):
+    """How many candidates each dormant persona has, without listing them."""
+    return rebrand.partner_counts(derived(spark, sf, "personas"), at())
+
+
 LINKED = """
 , pi as (select actor_id, unnest(list_concat(list_concat(list_transform(pgp_fingerprints, lambda x: 'p' || x), list_transform(contact_ids, lambda x: 'c' || x)), list_transform(wallet_addresses, lambda x: 'w' || x))) as k from personas),
 linked as (select distinct c.* from cand c join pi a on a.actor_id = c.old_id join pi b on b.actor_id = c.new_id and a.k = b.k)"""

@@ -148,3 +148,28 @@ def test_block_search_equals_a_scan_and_skips_blocks(spark):
         if query in ("alpha beta", "Beta"):
             assert 0 < read["r"] < 0.5 * read["n"], "blocks must be skipped"
     assert search.best_posts(search.block_index(posts.limit(0)), posts.limit(0), "alpha")[0].collect() == []
+
+
+@pytest.mark.parametrize("chunk", [3, 128])
+def test_interval_join_equals_all_pairs(spark, chunk):
+    from duskwire.operators import intervals
+
+    r = np.random.default_rng(9)
+    points = [(f"p{i}", int(r.integers(0, 60)) if i % 2 else 7) for i in range(120)] + [("none", None)]  # half at one value
+    spans = [(f"i{i}", int(lo := r.integers(-5, 60)), int(lo + r.integers(-2, 12))) for i in range(60)] + [("n1", None, 3), ("n2", 3, None), ("p1", 7, 7)]
+    ranks, ends = intervals.ranked(spark.createDataFrame(points, "id string, at long").repartition(3), spark.createDataFrame(spans, "id string, lo long, hi long"))
+    want = {(p, i) for p, x in points for i, lo, hi in spans if x is not None and lo is not None and hi is not None and lo <= x <= hi}
+    got = [tuple(x) for x in intervals.pairs(ranks, ends, chunk).collect()]
+    assert set(got) == want and len(got) == len(want)
+    assert sorted(x["rank"] for x in ranks.collect()) == list(range(120))
+    counts = {x["id"]: x["after"] - x["first"] for x in ends.collect()}
+    assert counts == {i: sum(j == i for _, j in want) for i, lo, hi in spans if lo is not None and hi is not None}
+    sizes = [x["count"] for x in ranks.groupBy(F.floor(F.col("rank") / chunk)).count().collect()]
+    assert max(sizes) <= chunk, "equal chunks, however many rows share a value"
+
+
+def test_interval_join_of_nothing(spark):
+    from duskwire.operators import intervals
+
+    ranks, ends = intervals.ranked(spark.createDataFrame([], "id string, at long"), spark.createDataFrame([("a", 1, 2)], "id string, lo long, hi long"))
+    assert ranks.collect() == [] and [tuple(x) for x in ends.collect()] == [("a", 0, 0)] and intervals.pairs(ranks, ends).collect() == []
