@@ -29,7 +29,7 @@ PIECES = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, window long, offset long, open boolean"
 )
 #: Characters of texts that are looked up together.
-TOGETHER = 1 << 23
+TOGETHER = 1 << 22
 #: The tokenizer's own pattern for pretokens, for lower-case ASCII.
 _ASCII_PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
 #: Letters whose lower case depends on nothing around them and which stay composed.
@@ -102,13 +102,15 @@ class Tokens:
         coded = lists.flatten().dictionary_encode()
         known = list(map(self.chunks.__getitem__, coded.dictionary.to_pylist()))
         flat = np.frombuffer(b"".join(known), np.uint32)
-        size = np.fromiter(map(len, known), np.int64, len(known)) // 4
+        size = np.fromiter(map(len, known), np.int32, len(known)) // 4
         begin = np.cumsum(size) - size
         chunk = coded.indices.to_numpy(zero_copy_only=False)
         sizes = size[chunk]
         ends = np.cumsum(sizes)
         # the ids of all chunks in turn: a run of consecutive places of ``flat`` for each
-        ids = flat[np.repeat(begin[chunk] - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)]
+        place = np.repeat(begin[chunk] - (ends - sizes), sizes)
+        place += np.arange(len(place))
+        ids = flat[place]
         bounds = np.concatenate([[0], ends])[lists.offsets.to_numpy()]
         for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
             yield ids[lo:hi].tobytes()
