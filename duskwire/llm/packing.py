@@ -29,7 +29,7 @@ PIECES = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, window long, offset long, open boolean"
 )
 #: Characters of texts that are looked up together.
-TOGETHER = 1 << 22
+TOGETHER = 1 << 21
 #: The tokenizer's own pattern for pretokens, for lower-case ASCII.
 _ASCII_PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
 #: Letters whose lower case depends on nothing around them and which stay composed.
@@ -55,7 +55,7 @@ class Tokens:
 
     _kept: dict[str, "Tokens"] = {}
 
-    def __init__(self, path: str, remembered: int = 600_000):
+    def __init__(self, path: str, remembered: int = 250_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -134,6 +134,8 @@ class Tokens:
             for known in (self.chunks, self.words):
                 if len(known) > self.remembered:
                     known.clear()
+            # workers live on: what this group needed goes back
+            pa.default_memory_pool().release_unused()
             lo = hi
 
 
