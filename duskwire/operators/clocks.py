@@ -41,7 +41,7 @@ def skew_pairs(profiles: DataFrame, threshold: float = 0.5) -> DataFrame:
     reach = threshold * (1.0 + 1e-9)
     met = intervals.within(b, a, F.col("avg_b"), F.col("avg_a") - reach, F.col("avg_a") + reach, "url_b", "url_a").filter("url_a < url_b")
     diff = F.abs(F.col("avg_a") - F.col("avg_b"))
-    pairs = met.join(a, "url_a").join(b, "url_b").filter(diff <= threshold)
+    pairs = met.filter(diff <= threshold)
 
     def steadiness(spread: str):
         return 1.0 - F.least(F.col(spread), F.lit(5.0)) / 5.0

@@ -1,6 +1,7 @@
 """Rows that are crowded or long keep everything."""
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from duskwire.functions import identifiers as ids
@@ -9,6 +10,8 @@ from duskwire.operators import gates, resolve, wallets
 from duskwire.sources import feeds
 from duskwire.streaming import jobs
 
+SF = "/root/testdata/sf0.001"
+
 
 def first(spark, text, fn):
     return spark.createDataFrame([(text,)], "t string").select(fn(F.col("t")).alias("x")).first()["x"]
@@ -71,3 +74,46 @@ def test_wallets_keep_their_currency(spark):
     hits = resolve.extract_hits(events.withColumn("observed_at", F.lit("2024-01-01").cast("timestamp")))
     got = {r["currency"] for r in resolve.entity_spans(hits).filter("kind = 'wallet'").collect()}
     assert got == {"ETH", "TRON"}
+
+
+def test_candidates_leave_the_chunk_join_unshuffled(spark):
+    """Pairs of the window carry their spans out of the join: no other join lies above it."""
+    from duskwire.plans import q_persona
+    from duskwire.plans.inputs import derived
+
+    for df in (q_persona.rb_candidates(spark, SF), q_persona.jn_rebrand(spark, SF)):
+        joins = [line for line in df._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in line]
+        assert "_chunk" in joins[0]
+    people = derived(spark, SF, "personas")
+    assert people.count() > 0
+
+
+def test_interval_chunks_grow_with_the_points(spark):
+    """An interval over all points is dealt ``most_chunks`` times, however many points there are, and columns come along."""
+    from duskwire.operators import intervals
+
+    points = spark.range(500).select(F.concat(F.lit("p"), "id").alias("pid"), F.col("id").alias("at"), (F.col("id") * 2).alias("twice"))
+    spans = spark.createDataFrame([("a", 0, 499), ("b", 10, 11)], "sid string, lo long, hi long")
+    got = intervals.within(points, spans, F.col("at"), F.col("lo"), F.col("hi"), "pid", "sid").collect()
+    assert len(got) == 502 and all(r["twice"] == 2 * int(r["pid"][1:]) and r["lo"] <= r["at"] <= r["hi"] for r in got)
+    ranks, ends = intervals.ranked(points.select(F.col("pid").alias("id"), "at"), spans.withColumnRenamed("sid", "id"))
+    assert intervals.pairs(ranks, ends, 1, 4).count() == 502
+    ids = intervals.pairs(ranks, ends, 1, 4).select("interval", "point").distinct().count()
+    assert ids == 502
+
+
+def test_evaluation_lists_no_pairs_without_evidence(spark, monkeypatch):
+    """The evaluation stays linear: candidates of one customer, decoys with a score, and whether there are others."""
+    from duskwire.operators import rebrand
+    from duskwire.plans import q_persona
+
+    cand = rebrand.candidates
+    monkeypatch.setattr(rebrand, "candidates", lambda *a, **k: pytest.fail("lists all pairs"))
+    got = {r["difficulty"]: r for r in q_persona.agg_eval_rebrand(spark, SF).collect()}
+    p = q_persona.derived(spark, SF, "personas")
+    who = lambda c: F.split(c, "-")[0]
+    pairs = cand(p, q_persona.at()).join(q_persona.rb_scores(spark, SF), rebrand.PAIR, "left").withColumn("same", who("old_id") == who("new_id")).collect()
+    kinds = {("decoy" if not r["same"] else "easy" if r["gap_days"] < 20 else "hard") for r in pairs}
+    assert set(got) == kinds
+    assert sum(r["tp"] + r["fn"] for r in got.values()) == sum(r["same"] for r in pairs)
+    assert got["decoy"]["fp"] == sum(not r["same"] and (r["score"] or 0) >= 50 for r in pairs)
