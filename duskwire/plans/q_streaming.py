@@ -255,6 +255,10 @@ select k.shard, k.batch_no, leaf_count, make_timestamp(began * 1000000) as began
 from k join l{size.bit_length()} l on l.shard = k.shard and l.batch_no = k.batch_no"""
 
 
+#: Merkle batches depend on the order of leaves alone, so slices land together up to so many rows.
+TOGETHER = 50_000
+
+
 @query("st_merkle", _merkle_sql(20, 150, 4))
 def st_merkle(spark, sf):
     """Leaves replayed in slices of 500 seconds; batches of 20 leaves or 150 seconds in each of 4 shards."""
@@ -263,7 +267,7 @@ def st_merkle(spark, sf):
         F.timestamp_seconds(F.lit(1_704_067_200) + F.col("doc_id") + 400 * F.floor(F.col("doc_id") / 350)).alias("at"),
     )
     with stateful.rocksdb(spark):
-        return replayed(leaves, "at", 500, "merkle", lambda s: stateful.merkle_stream(s, 20, 150, 4), end=True)
+        return replayed(leaves, "at", 500, "merkle", lambda s: stateful.merkle_stream(s, 20, 150, 4), end=True, rows_together=TOGETHER)
 
 
 #: Every 40th event is delivered half a day late.

@@ -157,3 +157,21 @@ def test_csv_gives_back_what_was_written(spark, tmp_path):
     sinks.csv(df, str(tmp_path / "csv"))
     back = sinks.read_csv(spark, df.schema, str(tmp_path / "csv"))
     assert sorted(map(tuple, back.collect())) == sorted((i, v or None, t) for i, v, t in rows)
+
+
+def test_slices_land_together_up_to_a_number_of_rows(spark):
+    """The number of micro-batches follows the rows, not the replayed time; slices stay whole and in order."""
+    from duskwire.streaming.replay import landings
+
+    assert landings([(0, 2), (3, 2), (4, 9), (7, 1), (9, 1)], 4) == [(0, 3), (4, 4), (7, 9)]
+    assert landings([(0, 2), (3, 2)], None) == [(0, 0), (3, 3)] and landings([], 5) == []
+    rows = [(f"e{i}", f"{i:064x}", T0 + dt.timedelta(seconds=97 * i)) for i in range(60)]
+    df = spark.createDataFrame(rows, "evidence_id string, content_hash string, at timestamp").repartition(5)
+    out = replayed(df, "at", 100, "t", lambda s: s.withColumn("batch", F.current_timestamp()), rows_together=25).collect()
+    assert len(out) == 60 and len({r["batch"] for r in out}) == 3
+    assert all(len({r["batch"] for r in out if r["slice"] == x}) == 1 for x in {r["slice"] for r in out})
+    with stateful.rocksdb(spark):
+        got, one = (
+            {tuple(r) for r in replayed(df, "at", 1000, "t", lambda s: stateful.merkle_stream(s, 9, 300, 2), end=True, rows_together=n).collect()} for n in (25, None)
+        )
+    assert got == one and sum(r[2] for r in got) == 60
