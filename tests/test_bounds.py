@@ -117,3 +117,19 @@ def test_evaluation_lists_no_pairs_without_evidence(spark, monkeypatch):
     assert set(got) == kinds
     assert sum(r["tp"] + r["fn"] for r in got.values()) == sum(r["same"] for r in pairs)
     assert got["decoy"]["fp"] == sum(not r["same"] and (r["score"] or 0) >= 50 for r in pairs)
+
+
+def test_host_keys_are_counted_behind_the_spread(spark):
+    """No task lists or counts the keys of a whole file of hosts: hosts are dealt by name before they become keys."""
+    from duskwire.operators import infra
+
+    rows = [("A.example", "f1"), ("a.example", "f1"), ("a.EXAMPLE", "f2"), ("b.example", "f1"), (None, "f1")]
+    hosts = spark.createDataFrame(rows, "host string, favicon_hash string")
+    keys = infra.host_keys(hosts, ["D1", "D2"], [7])
+    plan = keys._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression" in plan and "Aggregate" not in plan[plan.rindex("RepartitionByExpression"):]
+    got = sorted((r["what"], r["key"], r["match"] or "-") for r in keys.collect())
+    assert got == sorted([
+        ("name", "a.example", "a.example"), ("name", "b.example", "b.example"), ("ending", "example", "a.example"), ("ending", "example", "b.example"),
+        ("favicon_hash", "f1", "A.example"), ("favicon_hash", "f1", "a.example"), ("favicon_hash", "f2", "a.EXAMPLE"), ("favicon_hash", "f1", "b.example"), ("favicon_hash", "f1", "-"),
+    ])
