@@ -173,3 +173,29 @@ def test_interval_join_of_nothing(spark):
 
     ranks, ends = intervals.ranked(spark.createDataFrame([], "id string, at long"), spark.createDataFrame([("a", 1, 2)], "id string, lo long, hi long"))
     assert ranks.collect() == [] and [tuple(x) for x in ends.collect()] == [("a", 0, 0)] and intervals.pairs(ranks, ends).collect() == []
+
+
+def test_pairs_bring_their_marks_along(spark, monkeypatch):
+    """Marks come out of the tiles, no join follows them; pieces of a tile give the same pairs."""
+    rows = random_sparse(4, 70)
+    marks = spark.createDataFrame([(i, i * 10) for i, _ in rows], "id long, mark long")
+    plain = {(r["a"], r["b"]): round(r["similarity"], 9) for r in cosine_join.similar_pairs(sparse(spark, rows), 0.4).collect()}
+    df = cosine_join.similar_pairs(sparse(spark, rows), 0.4, 40, marks)
+    assert "FlatMapGroupsInArrow" in df._jdf.queryExecution().optimizedPlan().toString().splitlines()[0]
+    got = df.collect()
+    assert {(r["a"], r["b"]): round(r["similarity"], 9) for r in got} == plain and len(got) == len(plain) > 0
+    assert all(r["a_mark"] == 10 * r["a"] and r["b_mark"] == 10 * r["b"] for r in got)
+    # small pieces and slabs, in this process
+    import pyarrow as pa
+
+    held = [(0 if k < 40 else 1, i, sorted(v), [v[t] for t in sorted(v)], i * 10) for k, (i, v) in enumerate(rows)]
+    monkeypatch.setattr(cosine_join, "PIECE", 7)
+    monkeypatch.setattr(cosine_join, "SLAB", 50)
+    out = {}
+    for lo, hi in ((0, 0), (0, 1), (1, 1)):
+        part = [r for r in held if r[0] in (lo, hi)]
+        table = pa.table({n: pa.array([r[c] for r in part]) for c, n in enumerate(["block", "id", "terms", "weights", "mark"])})
+        for b in cosine_join._tile(0.4)((pa.scalar(lo), pa.scalar(hi)), iter(table.to_batches(10))):
+            assert b.num_rows <= 49
+            out.update({(r["a"], r["b"]): round(r["similarity"], 9) for r in b.to_pylist()})
+    assert out == plain
