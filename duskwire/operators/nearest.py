@@ -22,6 +22,9 @@ from ..lineage import cut_lineage
 
 #: Pivots are shared with all tasks; so many at most.
 MOST_PIVOTS = 1024
+#: Rows that look for cells to visit at once, and visits that are returned at once.
+VISIT_ROWS = 256
+VISITS = 8192
 #: Similarities that agree to so many digits are ties.
 DIGITS = 9
 FOUND = "query long, class long, similarity double"
@@ -108,7 +111,8 @@ def nearest(vectors: DataFrame, k: int = 5, cell_rows: int = 1024) -> DataFrame:
         between = np.sqrt(np.maximum(0.0, 2.0 - 2.0 * (pivots @ pivots.T)))
 
         def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
+            # a row may visit every cell, so few rows at once: what is worked out and returned stays bounded
+            for b in (whole.slice(at, VISIT_ROWS) for whole in batches for at in range(0, whole.num_rows, VISIT_ROWS)):
                 at = {n: b.column(b.schema.get_field_index(n)) for n in ("id", "v", "cell", "chunk", "kth")}
                 cell = at["cell"].to_numpy()
                 kth = at["kth"].to_numpy(zero_copy_only=False).astype(np.float64)
@@ -119,11 +123,12 @@ def nearest(vectors: DataFrame, k: int = 5, cell_rows: int = 1024) -> DataFrame:
                 plane = (far * far - mine * mine) / np.where(apart > 1e-9, 2.0 * apart, np.inf)
                 low = np.maximum(far - radius, plane)
                 i, j = np.nonzero((low <= reach[:, None]) & (radius >= 0) & (np.arange(len(radius)) != cell[:, None]))
-                take = pa.array(i)
-                yield pa.RecordBatch.from_arrays(
-                    [at["id"].take(take), at["v"].take(take), pa.array(j, pa.int32()), at["cell"].take(take), at["chunk"].take(take)],
-                    ["id", "v", "cell", "home", "q"],
-                )
+                for start in range(0, len(i), VISITS):
+                    take, to = pa.array(i[start : start + VISITS]), j[start : start + VISITS]
+                    yield pa.RecordBatch.from_arrays(
+                        [at["id"].take(take), at["v"].take(take), pa.array(to, pa.int32()), at["cell"].take(take), at["chunk"].take(take)],
+                        ["id", "v", "cell", "home", "q"],
+                    )
 
         visitors = cut_lineage(reached.select("id", "v", "cell", "chunk", "kth").mapInArrow(
             visit, "id long, v array<double>, cell int, home int, q int"), "nearest-visitors")

@@ -199,3 +199,32 @@ def test_pairs_bring_their_marks_along(spark, monkeypatch):
             assert b.num_rows <= 49
             out.update({(r["a"], r["b"]): round(r["similarity"], 9) for r in b.to_pylist()})
     assert out == plain
+
+
+def test_visits_are_returned_in_small_batches(spark):
+    """A vector may visit every cell: its visits leave the task in batches of a bounded size, and nothing is lost."""
+    from unittest import mock
+
+    r = np.random.default_rng(3)
+    rows = [(i, [float(x) for x in r.normal(size=6)]) for i in range(90)]
+    df = spark.createDataFrame(rows, "id long, v array<double>").coalesce(1)
+    seen = []
+    plain = type(df).mapInArrow
+
+    def watched(self, fn, schema):
+        if "home" in schema:
+            batch = self.coalesce(1).toArrow().combine_chunks().to_batches()
+            seen.extend(b.num_rows for b in fn(iter(batch)))
+        return plain(self, fn, schema)
+
+    with mock.patch.object(type(df), "mapInArrow", watched), mock.patch.object(nearest, "VISIT_ROWS", 16), mock.patch.object(nearest, "VISITS", 20):
+        got = {(x["id"], x["rank"], x["neighbour"]) for x in nearest.nearest(df, 3, 10).collect()}
+    assert len(seen) > 5 and max(seen) <= 20
+    want = set()
+    v = np.array([x for _, x in rows])
+    v = v / np.linalg.norm(v, axis=1)[:, None]
+    s = np.round(v @ v.T, 9)
+    np.fill_diagonal(s, -2)
+    for i in range(90):
+        want |= {(i, n + 1, int(j)) for n, j in enumerate(np.argsort(-s[i], kind="stable")[:3])}
+    assert got == want
