@@ -133,3 +133,18 @@ def test_host_keys_are_counted_behind_the_spread(spark):
         ("name", "a.example", "a.example"), ("name", "b.example", "b.example"), ("ending", "example", "a.example"), ("ending", "example", "b.example"),
         ("favicon_hash", "f1", "A.example"), ("favicon_hash", "f1", "a.example"), ("favicon_hash", "f2", "a.EXAMPLE"), ("favicon_hash", "f1", "b.example"), ("favicon_hash", "f1", "-"),
     ])
+
+
+def test_equal_handles_are_compared_once(spark, tmp_path, monkeypatch):
+    """Three copies of all customers and suppliers make nine times the pairs from the same comparisons."""
+    from duskwire.plans import q_text
+
+    c = spark.createDataFrame([(i + k * 100, f"C{i}", i % 2, "M") for i in range(20) for k in range(3)], "c_custkey long, c_name string, c_nationkey int, c_mktsegment string")
+    s = spark.createDataFrame([(i + k * 100, f"S{i}", i % 2) for i in range(10) for k in range(3)], "s_suppkey long, s_name string, s_nationkey int")
+    c.write.parquet(f"{tmp_path}/customer.parquet")
+    s.write.parquet(f"{tmp_path}/supplier.parquet")
+    compared = []
+    cut = q_text.cut_lineage
+    monkeypatch.setattr(q_text, "cut_lineage", lambda df, label: (out := cut(df, label), compared.append(out.count()))[0])
+    rows = q_text.handle_ratio_pairs(spark, str(tmp_path)).collect()
+    assert len(rows) == 9 * 20 == len({(r["c_custkey"], r["s_suppkey"]) for r in rows}) and compared == [20]
