@@ -231,8 +231,8 @@ def st_skew(spark, sf):
         F.round(F.col("user_id") * F.lit(0.4).cast("decimal(2,1)") + F.col("value") * F.lit(0.001), 3).cast("double").alias("clock_skew"),
     )
     with stateful.rocksdb(spark):
-        latest = drain_updates(stateful.last_samples(probes), "skew", ["url", "salt", "rn"])
-    return stateful.merge_salts(latest)
+        latest = drain_updates(stateful.last_samples(probes), "skew", ["url", "rn"])
+    return latest.select("url", "probed_at", "clock_skew")
 
 
 def _merkle_sql(size: int, seconds: int, shards: int) -> str:

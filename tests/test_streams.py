@@ -175,3 +175,24 @@ def test_slices_land_together_up_to_a_number_of_rows(spark):
             {tuple(r) for r in replayed(df, "at", 1000, "t", lambda s: stateful.merkle_stream(s, 9, 300, 2), end=True, rows_together=n).collect()} for n in (25, None)
         )
     assert got == one and sum(r[2] for r in got) == 60
+
+
+def test_newest_samples_of_many_urls_share_states(spark, tmp_path):
+    schema = "url string, probed_at timestamp, clock_skew double"
+    rows = [(f"u{i % 60}" if i % 3 else "hot", T0 + dt.timedelta(minutes=i * 7919 % 4001), i % 5 / 10) for i in range(3000)] + [(None, T0, 1.0), ("u1", None, 2.0), ("none", None, None)]
+    for part in range(3):
+        spark.createDataFrame(rows[part::3], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = table_stream(spark, str(tmp_path / "in"), spark.createDataFrame([], schema).schema, files_per_trigger=1)
+    with stateful.rocksdb(spark):
+        got = drain_updates(stateful.last_samples(stream, 4, buckets=3), "t", ["url", "rn"]).collect()
+    want = {}
+    for url, at, skew in rows:
+        want.setdefault(url, []).append((at is not None, at or T0, -1 if skew is None else skew))
+    want = {(url, n): (at if known else None, None if skew == -1 else skew) for url, v in want.items() for n, (known, at, skew) in enumerate(sorted(v, reverse=True)[:4], 1)}
+    assert {(r["url"], r["rn"]): (r["probed_at"], r["clock_skew"]) for r in got} == want
+
+
+def test_a_task_sends_the_newest_samples_alone():
+    frame = pd.DataFrame({"url": ["hot"] * 250_000, "probed_at": pd.to_datetime(range(250_000), unit="s"), "clock_skew": 0.5})
+    sent = pd.concat(stateful.newest_of_task((frame[i:i + 10_000] for i in range(0, len(frame), 10_000)), 20))
+    assert sorted(sent["probed_at"]) == list(frame["probed_at"][-20:])
