@@ -3,14 +3,17 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed
-from ..functions.columns import bind
-from .ordering import number_rows
+from ..functions.columns import bind, counted
+from ..lineage import cut_lineage
 
 TOKEN = f"[{fixed.WORD}]+"
+#: A token in more posts than that has its postings dealt by impact, in steps of 1 / FALL.
+OFTEN = 100_000
+FALL = 256
 
 
 def query_terms(query: str) -> list[str]:
@@ -62,13 +65,13 @@ def posts(df: DataFrame, query: str, limit: int = 50, text: str = "text", id_: s
 
 
 def token_index(df: DataFrame, text: str = "text", id_: str = "post_id") -> DataFrame:
-    """(token, post, tf, length): write it partitioned by token for repeated searches."""
+    """(token, post, tf, length): write it partitioned by token for repeated searches.
+
+    A post is a row of ``df`` and counts its tokens itself; nothing is shuffled.
+    """
     toks = df.select(id_, tokens(F.col(text)).alias("_t"))
-    return (
-        toks.select(id_, F.size("_t").alias("length"), F.explode("_t").alias("token"))
-        .groupBy("token", id_)
-        .agg(F.count(F.lit(1)).alias("tf"), F.first("length").alias("length"))
-    )
+    rows = toks.select(id_, F.size("_t").alias("length"), F.explode(counted(F.col("_t"))).alias("_h"))
+    return rows.select(F.col("_h.value").alias("token"), id_, F.col("_h.n").alias("tf"), "length")
 
 
 def search_index(index: DataFrame, query: str, limit: int = 50, id_: str = "post_id") -> DataFrame:
@@ -82,17 +85,30 @@ def search_index(index: DataFrame, query: str, limit: int = 50, id_: str = "post
     return per_post.filter(F.col("k") == len(terms)).select(id_, rank.alias("rank")).orderBy(F.desc("rank"), id_).limit(limit)
 
 
-def block_index(df: DataFrame, text: str = "text", id_: str = "post_id", block: int = 128) -> DataFrame:
-    """(token, block, top, n, postings): postings of a token by falling impact, in blocks of ``block``.
+def block_index(df: DataFrame, text: str = "text", id_: str = "post_id", block: int = 128, often: int = OFTEN) -> DataFrame:
+    """(token, block, top, n, postings): postings of a token by falling impact, in blocks of up to ``block``.
 
     An impact is what a token adds to a post's rank: its hits over 1 + ln(length). ``top`` is a block's largest.
-    Postings of a frequent token are numbered over ranges, so no task holds a whole list.
+    Postings of a token in more than ``often`` posts are dealt by steps of impact, so no task holds a whole list; its blocks
+    end with a step. Postings are shuffled once.
     """
     hits = token_index(df, text, id_).select("token", F.col(id_).alias("id"), (F.col("tf") / (1.0 + F.ln(F.col("length").cast("double")))).alias("impact"))
-    ordered = number_rows(hits.withColumn("fall", -F.col("impact")), ["fall", "id"], "_n", ["token"])
-    return ordered.groupBy("token", F.floor((F.col("_n") - 1) / block).cast("long").alias("block")).agg(
-        F.max("impact").alias("top"), F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_list(F.struct("impact", "id")), asc=False).alias("postings")
+    hits = cut_lineage(hits, "postings")
+    frequent = hits.groupBy("token").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > often)
+    # at most (number of postings / often) rows
+    frequent = cut_lineage(frequent.select("token", F.lit(True).alias("_often")), "frequent")
+    step = F.when(F.col("_often"), F.floor(-F.col("impact") * FALL)).otherwise(0).cast("long")
+    dealt = hits.join(frequent, "token", "left").withColumn("_step", step)
+    sizes = dealt.filter("_often").groupBy("token", "_step").agg(F.ceil(F.count(F.lit(1)) / block).alias("_blocks"))
+    earlier = Window.partitionBy("token").orderBy("_step").rowsBetween(Window.unboundedPreceding, -1)
+    before = cut_lineage(sizes.select("token", "_step", F.sum("_blocks").over(earlier).alias("_before")), "steps")
+    place = F.row_number().over(Window.partitionBy("token", "_step").orderBy(F.desc("impact"), "id")) - 1
+    numbered = dealt.join(before, ["token", "_step"], "left").select(
+        "token", "_step", "id", "impact", (F.coalesce("_before", F.lit(0)) + F.floor(place / block)).cast("long").alias("block")
     )
+    return numbered.groupBy("token", "_step", "block").agg(
+        F.max("impact").alias("top"), F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_list(F.struct("impact", "id")), asc=False).alias("postings")
+    ).drop("_step")
 
 
 def best_posts(index: DataFrame, df: DataFrame, query: str, limit: int = 50, text: str = "text", id_: str = "post_id", seeds: int = 2) -> tuple[DataFrame, DataFrame]:
@@ -104,6 +120,9 @@ def best_posts(index: DataFrame, df: DataFrame, query: str, limit: int = 50, tex
     """
     terms = query_terms(query)
     blocks = index.filter(F.col("token").isin(terms))
+    # only posts that hold every term can have a rank
+    for t in terms:
+        df = df.filter(F.contains(F.lower(F.col(text)), F.lit(t)))
 
     def ranked(ids: DataFrame) -> DataFrame:
         some = df.join(ids.distinct(), id_, "left_semi")

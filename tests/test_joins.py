@@ -228,3 +228,33 @@ def test_visits_are_returned_in_small_batches(spark):
     for i in range(90):
         want |= {(i, n + 1, int(j)) for n, j in enumerate(np.argsort(-s[i], kind="stable")[:3])}
     assert got == want
+
+
+def test_blocks_of_frequent_tokens_are_dealt_by_impact(spark):
+    from duskwire.operators import search
+
+    r = np.random.default_rng(5)
+    texts = ["alpha " * int(r.integers(1, 4)) + "beta " * int(i % 3 == 0) + "w " * int(r.integers(0, 90)) for i in range(400)] + ["alpha beta copy"] * 200
+    posts = spark.createDataFrame(list(enumerate(texts)), "post_id long, text string")
+    index = search.block_index(posts, block=8, often=100)
+    for token in ("alpha", "beta", "copy"):
+        rows = index.filter(F.col("token") == token).orderBy("block").collect()
+        assert [x["block"] for x in rows] == list(range(len(rows))) and all(x["n"] == len(x["postings"]) <= 8 for x in rows)
+        listed = [p["impact"] for x in rows for p in x["postings"]]
+        assert listed == sorted(listed, reverse=True) and len(listed) == sum(token in t.split() for t in texts)
+    for query, limit in (("alpha beta", 5), ("copy", 50), ("alpha", 1000)):
+        want = [tuple(x) for x in search.posts(posts, query, limit).select("post_id", "rank").collect()]
+        assert [tuple(x) for x in search.best_posts(index, posts, query, limit)[0].select("post_id", "rank").collect()] == want
+
+
+def test_terms_are_counted_in_their_row(spark):
+    from duskwire.operators import search, stylometry
+
+    docs = spark.createDataFrame([(1, "b a b c b a"), (2, ""), (3, None), (4, "solo")], "post_id long, text string")
+    index = search.token_index(docs)
+    terms = stylometry.word_terms(docs, [], "post_id")
+    for df in (index, terms):
+        assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+    assert {tuple(x) for x in index.collect()} == {("a", 1, 2, 6), ("b", 1, 3, 6), ("c", 1, 1, 6), ("solo", 4, 1, 1)}
+    pairs = spark.createDataFrame([(1, "bb aa bb aa"), (2, "")], "post_id long, text string")
+    assert {tuple(x) for x in stylometry.word_terms(pairs, [], "post_id").collect()} == {(1, "aa", 2), (1, "bb", 2), (1, "bb aa", 2), (1, "aa bb", 1)}
