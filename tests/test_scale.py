@@ -115,3 +115,14 @@ def test_parts_split_only_large_keys(spark):
 def test_scratch_comes_from_the_session(spark):
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     assert scratch_root(spark) == configured.rstrip("/")
+
+
+def test_tasks_of_pair_counts_follow_the_pairs(spark, monkeypatch):
+    rel = spark.createDataFrame([(i, g) for g in range(10) for i in range(g, g + 21)], "item long, grp long")
+    assert overlap._tasks(rel, "grp") == 4
+    monkeypatch.setattr(overlap, "PAIRS_PER_TASK", 100)
+    assert overlap._tasks(rel, "grp") == 21
+    got = {(r["item_a"], r["item_b"]): r["shared"] for r in overlap.shared_groups(rel, "item", "grp", 2).collect()}
+    groups = [set(range(g, g + 21)) for g in range(10)]
+    want = {(a, b): sum(a in s and b in s for s in groups) for a, b in itertools.combinations(range(31), 2)}
+    assert got == {p: n for p, n in want.items() if n >= 2}
