@@ -1,12 +1,15 @@
 """Entity resolution, observations and graph tables."""
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hashing import name_uuid
 from ..functions.identifiers import extract_all
 from ..functions.scores import kind_label
+from ..lineage import cut_lineage
 
 
 def extract_hits(events: DataFrame, text: str = "text", author: str | None = "handle") -> DataFrame:
@@ -125,10 +128,12 @@ def edges_uses(links: DataFrame) -> DataFrame:
     return links.select(F.col("actor_id").alias("src"), F.col("entity_id").alias("dst"), F.lit("USES").alias("type"))
 
 
-def sharing_pairs(actors: DataFrame) -> DataFrame:
+def sharing_pairs(actors: DataFrame, keep: Sequence[str] = (), chunk: int = 256) -> DataFrame:
     """(a, b, pgp, contacts, wallets) with a < b: how many identifiers of each kind two actors share, where they share any.
 
-    An equi join on exploded identifiers; counts are summed in the map tasks first.
+    Actors (one row each) with the same identifiers form a class. Classes are paired by an equi join on exploded
+    identifiers; pairs of actors are made of their members, ``chunk`` by ``chunk``, and never shuffled. Columns of ``keep``
+    come along as a_<column> and b_<column>.
     """
     kinds = {"pgp": "pgp_fingerprints", "contacts": "contact_ids", "wallets": "wallet_addresses"}
 
@@ -136,8 +141,31 @@ def sharing_pairs(actors: DataFrame) -> DataFrame:
         values = F.filter(F.coalesce(column, F.array().cast("array<string>")), lambda v: v != "")
         return F.transform(values, lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("value")))
 
-    listed = F.concat(*[of(k, c) for k, c in kinds.items()])
-    rows = actors.select("actor_id", F.explode(F.array_distinct(listed)).alias("i")).select("actor_id", "i.kind", "i.value")
-    left, right = rows.withColumnRenamed("actor_id", "a"), rows.withColumnRenamed("actor_id", "b")
-    pairs = left.join(right, ["kind", "value"]).filter("a < b")
-    return pairs.groupBy("a", "b").agg(*[F.count_if(F.col("kind") == k).alias(k) for k in kinds])
+    def count_of(kind: str) -> Column:
+        return F.size(F.filter("listed", lambda i: i["kind"] == kind)).cast("long")
+
+    listed = F.array_sort(F.array_distinct(F.concat(*[of(k, c) for k, c in kinds.items()])))
+    rows = actors.select(listed.alias("listed"), F.struct("actor_id", *keep).alias("member")).filter(F.size("listed") > 0)
+    classes = rows.groupBy("listed").agg(F.collect_list("member").alias("members"))
+    classes = cut_lineage(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
+
+    items = classes.select("id", F.explode("listed").alias("i")).select("id", "i.kind", "i.value")
+    left, right = items.withColumnRenamed("id", "x"), items.withColumnRenamed("id", "y")
+    met = left.join(right, ["kind", "value"]).filter("x < y").groupBy("x", "y").agg(*[F.count_if(F.col("kind") == k).alias(k) for k in kinds])
+    own = classes.select(
+        F.col("id").alias("x"), F.col("id").alias("y"),
+        *[count_of(k).alias(k) for k in kinds],
+    )
+    starts = F.sequence(F.lit(1), F.size("members"), F.lit(chunk))
+    parts = classes.select("id", "members", F.explode(starts).alias("at")).select("id", F.slice("members", F.col("at"), chunk).alias("m"))
+    pairs = met.unionByName(own).join(parts.select(F.col("id").alias("x"), F.col("m").alias("mx")), "x")
+    pairs = pairs.join(parts.select(F.col("id").alias("y"), F.col("m").alias("my")), "y")
+    # two members of different classes meet once, in either order; those of one class meet in both
+    sides = pairs.select("*", F.explode("mx").alias("s")).select("*", F.explode("my").alias("t"))
+    kept = sides.filter((F.col("s.actor_id") < F.col("t.actor_id")) | ((F.col("x") != F.col("y")) & (F.col("s.actor_id") > F.col("t.actor_id"))))
+    swap = F.col("s.actor_id") > F.col("t.actor_id")
+    both = kept.select(*kinds, F.when(swap, F.col("t")).otherwise(F.col("s")).alias("s"), F.when(swap, F.col("s")).otherwise(F.col("t")).alias("t"))
+    return both.select(
+        F.col("s.actor_id").alias("a"), F.col("t.actor_id").alias("b"), *kinds,
+        *[F.col(f"{side}.{c}").alias(f"{name}_{c}") for name, side in (("a", "s"), ("b", "t")) for c in keep],
+    )

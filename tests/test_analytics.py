@@ -218,3 +218,18 @@ def test_similar_texts_score_higher(spark):
     z = stylometry.standardise(rows, stylometry.fit_scaler(rows))
     s = {r["b"]: r["similarity"] for r in stylometry.dense_similarity(z, pairs, "doc_id", "features", clip=True).collect()}
     assert s[2] > s[3] and s[3] == 0.0
+
+
+def test_sharing_pairs_of_copies_are_not_shuffled(spark):
+    rows = [actor(f"n{i:02d}", i, i + 1, ["K"], ["w"] if i % 2 else [], [f"@{i % 3}"]) for i in range(30)] + [actor("lone", 0, 1, [], [], [])]
+    df = frame(spark, *rows)
+    out = resolve.sharing_pairs(df, keep=["handle"], chunk=4)
+    got = {(r["a"], r["b"]): (r["pgp"], r["contacts"], r["wallets"]) for r in out.collect()}
+    assert out.count() == len(got)
+    assert got == {(f"n{i:02d}", f"n{j:02d}"): (1, int(i % 3 == j % 3), i % 2 * (j % 2)) for i in range(30) for j in range(i + 1, 30)}
+    names = {r["actor_id"]: r["handle"] for r in df.collect()}
+    assert all(r["a_handle"] == names[r["a"]] and r["b_handle"] == names[r["b"]] for r in out.collect())
+    # nothing is grouped or exchanged behind the explosion into pairs of actors, which the plan lists from the top
+    plan = resolve.sharing_pairs(df)._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    first_generate = next(i for i, line in enumerate(plan) if "Generate explode" in line)
+    assert not any("Aggregate" in line or "Join" in line for line in plan[:first_generate])
