@@ -4,7 +4,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .graph import components
+from ..lineage import cut_lineage
+from .graph import contracted, roots
+from .ordering import numbered_in_order
 
 
 def co_spent_clusters(inputs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -25,11 +27,17 @@ def ownership_components(inputs: DataFrame) -> DataFrame:
     """(id, component): addresses joined through any chain of common-input transactions.
 
     Each transaction becomes a star around its smallest address, so its edges grow with its
-    inputs and not with their pairs.
+    inputs and not with their pairs. Addresses are numbered in their order first, so that the rounds
+    compare whole numbers.
     """
-    hub = inputs.groupBy("txid").agg(F.min("address").alias("dst"))
-    edges = inputs.join(hub, "txid").select(F.col("address").alias("src"), "dst").distinct()
-    return components(edges)
+    used = inputs.filter(F.col("txid").isNotNull()).select("txid", "address")
+    names = numbered_in_order(used.select("address").distinct(), "address", "id")
+    linked = cut_lineage(used.join(names, "address").select("txid", F.col("id").alias("src")), "linked")
+    hub = linked.groupBy("txid").agg(F.min("src").alias("dst"))
+    found = roots(contracted(linked.join(hub, "txid").select("src", "dst")))
+    smallest = names.select(F.col("id").alias("component"), F.col("address").alias("smallest"))
+    moved = found.join(smallest, "component").select("id", "smallest")
+    return names.join(moved, "id", "left").select(F.col("address").alias("id"), F.coalesce("smallest", "address").alias("component"))
 
 
 def transfers(txs: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@ import itertools
 import random
 from collections import Counter, defaultdict
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -86,6 +87,36 @@ def test_co_spent_keeps_transactions_apart(spark):
     assert {r["id"]: r["component"] for r in wallets.ownership_components(inputs).collect()} == {"A": "A", "B": "A", "C": "A", "D": "D"}
 
 
+def test_tasks_contract_edges_between_whole_numbers(spark, monkeypatch):
+    rnd = random.Random(5)
+    edges = [(a, max(0, a - rnd.randint(0, 3))) for a in (rnd.randint(0, 400) + 70_000 * rnd.randint(0, 2) for _ in range(3000))] + [(70_001, 2), (5, 5)]
+    df = spark.createDataFrame(edges, "src long, dst long").repartition(3)
+    want = {r["id"]: r["component"] for r in graph.components(df).collect()}
+    for lot in (1_000_000, 200):
+        monkeypatch.setattr(graph, "GATHER", lot)
+        frames = list(graph.forest_of_task(iter([pd.DataFrame(edges, columns=["u", "v"])[i:i + 150] for i in range(0, len(edges), 150)])))
+        assert lot == 200 or sum(map(len, frames)) < len(want)
+        held = spark.createDataFrame(pd.concat(frames), "u long, v long").toDF("src", "dst")
+        got = {r["id"]: r["component"] for r in graph.components(held).collect()}
+        assert all(got.get(k, k) == v for k, v in want.items())
+    small = graph.contracted(df).collect()
+    assert len(small) < len(want) and all(r["src"] > r["dst"] for r in small)
+
+
+def test_owners_of_addresses_in_any_order(spark):
+    rnd = random.Random(9)
+    rows = [(t, f"bc{rnd.randint(0, 300)}" if rnd.random() < 0.99 else None) for t in range(220) for _ in range(rnd.randint(1, 3))] + [(None, "lost")]
+    inputs = spark.createDataFrame(rows, "txid long, address string").repartition(3)
+    hubs = {}
+    for t, a in rows:
+        if t is not None and a is not None:
+            hubs.setdefault(t, set()).add(a)
+    edges = [(a, min(group)) for group in hubs.values() for a in group]
+    want = {r["id"]: r["component"] for r in graph.components(spark.createDataFrame(edges, "src string, dst string")).collect()}
+    got = {r["id"]: r["component"] for r in wallets.ownership_components(inputs).collect()}
+    assert got == want | {None: None}
+
+
 def test_auc_equals_pairwise_count(spark):
     rnd = random.Random(3)
     rows = [(rnd.randrange(12), rnd.randrange(2)) for _ in range(150)]
