@@ -196,3 +196,18 @@ def test_a_task_sends_the_newest_samples_alone():
     frame = pd.DataFrame({"url": ["hot"] * 250_000, "probed_at": pd.to_datetime(range(250_000), unit="s"), "clock_skew": 0.5})
     sent = pd.concat(stateful.newest_of_task((frame[i:i + 10_000] for i in range(0, len(frame), 10_000)), 20))
     assert sorted(sent["probed_at"]) == list(frame["probed_at"][-20:])
+
+
+def test_keyed_states_take_one_task_per_core(spark):
+    """Each task of a micro-batch starts a Python worker, so more of them than cores only add starts."""
+    names = ("spark.sql.shuffle.partitions", "spark.sql.streaming.stateStore.providerClass")
+    before = [spark.conf.get(n) for n in names]
+    cores = spark.sparkContext.defaultParallelism
+    spark.conf.set(names[0], cores + 30)
+    try:
+        with stateful.rocksdb(spark):
+            assert int(spark.conf.get(names[0])) == cores
+        assert int(spark.conf.get(names[0])) == cores + 30
+    finally:
+        spark.conf.set(names[0], before[0])
+    assert [spark.conf.get(n) for n in names] == before
