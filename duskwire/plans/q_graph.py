@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from ..functions import pages
 from ..operators import graph, wallets
-from .inputs import ctes, derived, table
+from .inputs import BUILDERS, Spark, ctes, derived, spark_sql, table
 from .q_text import SQL_LINKS
 from .registry import query
 
@@ -38,7 +38,9 @@ def gr_ego_edges(spark, sf):
 @query("gr_overview", G + """
 select src, dst, type from edges where src in (select id from vertices) and dst in (select id from vertices) order by src, dst, type limit 900""")
 def gr_overview(spark, sf):
-    return graph.overview_edges(derived(spark, sf, "vertices"), derived(spark, sf, "edges"))
+    # equal edges are dropped when few are left, as a task would hold all edges of its input to tell them apart
+    edges = spark_sql(spark, sf, BUILDERS["edges"](Spark).replace("select distinct ", "select "))
+    return graph.overview_edges(derived(spark, sf, "vertices"), edges)
 
 
 @query("gr_overview_nodes", G + " select id, label, value from vertices order by id limit 300")

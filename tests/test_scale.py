@@ -78,6 +78,19 @@ def test_components_equal_union_find(spark):
     assert {r["id"]: r["component"] for r in graph.components(df).collect()} == want
 
 
+def test_overview_looks_at_the_first_edges_alone(spark):
+    """Same edges whether the first look suffices, equal or dangling edges fill it, or all edges are matched."""
+    rnd = random.Random(2)
+    ids = [f"n{i}" for i in range(30)]
+    edges = [("a0", "n1", "t")] * 40 + [(rnd.choice(ids), rnd.choice([*ids, "gone"]), rnd.choice("xy")) for _ in range(200)]
+    vertices = spark.createDataFrame([(i,) for i in ids], "id string")
+    for given in (edges, edges[40:], edges[40:42]):
+        want = sorted({e for e in given if e[0] in ids and e[1] in ids})[:6]
+        for looks in ((2, 4), (4, 64), ()):
+            df = spark.createDataFrame(given, "src string, dst string, type string").repartition(3)
+            assert [tuple(r) for r in graph.overview_edges(vertices, df, 2, looks).collect()] == want
+
+
 def test_co_spent_keeps_transactions_apart(spark):
     rows = [("t1", 0, "A"), ("t1", 1, "B"), ("t2", 0, "B"), ("t2", 1, "C"), ("t3", 0, "D")]
     inputs = spark.createDataFrame(rows, "txid string, pos int, address string")
