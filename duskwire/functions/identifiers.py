@@ -331,15 +331,22 @@ def page_entities(text: Column, limit: int | None = None) -> Column:
 
 def archive_entities(text: Column, limit: int | None = None) -> Column:
     """Identifier lists of an archived forum page; ``limit`` bounds each list."""
-    blocks = F.transform(
-        find_all(text, f"(?s){fixed.PGP_BLOCK}"), lambda b: F.substring(F.sha2(b, 256), 1, 16)
-    )
-    return F.struct(
-        ranked(find_all(text, fixed.ARCHIVE_BTC), limit).alias("btc_addresses"),
-        blocks.alias("pgp_key_hashes"),
-        ranked(find_all(text, fixed.LOOSE_EMAIL), limit).alias("emails"),
-        ranked(find_all(text, fixed.ARCHIVE_VENDOR, 1), limit).alias("vendor_handles"),
-    )
+    none = F.when(text.isNotNull(), F.array().cast("array<string>"))
+    low = F.lower(text)
+    block = F.when(F.contains(text, F.lit("-----BEGIN PGP PUBLIC KEY BLOCK-----")), find_all(text, f"(?s){fixed.PGP_BLOCK}")).otherwise(none)
+    sells = F.contains(text, F.lit(":")) & (F.contains(low, F.lit("vendor")) | F.contains(low, F.lit("seller")) | F.contains(low, F.lit("shop")))
+    vendors = F.when(sells, find_all(text, fixed.ARCHIVE_VENDOR, 1)).otherwise(none)
+
+    def lists(words: Column) -> Column:
+        return F.struct(
+            ranked(find_all(words, fixed.ARCHIVE_BTC), limit).alias("btc_addresses"),
+            F.transform(block, lambda b: F.substring(F.sha2(b, 256), 1, 16)).alias("pgp_key_hashes"),
+            ranked(find_all(words, fixed.LOOSE_EMAIL), limit).alias("emails"),
+            ranked(vendors, limit).alias("vendor_handles"),
+        )
+
+    # addresses hold no blank: they lie within words that are long or hold an @
+    return bind(compact(text), lists)
 
 
 def contact_field(contact_text: Column) -> Column:

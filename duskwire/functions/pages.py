@@ -10,14 +10,15 @@ from .columns import bind, ranked
 
 def strip_html(html: Column) -> Column:
     """Visible text: no script or style bodies, tags as spaces, single spaces."""
-    out = html
-    for pattern, replacement in [
-        (r"(?s)<script[^>]*>.*?</script>", ""),
-        (r"(?s)<style[^>]*>.*?</style>", ""),
-        (r"<[^>]+>", " "),
-        (fixed.SPACE + "+", " "),
-    ]:
-        out = F.regexp_replace(out, F.lit(pattern), F.lit(replacement))
+
+    def replaced(value: Column, mark: str, pattern: str, by: str) -> Column:
+        return bind(value, lambda t: F.when(F.contains(t, F.lit(mark)), F.regexp_replace(t, F.lit(pattern), F.lit(by))).otherwise(t))
+
+    out = replaced(html, "<script", r"(?s)<script[^>]*>.*?</script>", "")
+    out = replaced(out, "<style", r"(?s)<style[^>]*>.*?</style>", "")
+    out = replaced(out, "<", r"<[^>]+>", " ")
+    # single blanks, nearly all there are, stay as they are
+    out = F.regexp_replace(out, F.lit(f" {fixed.SPACE}+|(?! ){fixed.SPACE}+"), F.lit(" "))
     return F.trim(out)
 
 

@@ -97,8 +97,10 @@ def archive(files: DataFrame, root: str = "", min_chars: int = 50) -> DataFrame:
     relative = F.col("path") if not root else F.ltrim(
         F.substring("path", F.instr("path", root) + F.lit(len(root)), F.length("path")), F.lit("/")
     )
-    out = files.select(relative.alias("path"), pages.strip_html(F.col("html")).alias("text"))
-    out = out.filter(F.length("text") >= min_chars).withColumn("entities", archive_entities(F.col("text")))
+    # each value is made once: a filter on it would otherwise make it again for every use of its condition
+    out = files.select(relative.alias("path"), F.explode_outer(F.array(pages.strip_html(F.col("html")))).alias("text"))
+    out = out.filter(F.length("text") >= min_chars)
+    out = out.select("path", "text", F.explode_outer(F.array(archive_entities(F.col("text")))).alias("entities"))
     names = ["btc_addresses", "pgp_key_hashes", "emails", "vendor_handles"]
     found: Column = F.size(f"entities.{names[0]}")
     for n in names[1:]:

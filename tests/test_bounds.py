@@ -4,10 +4,10 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from duskwire.functions import fixed, pages
 from duskwire.functions import identifiers as ids
-from duskwire.functions import pages
 from duskwire.operators import gates, resolve, wallets
-from duskwire.sources import feeds
+from duskwire.sources import feeds, readers
 from duskwire.streaming import jobs
 
 SF = "/root/testdata/sf0.001"
@@ -148,3 +148,26 @@ def test_equal_handles_are_compared_once(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(q_text, "cut_lineage", lambda df, label: (out := cut(df, label), compared.append(out.count()))[0])
     rows = q_text.handle_ratio_pairs(spark, str(tmp_path)).collect()
     assert len(rows) == 9 * 20 == len({(r["c_custkey"], r["s_suppkey"]) for r in rows}) and compared == [20]
+
+
+def test_archived_pages_are_stripped_and_searched_once(spark):
+    texts = [
+        " a\t\tb  c d \n e  f  ", "x  y  z", "<p>one</p><script>no</script>two <style a>b</style>", "none", "", None,
+        "to a@b.co+d@e.fr and\nm@n.op\tq@r.st 1BoatSLRHtKNngkdXEeobR76b53LETtpyT,", "VENDOR : bob Shop:amy seller x", "shop:vendor: v",
+        "-----BEGIN PGP PUBLIC KEY BLOCK----- k -----END PGP PUBLIC KEY BLOCK----- and -----BEGIN PGP PUBLIC KEY BLOCK-----",
+    ]
+    df = spark.createDataFrame([(f"c/{i}", t) for i, t in enumerate(texts)], "path string, html string")
+    plain = F.col("html")
+    for pattern, by in ((r"(?s)<script[^>]*>.*?</script>", ""), (r"(?s)<style[^>]*>.*?</style>", ""), (r"<[^>]+>", " "), (fixed.SPACE + "+", " ")):
+        plain = F.regexp_replace(plain, F.lit(pattern), F.lit(by))
+    assert df.filter(~F.trim(plain).eqNullSafe(pages.strip_html(F.col("html")))).count() == 0
+    whole = {
+        "btc_addresses": ids.ranked(ids.find_all(F.col("html"), fixed.ARCHIVE_BTC)), "emails": ids.ranked(ids.find_all(F.col("html"), fixed.LOOSE_EMAIL)),
+        "vendor_handles": ids.ranked(ids.find_all(F.col("html"), fixed.ARCHIVE_VENDOR, 1)),
+        "pgp_key_hashes": F.transform(ids.find_all(F.col("html"), f"(?s){fixed.PGP_BLOCK}"), lambda b: F.substring(F.sha2(b, 256), 1, 16)),
+    }
+    found = df.select("html", ids.archive_entities(F.col("html")).alias("e"))
+    for name, want in whole.items():
+        assert found.filter(~want.eqNullSafe(F.col(f"e.{name}"))).count() == 0, name
+    plan = readers.archive(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("<[^>]+>") == 1 and plan.count(fixed.ARCHIVE_BTC) == 1
