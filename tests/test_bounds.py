@@ -171,3 +171,29 @@ def test_archived_pages_are_stripped_and_searched_once(spark):
         assert found.filter(~want.eqNullSafe(F.col(f"e.{name}"))).count() == 0, name
     plan = readers.archive(df)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("<[^>]+>") == 1 and plan.count(fixed.ARCHIVE_BTC) == 1
+
+
+def test_texts_are_looked_through_for_digits_once(spark):
+    """Also in the order of rules: what one leaves behind is what the next one sees."""
+    texts = ["call +91 98765 43210 or (0123) 456 7890", "1234 5678 9012 ABCDE1234F a@b.co", "no digits", "", None, "x@y.org 12", "+1 12 (345 678 901"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    plain, found = F.col("t"), []
+    for name, pattern, by in fixed.REDACTION_RULES:
+        pattern = pattern.removeprefix(r"(?=[+(\p{Nd}])")
+        found.append(F.when(F.regexp_count(plain, F.lit(pattern)) > 0, F.concat(F.lit(f"{name}:"), F.regexp_count(plain, F.lit(pattern)).cast("string"))))
+        plain = F.regexp_replace(plain, F.lit(pattern), F.lit(by))
+    rows = df.select(gates.redacted(F.col("t")).alias("r"), plain.alias("text"), F.array_compact(F.array(*found)).alias("found")).collect()
+    assert all(r["r"]["text"] == r["text"] and r["r"]["found"] == r["found"] for r in rows)
+    assert {f.split(":")[0] for r in rows for f in r["found"]} == {name for name, _, _ in fixed.REDACTION_RULES}
+    plan = df.select(gates.redacted(F.col("t"))["text"].alias("x"))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("RLIKE") + plan.count("rlike") == 1
+
+
+def test_lists_of_lengths_are_made_once(spark):
+    from duskwire.functions import style
+
+    df = spark.createDataFrame([("One two. Three, FOUR five! 12",), ("",)], "t string")
+    plan = df.select(style.feature_vector(F.col("t")).alias("v"))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("[.!?]+") == 1
+    row = df.select(style.feature_vector(F.col("t")).alias("v")).first()["v"]
+    assert row[style.slot("avg_sentence_length")] == 2.0 and abs(row[style.slot("uppercase_ratio")] - 6 / 29) < 1e-12
