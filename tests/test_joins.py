@@ -258,3 +258,15 @@ def test_terms_are_counted_in_their_row(spark):
     assert {tuple(x) for x in index.collect()} == {("a", 1, 2, 6), ("b", 1, 3, 6), ("c", 1, 1, 6), ("solo", 4, 1, 1)}
     pairs = spark.createDataFrame([(1, "bb aa bb aa"), (2, "")], "post_id long, text string")
     assert {tuple(x) for x in stylometry.word_terms(pairs, [], "post_id").collect()} == {(1, "aa", 2), (1, "bb", 2), (1, "bb aa", 2), (1, "aa bb", 1)}
+
+
+def test_rows_of_one_id_are_one_document(spark):
+    """As in SQL, which counts by id and term: a term of an id in several rows has one row and adds one to df."""
+    from duskwire.operators import stylometry
+
+    docs = spark.createDataFrame([(1, "aa bb"), (1, "aa"), (2, "bb"), (None, "aa"), (None, "aa cc")], "doc_id long, text string")
+    terms = stylometry.word_terms(docs, [])
+    want = [(1, "aa", 2), (1, "aa bb", 1), (1, "bb", 1), (2, "bb", 1), (None, "aa", 2), (None, "aa cc", 1), (None, "cc", 1)]
+    assert sorted(map(str, (tuple(x) for x in terms.collect()))) == sorted(map(str, want))
+    fitted = {x["term"]: (x["cf"], x["df"]) for x in stylometry.fit_vocabulary(terms, 5).collect()}
+    assert fitted == {"aa": (4, 2), "aa bb": (1, 1), "bb": (2, 2), "aa cc": (1, 1), "cc": (1, 1)}
