@@ -125,6 +125,25 @@ def test_handle_ratio(spark):
     assert spark.sql("select cast(null as string) a, 'x' b").select(handle_ratio(F.col("a"), F.col("b"))).first()[0] is None
 
 
+def test_ratios_of_many_pairs():
+    """The same blocks as one pair at a time, in lots of any size, also in long strings and beyond the basic plane."""
+    from difflib import SequenceMatcher
+
+    from duskwire.functions.handles import pair_ratios
+
+    r = random.Random(4)
+    word = lambda letters, n: "".join(r.choice(letters) for _ in range(n))
+    pairs = [("", ""), ("", "a"), ("a", ""), ("aab", "baa"), ("a\0", "a"), ("a\0b\0", "\0b")]
+    pairs += [(word(k, r.randrange(30)), word(k, r.randrange(30))) for k in ("ab", "abcd", "aé日😀_0", "abcdefghij_0123") for _ in range(150)]
+    for n in (199, 200, 260):
+        b = word("abcdefgh" * 9 + "xyzuvw", n)
+        pairs += [(word("abcdefgh", 40) + b[40:70], b), (b, b[5:25]), (b[:60] + "x" + b[60:], b)]
+    want = [SequenceMatcher(None, a, b).ratio() for a, b in pairs]
+    for lot in (1, 7, 4096):
+        assert pair_ratios(*zip(*pairs), lot) == want
+    assert pair_ratios(["a", None, "ab"], [None, "a", "ab"]) == [None, None, 1.0] and pair_ratios([], []) == []
+
+
 def test_alerts_read_profiles_four_times_and_need_no_python(spark):
     df = frame(spark, actor("OldFox", -100, 10, ["K1"], [], ["@fox"]), actor("NewFox", 20, 58, ["K1"], [], ["@fox"]))
     plan = rebrand.detect(df, at())._jdf.queryExecution().executedPlan().toString()
