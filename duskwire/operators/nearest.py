@@ -5,8 +5,9 @@ of its nearest pivot, and a cell knows its radius. First each vector is compared
 far its k-th neighbour can be. Then it visits just those other cells that may hold something nearer: whose sphere
 around the pivot, and whose side of the plane between both pivots, come within that reach.
 
-Equal vectors are one class, compared once, so copies cost nothing; cells are cut into chunks, so that no task gets
-more than a chunk of each side.
+Equal vectors are one class, compared once, so copies cost nothing. Cells are cut into parts of a bounded size, and a
+tile compares two parts in both directions. A part is sent to each of its tiles, so cells are few and large: what is
+shuffled grows with their number, while a tile works through slices of bounded memory.
 """
 from __future__ import annotations
 
@@ -22,9 +23,13 @@ from ..lineage import cut_lineage
 
 #: Pivots are shared with all tasks; so many at most.
 MOST_PIVOTS = 1024
-#: Rows that look for cells to visit at once, and visits that are returned at once.
+#: Cells of tables that give them LEAST_ROWS; larger tables get larger cells, up to MOST_ROWS.
+CELLS = 8
+LEAST_ROWS = 1024
+MOST_ROWS = 65_536
+#: Rows that look for cells to visit at once, and similarities that a tile works out at once.
 VISIT_ROWS = 256
-VISITS = 8192
+SIMILARITIES = 8_000_000
 #: Similarities that agree to so many digits are ties.
 DIGITS = 9
 FOUND = "query long, class long, similarity double"
@@ -35,27 +40,46 @@ def _stack(column: pa.ChunkedArray | pa.Array, width: int) -> np.ndarray:
     return flat.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
 
 
-def best(query: np.ndarray, asked: np.ndarray, class_: np.ndarray, given: np.ndarray, k: int) -> pa.Table:
-    """The k most similar of ``given`` for each of ``asked``, and what ties with the last; never itself."""
-    sims = np.round(asked @ given.T, DIGITS)
-    sims[query[:, None] == class_[None, :]] = -np.inf
-    if sims.shape[1] > k:
-        last = np.partition(sims, -k, axis=1)[:, -k][:, None]
-        i, j = np.nonzero((sims >= last) & (sims > -np.inf))
-    else:
-        i, j = np.nonzero(sims > -np.inf)
-    return pa.table({"query": query[i], "class": class_[j], "similarity": sims[i, j]})
+def best(query: np.ndarray, asked: np.ndarray, bar: np.ndarray, class_: np.ndarray, given: np.ndarray, k: int) -> list[pa.Table]:
+    """The k most similar of ``given`` for each of ``asked``, and what ties with the last; never itself.
 
-
-def _compared(rows: DataFrame, keys: list[str], k: int, width: int) -> DataFrame:
-    """Found neighbours of groups of rows (id, v, asks, gives)."""
+    ``bar``: similarities that are of interest only from there on; NaN where nothing is known.
+    """
+    out = []
+    rows = max(1, SIMILARITIES // max(1, len(given)))
+    for at in range(0, len(asked), rows):
+        here = slice(at, at + rows)
+        sims = asked[here] @ given.T
+        sims[query[here, None] == class_[None, :]] = -np.inf
+        last = bar[here]
+        if np.isnan(last).any():
+            last = np.partition(sims, -k, axis=1)[:, -k] if sims.shape[1] > k else np.full(len(sims), -2.0)
+        i, j = np.nonzero(sims >= np.maximum(last - 10.0**-DIGITS, -2.0)[:, None])
+        near = np.round(sims[i, j], DIGITS)
+        kept = near >= np.round(last, DIGITS)[i]
+        out.append(pa.table({"query": query[here][i[kept]], "class": class_[j[kept]], "similarity": near[kept]}))
+    return out
+
+
+def _compared(sent: DataFrame, k: int, width: int) -> DataFrame:
+    """Found neighbours within tiles (lo, hi) of rows (id, v, bar, first, asks); ``first``: of the part lo."""
 
     def compare(table: pa.Table) -> pa.Table:
-        ids, v = table.column("id").to_numpy(), _stack(table.column("v"), width)
-        asks, gives = table.column("asks").to_numpy(zero_copy_only=False), table.column("gives").to_numpy(zero_copy_only=False)
-        return best(ids[asks], v[asks], ids[gives], v[gives], k)
-
-    return rows.groupBy(*keys).applyInArrow(compare, FOUND)
+        first = table.column("first").to_numpy(zero_copy_only=False)
+        sides = []
+        for mask in (first, ~first):
+            side = table.filter(pa.array(mask))
+            sides.append((
+                side.column("id").to_numpy(), _stack(side.column("v"), width), side.column("bar").to_numpy().astype(np.float64),
+                side.column("asks").to_numpy(zero_copy_only=False).astype(bool),
+            ))
+        out = [pa.table({"query": pa.array([], pa.int64()), "class": pa.array([], pa.int64()), "similarity": pa.array([], pa.float64())})]
+        one, other = sides
+        for (ids, v, bar, asks), (with_ids, with_v, _, _) in ((one, other), (other, one)) if len(other[0]) else ((one, one),):
+            out += best(ids[asks], v[asks], bar[asks], with_ids, with_v, k)
+        return pa.concat_tables(out)
+
+    return sent.groupBy("lo", "hi").applyInArrow(compare, FOUND)
 
 
 def _kept(found: DataFrame, k: int) -> DataFrame:
@@ -63,7 +87,7 @@ def _kept(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= k).drop("_n")
 
 
-def nearest(vectors: DataFrame, k: int = 5, cell_rows: int = 1024) -> DataFrame:
+def nearest(vectors: DataFrame, k: int = 5, cell_rows: int | None = None) -> DataFrame:
     """(id, rank, neighbour, similarity): for every vector the ``k`` others of the highest cosine, ties to the smaller id.
 
     ``vectors``: id long (distinct), v array<double>, all of one width. Vectors that are null, hold a null or have no
@@ -77,6 +101,7 @@ def nearest(vectors: DataFrame, k: int = 5, cell_rows: int = 1024) -> DataFrame:
     total = classes.count()  # one number
     if not total:
         return spark.createDataFrame([], "id long, rank int, neighbour long, similarity double")
+    cell_rows = cell_rows or min(max(-(-total // CELLS), LEAST_ROWS), MOST_ROWS)
     n_pivots = min(MOST_PIVOTS, -(-total // cell_rows))
     chosen = classes.orderBy(F.xxhash64("id", F.lit("pivot")), "id").limit(n_pivots).select("v").toArrow()
     width = len(chosen.column("v")[0])
@@ -94,52 +119,49 @@ def nearest(vectors: DataFrame, k: int = 5, cell_rows: int = 1024) -> DataFrame:
     # a row for each pivot
     facts = {r["cell"]: r for r in dealt.groupBy("cell").agg(F.max("far").alias("radius"), F.count(F.lit(1)).alias("n")).collect()}
     radius = np.array([facts[c]["radius"] if c in facts else -1.0 for c in range(n_pivots)])
-    chunks = F.array(*[F.lit(-(-facts[c]["n"] // cell_rows) if c in facts else 1) for c in range(n_pivots)])
-    rows = dealt.withColumn("chunk", F.pmod(F.xxhash64("id", F.lit("chunk")), F.get(chunks, F.col("cell"))).cast("int"))
-
-    # own cell: every chunk asks every chunk; a chunk with itself has each row once, in both roles
-    others = F.explode(F.sequence(F.lit(0), F.get(chunks, F.col("cell")) - 1))
-    wide = rows.select("*", others.alias("other"))
-    asking = wide.select("id", "v", "cell", F.col("chunk").alias("q"), F.col("other").alias("c"), F.lit(True).alias("asks"), (F.col("chunk") == F.col("other")).alias("gives"))
-    giving = wide.filter("chunk <> other").select("id", "v", "cell", F.col("other").alias("q"), F.col("chunk").alias("c"), F.lit(False).alias("asks"), F.lit(True).alias("gives"))
-    own = cut_lineage(_kept(_compared(asking.unionByName(giving), ["cell", "q", "c"], k, width), k), "nearest-own")
+    sizes = [-(-facts[c]["n"] // cell_rows) if c in facts else 0 for c in range(n_pivots)]
+    # parts are numbered through: those of a cell begin at its first one
+    n_parts, begin = F.array(*map(F.lit, sizes)), F.array(*map(F.lit, np.cumsum([0, *sizes])[:-1].tolist()))
+    cell_of = F.array(*[F.lit(c) for c, n in enumerate(sizes) for _ in range(n)])
+    parts_of = lambda cell: F.sequence(F.get(begin, cell), F.get(begin, cell) + F.get(n_parts, cell) - 1)
+    number = F.get(begin, F.col("cell")) + F.pmod(F.xxhash64("id", F.lit("chunk")), F.get(n_parts, F.col("cell")))
+    rows = dealt.withColumn("part", number.cast("int"))
+    tile = [F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), (F.col("part") <= F.col("other")).alias("first")]
+
+    # own cell: every part meets every part
+    wide = rows.select("*", F.explode(parts_of(F.col("cell"))).alias("other"))
+    mates = wide.select("id", "v", F.lit(None).cast("double").alias("bar"), *tile, F.lit(True).alias("asks"))
+    own = cut_lineage(_kept(_compared(mates, k, width), k), "nearest-own")
     if n_pivots == 1:
-        found = own
-    else:
-        kth = own.groupBy("query").agg(F.when(F.count(F.lit(1)) >= k, F.min("similarity")).alias("kth"))
-        reached = rows.join(kth.withColumnRenamed("query", "id"), "id", "left")
-        between = np.sqrt(np.maximum(0.0, 2.0 - 2.0 * (pivots @ pivots.T)))
-
-        def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            # a row may visit every cell, so few rows at once: what is worked out and returned stays bounded
-            for b in (whole.slice(at, VISIT_ROWS) for whole in batches for at in range(0, whole.num_rows, VISIT_ROWS)):
-                at = {n: b.column(b.schema.get_field_index(n)) for n in ("id", "v", "cell", "chunk", "kth")}
-                cell = at["cell"].to_numpy()
-                kth = at["kth"].to_numpy(zero_copy_only=False).astype(np.float64)
-                reach = np.where(np.isnan(kth), np.inf, np.sqrt(np.maximum(0.0, 2.0 - 2.0 * (kth - 10.0**-DIGITS)))) + 1e-6
-                far = np.sqrt(np.maximum(0.0, 2.0 - 2.0 * (_stack(at["v"], width) @ pivots.T)))
-                mine = far[np.arange(len(cell)), cell][:, None]
-                apart = between[cell]
-                plane = (far * far - mine * mine) / np.where(apart > 1e-9, 2.0 * apart, np.inf)
-                low = np.maximum(far - radius, plane)
-                i, j = np.nonzero((low <= reach[:, None]) & (radius >= 0) & (np.arange(len(radius)) != cell[:, None]))
-                for start in range(0, len(i), VISITS):
-                    take, to = pa.array(i[start : start + VISITS]), j[start : start + VISITS]
-                    yield pa.RecordBatch.from_arrays(
-                        [at["id"].take(take), at["v"].take(take), pa.array(to, pa.int32()), at["cell"].take(take), at["chunk"].take(take)],
-                        ["id", "v", "cell", "home", "q"],
-                    )
-
-        visitors = cut_lineage(reached.select("id", "v", "cell", "chunk", "kth").mapInArrow(
-            visit, "id long, v array<double>, cell int, home int, q int"), "nearest-visitors")
-        # tiles: a chunk of visitors of one home and a chunk of the visited cell
-        keys = ["cell", "home", "q", "c"]
-        asking = visitors.select("*", F.explode(F.sequence(F.lit(0), F.get(chunks, F.col("cell")) - 1)).alias("c"), F.lit(True).alias("asks"), F.lit(False).alias("gives"))
-        giving = (
-            visitors.select("cell", "home", "q").distinct().join(rows.select("cell", "id", "v", F.col("chunk").alias("c")), "cell")
-            .select("id", "v", "cell", "home", "q", "c", F.lit(False).alias("asks"), F.lit(True).alias("gives"))
-        )
-        found = cut_lineage(_kept(own.unionByName(_compared(asking.unionByName(giving), keys, k, width)), k), "nearest-found")
+        return _expanded(units, classes, own, k)
+    kth = own.groupBy("query").agg(F.when(F.count(F.lit(1)) >= k, F.min("similarity")).alias("kth"))
+    reached = rows.join(kth.withColumnRenamed("query", "id"), "id", "left")
+    between = np.sqrt(np.maximum(0.0, 2.0 - 2.0 * (pivots @ pivots.T)))
+
+    def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # a row may visit every cell, so few rows at once: what is worked out and returned stays bounded
+        for b in (whole.slice(at, VISIT_ROWS) for whole in batches for at in range(0, whole.num_rows, VISIT_ROWS)):
+            cell = b.column("cell").to_numpy()
+            kth = b.column("kth").to_numpy(zero_copy_only=False).astype(np.float64)
+            reach = np.where(np.isnan(kth), np.inf, np.sqrt(np.maximum(0.0, 2.0 - 2.0 * (kth - 10.0**-DIGITS)))) + 1e-6
+            far = np.sqrt(np.maximum(0.0, 2.0 - 2.0 * (_stack(b.column("v"), width) @ pivots.T)))
+            mine = far[np.arange(len(cell)), cell][:, None]
+            apart = between[cell]
+            plane = (far * far - mine * mine) / np.where(apart > 1e-9, 2.0 * apart, np.inf)
+            low = np.maximum(far - radius, plane)
+            i, j = np.nonzero((low <= reach[:, None]) & (radius >= 0) & (np.arange(len(radius)) != cell[:, None]))
+            ends = np.searchsorted(i, np.arange(len(cell) + 1)).astype(np.int32)
+            visits = pa.ListArray.from_arrays(pa.array(ends), pa.array(j, pa.int32()))
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("v"), b.column("part"), b.column("kth"), visits], ["id", "v", "part", "bar", "visits"])
+
+    visitors = cut_lineage(reached.select("id", "v", "cell", "part", "kth").mapInArrow(
+        visit, "id long, v array<double>, part int, bar double, visits array<int>"), "nearest-visitors")
+    # both parts of a tile in which any row asks
+    asked = visitors.select("part", F.explode("visits").alias("cell")).distinct().select("part", F.explode(parts_of(F.col("cell"))).alias("other"))
+    met = asked.unionByName(asked.select(F.col("other").alias("part"), F.col("part").alias("other"))).distinct()
+    guests = visitors.join(cut_lineage(met, "nearest-tiles"), "part").select(
+        "id", "v", "bar", *tile, F.array_contains("visits", F.get(cell_of, F.col("other"))).alias("asks"))
+    found = cut_lineage(_kept(own.unionByName(_compared(guests, k, width)), k), "nearest-found")
     return _expanded(units, classes, found, k)
 
 

@@ -80,6 +80,19 @@ def test_nearest_equals_all_pairs(spark, cell_rows):
     assert len(got) == len(plain_nearest(rows, 5))
 
 
+def test_vectors_are_sent_once_for_each_part(spark, monkeypatch):
+    """Vectors that visit every cell are not sent more often than there are parts, however many rows there are."""
+    r = np.random.default_rng(8)
+    rows = [(i, r.normal(0, 1, 24).tolist()) for i in range(600)]
+    sent, compared = [], nearest._compared
+    monkeypatch.setattr(nearest, "LEAST_ROWS", 20)
+    monkeypatch.setattr(nearest, "SIMILARITIES", 1000)
+    monkeypatch.setattr(nearest, "_compared", lambda df, k, width: (sent.append(df.count()), compared(df, k, width))[1])
+    got = nearest.nearest(spark.createDataFrame(rows, "id long, v array<double>"), 5).collect()
+    assert {(x["id"], x["rank"], x["neighbour"], round(x["similarity"], 6) + 0.0) for x in got} == plain_nearest(rows, 5)
+    assert sum(sent) <= 600 * 3 * nearest.CELLS
+
+
 def test_nearest_of_few(spark):
     make = lambda rows: spark.createDataFrame(rows, "id long, v array<double>")
     assert nearest.nearest(make([])).collect() == []
