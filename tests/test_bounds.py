@@ -88,6 +88,16 @@ def test_candidates_leave_the_chunk_join_unshuffled(spark):
     assert people.count() > 0
 
 
+def test_candidates_work_out_little_for_each_pair(spark):
+    """What holds for all pairs of the window is not asked of each, and an old persona's dormancy is worked out before the join."""
+    from duskwire.plans import q_persona
+
+    plan = q_persona.rb_candidates(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    top = plan[: plan.index("_chunk")]
+    assert "gap_days" in top and "old_first" not in plan and "new_last" not in plan and "interval" not in top.lower().replace("interval#", "")
+    assert plan.count("AS dormancy_days") == 0 or plan.index("AS dormancy_days") > plan.index("Join")
+
+
 def test_interval_chunks_grow_with_the_points(spark):
     """An interval over all points is dealt ``most_chunks`` times, however many points there are, and columns come along."""
     from duskwire.operators import intervals
