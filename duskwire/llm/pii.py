@@ -33,8 +33,11 @@ _DIGIT = re.compile("[0-9]")
 #: by blanks, or words around a bracketed one.
 _NUMBER = r"[+(\[]{0,3}+[0-9][0-9()\[\]./-]*+(?![A-Za-z@_%+])"
 _WORD = r"[A-Za-z0-9@._%+-]++"
+#: What holds no candidate is passed over within the pattern: words of letters and marks that nothing else follows, and
+#: characters that begin no candidate. A lone bracket and the end of the text are matched so that a search never starts again.
+_PLAIN = r"[A-Za-z._%+-]++(?![0-9@()\[{]|\x20[(\[{])|[^A-Za-z0-9@._%+()\[-]++"
 _CANDIDATE = re.compile(
-    rf"{_NUMBER}(?:\x20{{1,2}}{_NUMBER})*+|{_WORD}(?:\x20?[(\[{{]\x20?[A-Za-z]++\x20?[)\]}}]\x20?{_WORD})++|[A-Za-z0-9@._%+()-]++"
+    rf"(?:{_PLAIN})*+({_NUMBER}(?:\x20{{1,2}}{_NUMBER})*+|{_WORD}(?:\x20?[(\[{{]\x20?[A-Za-z]++\x20?[)\]}}]\x20?{_WORD})++|[A-Za-z0-9@._%+()-]++|\[|\Z)"
 )
 _AT = re.compile(r"[(\[{]\x20?at\x20?[)\]}]", re.I)
 _PIECE = re.compile(r"[^\x20]++")
@@ -112,7 +115,7 @@ def candidates(text: str, covered: list[tuple[int, int]]) -> Iterator[tuple[int,
     k = 0
     for m in _CANDIDATE.finditer(text):
         runs: list[list[tuple[int, int]]] = [[]]
-        for piece in _PIECE.finditer(text, *m.span()):
+        for piece in _PIECE.finditer(text, *m.span(1)):
             a, z = piece.span()
             while k < len(covered) and covered[k][1] <= a:
                 k += 1
@@ -184,30 +187,31 @@ def pattern_scores(graph: DataFrame, seeds: DataFrame, rounds: int | None, suppo
     instance is worth 1 - product of (1 - worth) over its patterns, a seed 1. Worth never falls, so rounds go on
     until no pattern and no instance is new; ``rounds`` ends them earlier.
     """
-    sizes = graph.groupBy("pattern").agg(F.count(F.lit(1)).alias("n"), F.max("weak").alias("weak"))
+    sizes = graph.groupBy("pattern").agg(F.count(F.lit(1)).alias("n"), F.max("weak").alias("capped"))
+    # patterns with too few instances never count: they are left out once, and the rest bring their size along
+    sized = cut_lineage(graph.join(sizes.filter(F.col("n") >= support), "pattern").select("pattern", "instance", "n", "capped"), "pii-sized")
+    others = cut_lineage(sized.join(seeds, "instance", "left_anti").select("pattern", "instance"), "pii-others")
     known = seeds.withColumn("worth", F.lit(1.0))
     k, before = 0, None
     while True:
         counted = (
-            graph.join(known, "instance").groupBy("pattern", "kind")
+            sized.join(known, "instance").groupBy("pattern", "kind", "n", "capped")
             .agg(F.sum("worth").alias("total"), F.sum((F.col("worth") >= bar).cast("int")).alias("sure"))
             .filter(F.col("sure") >= support)
         )
-        patterns = cut_lineage(
-            counted.join(sizes, "pattern").select(
-                "pattern", "kind", F.least(F.col("total") / F.col("n"), F.when(F.col("weak"), F.lit(_SHAPE_WORTH))).alias("worth")), "pii-patterns"
+        patterns = cut_lineage(counted.select(
+            "pattern", "kind", F.least(F.col("total") / F.col("n"), F.when(F.col("capped"), F.lit(_SHAPE_WORTH))).alias("worth")), "pii-patterns"
         )
         k += 1
         if k == rounds:
             break
-        told = graph.join(patterns, "pattern").groupBy("instance", "kind").agg(
+        told = others.join(patterns, "pattern").groupBy("instance", "kind").agg(
             (1 - F.exp(F.sum(F.log(1 - F.least("worth", F.lit(0.999)))))).alias("worth"))
-        told = told.join(seeds, "instance", "left_anti").filter("worth >= 0.5")
-        told = cut_lineage(told.withColumn("worth", F.least("worth", F.lit(0.999))), "pii-told")
+        told = cut_lineage(told.filter("worth >= 0.5").withColumn("worth", F.least("worth", F.lit(0.999))), "pii-told")
         known = seeds.withColumn("worth", F.lit(1.0)).unionByName(told)
         # one row: patterns, instances and their worth in hundredths
-        now = patterns.agg(F.count(F.lit(1)), F.sum(F.floor(F.col("worth") * 100))).first() + told.agg(
-            F.count(F.lit(1)), F.sum(F.floor(F.col("worth") * 100))).first()
+        summed = [F.count(F.lit(1)), F.sum(F.floor(F.col("worth") * 100))]
+        now = patterns.agg(*summed).join(told.agg(*summed)).first()
         if now == before:
             break
         before = now

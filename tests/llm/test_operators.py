@@ -392,3 +392,24 @@ def test_pipeline(spark):
         assert 0.7 * before <= after <= before and (name != "pii" or after == before)
         docs = out
     assert corpus_pipeline.pack(spark, docs, "").select("doc_id").distinct().count() == docs.count()
+
+
+def test_plain_words_are_passed_over_by_the_search_for_candidates():
+    """The pattern steps over what holds no candidate, and finds what it found word by word."""
+    import random
+    import re
+
+    from duskwire.llm import pii
+
+    words = "plain words, and (more) of them - " * 200
+    assert len(pii._CANDIDATE.findall(words + "id a1b2c3 " + words)) < 0.3 * len(words.split()) * 2
+    each = re.compile(
+        rf"{pii._NUMBER}(?:\x20{{1,2}}{pii._NUMBER})*+|{pii._WORD}(?:\x20?[(\[{{]\x20?[A-Za-z]++\x20?[)\]}}]\x20?{pii._WORD})++|[A-Za-z0-9@._%+()-]++"
+    )
+    r = random.Random(7)
+    some = [*"()[]{}+-_.,%@12 \n", "john", "a", "(at)", "[at]", "{ at }", " (", "  ", "x@y.z", "[[[[1", "[1a", "4111-1111", "é", "日", " at "]
+    for _ in range(3000):
+        text = "".join(r.choice(some) for _ in range(r.randrange(14)))
+        want = [m.span() for m in each.finditer(text) if "@" in m[0] or re.search("[0-9]", m[0]) or pii._AT.search(m[0])]
+        got = [m.span(1) for m in pii._CANDIDATE.finditer(text)]
+        assert [s for s in got if s in want] == want, text
