@@ -49,6 +49,20 @@ def test_prefixes_leave_vectors_apart(spark):
     assert cosine_join.similar_pairs(sparse(spark, rows), 0.9, 20).count() == 2 * 190
 
 
+def test_blocks_grow_with_the_table(spark, monkeypatch):
+    """However many vectors there are up to the largest block, each is sent to no more than ``BLOCKS`` blocks."""
+    r = np.random.default_rng(3)
+    rows = [(i, {int(t): float(w) for t, w in zip(r.choice(12, 6, replace=False), r.random(6) + 0.1)}) for i in range(100)]
+    rows = [(i, {t: w / sum(x * x for x in v.values()) ** 0.5 for t, w in v.items()}) for i, v in rows]
+    monkeypatch.setattr(cosine_join, "LEAST_ROWS", 5)
+    blocks = cosine_join.prefixed(sparse(spark, rows), 0.6)
+    assert {x["count"] for x in blocks.groupBy("block").count().collect()} == {13, 9} and cosine_join.visits(blocks).count() <= 100 * cosine_join.BLOCKS
+    whole = {tuple(x) for x in cosine_join.similar_pairs(sparse(spark, rows), 0.6, 1000).select("a", "b").collect()}
+    assert {tuple(x) for x in cosine_join.similar_pairs(sparse(spark, rows), 0.6).select("a", "b").collect()} == whole != set()
+    monkeypatch.setattr(cosine_join, "MOST_ROWS", 10)
+    assert cosine_join.prefixed(sparse(spark, rows), 0.6).groupBy("block").count().count() == 10
+
+
 def test_similar_pairs_of_nothing(spark):
     assert cosine_join.similar_pairs(sparse(spark, []), 0.5).collect() == []
     assert cosine_join.similar_pairs(sparse(spark, [(1, {3: 1.0})]), 0.5).collect() == []
